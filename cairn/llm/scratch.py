@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -35,3 +36,12 @@ class Scratch:
     def load(self, name: str, schema=None) -> DataFrame:
         reader = self.spark.read
         return (reader.schema(schema) if schema is not None else reader).parquet(f"{self.root}/{name}")
+
+    def release(self) -> None:
+        """Let Spark's cleaner delete the shuffle files of what this job no longer refers to.
+
+        A job of several written steps would otherwise hold the shuffles of all of
+        them until the driver happens to collect its garbage.
+        """
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()

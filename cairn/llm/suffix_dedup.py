@@ -348,10 +348,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * 6 // (blocks * task_bytes)))
     for block in range(blocks):
         segments = rows.mapInArrow(cut_segments(block, blocks, width, gram), SEGMENTS_DDL)
-        known = F.col("n") > 0
-        # one pass: a segment that is already known to repeat goes round the bucket as a row without bytes
         spans = segments.repartition(tasks, "m").mapInArrow(_either(width, gram), SPANS_DDL)
         scratch.append(spans, "spans")
+        del segments, spans
+        scratch.release()
     return scratch.load("spans", T._parse_datatype_string(SPANS_DDL))
 
 
