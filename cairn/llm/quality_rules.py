@@ -31,11 +31,11 @@ RULES = (
     ("symbol_ratio", "<=", 0.10),
     ("upper_ratio", "<=", 0.30),
     ("digit_ratio", "<=", 0.50),
-    ("dup_line_ratio", "<=", 0.30),
+    ("dup_line_ratio", "<=", 0.45),
     ("distinct_ratio", ">=", 0.20),
     ("mean_word", "<=", 15.0),
     ("mean_word", ">=", 2.0),
-    ("stop_ratio", ">=", 0.02),
+    ("stop_ratio", ">=", 0.01),
 )
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -86,7 +86,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
             "upper_ratio": F.col("_upper") / chars,
             "digit_ratio": F.col("_digit") / chars,
             "dup_line_ratio": F.col("n_dup_lines") / F.greatest(F.col("_n_lines"), F.lit(1)),
-            "distinct_ratio": F.when(F.col("n_words") < 100, F.lit(1.0)).otherwise(F.col("_kinds") / words),
+            "distinct_ratio": F.col("_kinds") / F.least(words, F.lit(5000)),
             "mean_word": F.col("word_chars") / words,
             "stop_ratio": F.col("_stop") / words,
         }
