@@ -88,11 +88,19 @@ def _summarize(ends: DataFrame, ranges: list[tuple[int, int]]) -> list[tuple[int
             merged.append([a, b])
     step = max(1, -(-sum(b - a + 1 for a, b in merged) // max(1, INTERVALS - len(merged))))
     end = F.col("end")
-    part: Column = F.lit(None).cast("long")
-    base = 0
+    first, base = [], 0
     for a, b in merged:
-        part = F.when(end.between(a, b), F.lit(base) + F.floor((end - a) / F.lit(step)).cast("long")).otherwise(part)
+        first.append(base)
         base += (b - a) // step + 1
+
+    def part_of(lo: int, hi: int) -> Column:  # a balanced tree, as there can be many ranges
+        if hi - lo == 1:
+            a, b = merged[lo]
+            return F.when(end.between(a, b), F.lit(first[lo]) + F.floor((end - a) / F.lit(step)).cast("long"))
+        mid = (lo + hi) // 2
+        return F.when(end < merged[mid][0], part_of(lo, mid)).otherwise(part_of(mid, hi))
+
+    part = part_of(0, len(merged))
     rows = ends.select("end", part.alias("part")).where("part IS NOT NULL").groupBy("part").agg(F.min("end").alias("a"), F.max("end").alias("b")).collect()
     return [(r["a"], r["b"]) for r in rows]
 
