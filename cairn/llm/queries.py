@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cairn.llm import chat, decontamination, pieces, quality_rules, sharding, simhash, suffix_dedup
+from cairn.llm import chat, decontamination, html_text, pieces, quality_knn, quality_rules, sharding, simhash, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op3_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_knn.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_and_check(_table(spark, sf_dir, "documents")).drop("pieces")
 
@@ -33,6 +37,14 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_turns(chat.canonical_turns(rows.unionByName(chat.hostile(rows)))))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontamination.scan_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return hits.select(
@@ -48,9 +60,12 @@ def queries() -> dict:
     return {
         "op1_minimax_sharding": op1_minimax_sharding,
         "op2_suffix_dedup": op2_suffix_dedup,
+        "op3_quality_knn": op3_quality_knn,
         "op4_sentencepiece": op4_sentencepiece,
         "op5_quality_rules": op5_quality_rules,
         "op6_chat_formatting": op6_chat_formatting,
+        "op7_toxicity": op7_toxicity,
+        "op8_html_extraction": op8_html_extraction,
         "op9_decontamination": op9_decontamination,
         "op10_simhash_dedup": op10_simhash_dedup,
     }

@@ -189,3 +189,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = known.groupBy("label").agg(F.min("least").alias("component_id"))
     classes = known.select("fp", "label").join(least, "label").select("fp", "component_id")
     return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """``docs`` with one row of each near-duplicate class, that of the least id; columns stay as they are.
+
+    Of rows that share the least id one stays.  Rows without an id cannot be told
+    apart and stay.
+    """
+    classes = Scratch(docs.sparkSession, "classes").save(near_duplicates(docs, id_col, text_col, radius).select("doc_id", "component_id"), "rows")
+    gone = classes.where("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    if classes.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))

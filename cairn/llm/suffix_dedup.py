@@ -380,7 +380,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, **how) -> DataFrame:
-    """``docs`` with columns n_bytes, n_removed, n_spans, kept (bytes) and kept_sha256.
+    """``docs`` with columns n_bytes, n_removed, n_spans, kept (bytes), kept_text and kept_sha256.
 
     A byte goes if it is covered by a ``width``-byte string that also starts in a
     document with a smaller id, judged on the input.  Null text counts as empty.
@@ -388,7 +388,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     largest; other columns pass through, and an input column with the name of a new
     one is replaced.
     """
-    new = "_n_bytes long, _n_removed long, _n_spans long, _kept binary, _kept_sha256 string"
+    new = "_n_bytes long, _n_removed long, _n_spans long, _kept binary, _kept_text string, _kept_sha256 string"
     spans = repeated_spans(docs, id_col, text_col, width, **how)
     spans = spans.groupBy(F.col("doc").alias("_doc"), F.col("tag").alias("_tag")).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
     text = F.col(text_col)
@@ -404,7 +404,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def _cut_out(others: int):
     def run(batches):
         for batch in batches:
-            rows = [[], [], [], [], []]
+            rows = [[] for _ in range(6)]
             for raw, start, end in zip(batch.column(others), batch.column(others + 1), batch.column(others + 2), strict=True):
                 raw = (raw.as_py() if raw.is_valid else None) or b""
                 removed = spans = 0
@@ -417,10 +417,20 @@ def _cut_out(others: int):
                     a, b = a[np.append(0, apart + 1)], b[np.append(apart, len(b) - 1)]
                     kept = b"".join(raw[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(raw)], strict=True))
                     removed, spans = len(raw) - len(kept), len(a)
-                for column, value in zip(rows, (len(raw), removed, spans, kept, hashlib.sha256(kept).hexdigest()), strict=True):
+                for column, value in zip(rows, (len(raw), removed, spans, kept, kept.decode(errors="ignore"), hashlib.sha256(kept).hexdigest()), strict=True):
                     column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.string())
             new = [pa.array(r, k) for r, k in zip(rows, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:others], *new], names=[*batch.schema.names[:others], *"_n_bytes _n_removed _n_spans _kept _kept_sha256".split()])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:others], *new], names=[*batch.schema.names[:others], *"_n_bytes _n_removed _n_spans _kept _kept_text _kept_sha256".split()])
 
     return run
+
+
+def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """``docs`` with the repeated bytes cut out of the texts; columns stay as they are.
+
+    What is left of a character that was cut in two goes too; a null text stays null.
+    """
+    cut = remove_repeats(docs, id_col, text_col, width)
+    text = F.when(F.col(text_col).isNotNull(), F.col("kept_text"))
+    return cut.withColumn(text_col, text).select(*docs.columns)
