@@ -1,47 +1,5 @@
-"""Written tables in the shared folder, which cut lineage and survive lost executors."""
+"""Written tables in the shared folder; see ``cairn.scratch``."""
 
-from __future__ import annotations
+from cairn.scratch import Scratch, shared_folder
 
-import gc
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="cairn-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-class Scratch:
-    """Parquet tables of one job below the shared folder."""
-
-    def __init__(self, spark: SparkSession, job: str):
-        self.spark = spark
-        self.root = f"{shared_folder(spark)}/cairn/{job}-{uuid.uuid4().hex}"
-
-    def save(self, df: DataFrame, name: str, mode: str = "errorifexists") -> DataFrame:
-        """Write ``df`` once and read it back, so later steps never recompute it."""
-        self.append(df, name, mode)
-        return self.load(name, df.schema)
-
-    def append(self, df: DataFrame, name: str, mode: str = "append") -> None:
-        df.write.mode(mode).option("compression", "zstd").parquet(f"{self.root}/{name}")
-
-    def load(self, name: str, schema=None) -> DataFrame:
-        reader = self.spark.read
-        return (reader.schema(schema) if schema is not None else reader).parquet(f"{self.root}/{name}")
-
-    def release(self) -> None:
-        """Let Spark's cleaner delete the shuffle files of what this job no longer refers to.
-
-        A job of several written steps would otherwise hold the shuffles of all of
-        them until the driver happens to collect its garbage.
-        """
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+__all__ = ["Scratch", "shared_folder"]

@@ -35,7 +35,7 @@ QUOTE_FACTOR = 0.5
 FEATURES = ("strong", "soft", "soft_share", "misspelled", "aimed", "clustered")
 #: What the weights of FEATURES are believed to be before any row is seen, and how firmly.
 BELIEF = (5.0, 1.5, 10.0, 3.5, 0.5, 0.5)
-FIRMNESS = 0.5
+FIRMNESS = 2.0
 THRESHOLD = 0.5
 
 _WORD = re.compile(r"[^\W_]+(?:['’*@$!-]?[^\W_]+)*")
@@ -53,7 +53,7 @@ class Term:
     @property
     def edits(self) -> int:
         n = len(self.text)
-        return 0 if n < 5 or self.stem else 1 if n < 8 else 2
+        return 0 if n < 5 or self.stem or self.weight < STRONG else 1 if n < 9 else 2
 
 
 class Automaton:
@@ -205,11 +205,21 @@ def fit(x: np.ndarray, y: np.ndarray) -> list[float]:
     belief = np.array([*BELIEF, math.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))])
     firm = np.array([FIRMNESS] * len(BELIEF) + [1e-3])
     w = belief.copy()
+
+    def loss(v: np.ndarray) -> float:
+        z = np.clip(x @ v, -30, 30)
+        return float((np.log1p(np.exp(-np.abs(z))) + np.maximum(z, 0) - y * z).sum() + (firm * (v - belief) ** 2).sum() / 2)
+
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         slope = x.T @ (p - y) + firm * (w - belief)
-        w = w - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(firm + 1e-6), slope)
-        w = np.clip(w, belief - 10, belief + 10)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(firm + 1e-6), slope)
+        size = 1.0
+        while size > 1e-4 and loss(w - size * step) > loss(w):
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-4:
+            break
     w[:-1] = np.maximum(w[:-1], 0)  # no kind of match speaks for a text
     return w.tolist()
 
@@ -244,12 +254,13 @@ def learn(train: DataFrame) -> tuple[list[Term], list[float]]:
     strong = {w: v for w, v in words_.items() if weigh(v) >= STRONG}
     found = {}
     for r in open_:  # a stem must tell without the words that tell by themselves
-        own = [v for w, v in strong.items() if w.startswith(r["s"])]
+        own = [v for w, v in strong.items() if w.startswith(r["s"]) and 2 * v[1] >= r["t"]]
         n_, t_ = r["n"] - sum(v[0] for v in own), r["t"] - sum(v[1] for v in own)
         if t_ >= SUPPORT and t_ >= PRECISION * n_:
             found[r["s"]] = (n_, t_)
     stem = {s: v for s, v in found.items() if not any(s[:k] in found for k in range(STEM, len(s)))}
-    plain = {w: v for w, v in words_.items() if w in strong or not any(w[:k] in stem for k in range(STEM, len(w) + 1))}
+    sure = {s for s, v in stem.items() if weigh(v) >= STRONG}
+    plain = {w: v for w, v in words_.items() if not any(w[:k] in (sure if w in strong else stem) for k in range(STEM, len(w) + 1))}
     terms = [Term(w, False, weigh(v)) for w, v in sorted(plain.items())] + [Term(s, True, weigh(v)) for s, v in sorted(stem.items())]
     probe = spark.sparkContext.broadcast((terms, [*BELIEF, 0.0]))
 

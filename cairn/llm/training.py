@@ -15,12 +15,17 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int = TRAINING_ROWS) -> DataFrame:
-    """(text, label) of at most ``rows`` distinct labelled texts outside the held-out fold.
+    """(text, label) of at most ``rows`` labelled texts outside the held-out fold.
 
-    Repeated texts count once, so that a group of copies teaches no more than one
-    of them; which rows are taken depends on hashes of ids only.
+    Of copies and near copies, told by the least hash of their three-word shingles,
+    one counts, so that a group of them teaches no more than a text of its own;
+    which rows are taken depends on hashes only.
     """
     own = labels.where(~held_out() & F.col(label).isin(0, 1)).select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("label"))
     own = own.groupBy("_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("_id"), "_id").limit(rows)
-    texts = docs.select(F.col("doc_id").alias("_id"), F.col("text"))
-    return texts.join(F.broadcast(own), "_id").groupBy(F.xxhash64("text").alias("_h")).agg(F.first("text").alias("text"), F.max("label").alias("label")).select("text", "label")
+    texts = docs.select(F.col("doc_id").alias("_id"), F.col("text")).join(F.broadcast(own), "_id")
+    texts = texts.withColumn("_w", F.transform(F.split("text", r"\s+"), lambda w: F.xxhash64(w)))
+    for _ in range(2):
+        n = F.greatest(F.size("_w") - 1, F.lit(0))
+        texts = texts.withColumn("_w", F.zip_with(F.slice("_w", F.lit(1), n), F.slice("_w", F.lit(2), n), lambda a, b: F.xxhash64(a, b)))
+    return texts.groupBy(F.coalesce(F.array_min("_w"), F.xxhash64("text")).alias("_h")).agg(F.min_by("text", "_id").alias("text"), F.max("label").alias("label")).select("text", "label")
