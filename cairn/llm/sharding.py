@@ -5,8 +5,8 @@ of their text, with running sums of their sizes.  The least feasible shard capac
 is found by binary search, each capacity checked greedily: a shard takes groups
 while they fit.  The running sums stay distributed: the search sees a bounded
 summary of them, (least, greatest) per interval, and is refined only around the
-places where a cut could still fall, so a round brings at most a few thousand rows
-to the driver whatever the size of the table.  Because groups are contiguous in the
+places where the tried capacities cut, so a round brings at most a few thousand
+rows to the driver whatever the size of the table.  Because groups are contiguous in the
 order of their keys, a row's shard follows from its own key and the few keys where
 the cuts are: no join, and no skew from a group however large.
 """
@@ -21,26 +21,31 @@ from cairn.llm.scratch import Scratch
 
 #: Intervals of one summary.
 INTERVALS = 4096
+#: Capacities for which one round settles the places of the cuts.
+TRIED = 48
+#: Groups in one file of running sums.
+ROWS = 500_000
+#: The last shard may be this much smaller than the capacity before the cuts are evened out.
+SLACK = 0.02
 
 
 class _Summary:
-    """What is known of a distributed ascending list: disjoint ranges [low, high] with values at both ends."""
+    """What is known of a distributed ascending list: cells (low, high, number) with values at both ends."""
 
-    def __init__(self, rows: list[tuple[int, int]]):
-        self.rows = sorted(rows)
-        self.low = [r[0] for r in self.rows]
+    def __init__(self, cells: list[tuple[int, int, int]]):
+        self.cells = sorted(cells)
+        self.low = [c[0] for c in self.cells]
+
+    def cell(self, x: int) -> tuple[int, int, int] | None:
+        i = bisect_right(self.low, x) - 1
+        return self.cells[i] if i >= 0 else None
 
     def last_up_to(self, x: int) -> tuple[int, int]:
         """Bounds of the greatest value not above x (0 counts as a value)."""
-        i = bisect_right(self.low, x) - 1
-        if i < 0:
+        c = self.cell(x)
+        if c is None:
             return 0, 0
-        low, high = self.rows[i]
-        return (high, high) if high <= x else (low, min(high - 1, x))
-
-    def refine(self, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        """The ranges, not yet single values, that overlap one of the spans."""
-        return [(a, b) for a, b in self.rows if a < b and any(a <= y and b >= x for x, y in spans)]
+        return (c[1], c[1]) if c[1] <= x else (c[0], min(c[1] - 1, x))
 
 
 def _greedy(summary: _Summary, capacity: int, shards: int) -> list[tuple[int, int]]:
@@ -53,6 +58,13 @@ def _greedy(summary: _Summary, capacity: int, shards: int) -> list[tuple[int, in
     return out
 
 
+def _unclear(summary: _Summary, capacity: int, shards: int) -> set[tuple[int, int, int]]:
+    """The cells inside which greedy filling looks for a place, and finds only bounds."""
+    starts = [(0, 0), *_greedy(summary, capacity, shards)[:-1]]
+    seen = {summary.cell(x + capacity) for pair in starts for x in pair} - {None}
+    return {c for c in seen if c[0] < c[1]}
+
+
 def _first(lo: int, hi: int, holds) -> int:
     """The least x in (lo, hi] for which a monotone condition holds; it holds for hi."""
     while hi - lo > 1:
@@ -61,48 +73,49 @@ def _first(lo: int, hi: int, holds) -> int:
     return hi
 
 
-def least_capacity(ends: DataFrame, total: int, largest: int, shards: int) -> int:
-    """The least capacity at which greedy filling needs no more than ``shards`` shards.
+class _Cells:
+    """The distributed list with the number of each value's cell, refined round by round.
+
+    A refinement is a hash join with the few cells that are divided.
+    """
+
+    def __init__(self, ends: DataFrame, total: int):
+        step = -(-(total + 1) // INTERVALS)
+        self.rows = ends.select("end", F.floor(F.col("end") / F.lit(step)).cast("long").alias("cell"))
+        self.next = INTERVALS
+        self.summary = _Summary(self._bounds(self.rows))
+
+    def _bounds(self, rows: DataFrame) -> list[tuple[int, int, int]]:
+        return [(r["a"], r["b"], r["cell"]) for r in rows.groupBy("cell").agg(F.min("end").alias("a"), F.max("end").alias("b")).collect()]
+
+    def divide(self, cells: set[tuple[int, int, int]]) -> None:
+        parts = max(4, INTERVALS // len(cells))
+        plan, new = [], self.next
+        for low, high, number in cells:
+            step = -(-(high - low + 1) // parts)
+            plan.append((number, low, step, self.next))
+            self.next += (high - low) // step + 1
+        known = self.rows.sparkSession.createDataFrame(plan, "cell long, low long, step long, first long")
+        finer = F.col("first") + F.floor((F.col("end") - F.col("low")) / F.col("step")).cast("long")
+        self.rows = self.rows.join(F.broadcast(known), "cell", "left").select("end", F.coalesce(finer, "cell").alias("cell"))
+        self.summary = _Summary([c for c in self.summary.cells if c not in cells] + self._bounds(self.rows.where(F.col("cell") >= new)))
+
+
+def least_capacity(ends: DataFrame, total: int, largest: int, shards: int) -> tuple[int, list[int]]:
+    """The least capacity at which greedy filling needs no more than ``shards`` shards, and where it cuts.
 
     ``ends`` has one long column, end: the running sums of the group sizes.
     """
-    summary = _Summary(_summarize(ends, [(0, total)]))
+    cells = _Cells(ends, total)
     while True:
+        s = cells.summary
         floor = max(-(-total // shards), largest) - 1
-        sure = _first(floor, total, lambda c: _greedy(summary, c, shards)[-1][0] >= total)
-        maybe = _first(floor, total, lambda c: _greedy(summary, c, shards)[-1][1] >= total)
+        sure = _first(floor, total, lambda c: _greedy(s, c, shards)[-1][0] >= total)
+        maybe = _first(floor, total, lambda c: _greedy(s, c, shards)[-1][1] >= total)
         if sure == maybe:
-            return sure
-        spans = [(low[0], high[1]) for low, high in zip(_greedy(summary, maybe, shards), _greedy(summary, sure, shards), strict=True)]
-        unclear = set(summary.refine(spans))
-        summary = _Summary([r for r in summary.rows if r not in unclear] + _summarize(ends, sorted(unclear)))
-
-
-def _summarize(ends: DataFrame, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """(least, greatest) value of each of at most INTERVALS equal parts of the ranges."""
-    merged: list[list[int]] = []
-    for a, b in sorted(ranges):
-        if merged and a <= merged[-1][1] + 1:
-            merged[-1][1] = max(b, merged[-1][1])
-        else:
-            merged.append([a, b])
-    step = max(1, -(-sum(b - a + 1 for a, b in merged) // max(1, INTERVALS - len(merged))))
-    end = F.col("end")
-    first, base = [], 0
-    for a, b in merged:
-        first.append(base)
-        base += (b - a) // step + 1
-
-    def part_of(lo: int, hi: int) -> Column:  # a balanced tree, as there can be many ranges
-        if hi - lo == 1:
-            a, b = merged[lo]
-            return F.when(end.between(a, b), F.lit(first[lo]) + F.floor((end - a) / F.lit(step)).cast("long"))
-        mid = (lo + hi) // 2
-        return F.when(end < merged[mid][0], part_of(lo, mid)).otherwise(part_of(mid, hi))
-
-    part = part_of(0, len(merged))
-    rows = ends.select("end", part.alias("part")).where("part IS NOT NULL").groupBy("part").agg(F.min("end").alias("a"), F.max("end").alias("b")).collect()
-    return [(r["a"], r["b"]) for r in rows]
+            return sure, [low for low, _ in _greedy(s, sure, shards)]
+        tried = {maybe + (sure - maybe) * i // TRIED for i in range(TRIED)} | {sure}
+        cells.divide(set().union(*(_unclear(s, c, shards) for c in tried)))
 
 
 def _around(ends: DataFrame, x: int) -> tuple[int, int | None]:
@@ -146,12 +159,15 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
     whole = groups.groupBy("bucket").agg(F.sum("bytes").alias("in_bucket"), F.max("bytes").alias("largest"))
     before = whole.select("bucket", (F.sum("in_bucket").over(Window.orderBy("bucket")) - F.col("in_bucket")).alias("before"))  # at most ``buckets`` rows
     within = F.sum("bytes").over(Window.partitionBy("bucket").orderBy("key"))
-    ends = scratch.save(groups.join(F.broadcast(before), "bucket").select("key", (F.col("before") + within).alias("end")), "ends")
+    ends = groups.join(F.broadcast(before), "bucket").select("key", (F.col("before") + within).alias("end"))
+    # the search scans this table some tens of times: no more files than its rows need
+    ends = scratch.save(ends.repartition(-(-groups.count() // ROWS) or 1), "ends")
     known = whole.agg(F.sum("in_bucket").alias("total"), F.max("largest").alias("largest")).first()
     shard = F.lit(0)
     if known["total"]:
-        capacity = least_capacity(ends.select("end"), known["total"], known["largest"], shards)
-        cuts = even_cuts(ends.select("end"), known["total"], capacity, shards)
+        capacity, cuts = least_capacity(ends.select("end"), known["total"], known["largest"], shards)
+        if len(cuts) > 1 and cuts[-1] - cuts[-2] < (1 - SLACK) * capacity:
+            cuts = even_cuts(ends.select("end"), known["total"], capacity, shards)
         last = {r["end"]: r["key"] for r in ends.where(F.col("end").isin(cuts)).collect()}
         for cut in cuts[:-1]:
             shard = shard + (F.col("key") > F.lit(bytes(last[cut])) if cut else F.lit(True)).cast("int")
