@@ -194,7 +194,7 @@ def _ties(group: np.ndarray) -> np.ndarray:
 def suffix_groups(text: np.ndarray, starts: np.ndarray, width: int):
     """Yield (places in suffix order, group numbers) of window starts that share ``width`` bytes with another.
 
-    ``text`` must have at least ``2 * width`` spare bytes at its end.
+    ``width`` is 16 at least, and ``text`` has ``2 * width`` spare bytes at its end.
     """
     n = len(text) - 2 * width
     key = _load8(text, ">u8")
@@ -272,9 +272,8 @@ def find_repeats(width: int, gram: int):
     """The segments of whole buckets to the spans of bytes that repeat a smaller document.
 
     Equal segments are grouped first: all but those of the least document repeat
-    wholly, and one of them stands for the group.  What is left of a bucket goes to
-    the suffix order only if it shares the gram and the bytes on one side of it
-    that any common window must hold.
+    wholly, and one of them stands for the group.  What is left goes to the suffix
+    order if its bucket still has two documents.
     """
     def run(batches):
         t = pa.Table.from_batches(list(batches), schema=SEGMENTS).combine_chunks()
