@@ -106,6 +106,11 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
+def _in_place(c: Column) -> Column:
+    """``c``, evaluated where it stands: a filter on it that the optimizer moved below the measures would repeat them inside itself."""
+    return F.coalesce(F.when(F.monotonically_increasing_id() >= 0, c), F.lit(False))
+
+
 def judge(docs: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept.
 
@@ -114,13 +119,11 @@ def judge(docs: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
     """
     new = [*BASE, "base_failed", "kept"]
     keep = [c for c in docs.columns if c not in new]
-    d = measure(docs.select(*keep), text_col).withColumn("base_failed", base_failed())
-    return d.withColumn("kept", ~F.col("base_failed") & verdict(rules)).select(*keep, *new)
+    d = measure(docs.select(*keep), text_col).withColumn("base_failed", _in_place(base_failed()))
+    return d.withColumn("kept", _in_place(~F.col("base_failed") & verdict(rules))).select(*keep, *new)
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns."""
     judged = measure(docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_text")), "_text")
-    # a filter on a row number stays above the measures; pushed below, it would repeat them inside itself
-    judged = judged.select("_row", (~base_failed() & verdict()).alias("_kept"), F.monotonically_increasing_id().alias("_place"))
-    return judged.where(F.col("_kept") & (F.col("_place") >= 0)).select("_row.*")
+    return judged.select("_row", _in_place(~base_failed() & verdict()).alias("_kept")).where("_kept").select("_row.*")
