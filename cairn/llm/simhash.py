@@ -61,9 +61,9 @@ def _fingerprints(others: int):
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long; null and wordless texts have 0."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_fingerprints(1), "doc_id long, fp long")
+    """(doc_id, text_hash, fp): the fingerprint as a signed long; null and wordless texts have 0."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(_fingerprints(2), "doc_id long, text_hash long, fp long")
 
 
 def covering_masks(radius: int, bits: list[int]) -> np.ndarray:
@@ -171,7 +171,7 @@ def near_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One row per input row: doc_id, fingerprint (16 lowercase hex digits), component_id.
+    """One row per input row: doc_id, fingerprint (16 lowercase hex digits), component_id, text_hash.
 
     Fingerprints within ``radius`` bits link; component_id is the least doc_id that
     can be reached over links, itself included.  Texts without words have
@@ -188,18 +188,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = kinds.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = known.groupBy("label").agg(F.min("least").alias("component_id"))
     classes = known.select("fp", "label").join(least, "label").select("fp", "component_id")
-    return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of each near-duplicate class, that of the least id; columns stay as they are.
 
-    Of rows that share the least id one stays.  Rows without an id cannot be told
-    apart and stay.
+    Of equal rows with the least id one stays.  Rows of one id with different texts
+    are told apart by a hash of the text.  Rows without an id cannot be told apart
+    and stay.
     """
-    classes = Scratch(docs.sparkSession, "classes").save(near_duplicates(docs, id_col, text_col, radius).select("doc_id", "component_id"), "rows")
-    gone = classes.where("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
-    if classes.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").isEmpty():
+    classes = Scratch(docs.sparkSession, "classes").save(near_duplicates(docs, id_col, text_col, radius).select("doc_id", "text_hash", "component_id"), "rows")
+    gone = classes.where("doc_id != component_id").select("doc_id", "text_hash").distinct()
+    kept = docs.join(gone, (docs[id_col] == gone["doc_id"]) & (F.xxhash64(docs[text_col]) == gone["text_hash"]), "left_anti").select(*docs.columns)
+    if classes.where("doc_id = component_id").groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
         return kept
-    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
+    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col]).unionByName(kept.where(F.col(id_col).isNull()))
