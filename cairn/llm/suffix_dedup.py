@@ -28,6 +28,8 @@ WIDTH = 50
 GRAM = 16
 #: Bytes of text that are hashed at once.
 CHUNK = 1 << 17
+#: A least hash with this share of all runs is hot: its windows are dealt by the whole of them.
+HOT_SHARE = 1e-4
 #: Suffixes that are sorted at once.
 SUFFIXES = 1 << 20
 PERIOD, COVER = 3, (0, 1)
@@ -41,14 +43,15 @@ _BASE2 = np.uint64(0xD6E8FEB86659FD93)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _LAST = np.iinfo(np.int64).max
 
-SEGMENTS = pa.schema([("m", pa.int64()), ("doc", pa.int64()), ("tag", pa.int32()), ("start", pa.int32()), ("seg", pa.binary()), ("n", pa.int32())])
-SEGMENTS_DDL = "m long, doc long, tag int, start int, seg binary, n int"
+#: ``more`` holds the further places of a segment that its text has several times, as 32-bit integers.
+SEGMENTS = pa.schema([("m", pa.int64()), ("doc", pa.int64()), ("tag", pa.int32()), ("start", pa.int32()), ("seg", pa.binary()), ("n", pa.int32()), ("more", pa.binary())])
+SEGMENTS_DDL = "m long, doc long, tag int, start int, seg binary, n int, more binary"
 SPANS = pa.schema([("doc", pa.int64()), ("tag", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
 SPANS_DDL = "doc long, tag int, start int, end int"
 
 
-def window_hashes(buf: np.ndarray, gram: int, width: int) -> np.ndarray:
-    """For each window of ``width`` bytes, the least hash of the ``gram``-byte strings in it; ``gram`` is 8 to 16."""
+def gram_hashes(buf: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of the ``gram`` bytes (8 to 16) from each place."""
     # a gram's first and last eight bytes are all of it
     k = _load8(buf, "<u8")
     h = k[: len(buf) - gram + 1] * _BASE
@@ -58,7 +61,12 @@ def window_hashes(buf: np.ndarray, gram: int, width: int) -> np.ndarray:
     h ^= h >> np.uint64(32)
     h *= _MIX
     h ^= h >> np.uint64(29)
-    have, want = 1, width - gram + 1
+    return h
+
+
+def least_in_window(h: np.ndarray, want: int) -> np.ndarray:
+    """The least of each ``want`` neighbouring hashes."""
+    have = 1
     while have < want:
         step = min(have, want - have)
         h = np.minimum(h[:-step], h[step:])
@@ -66,6 +74,31 @@ def window_hashes(buf: np.ndarray, gram: int, width: int) -> np.ndarray:
     return h
 
 
+def split_hot(h: np.ndarray, start: np.ndarray, end: np.ndarray, m: np.ndarray, width: int, gram: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows; those with a hot least hash become runs of equal windows, dealt by a hash of the whole window.
+
+    Where a common passage borders on other text, every document has windows of its
+    own with the passage's least hash; so they spread, and those inside the passage
+    collapse, as all documents have them alike.
+    """
+    is_hot = hot[np.minimum(np.searchsorted(hot, m), len(hot) - 1)] == m
+    if not is_hot.any():
+        return start, end, m
+    size = (end - start)[is_hot]
+    first = np.cumsum(size) - size
+    w = np.repeat(start[is_hot] - first, size) + np.arange(size.sum())
+    whole = h[w]
+    for at in (*range(gram, width - gram, gram), width - gram):
+        whole = (whole ^ (whole >> np.uint64(29))) * _BASE + h[w + at]
+    whole = (whole ^ (whole >> np.uint64(32))) * _MIX
+    fresh = np.ones(len(w), bool)
+    fresh[1:] = whole[1:] != whole[:-1]
+    fresh[first] = True
+    a = np.flatnonzero(fresh)
+    b = np.append(a[1:], len(w))
+    return np.concatenate([start[~is_hot], w[a]]), np.concatenate([end[~is_hot], w[b - 1] + 1]), np.concatenate([m[~is_hot], whole[a]])
+
+
 def _load8(buf: np.ndarray, kind: str) -> np.ndarray:
     """Integers of the eight bytes from each place."""
     return np.lib.stride_tricks.as_strided(buf[:8].view(kind), (len(buf) - 7,), (1,)).astype(np.uint64)
@@ -116,57 +149,146 @@ def _pieces(texts: pa.Array, width: int):
         i = j
 
 
-def cut_segments(block: int, blocks: int, width: int, gram: int):
-    """Documents to the segments of one block of buckets, ``seg`` null where the repeat is already certain.
+def _runs(buf: np.ndarray, offs: np.ndarray, width: int, gram: int, hot: np.ndarray | None):
+    """Runs of windows with one least hash, within texts: (start, end, hash, number of the text)."""
+    h = gram_hashes(buf, gram)
+    m = least_in_window(h, width - gram + 1)
+    full = np.diff(offs) >= width
+    first, last = offs[:-1][full], offs[1:][full] - width + 1
+    fresh = np.zeros(len(m) + 1, bool)
+    fresh[1:-1] = m[1:] != m[:-1]
+    fresh[first] = True
+    fresh[last] = True
+    start = np.flatnonzero(fresh)
+    end = np.append(start[1:], len(m))
+    doc = np.searchsorted(first, start, "right") - 1
+    ok = (start < len(m)) & (doc >= 0)
+    ok[ok] = start[ok] < last[doc[ok]]
+    start, end = start[ok], end[ok]
+    mine = m[start]
+    if hot is not None and len(hot):
+        start, end, mine = split_hot(h, start, end, mine, width, gram, hot)
+    return start, end, mine, np.flatnonzero(full)[np.searchsorted(first, start, "right") - 1]
+
+
+def cut_segments(block: int, blocks: int, width: int, gram: int, hot=None):
+    """Documents to the segments of one block of buckets; where the repeat is already certain, n is its windows and seg is empty.
 
     Equal segments of one chunk are sent once, from the least document; the others
     are known to be repeats there and then, which keeps very common passages small.
     """
     def run(batches):
+        hot_ = hot.value if hot is not None else None
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             tags = batch.column(1).to_numpy(zero_copy_only=False)
             for row, offs, buf, base in _pieces(batch.column(2), width):
                 if len(buf) < width:
                     continue
-                m = window_hashes(buf, gram, width)
-                size = np.diff(offs)
-                full = size >= width
-                first, last = offs[:-1][full], offs[1:][full] - width + 1
-                fresh = np.zeros(len(m) + 1, bool)
-                fresh[1:-1] = m[1:] != m[:-1]
-                fresh[first] = True
-                fresh[last] = True
-                start = np.flatnonzero(fresh)
-                end = np.append(start[1:], len(m))
-                doc = np.searchsorted(first, start, "right") - 1
-                ok = (start < len(m)) & (doc >= 0) & (start < last[doc])
-                start, end, doc = start[ok], end[ok], doc[ok]
-                mine = m[start]
+                start, end, mine, text = _runs(buf, offs, width, gram, hot_)
                 ok = mine % np.uint64(blocks) == block
-                start, end, doc, mine = start[ok], end[ok], doc[ok], mine[ok]
+                start, end, mine, text = start[ok], end[ok], mine[ok], text[ok]
                 if not len(start):
                     continue
-                rows = row + np.flatnonzero(full)[doc]
-                doc_id, tag = ids[rows], tags[rows]
-                h = segment_hashes(buf, start, end + width - 1)
-                by = np.lexsort((doc_id, h, mine))
-                new = np.ones(len(by), bool)
-                new[1:] = (h[by][1:] != h[by][:-1]) | (mine[by][1:] != mine[by][:-1])
-                least = np.empty(len(by), np.int64)
-                least[by] = doc_id[by][np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
-                known = doc_id > least
-                bytes_, offsets = _gather(buf, start, np.where(known, 0, end - start + width - 1))
-                seg = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(bytes_)])
-                place = base + start - offs[:-1][full][doc]
+                doc_id, tag, place = ids[row + text], tags[row + text], (base + start - offs[text]).astype(np.int32)
+                size = end - start + width - 1
+                rows, known, more = _collapsed(buf, start, size, mine, doc_id, tag, place)
+                bytes_, offsets = _gather(buf, start[rows], np.where(known, 0, size[rows]))
+                seg = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(bytes_)])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(mine.view(np.int64)), pa.array(doc_id), pa.array(tag.astype(np.int32)), pa.array(place.astype(np.int32)), seg, pa.array(np.where(known, end - start, 0).astype(np.int32))],
+                    [pa.array(mine[rows].view(np.int64)), pa.array(doc_id[rows]), pa.array(tag[rows].astype(np.int32)), pa.array(place[rows]), seg, pa.array(np.where(known, size[rows] - width + 1, 0).astype(np.int32)), more],
                     schema=SEGMENTS,
                 )
 
     return run
 
 
+def _collapsed(buf, start, size, m, doc, tag, place):
+    """Of equal segments in one text the first: (rows, whether a smaller document has the segment, the other places)."""
+    by = np.argsort(m, kind="stable")
+    several = np.sort(by[_ties(m[by])]) if len(m) > 1 else np.array([], int)
+    single = np.ones(len(m), bool)
+    single[several] = False
+    rows = np.flatnonzero(single)
+    if not len(several):
+        return rows, np.zeros(len(rows), bool), pa.nulls(len(rows), pa.binary())
+    bytes_, offsets = _gather(buf, start[several], size[several])
+    h = segment_hashes(bytes_, offsets[:-1], offsets[1:])
+    m, d, t, at = m[several], doc[several], tag[several], place[several]
+    known = ~_of_least(m, h, d)
+    by = np.lexsort((at, t, d, h, m))
+    new = np.ones(len(by), bool)
+    new[1:] = (m[by][1:] != m[by][:-1]) | (h[by][1:] != h[by][:-1]) | (d[by][1:] != d[by][:-1]) | (t[by][1:] != t[by][:-1])
+    first = np.flatnonzero(new)
+    rest = at[by][~new]
+    n = np.diff(np.append(first, len(by))) - 1
+    ends = np.concatenate([np.zeros(len(rows) + 1, np.int64), np.cumsum(n)]) * 4
+    has = np.concatenate([np.zeros(len(rows), bool), n > 0])
+    more = pa.Array.from_buffers(pa.binary(), len(has), [pa.py_buffer(np.packbits(has, bitorder="little")), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rest, np.int32))])
+    return np.concatenate([rows, several[by[first]]]), np.concatenate([np.zeros(len(rows), bool), known[by[first]]]), more
+
+
+def _places(start: np.ndarray, more: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All places of each row's segment: (row, place)."""
+    more = more.combine_chunks() if isinstance(more, pa.ChunkedArray) else more
+    more = more.chunk(0) if isinstance(more, pa.ChunkedArray) else more
+    rest, offs = _flat(pa.chunked_array([more.fill_null(b"")]))
+    n = np.diff(offs) // 4
+    return np.concatenate([np.arange(len(start)), np.repeat(np.arange(len(start)), n)]), np.concatenate([start, np.frombuffer(rest.tobytes(), np.int32)])
+
+
+def _of_least(m: np.ndarray, h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether a segment's document is the least of those with the same segment."""
+    by = np.lexsort((doc, h, m))
+    new = np.ones(len(by), bool)
+    new[1:] = (h[by][1:] != h[by][:-1]) | (m[by][1:] != m[by][:-1])
+    least = np.empty(len(by), np.int64)
+    least[by] = doc[by][np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
+    return doc == least
+
+
+def _count_grams(width: int, gram: int, share: float):
+    """Texts to (m, n): the least hashes that have a share of a task's runs, with -1 for the number of all runs."""
+    def run(batches):
+        seen, total = [], 0
+        counts: dict[int, int] = {}
+        for batch in batches:
+            for _, offs, buf, _ in _pieces(batch.column(2), width):
+                if len(buf) >= width:
+                    seen.append(_runs(buf, offs, width, gram, None)[2])
+            if sum(map(len, seen)) > 1 << 23:
+                total += _add(counts, seen, share)
+        total += _add(counts, seen, share)
+        keys = [k for k, n in counts.items() if n >= share * total]
+        yield pa.RecordBatch.from_arrays([pa.array(np.array([*keys, 0], np.uint64).view(np.int64)), pa.array([*[counts[k] for k in keys], total], pa.int64()), pa.array([False] * len(keys) + [True])], names=["m", "n", "whole"])
+
+    return run
+
+
+def _add(counts: dict[int, int], seen: list[np.ndarray], share: float) -> int:
+    """Add the frequent values of ``seen`` to the counts and empty it; how many there were."""
+    if not seen:
+        return 0
+    all_ = np.concatenate(seen)
+    seen.clear()
+    values, n = np.unique(all_, return_counts=True)
+    often = n >= share * len(all_) / 2
+    for v, k in zip(values[often].tolist(), n[often].tolist(), strict=True):
+        counts[v] = counts.get(v, 0) + k
+    return len(all_)
+
+
+def hot_grams(rows: DataFrame, width: int, gram: int, share: float = HOT_SHARE) -> np.ndarray:
+    """The least hashes that at least about ``share`` of all runs have, in order: at most 2 / share of them.
+
+    They only deal rows out more evenly; the result does not depend on them.
+    """
+    found = rows.mapInArrow(_count_grams(width, gram, share), "m long, n long, whole boolean").groupBy("m", "whole").agg(F.sum("n").alias("n"))
+    total = found.where("whole").agg(F.sum("n")).first()[0] or 0
+    hot = found.where(~F.col("whole") & (F.col("n") >= max(64, share * total / 2))).select("m").collect()
+    return np.sort(np.array([r["m"] for r in hot], np.int64).view(np.uint64))
+
+
 def cover_ranks(text: np.ndarray, key: np.ndarray, n: int, depth: int) -> np.ndarray:
     """Ranks of the cover sample's suffixes by their first ``depth`` bytes or more, by prefix doubling."""
     at = np.arange(n)
@@ -284,24 +406,28 @@ def find_repeats(width: int, gram: int):
         data, offs = _flat(t["seg"])
         m, doc, tag, start = (t[c].to_numpy() for c in ("m", "doc", "tag", "start"))
         h = segment_hashes(data, offs[:-1], offs[1:])
-        by = np.lexsort((doc, h, m))
-        new = np.ones(len(by), bool)
-        new[1:] = (h[by][1:] != h[by][:-1]) | (m[by][1:] != m[by][:-1])
-        least = np.empty(len(by), np.int64)
-        least[by] = doc[by][np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
-        whole = doc > least
-        yield _span_batch(doc[whole], tag[whole], start[whole], start[whole] + np.diff(offs)[whole])
+        whole = ~_of_least(m, h, doc)
+        row, place = _places(start, t["more"])
+        gone = whole[row]
+        yield _span_batch(doc[row[gone]], tag[row[gone]], place[gone], place[gone] + np.diff(offs)[row[gone]])
         rest = np.flatnonzero(~whole)
         rest = rest[_several(m[rest], doc[rest])]
         if not len(rest):
             return
         data, offs = _gather(data, offs[rest], np.diff(offs)[rest])
-        doc, tag, start = doc[rest], tag[rest], start[rest]
+        doc, tag = doc[rest], tag[rest]
         hit = repeats_in_bucket(doc, data, offs, width)
         a, b = _spans(hit)
         own = np.searchsorted(offs, a, "right") - 1
-        place = start[own] - offs[own]
-        yield _span_batch(doc[own], tag[own], a + place, b - 1 + width + place)
+        # a span of a segment is one at each of its places
+        row, place = _places(start[rest], t["more"].take(pa.array(rest)))
+        by = np.argsort(row, kind="stable")
+        n = np.bincount(row, minlength=len(rest))
+        first = np.cumsum(n) - n
+        k = n[own]
+        span = np.repeat(np.arange(len(own)), k)
+        at = place[by][np.repeat(first[own] - np.cumsum(k) + k, k) + np.arange(k.sum())] - offs[own][span]
+        yield _span_batch(doc[own][span], tag[own][span], a[span] + at, b[span] - 1 + width + at)
 
     return run
 
@@ -345,8 +471,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = keyed(docs, id_col, text_col)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * 6 // (blocks * task_bytes)))
+    hot = spark.sparkContext.broadcast(hot_grams(rows, width, gram))
     for block in range(blocks):
-        segments = rows.mapInArrow(cut_segments(block, blocks, width, gram), SEGMENTS_DDL)
+        segments = rows.mapInArrow(cut_segments(block, blocks, width, gram, hot), SEGMENTS_DDL)
         spans = segments.repartition(tasks, "m").mapInArrow(_either(width, gram), SPANS_DDL)
         scratch.append(spans, "spans")
         del segments, spans
@@ -363,8 +490,8 @@ def _either(width: int, gram: int):
             n = b.column(5).to_numpy()
             if (n > 0).any():
                 k = b.filter(pa.array(n > 0))
-                start = k.column(3).to_numpy()
-                yield pa.RecordBatch.from_arrays([k.column(1), k.column(2), k.column(3), pa.array((start + k.column(5).to_numpy() + width - 1).astype(np.int32))], schema=SPANS)
+                row, place = _places(k.column(3).to_numpy(), k.column(6))
+                yield _span_batch(k.column(1).to_numpy()[row], k.column(2).to_numpy()[row], place, place + k.column(5).to_numpy()[row] + width - 1)
                 b = b.filter(pa.array(n == 0))
             rest.append(b)
         yield from search(rest)

@@ -108,6 +108,19 @@ def test_suffix_dedup(odd, none):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+def test_suffix_dedup_with_a_common_passage(spark):
+    r = random.Random(9)
+    passage = "one very common line that nearly every document has, and more than once at times"
+    rows = []
+    for i in range(160):
+        own = lambda: "".join(r.choices("abcdef ghij", k=r.randint(0, 90)))
+        rows.append((i, own() + passage + own() + (passage + own()) * r.randint(0, 2)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(suffix_dedup.hot_grams(suffix_dedup.keyed(docs, "doc_id", "text"), 50, 16)) > 0
+    got = sorted(tuple(x) for x in suffix_dedup.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())
+    assert got == brute_repeats(rows)
+
+
 def test_suffix_groups_are_exact():
     r = np.random.default_rng(1)
     text = np.concatenate([np.tile(r.integers(97, 99, 300), 9), np.full(500, 97), np.tile([97, 98], 200), r.integers(97, 101, 500)]).astype(np.uint8)
