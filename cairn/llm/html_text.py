@@ -24,6 +24,8 @@ RAW = frozenset("script style noscript template textarea title iframe svg math o
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Blocks that hold text rather than parts of a page.
+TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure".split())
 #: Elements that an opening tag of the kind closes, up to the elements that bound the search.
 CLOSES = {
     "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
@@ -165,8 +167,13 @@ def weigh(root: Node) -> tuple[Node, Node]:
     return body, best
 
 
-def article(root: Node) -> list[Node]:
-    """The elements whose text is the article, in page order."""
+def article(root: Node) -> list[Node | str]:
+    """The elements whose text is the article, in page order.
+
+    Without an element that holds it, these are the children of the body around the
+    densest one: all that are as dense, and where that is a paragraph or the like,
+    all others of the kind.
+    """
     body, best = weigh(root)
     path = []
     n: Node | None = best
@@ -187,12 +194,21 @@ def article(root: Node) -> list[Node]:
     top = best
     while top is not body and top.parent is not None and top.parent is not body:
         top = top.parent
-    near = top.parent if top.parent is not None else top
-    kept = [c for c in near.children if isinstance(c, Node) and not c.dropped and (c is top or c.density >= max(threshold, 0.5 * top.density) and c.link_chars * 2 < c.chars)] if top is not near else [top]
-    return kept or [top]
+    near = top.parent if top is not body and top.parent is not None else None
+    if near is None:
+        return [top]
+
+    def belongs(c: Node | str) -> bool:
+        if isinstance(c, str):
+            return top.tag in TEXTS
+        if c is top or top.tag in TEXTS and (c.tag in TEXTS or c.tag not in BLOCKS):
+            return not c.dropped
+        return not c.dropped and c.density >= max(threshold, 0.5 * top.density) and c.link_chars * 2 < c.chars
 
+    return [c for c in near.children if belongs(c)]
 
-def blocks(nodes: list[Node]) -> list[str]:
+
+def blocks(nodes: list[Node | str]) -> list[str]:
     """The texts of the blocks of some elements, references decoded and white space made one space."""
     out: list[str] = []
     parts: list[str] = []
@@ -204,7 +220,6 @@ def blocks(nodes: list[Node]) -> list[str]:
             out.append(text)
 
     for top in nodes:
-        end()
         stack: list[Node | str | None] = [top]
         while stack:
             n = stack.pop()
