@@ -90,6 +90,12 @@ SOURCE_TYPE_LABELS = {
     "api": "财经媒体", "web": "行业协会", "akshare": "财经媒体", "fallback": "兜底数据", "regulator": "监管机构", "company": "保险公司", "baidu": "搜索引擎", "google": "搜索引擎", "360": "搜索引擎", "sogou": "搜索引擎", "wechat": "微信公众号",
 }
 KEYWORD_WEIGHTS = {"惠民保": 5, "新能源车险": 5, "保险理赔": 6, "重疾险": 5, "百万医疗": 5, "养老年金": 5, "防癌险": 5, "健康险": 4, "车险": 4, "养老金融": 4}
+DOMAIN_NAMES = {
+    "finance.sina.com.cn": "新浪财经", "finance.eastmoney.com": "东方财富网", "www.cs.com.cn": "中证网", "www.cnstock.com": "上海证券报", "insurance.hexun.com": "和讯保险",
+    "www.bjqb.com.cn": "北京青年报", "www.cbimc.cn": "中国银行保险报", "www.nfra.gov.cn": "金融监管总局", "www.iachina.cn": "中国保险行业协会",
+}
+DOMAIN_PREFIXES = ["www", "news", "finance", "m", "wap", "insurance", "b", "sogou"]
+LAYER_ORDER = ["reinsurance", "consulting", "domestic"]
 NOTABLE_TYPES = ["监管机构", "监管", "协会", "研究机构", "咨询"]
 NOTABLE_NAMES = ["总局", "协会", "研究院", "再保险", "学会", "银保监"]
 CATEGORY_VALUES = {

@@ -96,3 +96,23 @@ def zipped(rows: DataFrame, arrays: dict[str, str], pos: str = "pos") -> DataFra
     n = F.size(first)
     cut = F.arrays_zip(*[F.slice(c, F.lit(1), F.greatest(n, F.lit(0))) for c in arrays])
     return rows.select("*", F.posexplode(cut)).select(*rows.columns, F.col("pos").alias(pos), *[F.col("col").getField(str(i)).alias(name) for i, name in enumerate(arrays.values())])
+
+
+def weighted(keywords: DataFrame, keyword: str, weights: dict[str, int], default: int = 3, name: str = "page_size") -> DataFrame:
+    """``keywords`` with the page size of each, a default for those without their own."""
+    return keywords.withColumn(name, F.coalesce(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col(keyword)], F.lit(default)))
+
+
+def source_of_domain(domain: Column, names: dict[str, str] = L.DOMAIN_NAMES, prefixes: list[str] = L.DOMAIN_PREFIXES, default: str = "") -> Column:
+    """The name of a known domain, else its last label of three letters or more that is no common prefix."""
+    plain = domain
+    for ending in (".com.cn", ".cn", ".com"):
+        plain = F.replace(plain, F.lit(ending), F.lit(""))
+    labels = F.filter(F.split(plain, r"\."), lambda p: ~p.isin(prefixes) & (F.length(p) > 2))
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[domain], F.try_element_at(labels, F.lit(-1)), F.lit(default))
+
+
+def renamed_keys(state: DataFrame, old: str, new: str) -> DataFrame:
+    """A column under its new name; a value that is there already stays."""
+    value = F.coalesce(F.col(new), F.col(old)) if new in state.columns else F.col(old)
+    return state.withColumn(new, value).drop(old)

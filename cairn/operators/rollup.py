@@ -73,3 +73,31 @@ def snapshot(gated: DataFrame, by_source: DataFrame, by_category: DataFrame, dat
     as_map = lambda d, name: d.agg(F.map_from_entries(F.collect_list(F.struct("key", "count"))).alias(name))
     s, c = by_source.toDF("key", "count").orderBy(F.desc("count"), "key").limit(top), by_category.toDF("key", "count")
     return gated.withColumn("date", F.lit(date)).join(as_map(s, "source_distribution")).join(as_map(c, "category_distribution"))
+
+
+def archive_day(items: DataFrame, research: int = 0, curated: float = 6.0, highlight: float = 7.0) -> DataFrame:
+    """The archive profile's record of a day's balanced items: the mean is that of curated ones, 0 without any; research counts as registered."""
+    cell = items.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ai_score") >= curated).alias("curated"), F.count_if(F.col("ai_score") >= highlight).alias("highlights"), F.sum(F.when(F.col("ai_score") >= curated, F.col("ai_score"))).alias("score"))
+    listed = F.map_from_entries(F.sort_array(F.collect_list(F.struct("category", "n"))))
+    if research:
+        listed = F.map_concat(F.map_filter(listed, lambda k, _: k != "research"), F.create_map(F.lit("research"), F.lit(research).cast("long")))
+    mean = F.round(F.coalesce(F.sum("score"), F.lit(0)).cast("decimal(20,4)") / F.greatest(F.sum("curated"), F.lit(1)), 1)
+    return cell.agg(F.sum("n").alias("total"), F.sum("curated").alias("curated"), F.sum("highlights").alias("highlights"), mean.cast("double").alias("avg_score"), listed.alias("categories"))
+
+
+def first_sources(items: DataFrame, authorities: list[str] = L.AUTHORITY_MEDIA, n: int = 10, seq: str = "seq") -> DataFrame:
+    """The first ``n`` sources in the order they occur, with the score of an authority or not."""
+    first = items.where(F.coalesce("source_name", F.lit("")) != "").groupBy(F.col("source_name").alias("name")).agg(F.min(seq).alias("seq"), F.min_by("source_type", seq).alias("type"))
+    return first.orderBy("seq").limit(n).select("name", "type", F.when(F.col("name").isin(authorities), 85).otherwise(75).alias("score"))
+
+
+def verification(items: DataFrame) -> DataFrame:
+    """How many items there are, with a verified date and without."""
+    ok = F.coalesce(F.col("date_verified"), F.lit(False))
+    return items.agg(F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("verified"), F.count_if(~ok).alias("unverified"))
+
+
+def reader_stats(items: DataFrame, least: float = 60, categories: int = 5) -> DataFrame:
+    """The counts above a day's list: all, selected, categories (fixed), sources."""
+    sources = items.select("source_name").distinct().agg(F.count("source_name").alias("sources"))
+    return items.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("ai_score") >= least).alias("selected"), F.lit(categories).alias("categories")).join(sources)

@@ -77,3 +77,8 @@ def write_json(items: DataFrame, path: str) -> None:
 def write_by_date(rows: DataFrame, path: str, date: str = "date") -> None:
     """Rows into the partitions of their dates, each replaced as a whole."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(date).parquet(path)
+
+
+def copy_table(spark, source: str, target: str) -> None:
+    """A snapshot of a Parquet table, or its restoration the other way round."""
+    spark.read.parquet(source).write.mode("overwrite").parquet(target)

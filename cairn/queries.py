@@ -448,6 +448,60 @@ def rollup_at_scale(spark, d):
     return _t(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("category"), F.col("l_linestatus").alias("source")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("l_quantity"), 4).alias("avg_quantity"))
 
 
+@query("SELECT p_partkey, CASE p_brand WHEN 'Brand#11' THEN 5 WHEN 'Brand#22' THEN 6 ELSE 3 END AS page_size FROM part")
+def keyword_weights(spark, d):
+    return merge.weighted(_t(spark, d, "part").select("p_partkey", "p_brand"), "p_brand", {"Brand#11": 5, "Brand#22": 6}).select("p_partkey", "page_size")
+
+
+@query(f"""WITH h AS (SELECT page_id, {_HOST} AS host FROM pages), l AS (SELECT page_id, host, list_filter(string_split(replace(host, '.com', ''), '.'), lambda p: length(p) > 2 AND p NOT IN ('www', 'news')) AS l FROM h)
+  SELECT page_id, CASE WHEN host = 'm.casino-win.example.com' THEN 'known' ELSE coalesce(l[-1], 'none') END AS name FROM l""")
+def domain_names(spark, d):
+    name = merge.source_of_domain(X.host(F.col("url")), {"m.casino-win.example.com": "known"}, ["www", "news"], "none")
+    return _t(spark, d, "pages").select("page_id", name.alias("name"))
+
+
+@query(f"WITH {CLASSED} SELECT count(*) AS total, count(*) FILTER (ai_score >= 70) AS curated, count(*) FILTER (ai_score >= 90) AS highlights, CAST(round(sum(CASE WHEN ai_score >= 70 THEN ai_score END) * 1.0 / count(*) FILTER (ai_score >= 70), 1) AS DOUBLE) AS avg_score, 7::BIGINT AS research FROM classed")
+def archive_day(spark, d):
+    out = rollup.archive_day(classed(spark, d), 7, 70, 90)
+    return out.select("total", "curated", "highlights", "avg_score", F.col("categories")["research"].alias("research"))
+
+
+@query(f"WITH {NEWS} SELECT source_name AS name, arg_min(source_type, seq) AS type, CASE WHEN source_name = 'src3' THEN 85 ELSE 75 END AS score FROM news GROUP BY 1 ORDER BY min(seq) LIMIT 10")
+def first_sources(spark, d):
+    return rollup.first_sources(news(spark, d), ["src3"])
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (event_id % 3 > 0) AS verified, count(*) FILTER (event_id % 3 = 0) AS unverified FROM events")
+def verification_stats(spark, d):
+    return rollup.verification(_t(spark, d, "events").select((F.col("event_id") % 3 > 0).alias("date_verified")))
+
+
+@query(f"WITH {NEWS} SELECT count(*) AS total, count(*) FILTER (ai_score >= 75) AS selected, 5 AS categories, count(DISTINCT source_name) AS sources FROM news")
+def reader_stats(spark, d):
+    return rollup.reader_stats(news(spark, d), 75)
+
+
+_REASON = "CASE WHEN contains(lower(title || ' ' || summary), 'that') THEN list_extract(['A: ', 'B: '], CAST(n % 2 AS INT) + 1) || list_extract(['one', 'two', 'three'], CAST(n % 3 AS INT) + 1) ELSE 'C ' || CASE category WHEN 'claims' THEN 'K' ELSE '行业动态' END || ' v' END || CASE WHEN ai_score >= 92 THEN '!' ELSE '' END"
+
+
+@query(f"WITH {CLASSED}, s AS (SELECT *, coalesce(list_sum(list_transform(string_split(title, ''), lambda c: unicode(c))), 0) AS n FROM classed) SELECT id, {_REASON} AS reason FROM s")
+def reasons(spark, d):
+    said = C.reason(F.col("title"), F.col("summary"), F.col("source_name"), F.lit(""), F.col("category"), F.col("ai_score"), [(["that"], "x", ["one", "two", "three"])], {}, {"claims": "K"}, ["A: {clause}", "B: {clause}"], ["C {ccat} {clause}"], ["!"])
+    return classed(spark, d).select("id", _plain_values(said).alias("reason"))
+
+
+def _plain_values(c):
+    for v in L.CATEGORY_VALUES.values():
+        c = F.replace(c, F.lit(v), F.lit("v"))
+    return c
+
+
+@query(f"WITH {CLASSED} SELECT id FROM classed WHERE category = 'claims' OR category = 'product' ORDER BY CASE category WHEN 'product' THEN 1 ELSE 2 END, seq LIMIT 50")
+def reports_by_layer(spark, d):
+    rows = classed(spark, d).where("category IN ('claims', 'product')").withColumn("layer", F.col("category")).withColumn("topic", F.lit("t"))
+    return select.reports_by_layer(rows, "t", ("product", "claims")).limit(50).select("id")
+
+
 def queries() -> dict:
     return dict(Q)
 
