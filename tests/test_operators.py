@@ -281,3 +281,15 @@ def test_incremental(spark, tmp_path):
 def test_scratch(spark):
     s = Scratch(spark, "t")
     assert s.save(spark.range(3), "x").count() == 3
+
+
+def test_shared_folder(spark, monkeypatch):
+    from cairn import scratch
+
+    assert scratch.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+    class Unset:
+        conf = type("C", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("S", (), {"applicationId": "none"})
+
+    assert scratch.shared_folder(Unset) == scratch.shared_folder(Unset)
