@@ -74,16 +74,19 @@ def least_in_window(h: np.ndarray, want: int) -> np.ndarray:
     return h
 
 
-def split_hot(h: np.ndarray, start: np.ndarray, end: np.ndarray, m: np.ndarray, width: int, gram: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def split_hot(h: np.ndarray, start: np.ndarray, end: np.ndarray, m: np.ndarray, width: int, gram: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows; those with a hot least hash become runs of equal windows, dealt by a hash of the whole window.
 
+    The last array has the least hashes, which name the block: the windows of one
+    run stay in one block, so what collapses there can be joined again.
+
     Where a common passage borders on other text, every document has windows of its
     own with the passage's least hash; so they spread, and those inside the passage
     collapse, as all documents have them alike.
     """
     is_hot = hot[np.minimum(np.searchsorted(hot, m), len(hot) - 1)] == m
     if not is_hot.any():
-        return start, end, m
+        return start, end, m, m
     size = (end - start)[is_hot]
     first = np.cumsum(size) - size
     w = np.repeat(start[is_hot] - first, size) + np.arange(size.sum())
@@ -96,7 +99,7 @@ def split_hot(h: np.ndarray, start: np.ndarray, end: np.ndarray, m: np.ndarray,
     fresh[first] = True
     a = np.flatnonzero(fresh)
     b = np.append(a[1:], len(w))
-    return np.concatenate([start[~is_hot], w[a]]), np.concatenate([end[~is_hot], w[b - 1] + 1]), np.concatenate([m[~is_hot], whole[a]])
+    return np.concatenate([start[~is_hot], w[a]]), np.concatenate([end[~is_hot], w[b - 1] + 1]), np.concatenate([m[~is_hot], whole[a]]), np.concatenate([m[~is_hot], np.repeat(m[is_hot], size)[a]])
 
 
 def _load8(buf: np.ndarray, kind: str) -> np.ndarray:
@@ -150,7 +153,7 @@ def _pieces(texts: pa.Array, width: int):
 
 
 def _runs(buf: np.ndarray, offs: np.ndarray, width: int, gram: int, hot: np.ndarray | None):
-    """Runs of windows with one least hash, within texts: (start, end, hash, number of the text)."""
+    """Runs of windows with one least hash, within texts: (start, end, hash that deals them, least hash, number of the text)."""
     h = gram_hashes(buf, gram)
     m = least_in_window(h, width - gram + 1)
     full = np.diff(offs) >= width
@@ -165,17 +168,18 @@ def _runs(buf: np.ndarray, offs: np.ndarray, width: int, gram: int, hot: np.ndar
     ok = (start < len(m)) & (doc >= 0)
     ok[ok] = start[ok] < last[doc[ok]]
     start, end = start[ok], end[ok]
-    mine = m[start]
+    mine = least = m[start]
     if hot is not None and len(hot):
-        start, end, mine = split_hot(h, start, end, mine, width, gram, hot)
-    return start, end, mine, np.flatnonzero(full)[np.searchsorted(first, start, "right") - 1]
+        start, end, mine, least = split_hot(h, start, end, mine, width, gram, hot)
+    return start, end, mine, least, np.flatnonzero(full)[np.searchsorted(first, start, "right") - 1]
 
 
 def cut_segments(block: int, blocks: int, width: int, gram: int, hot=None):
     """Documents to the segments of one block of buckets; where the repeat is already certain, n is its windows and seg is empty.
 
     Equal segments of one chunk are sent once, from the least document; the others
-    are known to be repeats there and then, which keeps very common passages small.
+    are known to be repeats there and then, and those that touch become one row,
+    which keeps very common passages small.
     """
     def run(batches):
         hot_ = hot.value if hot is not None else None
@@ -185,24 +189,47 @@ def cut_segments(block: int, blocks: int, width: int, gram: int, hot=None):
             for row, offs, buf, base in _pieces(batch.column(2), width):
                 if len(buf) < width:
                     continue
-                start, end, mine, text = _runs(buf, offs, width, gram, hot_)
-                ok = mine % np.uint64(blocks) == block
+                start, end, mine, least, text = _runs(buf, offs, width, gram, hot_)
+                ok = least % np.uint64(blocks) == block
                 start, end, mine, text = start[ok], end[ok], mine[ok], text[ok]
                 if not len(start):
                     continue
                 doc_id, tag, place = ids[row + text], tags[row + text], (base + start - offs[text]).astype(np.int32)
                 size = end - start + width - 1
                 rows, known, more = _collapsed(buf, start, size, mine, doc_id, tag, place)
-                bytes_, offsets = _gather(buf, start[rows], np.where(known, 0, size[rows]))
-                seg = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(bytes_)])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(mine[rows].view(np.int64)), pa.array(doc_id[rows]), pa.array(tag[rows].astype(np.int32)), pa.array(place[rows]), seg, pa.array(np.where(known, size[rows] - width + 1, 0).astype(np.int32)), more],
-                    schema=SEGMENTS,
-                )
+                if known.any():
+                    own, a, b = _touching(text[rows[known]], place[rows[known]], size[rows[known]] - width + 1, more.filter(pa.array(known)))
+                    bytes_, offsets = np.zeros(0, np.uint8), np.zeros(len(a) + 1, np.int64)
+                    yield _segment_batch(_spread(ids[row + own], a), ids[row + own], tags[row + own], a, bytes_, offsets, b - a, pa.nulls(len(a), pa.binary()))
+                    rows, more = rows[~known], more.filter(pa.array(~known))
+                bytes_, offsets = _gather(buf, start[rows], size[rows])
+                yield _segment_batch(mine[rows], doc_id[rows], tag[rows], place[rows], bytes_, offsets, np.zeros(len(rows)), more)
 
     return run
 
 
+def _segment_batch(m, doc, tag, start, bytes_, offsets, n, more) -> pa.RecordBatch:
+    seg = pa.Array.from_buffers(pa.binary(), len(m), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(bytes_)])
+    return pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(doc), pa.array(tag.astype(np.int32)), pa.array(start.astype(np.int32)), seg, pa.array(n.astype(np.int32)), more], schema=SEGMENTS)
+
+
+def _spread(doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A hash that deals rows evenly which no bucket needs."""
+    return (doc.astype(np.int64).view(np.uint64) * _BASE + place.astype(np.uint64)) * _MIX
+
+
+def _touching(text: np.ndarray, place: np.ndarray, n: np.ndarray, more: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of ``n`` windows at all their places, joined where they touch within a text: (text, first place, place after the last)."""
+    row, at = _places(place, more)
+    begin = text[row].astype(np.int64) * (1 << 32) + at
+    end = begin + n[row]
+    by = np.argsort(begin, kind="stable")
+    begin, end = begin[by], np.maximum.accumulate(end[by])
+    first = np.flatnonzero(np.concatenate([[True], begin[1:] > end[:-1]]))
+    a, b = begin[first], end[np.append(first[1:], len(end)) - 1]
+    return a >> 32, a & 0xFFFFFFFF, b - (a >> 32 << 32)
+
+
 def _collapsed(buf, start, size, m, doc, tag, place):
     """Of equal segments in one text the first: (rows, whether a smaller document has the segment, the other places)."""
     by = np.argsort(m, kind="stable")
@@ -490,8 +517,8 @@ def _either(width: int, gram: int):
             n = b.column(5).to_numpy()
             if (n > 0).any():
                 k = b.filter(pa.array(n > 0))
-                row, place = _places(k.column(3).to_numpy(), k.column(6))
-                yield _span_batch(k.column(1).to_numpy()[row], k.column(2).to_numpy()[row], place, place + k.column(5).to_numpy()[row] + width - 1)
+                place = k.column(3).to_numpy()
+                yield _span_batch(k.column(1).to_numpy(), k.column(2).to_numpy(), place, place + k.column(5).to_numpy() + width - 1)
                 b = b.filter(pa.array(n == 0))
             rest.append(b)
         yield from search(rest)
