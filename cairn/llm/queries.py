@@ -87,8 +87,68 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+#: The measures that the rules of op5 name, over the columns of its SQL.
+OP5_MEASURES = {
+    "symbol_ratio": "n_symbols / words",
+    "upper_ratio": "n_upper / chars",
+    "digit_ratio": "n_digit / chars",
+    "dup_line_ratio": "n_dup_lines / greatest(len(lines), 1)",
+    "distinct_ratio": "len(list_distinct(w)) / least(words, 5000)",
+    "mean_word": "word_chars / words",
+    "stop_ratio": "n_stop / words",
+}
+
+
+def op5_sql() -> str:
+    rules = " AND ".join(f"{OP5_MEASURES[name]} {op} {bound}::DOUBLE" for name, op, bound in quality_rules.RULES)
+    stop = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)
+    return rf"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda s: regexp_matches(s, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+), x AS (
+  SELECT r, p, array_to_string(w[p:p + {quality_rules.WINDOW - 1}], ' ') AS win FROM (SELECT r, w, unnest(range(1, len(w) - {quality_rules.WINDOW - 2})) AS p FROM d)
+), twice AS (
+  SELECT r, p FROM x QUALIFY count(*) OVER (PARTITION BY r, win) > 1
+), again AS (
+  SELECT r, count(DISTINCT k) AS n FROM (SELECT r, unnest(range(p, p + {quality_rules.WINDOW})) AS k FROM twice) GROUP BY r
+), m AS (
+  SELECT doc_id, w, lines, len(w) AS n_words, greatest(len(w), 1) AS words, length(array_to_string(w, '')) AS word_chars, greatest(length(array_to_string(w, '')), 1) AS chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+    length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(t, '[^0-9]', '', 'g')) AS n_digit, len(list_filter(w, lambda x: lower(x) IN ({stop}))) AS n_stop
+  FROM d LEFT JOIN again USING (r)
+), v AS (
+  SELECT *, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {rules} AS kept FROM v
+"""
+
+
+OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), i AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), iw AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(w[p:p + 9], ' ') AS win FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p FROM i WHERE len(w) > 0)
+), dw AS (
+  SELECT r, p, k, array_to_string(w[p:p + k - 1], ' ') AS win FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM iw))
+), hit AS (
+  SELECT r, p, dw.k, item_id FROM dw JOIN iw ON dw.win = iw.win AND dw.k = iw.k
+), n AS (
+  SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + k)) AS q FROM hit) GROUP BY r
+), items AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM hit) GROUP BY r
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (r) LEFT JOIN items USING (r)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_quality_rules": op5_sql(),
         "op6_chat_formatting": OP6_SQL,
+        "op9_decontamination": OP9_SQL,
     }

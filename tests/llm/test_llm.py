@@ -464,3 +464,15 @@ def test_pipeline(spark):
     clean = {w[0] for w in brute_windows([(i, rows[i]) for i in whole], bench) if not w[2]}
     assert {i for i in whole if i in texts} == clean and set(texts) <= set(kept)
     assert all(texts[i] == hashlib.sha256(rows[i].encode()).hexdigest() for i in clean) and all(r["round_trip"] for r in last)
+
+
+@pytest.mark.parametrize("name", ["op5_quality_rules", "op9_decontamination"])
+def test_query_against_its_sql(spark, name):
+    duck = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    found = duck.execute(queries.oracle_sql()[name])
+    columns = [d[0] for d in found.description]
+    got = queries.queries()[name](spark, SF)
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(map(tuple, got.select(*columns).collect()), key=repr) == sorted(found.fetchall(), key=repr)
