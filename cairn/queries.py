@@ -224,7 +224,6 @@ _EV = "(SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, event_type, user_id, v
   string_agg(DISTINCT 'u' || user_id % 20, ',' ORDER BY 'u' || user_id % 20) AS sources, CAST(round(sum(CAST(value * 100 AS INT)) / 100.0 / count(*), 1) AS DOUBLE) AS avg_score FROM {_EV} GROUP BY day""")
 def days_rollup(spark, d):
     e = _t(spark, d, "events")
-    score = (F.col("value") * 100).cast("int").cast("decimal(12,2)") / 100
     score = F.round(F.col("value") * 100, 0).cast("int").cast("decimal(12,2)") / 100
     rows = e.select(F.date_format("ts", "yyyy-MM-dd").alias("published_at"), F.col("event_type").alias("category"), F.concat(F.lit("u"), F.col("user_id") % 20).alias("source_name"), score.alias("ai_score"), F.col("value"), (F.col("user_id") % 2 == 0).alias("c"))
     out = rollup.days(rows.withColumn("h", F.when(F.col("value") >= 50, 80).otherwise(0)), curated=F.col("c"), score="ai_score", highlight=50)
