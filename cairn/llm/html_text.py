@@ -4,7 +4,8 @@ Every element of a page gets a density: characters per tag, adjusted for the sha
 of its characters and tags that are in links.  The densities of an element's
 children are summed; the element with the greatest sum is where the article is.
 The least density on the path from the body to it is the threshold that its
-neighbours must reach to count as parts of the same article.  Elements that name
+neighbours must reach to count as parts of the same article; an article or main
+element on that path bounds where they are looked for.  Elements that name
 themselves as menus, notices, adverts, forms or comments never count.
 
 Pages are worked on one by one inside a partition; nothing is shuffled.
@@ -26,6 +27,10 @@ BLOCKS = frozenset(
 )
 #: Blocks that hold text rather than parts of a page.
 TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure".split())
+#: Those that are never where the article is, but parts of it.
+PARTS = TEXTS - {"table"} | {"li", "dt", "dd"}
+#: Those that may be menus; the others stay in an article even if they are a link.
+LISTS = frozenset("ul ol dl table".split())
 #: Elements that an opening tag of the kind closes, up to the elements that bound the search.
 CLOSES = {
     "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
@@ -129,6 +134,13 @@ def parse(page: str) -> Node:
     return root
 
 
+def density(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
+    """Characters per tag, adjusted for links; ``share`` is that of the body's characters in links."""
+    base = math.log(chars / max(1, chars - link_chars) * link_chars + share * chars + math.e)
+    adjusted = math.log(max(1.0, chars / max(1, link_chars) * max(1, tags) / max(1, link_tags))) / max(0.1, math.log(base))
+    return chars / max(1, tags) * adjusted
+
+
 def weigh(root: Node) -> tuple[Node, Node]:
     """Set counts, densities and sums; return the body and the element with the greatest sum."""
     order: list[Node] = []
@@ -157,9 +169,7 @@ def weigh(root: Node) -> tuple[Node, Node]:
     best = body
     for n in reversed(order):
         if n.chars:
-            base = math.log(n.chars / max(1, n.chars - n.link_chars) * n.link_chars + share * n.chars + math.e)
-            adjusted = math.log(max(1.0, n.chars / max(1, n.link_chars) * max(1, n.tags) / max(1, n.link_tags))) / max(0.1, math.log(base))
-            n.density = n.chars / max(1, n.tags) * adjusted
+            n.density = density(n.chars, n.tags, n.link_chars, n.link_tags, share)
         n.total = sum(c.density for c in n.children if isinstance(c, Node) and not c.dropped) + (n.density if any(isinstance(c, str) and c.strip() for c in n.children) and n.tag in BLOCKS else 0)
     for n in order:
         if n.total > best.total or best is body and n is not body and n.total >= best.total:
@@ -167,49 +177,61 @@ def weigh(root: Node) -> tuple[Node, Node]:
     return body, best
 
 
-def article(root: Node) -> list[Node | str]:
-    """The elements whose text is the article, in page order.
+def article(root: Node) -> Node:
+    """The element that bounds the article, all in it that is not the article's marked as dropped.
 
-    Without an element that holds it, these are the children of the body around the
-    densest one: all that are as dense, and where that is a paragraph or the like,
-    all others of the kind.
+    The element with the greatest sum is the article.  Its neighbours, and those of
+    the elements around it, are parts of it if they reach the threshold and are not
+    links in the main; the search ends at an article element, else at main, else at
+    the body.  In such a bound, and in the element itself, only what misses the
+    threshold and is links in the main goes, as a short text there is still the
+    article's.
     """
     body, best = weigh(root)
-    path = []
-    n: Node | None = best
-    while n is not None:
-        path.append(n)
-        if n is body:
-            break
-        n = n.parent
-    holder = None
-    for n in path:
-        if n.tag in HOLDERS:
-            holder = n if holder is None or n.tag == "article" and holder.tag != "article" else holder
-    if holder is not None:
-        return [holder]
-    while best.tag not in BLOCKS and best.parent is not None:
+    while best is not body and best.parent is not None and (best.tag not in BLOCKS or best.tag in PARTS):
         best = best.parent
-    threshold = min((n.density for n in path), default=0)
-    top = best
-    while top is not body and top.parent is not None and top.parent is not body:
-        top = top.parent
-    near = top.parent if top is not body and top.parent is not None else None
-    if near is None:
-        return [top]
-
-    def belongs(c: Node | str) -> bool:
+    path = [best]
+    while path[-1] is not body and path[-1].parent is not None:
+        path.append(path[-1].parent)
+    threshold = min(n.density for n in path)
+    share = body.link_chars / max(1, body.chars)
+    bound = next((n for tag in ("article", "main") for n in path if n.tag == tag), path[-1])
+    between = set(map(id, path))
+
+    def belongs(c: Node | str, parent: Node, inside: bool) -> bool:
         if isinstance(c, str):
-            return top.tag in TEXTS
-        if c is top or top.tag in TEXTS and (c.tag in TEXTS or c.tag not in BLOCKS):
-            return not c.dropped
-        return not c.dropped and c.density >= max(threshold, 0.5 * top.density) and c.link_chars * 2 < c.chars
+            n = len(_SPACE.sub(" ", c).strip())
+            return inside or parent is best or not n or density(n, 0, 0, 0, share) >= threshold
+        if not c.chars or id(c) in between:
+            return True
+        links = c.link_chars * 2 >= c.chars
+        if inside:
+            return c.density >= threshold or not links or c.tag not in BLOCKS or c.tag in TEXTS - LISTS
+        if parent is best and (c.tag not in BLOCKS or c.tag in TEXTS):
+            return not links or c.tag not in LISTS
+        return c.density >= threshold and not links
 
-    return [c for c in near.children if belongs(c)]
+    stack = [(bound, False)]
+    while stack:
+        n, inside = stack.pop()
+        inside = inside or n.tag in HOLDERS or n is best and n is not body or id(n) not in between
+        kept = []
+        for c in n.children:
+            if isinstance(c, str):
+                if belongs(c, n, inside):
+                    kept.append(c)
+                continue
+            kept.append(c)
+            if not c.dropped:
+                c.dropped = not belongs(c, n, inside)
+                if not c.dropped and (c.tag in BLOCKS and c.tag not in TEXTS or id(c) in between):
+                    stack.append((c, inside))
+        n.children = kept
+    return bound
 
 
-def blocks(nodes: list[Node | str]) -> list[str]:
-    """The texts of the blocks of some elements, references decoded and white space made one space."""
+def blocks(top: Node) -> list[str]:
+    """The texts of the blocks of an element, references decoded and white space made one space."""
     out: list[str] = []
     parts: list[str] = []
 
@@ -219,25 +241,24 @@ def blocks(nodes: list[Node | str]) -> list[str]:
         if text:
             out.append(text)
 
-    for top in nodes:
-        stack: list[Node | str | None] = [top]
-        while stack:
-            n = stack.pop()
-            if n is None:
+    stack: list[Node | str | None] = [top]
+    while stack:
+        n = stack.pop()
+        if n is None:
+            end()
+        elif isinstance(n, str):
+            parts.append(n)
+        elif n.dropped:
+            if n.tag in BLOCKS:
+                end()
+        else:
+            if n.tag in BLOCKS:
                 end()
-            elif isinstance(n, str):
-                parts.append(n)
-            elif n.dropped:
-                if n.tag in BLOCKS:
-                    end()
-            else:
-                if n.tag in BLOCKS:
-                    end()
-                    stack.append(None)
-                elif n.tag == "br":
-                    parts.append(" ")
-                stack += reversed(n.children)
-        end()
+                stack.append(None)
+            elif n.tag == "br":
+                parts.append(" ")
+            stack += reversed(n.children)
+    end()
     return out
 
 

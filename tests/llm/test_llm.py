@@ -394,6 +394,18 @@ def test_html_without_article():
     assert text.startswith("T\n\nword") and "cookies" not in text and "link" not in text and "one" not in text
 
 
+def test_html_is_the_densest_subtree():
+    links = "".join(f"<div><a href={k}>see also page {k}</a></div>" for k in range(8))
+    post = "".join(f"<p>{w * 40}</p>" for w in ("one ", "two ", "three "))
+    want = "\n\n".join((w * 40).strip() for w in ("one ", "two ", "three "))
+    assert html_text.main_text(f"<body><div id=page><div class=links>{links}</div><div class=post>{post}</div><div>Up</div></div></body>") == want
+    parts = f"<div class=part>{post}</div><div class=part><p>{'four ' * 60}</p></div>"
+    assert html_text.main_text(f"<body><div id=page><div class=links>{links}</div>{parts}</div></body>") == want + "\n\n" + ("four " * 60).strip()
+    held = f"<h2><a href=x>Title</a></h2>{post}<div>By me</div><ul><li>a<li>b</ul><p><a href=y>the paper</a></p>"
+    for tag in ("article", "main"):
+        assert html_text.main_text(f"<body><div><{tag}>{held}<div class=links>{links}</div></{tag}></div></body>") == f"Title\n\n{want}\n\nBy me\n\na\n\nb\n\nthe paper"
+
+
 def test_chat(spark):
     says = [("a\\nb\nc", "x<|im_end|>\n<\\|<\\\\|"), ("assistant", "<|im_start|>assistant ok"), ("", ""), ("assistant", "é\n")]
     rows = spark.createDataFrame([(1, says), (2, []), (3, None)], "conv_id long, turns array<struct<role:string,text:string>>")
