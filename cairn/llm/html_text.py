@@ -5,8 +5,10 @@ of its characters and tags that are in links.  The densities of an element's
 children are summed; the element with the greatest sum is where the article is.
 The least density on the path from the body to it is the threshold that its
 neighbours must reach to count as parts of the same article; an article or main
-element on that path bounds where they are looked for.  Elements that name
-themselves as menus, notices, adverts, forms or comments never count.
+element on that path bounds where they are looked for.  Elements that are menus,
+asides or forms by tag or role never count, and those that name themselves as such,
+as notices, adverts or comments count only where their density shows them to be the
+article or around it.
 
 Pages are worked on one by one inside a partition; nothing is shuffled.
 """
@@ -27,6 +29,7 @@ BLOCKS = frozenset(
 )
 #: Blocks that hold text rather than parts of a page.
 TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Those that are never where the article is, but parts of it.
 PARTS = TEXTS - {"table"} | {"li", "dt", "dd"}
 #: Those that may be menus; the others stay in an article even if they are a link.
@@ -43,6 +46,10 @@ DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search fo
 DROPPED_WORDS = frozenset(
     "ad ads adv advert advertisement adverts advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments respond disqus pagination pager widget toolbar skip copyright".split()
 )
+#: Words that leave the meaning of those beside them.
+PLAIN_WORDS = frozenset(
+    "area articles bar block body box button buttons container content form icons inner item items left link links list main outer page panel posts right row section site top bottom title unit wrap wrapper".split()
+)
 #: These only outside an article, where a page's head has them; within one they hold its title.
 DROPPED_OUTSIDE = frozenset("header masthead topbar".split())
 HOLDERS = frozenset("article main".split())
@@ -53,29 +60,49 @@ _SPACE = re.compile(r"[ \t\n\r\f\v ]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "held", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "dropped", "named", "held", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool, held: bool):
         self.tag, self.parent, self.dropped, self.held = tag, parent, dropped, held
+        self.named = 0
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _is_dropped(tag: str, attributes: str, held: bool) -> bool:
+def _named(tag: str, value: str, held: bool) -> int:
+    """What a class or id says: 2 for not the article, 1 if only a part of a name says so, else 0."""
+    told = 0
+    if tag in ("html", "body", *HOLDERS):
+        return told
+    for name in value.split():
+        for way in {name.lower(), re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()}:
+            words = set(re.split(r"[^a-z0-9]+", way)) - {""}
+            marks = words & DROPPED_WORDS | (set() if held else words & DROPPED_OUTSIDE)
+            if marks:
+                told = max(told, 2 if words - marks <= PLAIN_WORDS else 1)
+    return told
+
+
+def _is_dropped(tag: str, attributes: str, held: bool) -> tuple[bool, int]:
+    """Whether tag and attributes leave an element out, and what its class and id say (-1: only the id, within an article)."""
     if tag in DROPPED or not held and tag in DROPPED_OUTSIDE:
-        return True
+        return True, 0
+    named = 0
     if not attributes:
-        return False
+        return False, named
     for name, *values in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), next((v for v in values if v), "").lower()
-        if name in ("class", "id") and tag not in ("html", "body", *HOLDERS):
-            words = set(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value)))
-            if words & DROPPED_WORDS or not held and words & DROPPED_OUTSIDE:
-                return True
-        elif name == "role" and value in DROPPED_ROLES or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes)) and "aria-hidden" not in attributes and not re.search(r"=\s*[\"'][^\"']*hidden", attributes)
+        name, value = name.lower(), next((v for v in values if v), "")
+        if name in ("class", "id"):
+            told = _named(tag, value, held)
+            if held and name == "id":  # in an article these are mostly its headings' words
+                named = named or -min(told, 1)
+            else:
+                named = max(named, told) if told else named
+        value = value.lower()
+        if name == "role" and value in DROPPED_ROLES or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
+            return True, named
+    return bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes)) and "aria-hidden" not in attributes and not re.search(r"=\s*[\"'][^\"']*hidden", attributes), named
 
 
 def parse(page: str) -> Node:
@@ -124,7 +151,9 @@ def parse(page: str) -> Node:
                         node = up.parent
                     up = up.parent
         attributes = m.group(3)
-        child = Node(tag, node, node.dropped or tag in RAW or _is_dropped(tag, attributes, node.held), node.held or tag in HOLDERS)
+        dropped, named = _is_dropped(tag, attributes, node.held)
+        child = Node(tag, node, node.dropped or tag in RAW or dropped, node.held or tag in HOLDERS)
+        child.named = named
         node.children.append(child)
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
@@ -155,6 +184,8 @@ def weigh(root: Node) -> tuple[Node, Node]:
             body = n
         stack += [c for c in n.children if isinstance(c, Node)]
     for n in reversed(order):
+        n.chars = n.tags = n.link_chars = n.link_tags = 0
+        n.density = 0.0
         for c in n.children:
             if isinstance(c, str):
                 n.chars += len(_SPACE.sub(" ", c).strip())
@@ -177,6 +208,66 @@ def weigh(root: Node) -> tuple[Node, Node]:
     return body, best
 
 
+def up(n: Node, end: Node) -> list[Node]:
+    """An element and those around it, up to ``end``."""
+    path = [n]
+    while path[-1] is not end and path[-1].parent is not None:
+        path.append(path[-1].parent)
+    return path
+
+
+def judge(root: Node) -> tuple[Node, Node]:
+    """Mark as dropped what its name and its density show not to be the article; the body and the densest element then.
+
+    A heading, or a part of a text block, is never judged by its name, a paragraph or
+    the like only by a whole name.  A whole name tells where the element does not
+    hold the densest one, or holds it only because it is longer than the article
+    (comments); a part of a name tells only where the density misses the threshold,
+    and an id within an article only where no heading or paragraph is in it besides.
+    """
+    named = []
+    stack = [(root, False)]
+    while stack:
+        n, part = stack.pop()
+        if n.dropped:
+            continue
+        if n.named and not part and n.tag not in HEADINGS and (n.named > 1 or n.tag in LISTS or n.tag not in TEXTS):
+            named.append(n)
+        part = part or n.tag in TEXTS - LISTS
+        stack += [(c, part) for c in n.children if isinstance(c, Node)]
+    body, best = weigh(root)
+    unsettled = {id(n) for n in named if n.named > 1}
+    while doubtful := [n for n in up(best, body) if id(n) in unsettled]:
+        n = doubtful[-1]  # the outermost
+        unsettled.remove(id(n))
+        held = n.chars
+        n.dropped = True
+        body, best = weigh(root)
+        if not (any(x.tag in HOLDERS for x in up(best, body)) or not has(n, {"h1", "main"}) and (has(body, {"h1"}) or not has(n, HOLDERS) and body.chars * 4 >= held)):
+            n.dropped = False
+            body, best = weigh(root)
+    for whole in (True, False):
+        path = up(best, body)
+        around, threshold = set(map(id, path)), min(n.density for n in path)
+        low = [n for n in named if not n.dropped and id(n) not in around and (n.named > 1 if whole else n.named < 2 and n.density < threshold and (n.named > 0 or not has(n, TEXTS - LISTS)))]
+        for n in low:
+            n.dropped = True
+        if low:
+            body, best = weigh(root)
+    return body, best
+
+
+def has(n: Node, tags: set[str] | frozenset[str]) -> bool:
+    """Whether an element has another of some kinds in it."""
+    stack = [n]
+    while stack:
+        x = stack.pop()
+        if x.tag in tags:
+            return True
+        stack += [c for c in x.children if isinstance(c, Node) and not c.dropped]
+    return False
+
+
 def article(root: Node) -> Node:
     """The element that bounds the article, all in it that is not the article's marked as dropped.
 
@@ -187,12 +278,10 @@ def article(root: Node) -> Node:
     threshold and is links in the main goes, as a short text there is still the
     article's.
     """
-    body, best = weigh(root)
+    body, best = judge(root)
     while best is not body and best.parent is not None and (best.tag not in BLOCKS or best.tag in PARTS):
         best = best.parent
-    path = [best]
-    while path[-1] is not body and path[-1].parent is not None:
-        path.append(path[-1].parent)
+    path = up(best, body)
     threshold = min(n.density for n in path)
     share = body.link_chars / max(1, body.chars)
     bound = next((n for tag in ("article", "main") for n in path if n.tag == tag), path[-1])

@@ -406,6 +406,24 @@ def test_html_is_the_densest_subtree():
         assert html_text.main_text(f"<body><div><{tag}>{held}<div class=links>{links}</div></{tag}></div></body>") == f"Title\n\n{want}\n\nBy me\n\na\n\nb\n\nthe paper"
 
 
+def test_html_names():
+    text = "one two three four five six " * 12
+    held = f"<h1>Title</h1><p>{text}</p><p>{text}</p>"
+    want = f"Title\n\n{text.strip()}\n\n{text.strip()}"
+    for name in ("wrap no-sidebar", "has-sidebar", "right-sidebar", "post-widget", "hasSidebar", "social"):
+        for inner in (f"<article>{held}</article>", f"<div>{held}</div>"):
+            assert html_text.main_text(f"<body><div class='{name}'>{inner}</div><div class='cookie-notice'>We use cookies</div></body>") == want, name
+    for part in ("related-work", "social-policy", "comments-on-method", "comments"):
+        for tag in ("article", "div"):
+            page = f"<body><{tag}>{held}<h2 id='{part}'>Part</h2><p>{text}</p></{tag}></body>"
+            assert html_text.main_text(page) == f"{want}\n\nPart\n\n{text.strip()}"
+            page = f"<body><article>{held}<section id='{part}'><h2>Part</h2><p>{text}</p></section></article></body>"
+            assert html_text.main_text(page) == f"{want}\n\nPart\n\n{text.strip()}"
+    says = f"<p>{'says ' * 90}</p>" * 4
+    for page in (f"<article>{held}</article><section class=comments>{says}</section>", f"<div>{held}</div><div id=comments>{says}</div>", f"<div class=right-sidebar><div>{held}</div><div class='comments-list'>{says}</div></div>", f"<article>{held}<div class=ad-slot><b>Buy</b> <b>now</b></div></article><div class=sideBar>{says}</div>"):
+        assert html_text.main_text(f"<body>{page}</body>") == want
+
+
 def test_chat(spark):
     says = [("a\\nb\nc", "x<|im_end|>\n<\\|<\\\\|"), ("assistant", "<|im_start|>assistant ok"), ("", ""), ("assistant", "é\n")]
     rows = spark.createDataFrame([(1, says), (2, []), (3, None)], "conv_id long, turns array<struct<role:string,text:string>>")
