@@ -83,8 +83,9 @@ def grouped(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:
     return rows.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(order, value))).alias("_l")).select(by, F.transform("_l", lambda x: x[value]).alias("items"))
 
 
-def reports_by_layer(reports: DataFrame, topic: str = "all", layers: tuple[str, ...] = ("reinsurance", "consulting", "domestic"), seq: str = "seq") -> DataFrame:
-    """Reports of a topic, layers in their order, others last."""
+def reports_by_layer(reports: DataFrame, topic: str = "all", layers: tuple[str, ...] = ("reinsurance", "consulting", "domestic"), seq: str = "seq", name: str | None = None) -> DataFrame:
+    """Reports of a topic, layers in their order, others last; with ``name``, a column of their numbers in it."""
     place = F.array_position(F.array(*[F.lit(x) for x in layers]), F.coalesce("layer", F.lit("")))
     rows = reports if topic == "all" else reports.where(F.col("topic") == topic)
-    return rows.orderBy(F.when(place > 0, place).otherwise(len(layers) + 1), F.col(seq))
+    order = [F.when(place > 0, place).otherwise(len(layers) + 1), F.col(seq)]
+    return numbered(rows, order, name) if name else rows.orderBy(*order)

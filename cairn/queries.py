@@ -501,6 +501,13 @@ def reports_by_layer(spark, d):
     return select.reports_by_layer(rows, "t", ("product", "claims")).limit(50).select("id")
 
 
+@query(f"WITH {CLASSED} SELECT id, row_number() OVER (ORDER BY CASE category WHEN 'product' THEN 1 WHEN 'claims' THEN 2 ELSE 3 END, seq) AS place FROM classed")
+def reports_by_layer_whole(spark, d):
+    """All reports of all layers with their places; ``reports_by_layer`` shows the first 50 of two layers."""
+    rows = classed(spark, d).select("id", "seq", F.col("category").alias("layer"), F.lit("t").alias("topic"))
+    return select.reports_by_layer(rows, "t", ("product", "claims"), name="place").select("id", "place")
+
+
 def queries() -> dict:
     return dict(Q)
 

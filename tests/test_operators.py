@@ -192,6 +192,14 @@ def test_fallbacks(spark):
     assert sorted(r["i"] for r in P.fresh(more, F.lit("2026-07-01").cast("date")).collect()) == [3, 4, 5]
 
 
+def test_reports_by_layer_is_whole(spark):
+    rows = spark.createDataFrame([(k, ["domestic", "consulting", "reinsurance", None, "x"][k % 5], "t" if k % 7 else "u") for k in range(300)], "seq long, layer string, topic string")
+    got = select.reports_by_layer(rows, "t", name="place").orderBy("place").collect()
+    order = {"reinsurance": 0, "consulting": 1, "domestic": 2}
+    want = sorted((order.get(r["layer"], 3), r["seq"]) for r in rows.collect() if r["topic"] == "t")
+    assert [r["seq"] for r in got] == [seq for _, seq in want] and [r["place"] for r in got] == list(range(1, len(want) + 1))
+
+
 def test_pages_and_numbers(spark):
     rows = spark.range(45)
     assert [r["id"] for r in select.page(rows, [F.col("id")], 9).collect()] == list(range(40, 45))
