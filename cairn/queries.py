@@ -288,15 +288,38 @@ def jaccard_pairs(spark, d):
     return dedup.similar_pairs(rows, "t", "i", "jaccard", 0.9).select("i", "j", F.round("similarity", 6).alias("similarity"))
 
 
+def _lines(spark, d, name: str = "documents"):
+    """A table with the whole first line of its texts as the title."""
+    return _t(spark, d, name).withColumn("title", F.split("text", "\n")[0])
+
+
+def _whole_news(spark, d):
+    return news(spark, d).withColumn("title", F.split("summary", "\n")[0])
+
+
+@query()
+def edit_pairs_whole(spark, d):
+    """The pairs of all first lines, none cut and none left out; DuckDB's distance counts bytes, so no SQL has them."""
+    rows = _lines(spark, d).where("title != ''").groupBy(F.lower("title").alias("t")).agg(F.min("doc_id").alias("i"))
+    return dedup.similar_pairs(rows, "t", "i", "edit", 0.82).select("i", "j", F.round("similarity", 6).alias("similarity"))
+
+
+@query()
+def jaccard_pairs_whole(spark, d):
+    """The pairs of all first lines, none cut and none left out."""
+    rows = _lines(spark, d).where("title != ''").groupBy(F.col("title").alias("t")).agg(F.min("doc_id").alias("i"))
+    return dedup.similar_pairs(rows, "t", "i", "jaccard", 0.9).select("i", "j", F.round("similarity", 6).alias("similarity"))
+
+
 @query()
 def greedy_edit_dedup(spark, d):
-    return dedup.greedy(news(spark, d), "title", "seq", "edit", 0.82).select("seq")
+    return dedup.greedy(_whole_news(spark, d), "title", "seq", "edit", 0.82).select("seq")
 
 
 @query()
 def greedy_against_existing(spark, d):
-    old = _t(spark, d, "benchmark").select(F.substring(F.split("text", "\n")[0], 1, 80).alias("title"))
-    return dedup.greedy(news(spark, d), "title", "seq", "edit", 0.7, strict=True, existing=old, gate=P.relevant(F.col("title"), F.col("summary"), L.SAMPLE_TERMS)).select("seq")
+    old = _lines(spark, d, "benchmark").select("title")
+    return dedup.greedy(_whole_news(spark, d), "title", "seq", "edit", 0.7, strict=True, existing=old, gate=P.relevant(F.col("title"), F.col("summary"), L.SAMPLE_TERMS)).select("seq")
 
 
 @query("SELECT min(p.page_id) AS page_id FROM pages p WHERE regexp_extract(url, '^https?://([^/]+)', 1) NOT IN (SELECT 'www.' || s_name FROM supplier) GROUP BY " + _HOST)

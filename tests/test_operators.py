@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cairn import lexicon as L, schemas
+from cairn import lexicon as L, queries, schemas
 from cairn.functions import dates, text as X
 from cairn.operators import classify as C, dedup, merge, predicates as P, rollup, select
 from cairn.plans import pipelines, publish
@@ -164,6 +164,33 @@ def test_greedy_gate_and_existing(spark):
     assert keep() == [0, 1] and keep(gate=~F.col("title").contains("weather")) == [0] and keep(existing=old) == [1]
 
 
+def test_whole_titles(spark, tmp_path):
+    r = random.Random(5)
+    start = "".join(r.choices("abcdefgé保 ", k=90))
+    base = [start + "".join(r.choices("abcdéñß ", k=r.randint(0, 60))) for _ in range(6)] + ["保险市场报告", "Les marchés à terme", "la señal", "Größe"]
+    titles = []
+    for _ in range(60):
+        t = list(r.choice(base))
+        for _ in range(r.randint(0, len(t) // 8)):
+            t[r.randrange(len(t))] = r.choice("xyzé")
+        titles.append("".join(t))
+    spark.createDataFrame([(k, f"{t}\nmore that", "en", "s", len(t)) for k, t in enumerate(titles)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, f"{titles[7]}\nx"), (1, base[3])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    run = lambda name: [tuple(x) for x in queries.queries()[name](spark, str(tmp_path)).collect()]
+    edit = lambda a, b: 1 - lev(a.lower(), b.lower()) / max(len(a), len(b))
+    jac = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    for name, ratio, low, least in (("edit_pairs_whole", edit, str.lower, 0.82), ("jaccard_pairs_whole", jac, str, 0.9)):
+        first = {}
+        for k, t in enumerate(titles):
+            first.setdefault(low(t), k)
+        rows = sorted((k, t) for t, k in first.items())
+        assert sorted(run(name)) == [(i, j, round(ratio(a, b), 6)) for i, a in rows for j, b in rows if i < j and ratio(a, b) >= least]
+    assert sorted(x for (x,) in run("greedy_edit_dedup")) == greedy(titles, lambda a, b: edit(a, b) >= 0.82)
+    old = [titles[7], base[3]]
+    free = [k for k, t in enumerate(titles) if any(w.lower() in f"{t}\nmore that".lower() for w in L.SAMPLE_TERMS) and not any(edit(t, o) > 0.7 for o in old)]
+    assert sorted(x for (x,) in run("greedy_against_existing")) == [free[k] for k in greedy([titles[k] for k in free], lambda a, b: edit(a, b) > 0.7)]
+
+
 def test_quota(spark):
     q = lambda rows: select.quota(spark.createDataFrame(rows, "t string, score double, seq long"), "t", "score", "seq").count()
     assert q([("a", float(i), i) for i in range(40)]) == 15
