@@ -18,6 +18,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -54,8 +55,11 @@ PLAIN_WORDS = frozenset(
 DROPPED_OUTSIDE = frozenset("header masthead topbar".split())
 HOLDERS = frozenset("article main".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|([^\s=/\"'>]+)")
+#: Elements below this depth stand beside one another, as in browsers, so a tag never walks far up.
+DEPTH = 256
+
+_NAME = re.compile(r"[^\s/>]+")
+_ATTRIBUTE = re.compile(r"[\s/]*(?:(>)|([^\s/>][^\s/>=]*)(?:\s*=\s*(?:(\"|')|([^\s>]*)))?)")
 _SPACE = re.compile(r"[ \t\n\r\f\v ]+")
 
 
@@ -84,15 +88,12 @@ def _named(tag: str, value: str, held: bool) -> int:
     return told
 
 
-def _is_dropped(tag: str, attributes: str, held: bool) -> tuple[bool, int]:
+def _is_dropped(tag: str, attributes: list[tuple[str, str]], held: bool) -> tuple[bool, int]:
     """Whether tag and attributes leave an element out, and what its class and id say (-1: only the id, within an article)."""
     if tag in DROPPED or not held and tag in DROPPED_OUTSIDE:
         return True, 0
     named = 0
-    if not attributes:
-        return False, named
-    for name, *values in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), next((v for v in values if v), "")
+    for name, value in attributes:
         if name in ("class", "id"):
             told = _named(tag, value, held)
             if held and name == "id":  # in an article these are mostly its headings' words
@@ -100,66 +101,127 @@ def _is_dropped(tag: str, attributes: str, held: bool) -> tuple[bool, int]:
             else:
                 named = max(named, told) if told else named
         value = value.lower()
-        if name == "role" and value in DROPPED_ROLES or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
+        if name == "hidden" or name == "role" and value in DROPPED_ROLES or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             return True, named
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes)) and "aria-hidden" not in attributes and not re.search(r"=\s*[\"'][^\"']*hidden", attributes), named
+    return False, named
 
 
-def parse(page: str) -> Node:
-    """The tree of a page, read leniently: tags that are not closed end where their parents or followers do."""
-    root = Node("html", None, False, False)
-    node, at, size = root, 0, len(page)
+def tags(page: str):
+    """The texts and tags of a page in order: str, or (name, whether it closes, attributes, whether it closes itself).
+
+    Quotes are read as browsers do: one inside a bare value or between attributes is
+    a character like others; one that nothing closes is too.  Every place of the page
+    is looked at a bounded number of times.  What a script or the like holds is not
+    given.
+    """
+    at, size = 0, len(page)
+    last = {q: page.rfind(q) for q in "\"'"}
     while at < size:
-        m = _TOKEN.search(page, at)
+        lt = page.find("<", at)
+        if lt < 0:
+            yield page[at:]
+            return
+        first = page[lt + 1 : lt + 2]
+        closes = first == "/"
+        m = _NAME.match(page, lt + 1 + closes) if (page[lt + 2 : lt + 3] if closes else first).isalpha() else None
         if m is None:
-            if at < size:
-                cut = page.find("<", at)
-                rest = page[at:] if cut < 0 or not re.match(r"</?[a-zA-Z!]", page[cut:]) else page[at:cut]  # a tag that the page's end cuts is none
-                node.children.append(rest)
-            break
-        if m.start() > at:
-            node.children.append(page[at : m.start()])
+            if first and first in "!?/":  # comments and the like
+                if lt > at:
+                    yield page[at:lt]
+                comment = page.startswith("<!--", lt)
+                end = page.find("-->" if comment else ">", lt + (4 if comment else 2))
+                at = size if end < 0 else end + (3 if comment else 1)
+            else:
+                yield page[at : lt + 1]
+                at = lt + 1
+            continue
+        if lt > at:
+            yield page[at:lt]
+        name, at, attributes = m.group().lower(), m.end(), []
+        while True:
+            m = _ATTRIBUTE.match(page, at)
+            if m is None:  # a tag that the page's end cuts is none
+                return
+            if m.group(1):
+                break
+            at, quote, value = m.end(), m.group(3), m.group(4) or ""
+            if quote:
+                if at <= last[quote]:
+                    end = page.index(quote, at)
+                    value, at = page[at:end], end + 1
+                else:
+                    bare = _BARE.match(page, at)
+                    value, at = bare.group(), bare.end()
+            attributes.append((m.group(2).lower(), value))
         at = m.end()
-        if m.group(2) is None:
+        yield name, closes, attributes, page[at - 2] == "/"
+        if name in RAW and not closes:
+            end = _closing(name).search(page, at)
+            at = end.end() if end else size
+
+
+_BARE = re.compile(r"[^\s>]*")
+
+
+@lru_cache(maxsize=64)
+def _closing(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I)
+
+
+def parse(page: str) -> Node:
+    """The tree of a page, read leniently: tags that are not closed end where their parents or followers do."""
+    root = Node("html", None, False, False)
+    node, depth = root, 0
+    opened: dict[str, int] = {}
+
+    def leave(to: Node) -> None:
+        nonlocal node, depth
+        while node is not to:
+            opened[node.tag] -= 1
+            depth -= 1
+            node = node.parent
+
+    for token in tags(page):
+        if isinstance(token, str):
+            node.children.append(token)
             continue
-        tag = m.group(2).lower()
-        if m.group(1):
-            up = node
+        tag, closes, attributes, closed = token
+        if closes:
+            up = node if opened.get(tag) else None
             while up is not None and up.tag != tag:
                 if tag not in BLOCKS and up.tag in ("td", "th", "table", "article", "body", "div", "section"):
                     up = None  # an inline tag does not close its block
                     break
                 up = up.parent
             if up is not None and up.parent is not None:
-                node = up.parent
+                leave(up.parent)
             elif tag in BLOCKS:
                 node.children.append(Node(tag, node, False, node.held))  # an end tag still parts its blocks
             continue
         if tag in BLOCKS:
             open_, bounds = CLOSES.get(tag, ((), ()))
-            up = node
+            up = end = node
             while up.parent is not None and up.tag not in bounds and (up.tag not in BLOCKS or up.tag in ("p", *open_)):
                 if up.tag == "p" or up.tag in open_:
-                    node = up.parent
+                    end = up.parent
                     if up.tag in open_ and tag not in ("tr",):
                         break
                 up = up.parent
+            leave(end)
             if open_ and node.tag not in bounds:
-                up = node
+                up = end = node
                 while up.parent is not None and up.tag not in bounds:
                     if up.tag in open_:
-                        node = up.parent
+                        end = up.parent
                     up = up.parent
-        attributes = m.group(3)
+                leave(end)
         dropped, named = _is_dropped(tag, attributes, node.held)
         child = Node(tag, node, node.dropped or tag in RAW or dropped, node.held or tag in HOLDERS)
         child.named = named
         node.children.append(child)
-        if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = close.end() if close else size
-        elif tag not in VOID and not attributes.rstrip().endswith("/"):
-            node = child
+        if tag not in RAW and tag not in VOID and not closed and depth < DEPTH:
+            node, depth = child, depth + 1
+            opened[tag] = opened.get(tag, 0) + 1
     return root
 
 
@@ -273,10 +335,10 @@ def article(root: Node) -> Node:
 
     The element with the greatest sum is the article.  Its neighbours, and those of
     the elements around it, are parts of it if they reach the threshold and are not
-    links in the main; the search ends at an article element, else at main, else at
-    the body.  In such a bound, and in the element itself, only what misses the
-    threshold and is links in the main goes, as a short text there is still the
-    article's.
+    links in the main, and so are headings, however short; the search ends at an
+    article element, else at main, else at the body.  In the element itself only what
+    misses the threshold and is links in the main goes, as a short text there is
+    still the article's.
     """
     body, best = judge(root)
     while best is not body and best.parent is not None and (best.tag not in BLOCKS or best.tag in PARTS):
@@ -298,12 +360,12 @@ def article(root: Node) -> Node:
             return c.density >= threshold or not links or c.tag not in BLOCKS or c.tag in TEXTS - LISTS
         if parent is best and (c.tag not in BLOCKS or c.tag in TEXTS):
             return not links or c.tag not in LISTS
-        return c.density >= threshold and not links
+        return (c.density >= threshold or c.tag in HEADINGS) and not links
 
     stack = [(bound, False)]
     while stack:
         n, inside = stack.pop()
-        inside = inside or n.tag in HOLDERS or n is best and n is not body or id(n) not in between
+        inside = inside or n is best and n is not body or id(n) not in between
         kept = []
         for c in n.children:
             if isinstance(c, str):
