@@ -4,10 +4,13 @@ The lexicon is learned from labelled documents: words, and stems with open ends,
 that occur almost only in toxic ones.  A text's distinct words run through one
 deterministic automaton, which is the union of the Levenshtein automata of all terms
 intersected with their trie, built state by state as words need it; so misspelled
-terms are found too, within one edit or, for long terms, two.  How much a match of
-each kind tells is learned from the labelled documents.  A match between quotation
-marks or beside a word of reporting counts less than a plain one; matches near one
-another or aimed at a person count more.
+terms are found too, any letter changed, left out or put in, the first included.
+How many edits a term bears follows from its length (``Term.edits``); only terms that
+tell by themselves bear any, as fitted weights of the others' misspellings are 0.  A
+word near a term that clean training texts use is an ordinary word, no misspelling.
+How much a match of each kind tells is learned from the labelled documents.  A match
+between quotation marks or beside a word of reporting counts less than a plain one;
+matches near one another or aimed at a person count more.
 """
 
 from __future__ import annotations
@@ -22,11 +25,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from cairn.llm.training import held_out, labelled
 
-#: Terms in the lexicon at most; the most frequent are taken.
-LEXICON = 2000
-#: Documents in which a term must occur, and the share of them that must be toxic.
+#: Training texts in which a term must occur, and the share of them that must be toxic; so there are no more terms than training words / SUPPORT.
 SUPPORT, PRECISION = 8, 0.7
-STEM = 4
+#: Letters of a stem, and of a word that is learned (a longer run of letters is no word).
+STEM, STEM_MOST, WORD_MOST = 4, 12, 100
+#: Clean training texts that make a word near a term an ordinary one.
+ORDINARY = 2
 #: Words on each side that make a match's context.
 SPAN = 6
 #: A term at or above this share tells by itself; a text with one other match may be clean.
@@ -35,6 +39,8 @@ QUOTE_FACTOR = 0.5
 FEATURES = ("strong", "soft", "soft_share", "misspelled", "aimed", "clustered")
 #: What the weights of FEATURES are believed to be before any row is seen, and how firmly.
 BELIEF = (5.0, 1.5, 10.0, 3.5, 0.5, 0.5)
+#: States of the automaton that a task keeps.
+STATES = 1 << 16
 FIRMNESS = 2.0
 THRESHOLD = 0.5
 
@@ -52,8 +58,9 @@ class Term:
 
     @property
     def edits(self) -> int:
+        """Words: one from four letters on, two from nine; stems, whose ends are open: one from six; a term that does not tell by itself: none."""
         n = len(self.text)
-        return 0 if n < 5 or self.stem or self.weight < STRONG else 1 if n < 9 else 2
+        return 0 if self.weight < STRONG else int(n >= 6) if self.stem else (n >= 4) + (n >= 9)
 
 
 class Automaton:
@@ -76,11 +83,15 @@ class Automaton:
                 node = self.children[node][c]
             self.allowed[node] = max(self.allowed[node], term.edits)
             self.ends[node].append(number)
+        self.letters = {c for x in self.children for c in x}
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget the states built so far."""
         self.states: dict[frozenset, int] = {}
         self.members: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
         self.found: list[tuple[list[tuple[int, int]], list[tuple[int, int]]]] = []
-        self.letters = {c for x in self.children for c in x}
         self.dead = self._state({})
         self.start = self._state({0: 0})
 
@@ -89,8 +100,6 @@ class Automaton:
         queue = list(nodes)
         while queue:
             n = queue.pop()
-            if not n:
-                continue
             for child in self.children[n].values():
                 e = nodes[n] + 1
                 if e <= self.allowed[child] and e < nodes.get(child, 9):
@@ -113,15 +122,15 @@ class Automaton:
                 nodes[n] = e
 
         for n, e in self.members[state]:
-            if n:  # a word begins with its term's letter
-                put(n, e + 1)
+            put(n, e + 1)
             for letter, child in self.children[n].items():
-                if n or letter == c:
-                    put(child, e + (letter != c))
+                put(child, e + (letter != c))
         return self._state(nodes)
 
     def match(self, word: str) -> tuple[int, int] | None:
         """(edits, term) of the best match of a word: a whole term, or a stem that it begins with."""
+        if len(self.members) > STATES:
+            self.clear()
         state, best = self.start, None
         for i, c in enumerate(word):
             c = c if c in self.letters else "\0"
@@ -139,25 +148,30 @@ class Automaton:
 
 
 class Scorer:
-    """Scores texts with a lexicon and the weights of FEATURES (the last weight is the constant)."""
+    """Scores texts with a lexicon and the weights of FEATURES (the last weight is the constant); ``ordinary`` words are no misspellings."""
 
-    def __init__(self, terms: list[Term], weights: list[float]):
+    def __init__(self, terms: list[Term], weights: list[float], ordinary: frozenset[str] = frozenset()):
         self.machine = Automaton(terms)
         self.weights = weights
-        self.known: dict[str, tuple[int, int] | None] = {}
+        self.ordinary = dict.fromkeys(ordinary)
+        self.known: dict[str, tuple[int, int] | None] = dict(self.ordinary)
 
     def matches(self, text: str) -> list[tuple[int, int, int, int]]:
         """(start, end, edits, term) of every match, in order."""
-        if len(self.known) > 1 << 20:
-            self.known.clear()
+        if len(self.known) > len(self.ordinary) + (1 << 19):
+            self.known = dict(self.ordinary)
         out = []
         known = self.known
         for m in _WORD.finditer(text):
             w = m.group().lower()
-            if w not in known:
-                known[w] = self.machine.match(w)
-            if known[w] is not None:
-                out.append((m.start(), m.end(), *known[w]))
+            if w in known:
+                found = known[w]
+            else:
+                found = self.machine.match(w)
+                if len(w) <= WORD_MOST:
+                    known[w] = found
+            if found is not None:
+                out.append((m.start(), m.end(), *found))
         return out
 
     def context(self, text: str, start: int, end: int) -> tuple[bool, bool]:
@@ -224,11 +238,12 @@ def fit(x: np.ndarray, y: np.ndarray) -> list[float]:
     return w.tolist()
 
 
-def learn(train: DataFrame) -> tuple[list[Term], list[float]]:
-    """(terms, weights of FEATURES) from (text, label).
+def learn(train: DataFrame) -> tuple[list[Term], list[float], frozenset[str]]:
+    """(terms, weights of FEATURES, ordinary words) from (text, label).
 
-    Word and stem counts are Spark aggregates; LEXICON terms come to the driver at
-    most, and the few features of each of the TRAINING_ROWS texts.
+    Word and stem counts are Spark aggregates; what comes to the driver are the terms,
+    the ordinary words near them, both bounded by the TRAINING_ROWS texts, and the few
+    features of each of these.
     """
     spark = train.sparkSession
     train = train.persist()
@@ -236,18 +251,17 @@ def learn(train: DataFrame) -> tuple[list[Term], list[float]]:
     n, t = whole["n"] or 0, whole["t"] or 0
     if not t or t == n:
         train.unpersist()
-        return [], [0.0] * len(FEATURES) + [math.log((t + 1) / (n - t + 1))]
+        return [], [0.0] * len(FEATURES) + [math.log((t + 1) / (n - t + 1))], frozenset()
     # words as runs of letters, with everything between as one separator
     words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{Nd}]+"))
-    counts = train.select("label", F.explode(words).alias("w")).where(F.length("w").between(STEM, 40)).groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("t"))
+    counts = train.select("label", F.explode(words).alias("w")).where(F.length("w").between(STEM, WORD_MOST)).groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("t"))
     counts = counts.persist()
-    some = counts.where("t > 0 AND t >= n * 0.5").select(F.explode(F.transform(F.sequence(F.lit(STEM), F.length("w")), lambda k: F.substring("w", 1, k))).alias("s")).distinct()
-    stems = counts.select("n", "t", F.explode(F.transform(F.sequence(F.lit(STEM), F.least(F.length("w"), F.lit(12))), lambda k: F.substring("w", 1, k))).alias("s"))
-    stems = stems.groupBy("s").agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.count(F.lit(1)).alias("kinds")).join(some, "s", "left_semi")
+    starts = F.explode(F.transform(F.sequence(F.lit(STEM), F.least(F.length("w"), F.lit(STEM_MOST))), lambda k: F.substring("w", 1, k))).alias("s")
+    some = counts.where("t > 0 AND t >= n * 0.5").select(starts).distinct()
+    stems = counts.select("n", "t", starts).groupBy("s").agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.count(F.lit(1)).alias("kinds")).join(some, "s", "left_semi")
     good = (F.col("t") >= SUPPORT) & (F.col("t") >= PRECISION * F.col("n"))
-    exact = counts.where(good).orderBy(F.desc("t"), "w").limit(LEXICON).select("w", "n", "t").collect()
-    open_ = stems.where(good & (F.col("kinds") > 1)).orderBy(F.desc("t"), "s").limit(LEXICON).collect()
-    counts.unpersist()
+    exact = counts.where(good).select("w", "n", "t").collect()
+    open_ = stems.where(good & (F.col("kinds") > 1)).collect()
     rate = t / n
     weigh = lambda v: (v[1] + rate) / (v[0] + 1)
     words_ = {r["w"]: (r["n"], r["t"]) for r in exact}
@@ -262,7 +276,17 @@ def learn(train: DataFrame) -> tuple[list[Term], list[float]]:
     sure = {s for s, v in stem.items() if weigh(v) >= STRONG}
     plain = {w: v for w, v in words_.items() if not any(w[:k] in (sure if w in strong else stem) for k in range(STEM, len(w) + 1))}
     terms = [Term(w, False, weigh(v)) for w, v in sorted(plain.items())] + [Term(s, True, weigh(v)) for s, v in sorted(stem.items())]
-    probe = spark.sparkContext.broadcast((terms, [*BELIEF, 0.0]))
+    known = spark.sparkContext.broadcast(terms)
+
+    def near(batches):
+        machine = Automaton(known.value)
+        for batch in batches:
+            yield batch.filter(pa.array([(machine.match(w.as_py()) or (0,))[0] > 0 for w in batch.column(0)], pa.bool_()))
+
+    used = counts.where((F.col("n") - F.col("t") >= ORDINARY) & (F.col("t") < PRECISION * F.col("n"))).select("w")
+    ordinary = frozenset(r["w"] for r in used.mapInArrow(near, "w string").collect())
+    counts.unpersist()
+    probe = spark.sparkContext.broadcast((terms, [*BELIEF, 0.0], ordinary))
 
     def look(batches):
         scorer = Scorer(*probe.value)
@@ -271,16 +295,18 @@ def learn(train: DataFrame) -> tuple[list[Term], list[float]]:
 
     seen = train.mapInArrow(look, "label int, x array<double>").collect()
     train.unpersist()
-    return terms, fit(np.array([r["x"] for r in seen]), np.array([r["label"] for r in seen], float))
+    return terms, fit(np.array([r["x"] for r in seen]), np.array([r["label"] for r in seen], float)), ordinary
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, held_out, score (0 to 1), predicted, n_exact, n_misspelled, n_quoted.
 
-    Null and empty texts get the score of a text without matches; without toxic
-    training rows every text gets their smoothed share.  Repeated rows each come back.
+    ``labels`` has the ids as doc_id.  Null and empty texts get the score of a text
+    without matches; without toxic training rows every text gets their smoothed
+    share.  Repeated rows each come back, equal texts with equal scores; a null id is
+    never held out.
     """
-    model = docs.sparkSession.sparkContext.broadcast(learn(labelled(docs, labels, "toxic")))
+    model = docs.sparkSession.sparkContext.broadcast(learn(labelled(docs, labels, "toxic", id_col=id_col, text_col=text_col)))
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
