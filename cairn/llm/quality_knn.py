@@ -1,7 +1,9 @@
 """Quality by nearest-neighbour voting among labelled latent-semantic vectors.
 
-A text's terms are hashed byte pairs and counts of its form (words in capitals or
-with symbols, words and lines that repeat, words without letters, its length); term
+A text's terms are hashed byte pairs and the form it has: shares of symbols, digits
+and capitals, of words, word pairs and lines that repeat, and its and its words'
+lengths, each laid over a logarithmic scale whose marks are the terms.  No mark means
+good or bad by itself; what it tells is learned with the latent space.  Term
 frequencies are damped and weighted by rarity.  The latent space is the truncated
 singular value decomposition of a bounded sample of labelled texts.  Their unit
 vectors and labels are broadcast (SAMPLE rows of DIMENSIONS numbers, whatever the
@@ -24,8 +26,8 @@ NEIGHBOURS = 15
 #: Similarities count by this power.
 SHARPNESS = 12
 PAIRS = 512
-#: Weight of the terms of form against that of byte pairs.
-FORM_WEIGHT = 3.0
+#: Marks of the scale of each measure of form, and the weight of all of them against that of byte pairs.
+MARKS, FORM_WEIGHT = 12, 1.0
 THRESHOLD = 0.3
 BLOCK = 512
 
@@ -35,35 +37,42 @@ for _c in _SYMBOLS:
     _CLASS[_c] = 1
 _CLASS[ord("0") : ord("9") + 1] = 2
 _CLASS[ord("A") : ord("Z") + 1] = 3
-FORMS = 24
+MEASURES = 11
+FORMS = MEASURES * MARKS
 
 
-def terms(raw: bytes) -> np.ndarray:
-    """Damped counts of a text's byte pairs and of its form."""
-    out = np.zeros(PAIRS + FORMS, np.float32)
-    if not raw:
-        out[PAIRS] = 1
-        return out
-    buf = np.frombuffer(raw, np.uint8)
-    if len(buf) > 1:
-        code = (buf[:-1].astype(np.uint32) * 0x9E3779B1 + buf[1:].astype(np.uint32) * 0x85EBCA6B) >> np.uint32(23)
-        counts = np.bincount(code & (PAIRS - 1), minlength=PAIRS)
-        out[:PAIRS] = np.log1p(counts * (2000 / len(buf)))
-    kind = np.bincount(_CLASS[buf], minlength=4) / len(buf)
+def measures(raw: bytes, buf: np.ndarray) -> list[float]:
+    """The form of a text, each measure from 0 to 1 on a logarithmic scale."""
     words = raw.split()
     n = max(1, len(words))
-    same = sum(a == b for a, b in zip(words[:-1], words[1:], strict=True)) / n
-    kinds = len(set(words)) / min(n, 2000)
+    kind = np.bincount(_CLASS[buf], minlength=4) / max(1, len(buf))
+    same = sum(map(bytes.__eq__, words[:-1], words[1:])) / n
     lines = [x for x in raw.split(b"\n") if x.strip()]
     again = 1 - len(set(lines)) / max(1, len(lines))
-    pairs = list(zip(words[:-1], words[1:], strict=True))
-    twice = 1 - len(set(pairs)) / max(1, len(pairs))
-    size = np.log10(n)
-    form = [
-        0, kind[1] > 0.002, kind[1] * 10, kind[1] > 0.03, kind[2] * 4, kind[2] > 0.15, kind[3] * 4, kind[3] > 0.2, same * 6, same > 0.05, max(0, 0.6 - kinds) * 4, kinds < 0.35, again * 4, again > 0.4, twice * 5, twice > 0.3,
-        size < 0.8, size < 1.3, size < 1.7, size >= 1.7, len(buf) / n > 9, len(buf) / n < 4, max(map(len, words), default=0) > 60, len(lines) > 0.2 * n,
-    ]
-    out[PAIRS:] = form
+    pairs = max(1, len(words) - 1)
+    twice = 1 - len(set(zip(words[:-1], words[1:], strict=True))) / pairs
+    kinds = np.log1p(len(set(words))) / np.log1p(n)  # of a text of any length alike
+    shares = [kind[1], kind[2], kind[3], same, again, twice, 1 - kinds]
+    sizes = [n, len(buf) / n, max(map(len, words), default=0), len(lines)]
+    return [np.log2(1 + 1023 * x) / 10 for x in shares] + [min(1.0, np.log2(1 + x) / 14) for x in sizes]
+
+
+def terms(raw: bytes) -> np.ndarray:
+    """Damped counts of a text's byte pairs, and the marks of its form, each measure dealt to the two beside it."""
+    out = np.zeros(PAIRS + FORMS, np.float32)
+    buf = np.frombuffer(raw, np.uint8)
+    if len(buf) > 1:
+        for a in range(0, len(buf) - 1, 1 << 20):
+            part = buf[a : a + (1 << 20) + 1].astype(np.uint32)
+            code = (part[:-1] * np.uint32(0x9E3779B1) + part[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(23)
+            out[:PAIRS] += np.bincount(code & (PAIRS - 1), minlength=PAIRS)
+        out[:PAIRS] = np.log1p(out[:PAIRS] * (2000 / len(buf)))
+    for k, x in enumerate(measures(raw, buf)):
+        low, part = divmod(min(x, 1.0) * (MARKS - 1), 1)
+        at = PAIRS + k * MARKS + int(low)
+        out[at] = 1 - part
+        if part:
+            out[at + 1] = part
     return out
 
 
@@ -79,7 +88,6 @@ class Model:
         self.labels = y.astype(np.float32)
         seen = (x > 0).sum(axis=0)
         self.weight = np.log((1 + len(x)) / (1 + seen)).astype(np.float32) + 0.1
-        self.weight[PAIRS:] = FORM_WEIGHT
         self.mean = np.zeros(x.shape[1], np.float32)
         if len(x):
             x = self._weighted(x)
@@ -89,10 +97,9 @@ class Model:
             self.vectors = self._units(x)
 
     def _weighted(self, x: np.ndarray) -> np.ndarray:
-        x = x.copy()
-        x[:, :PAIRS] *= self.weight[:PAIRS]
-        x[:, :PAIRS] /= np.maximum(np.linalg.norm(x[:, :PAIRS], axis=1, keepdims=True), 1e-9)
-        x[:, PAIRS:] *= FORM_WEIGHT
+        x = x * self.weight
+        for part, weight in ((x[:, :PAIRS], 1.0), (x[:, PAIRS:], FORM_WEIGHT)):
+            part *= weight / np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-9)
         return x
 
     def _units(self, x: np.ndarray) -> np.ndarray:
@@ -128,10 +135,12 @@ def learn(train: DataFrame) -> Model:
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """One row per input row: doc_id, held_out, score (0 to 1, higher: better), predicted.
 
-    Null and empty texts are scored as empty ones; without labelled rows every text
-    gets one half.  Repeated rows each come back with equal scores.
+    ``labels`` has the ids as doc_id.  Null and empty texts are scored as empty ones;
+    without labelled rows every text gets one half.  Repeated rows each come back
+    with equal scores; of neighbours equally near, those first in the sample vote; a
+    null id is never held out.
     """
-    model = docs.sparkSession.sparkContext.broadcast(learn(labelled(docs, labels, "quality", sample)))
+    model = docs.sparkSession.sparkContext.broadcast(learn(labelled(docs, labels, "quality", sample, id_col, text_col)))
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
