@@ -26,13 +26,13 @@ STOP_WORDS = (
 ).split()
 
 #: (measure, relation, threshold): a document that breaks one of these is not kept.
-#: Thresholds are ratios to words, lines or characters; see the measures below.
+#: Thresholds are ratios to words, lines or characters, and hold for texts of any length; see the measures below.
 RULES = (
     ("symbol_ratio", "<=", 0.10),
     ("upper_ratio", "<=", 0.30),
     ("digit_ratio", "<=", 0.50),
     ("dup_line_ratio", "<=", 0.45),
-    ("distinct_ratio", ">=", 0.20),
+    ("variety", ">=", 2.5),
     ("mean_word", "<=", 15.0),
     ("mean_word", ">=", 2.0),
     ("stop_ratio", ">=", 0.01),
@@ -86,7 +86,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
             "upper_ratio": F.col("_upper") / chars,
             "digit_ratio": F.col("_digit") / chars,
             "dup_line_ratio": F.col("n_dup_lines") / F.greatest(F.col("_n_lines"), F.lit(1)),
-            "distinct_ratio": F.col("_kinds") / F.least(words, F.lit(5000)),
+            "variety": F.col("_kinds") / F.sqrt(words),  # distinct words grow about with the root of all
             "mean_word": F.col("word_chars") / words,
             "stop_ratio": F.col("_stop") / words,
         }
@@ -107,7 +107,11 @@ def base_failed() -> Column:
 
 
 def _in_place(c: Column) -> Column:
-    """``c``, evaluated where it stands: a filter on it that the optimizer moved below the measures would repeat them inside itself."""
+    """``c``, evaluated where it stands: a filter on it that the optimizer moved below the measures would repeat them inside itself.
+
+    Spark moves no filter through a projection with a nondeterministic column; the
+    result does not depend on it, as the value is the same wherever it is computed.
+    """
     return F.coalesce(F.when(F.monotonically_increasing_id() >= 0, c), F.lit(False))
 
 

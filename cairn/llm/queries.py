@@ -93,7 +93,7 @@ OP5_MEASURES = {
     "upper_ratio": "n_upper / chars",
     "digit_ratio": "n_digit / chars",
     "dup_line_ratio": "n_dup_lines / greatest(len(lines), 1)",
-    "distinct_ratio": "len(list_distinct(w)) / least(words, 5000)",
+    "variety": "len(list_distinct(w)) / sqrt(words)",
     "mean_word": "word_chars / words",
     "stop_ratio": "n_stop / words",
 }
