@@ -7,8 +7,11 @@ last word of a window; words of documents that are hit are mapped back to the
 places of the original text.
 
 The automaton is broadcast, so its patterns are measured first.  Above
-``PATTERN_BYTES`` the benchmark is split by item into parts that fit, each with an
-automaton and a scan of its own, and the parts' hits are put together per document.
+``PATTERN_BYTES`` the benchmark is cut into parts that fit, long items between words
+with as many words in common as a window needs.  A task then reads its texts once,
+some megabytes at a time, takes them through one part after the other, and puts the
+hits together before it goes on: nothing is shuffled, and no more than one part's
+automaton is in memory.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from pyspark.sql import DataFrame, functions as F
 WINDOW = 10
 #: Bytes of normalised benchmark text in one automaton.
 PATTERN_BYTES = 4 << 20
+#: Bytes of documents that go through all parts together where there are several.
+CHUNK_BYTES = 64 << 20
 
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -90,94 +95,138 @@ def _places(raw: bytes, runs: list[tuple[int, int]]) -> list[dict]:
 
 
 _PLACES = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-_RUNS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-SCAN_DDL = "n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>, runs array<struct<a:int,b:int>>"
+SCAN_DDL = "n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
 
-_built: dict[str, Automaton] = {}
+#: The automaton that this Python worker built last.
+_built: dict[tuple, Automaton] = {}
 
 
-def _scanner(items, name: str, window: int, others: int):
-    def run(batches):
-        if name not in _built:
-            _built.clear()
-            _built[name] = Automaton(items.value, window)
-        machine = _built[name]
+class Parts:
+    """The parts of a benchmark, each a broadcast of (item, text)."""
+
+    def __init__(self, broadcasts: list, name: str, window: int):
+        self.broadcasts, self.name, self.window = broadcasts, name, window
+
+    def automata(self):
+        """The automata one after the other; only the last one is kept."""
+        for k, items in enumerate(self.broadcasts):
+            key = (self.name, k, self.window)
+            if key not in _built:
+                _built.clear()
+                _built[key] = Automaton(items.value, self.window)
+            yield _built[key]
+
+    def chunks(self, batches, column: int):
+        """Batches in groups: of one part each by itself, of several as many as CHUNK_BYTES hold."""
+        group, size = [], 0
         for batch in batches:
-            rows = [[], [], [], [], []]
-            for x in batch.column(others):
-                raw = x.as_buffer().to_pybytes() if x.is_valid else b""
-                n, first, last, held = machine.scan(raw)
-                runs = _merged(first, last)
-                for column, value in zip(rows, (n, sum(b - a + 1 for a, b in runs), sorted(map(str, held)), _places(raw, runs), [{"a": a, "b": b} for a, b in runs]), strict=True):
-                    column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), _PLACES, _RUNS)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:others], *[pa.array(r, k) for r, k in zip(rows, kinds, strict=True)]], names=[*batch.schema.names[:others], "n_words", "n_hit", "items", "spans", "runs"])
+            group.append(batch)
+            size += batch.column(column).nbytes
+            if len(self.broadcasts) == 1 or size > CHUNK_BYTES:
+                yield group
+                group, size = [], 0
+        if group:
+            yield group
+
+    def scan(self, texts: list[bytes]) -> list[tuple[int, list[tuple[int, int]], set]]:
+        """Of each text its number of words, its runs of hit words, and the items that hit it."""
+        first: list[list] = [[] for _ in texts]
+        last: list[list] = [[] for _ in texts]
+        items: list[set] = [set() for _ in texts]
+        count = [0] * len(texts)
+        for machine in self.automata():
+            for i, raw in enumerate(texts):
+                count[i], a, b, held = machine.scan(raw)
+                if len(a):
+                    first[i].append(a)
+                    last[i].append(b)
+                    items[i].update(held)
+        return [(n, _merged(np.concatenate(a), np.concatenate(b)) if a else [], x) for n, a, b, x in zip(count, first, last, items, strict=True)]
+
+
+def _raw(column: pa.Array) -> list[bytes]:
+    return [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in column]
+
+
+def _scanner(parts: Parts, others: int):
+    def run(batches):
+        for group in parts.chunks(batches, others):
+            texts = [t for batch in group for t in _raw(batch.column(others))]
+            found = iter(zip(texts, parts.scan(texts), strict=True))
+            for batch in group:
+                rows = [[], [], [], []]
+                for _ in range(batch.num_rows):
+                    raw, (n, runs, held) = next(found)
+                    for column, value in zip(rows, (n, sum(b - a + 1 for a, b in runs), sorted(map(str, held)), _places(raw, runs)), strict=True):
+                        column.append(value)
+                kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), _PLACES)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:others], *[pa.array(r, k) for r, k in zip(rows, kinds, strict=True)]], names=[*batch.schema.names[:others], "n_words", "n_hit", "items", "spans"])
 
     return run
 
 
-def _parts(benchmark: DataFrame, item_col: str, text_col: str, limit: int):
-    """The benchmark in parts of about ``limit`` bytes at most, brought over one at a time."""
+def cut_item(raw: bytes, size: int, window: int) -> list[bytes]:
+    """A text in pieces of about ``size`` bytes at most whose windows together are the text's own."""
+    if len(raw) <= size:
+        return [raw]
+    words = words_of(raw)
+    out, start, held = [], 0, 0
+    for k, w in enumerate(words):
+        held += len(w) + 1
+        if held > size and k - start >= 2 * window:
+            out.append(b" ".join(words[start : k + 1]))
+            start = k + 2 - window
+            held = sum(map(len, words[start : k + 1])) + window
+    if len(words) - start >= window or not out:
+        out.append(b" ".join(words[start:]))
+    return out
+
+
+def benchmark_parts(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW, limit: int = PATTERN_BYTES) -> Parts:
+    """The benchmark, brought over item by item and broadcast in parts of about ``limit`` bytes at most."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("text IS NOT NULL")
-    total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    n = max(1, -(-2 * total // limit)) if total > limit else 1
-    for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        yield n, [(r["item"], r["text"].encode()) for r in part.toLocalIterator()]
+    context = benchmark.sparkSession.sparkContext
+    broadcasts, part, size, name = [], [], 0, hashlib.sha256()
+    for r in items.toLocalIterator():
+        for piece in cut_item(r["text"].encode(), limit, window):
+            if part and size + len(piece) > limit:
+                broadcasts.append(context.broadcast(part))
+                part, size = [], 0
+            part.append((r["item"], piece))
+            size += len(piece) + 16
+            name.update(json.dumps([r["item"], piece.decode(errors="replace")]).encode())
+    broadcasts.append(context.broadcast(part))
+    return Parts(broadcasts, name.hexdigest(), window)
 
 
 def scan_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, limit: int = PATTERN_BYTES) -> DataFrame:
     """One row per input row: doc_id, n_words, n_hit, items (as strings, sorted), spans (character offsets in the text).
 
     A window is ``window`` consecutive words of an item, or all words of a shorter
-    one; a document word inside any occurrence of a window is hit.  Null texts have
-    no words; items without words have no window; repeated items count once.
-    Repeated rows each come back with the same values.
+    one; a document word inside any occurrence of a window is hit, and a span is a
+    run of hit words.  Null texts have no words; items without words have no window;
+    repeated items count once.  Repeated rows each come back with the same values.
+    ``limit`` bounds memory and changes no result.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    out = None
-    for n, items in _parts(benchmark, item_col, item_text_col, limit):
-        name = hashlib.sha256(json.dumps([[i, t.decode()] for i, t in items]).encode()).hexdigest()
-        scanned = rows
-        if n > 1:  # rows are told apart so that their parts can be put together again
-            scanned = rows.withColumn("hash", F.xxhash64("doc_id", "text")).select("doc_id", "hash", "text")
-        others = len(scanned.columns) - 1
-        ddl = f"doc_id {kind}, " + ("hash long, " if n > 1 else "") + SCAN_DDL
-        hits = scanned.mapInArrow(_scanner(spark.sparkContext.broadcast(items), name, window, others), ddl)
-        if n == 1:
-            return hits.drop("runs")
-        out = hits if out is None else out.union(hits)
-    grouped = out.groupBy("doc_id", "hash").agg(
-        F.max("n_words").alias("n_words"), (F.count(F.lit(1)) / n).cast("int").alias("copies"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-        F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans"), F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_set("runs")), lambda r: F.sequence(r["a"], r["b"])))).alias("words"),
-    )
-    grouped = grouped.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
-    return grouped.select("doc_id", "n_words", F.size("words").cast("long").alias("n_hit"), "items", "spans")
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    return rows.mapInArrow(_scanner(benchmark_parts(benchmark, item_col, item_text_col, window, limit), 1), f"doc_id {kind}, {SCAN_DDL}")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, limit: int = PATTERN_BYTES) -> DataFrame:
     """``docs`` without the rows whose text holds a window of the benchmark; columns stay as they are.
 
-    One scan of the text in which every row is judged by itself, a part of a large
-    benchmark at a time.
+    One scan of the text in which every row is judged by itself.
     """
-    spark = docs.sparkSession
-    for _, items in _parts(benchmark, "item_id", "text", PATTERN_BYTES):
-        name = hashlib.sha256(json.dumps([[i, t.decode()] for i, t in items]).encode()).hexdigest()
-        docs = docs.mapInArrow(_cleaner(spark.sparkContext.broadcast(items), name, window, docs.columns.index(text_col)), docs.schema)
-    return docs
+    return docs.mapInArrow(_cleaner(benchmark_parts(benchmark, "item_id", "text", window, limit), docs.columns.index(text_col)), docs.schema)
 
 
-def _cleaner(items, name: str, window: int, at: int):
+def _cleaner(parts: Parts, at: int):
     def run(batches):
-        if name not in _built:
-            _built.clear()
-            _built[name] = Automaton(items.value, window)
-        machine = _built[name]
-        for batch in batches:
-            clean = [not (x.is_valid and len(machine.scan(x.as_buffer().to_pybytes())[1])) for x in batch.column(at)]
-            yield batch.filter(pa.array(clean, pa.bool_()))
+        for group in parts.chunks(batches, at):
+            texts = [t for batch in group for t in _raw(batch.column(at))]
+            clean = iter([not runs for _, runs, _ in parts.scan(texts)])
+            for batch in group:
+                yield batch.filter(pa.array([next(clean) for _ in range(batch.num_rows)], pa.bool_()))
 
     return run
