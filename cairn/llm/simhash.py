@@ -6,8 +6,10 @@ differing bits leave some mask untouched, so every pair within the radius agrees
 under some mask: no pair is missed.  A bucket (mask, kept bits) is never expanded
 into pairs: its members are compared in blocks where they are, and only a spanning
 forest of its links leaves the task.  A bucket above ``LIMIT`` members is dealt out
-again, with all its pairs still covered, by masks over the bits that its own mask
-leaves free; exact copies collapse before any of this.
+again, with all its pairs still covered, by masks over the bits that are not kept yet,
+and so on: each deal keeps half of the free bits, and a bucket with ``FEW`` free bits
+has 2 ** FEW members at most, as exact copies collapse before any of this.  So no
+bucket that a task compares is above the greater of LIMIT and 2 ** FEW.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ from cairn.llm.components import connected
 from cairn.llm.scratch import Scratch
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
-#: Members of a bucket above which it is dealt out again.
-LIMIT = 4096
+#: Members of a bucket above which it is dealt out again, unless it has no more than FEW free bits.
+LIMIT, FEW = 4096, 12
 
 
 def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
@@ -67,38 +69,30 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def covering_masks(radius: int, bits: list[int]) -> np.ndarray:
-    """Masks over ``bits`` under one of which any two values agree that differ in ``radius`` of them or fewer."""
-    vector = {b: i % (2 << radius) for i, b in enumerate(bits)}
+    """Masks over ``bits`` under one of which any two values agree that differ in ``radius`` of them or fewer.
+
+    The vectors are taken from the last one down: of few bits they are an affine part
+    of the space, so every mask keeps about half of them or more.
+    """
+    vector = {b: (2 << radius) - 1 - i % (2 << radius) for i, b in enumerate(bits)}
     masks = [sum(1 << b for b in bits if (vector[b] & v).bit_count() % 2) for v in range(1, 2 << radius)]
     return np.array(masks, np.uint64)
 
 
 def _deal(radius: int):
-    """Fingerprints to (mask, key, fp) for every mask."""
-    masks = covering_masks(radius, list(range(64)))
+    """(kept, fp) to (kept, key, fp): a fingerprint under every mask over the bits that are not kept yet."""
+    known: dict[int, np.ndarray] = {}
 
     def run(batches):
         for batch in batches:
-            fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for k, mask in enumerate(masks):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), k, np.int32)), pa.array((fp & mask).view(np.int64)), pa.array(fp.view(np.int64))], names=["mask", "key", "fp"])
-
-    return run
-
-
-def _deal_again(radius: int):
-    """Members of large buckets to buckets by masks over the bits that are still free."""
-    masks = covering_masks(radius, list(range(64)))
-    again = [covering_masks(radius, [b for b in range(64) if not int(m) >> b & 1]) for m in masks]
-
-    def run(batches):
-        for batch in batches:
-            mask = batch.column(0).to_numpy(zero_copy_only=False)
-            fp = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
-            for k in np.unique(mask):
-                own = fp[mask == k]
-                for j, m in enumerate(again[k]):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), (j + 1) * len(masks) + k, np.int32)), pa.array((own & (masks[k] | m)).view(np.int64)), pa.array(own.view(np.int64))], names=["mask", "key", "fp"])
+            kept = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            fp = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            for k in np.unique(kept).tolist():
+                if k not in known:
+                    known[k] = covering_masks(radius, [b for b in range(64) if not k >> b & 1])
+                own = fp[kept == k]
+                for mask in known[k] | np.uint64(k):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), mask).view(np.int64)), pa.array((own & mask).view(np.int64)), pa.array(own.view(np.int64))], names=["kept", "key", "fp"])
 
     return run
 
@@ -121,10 +115,10 @@ def forest(fp: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def _links(radius: int):
-    """Buckets, sorted by mask and key, to the links of their spanning forests."""
-    def emit(mask, key, fp):
+    """Buckets, sorted by kept bits and key, to the links of their spanning forests."""
+    def emit(kept, key, fp):
         same = np.zeros(len(fp), bool)
-        same[1:] = (mask[1:] == mask[:-1]) & (key[1:] == key[:-1])
+        same[1:] = (kept[1:] == kept[:-1]) & (key[1:] == key[:-1])
         first = np.flatnonzero(~same)
         n = np.diff(np.append(first, len(fp)))
         pairs = first[n == 2]
@@ -154,20 +148,28 @@ def _links(radius: int):
 
 
 def near_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links (u, v) that join exactly the classes that all links within ``radius`` join; ``fps`` holds distinct fingerprints."""
-    dealt = fps.select("fp").mapInArrow(_deal(radius), "mask int, key long, fp long")
-    spark = fps.sparkSession
-    scratch = Scratch(spark, "simhash-large")
-    large = dealt.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LIMIT).select("mask", "key")
-    large = scratch.save(large, "large")
-    parts = [dealt]
-    if not large.isEmpty():
-        parts = [dealt.join(large, ["mask", "key"], "left_anti"), dealt.join(large, ["mask", "key"], "left_semi").select("mask", "key", "fp").mapInArrow(_deal_again(radius), "mask int, key long, fp long")]
-    out = None
-    for part in parts:
-        found = part.repartition("mask", "key").sortWithinPartitions("mask", "key").mapInArrow(_links(radius), "u long, v long")
+    """Links (u, v) that join exactly the classes that all links within ``radius`` join; ``fps`` holds distinct fingerprints.
+
+    Only buckets of two or more members go on from the grouping.  A deal of 31 masks
+    halves the free bits, so from 64 bits three deals reach FEW of them at the latest.
+    """
+    schema = "kept long, key long, fp long"
+    scratch = Scratch(fps.sparkSession, "simhash-large")
+    rest, out = fps.select(F.lit(0).cast("long").alias("kept"), "fp"), None
+    for round_ in range(64):
+        dealt = rest.mapInArrow(_deal(radius), schema)
+        if round_:  # two ways to the same bits are one bucket
+            dealt = dealt.distinct()
+        large = dealt.groupBy("kept", "key").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > LIMIT) & (64 - F.bit_count("kept") > FEW)).select("kept", "key")
+        large = scratch.save(large, f"large-{round_}")
+        more = not large.isEmpty()
+        part = dealt.join(large, ["kept", "key"], "left_anti") if more else dealt
+        found = part.repartition("kept", "key").sortWithinPartitions("kept", "key").mapInArrow(_links(radius), "u long, v long")
         out = found if out is None else out.union(found)
-    return out.distinct()
+        if not more:
+            return out.distinct()
+        rest = scratch.save(dealt.join(large, ["kept", "key"], "left_semi").select("kept", "fp"), f"rest-{round_}")
+    raise AssertionError("a deal of masks kept no further bit")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
