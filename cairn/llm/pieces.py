@@ -2,7 +2,9 @@
 
 Pieces and their scores come from a public model file, whose path is a parameter.
 Of a model whose scores are merge ranks, the log score of a piece is Zipf's law of
-its rank, -ln(rank + 1) less the logarithm of the law's sum.  Space is the marker
+its rank, -ln(rank + 1) less the logarithm of the law's sum; nothing is fitted, as
+tokenizers are not trained here.  Scores are rounded to 16 binary places, so sums are
+exact and the best path does not depend on where a text is cut.  Space is the marker
 U+2581 in pieces; a marker that stands in a text itself is spelled in byte pieces,
 as is every character that no piece covers, so decoding gives back every text
 exactly.
@@ -10,7 +12,9 @@ exactly.
 A piece has markers at its start only, so the best path of a text is made of the
 best paths of its words with the spaces before them.  Each distinct word of a task
 is searched once; words of similar length take the steps of the search together,
-and a text's pieces are then looked up word by word.
+and a text's pieces are then looked up word by word.  Long words, such as text of a
+script without spaces, are cut where no piece in them spans; what has no such place
+is searched step by step over its own matches.
 """
 
 from __future__ import annotations
@@ -26,8 +30,12 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
-#: Distinct words a task remembers.
-REMEMBERED = 1 << 20
+#: Bytes of words and ids that a task remembers, and the longest word that is remembered.
+REMEMBERED, REMEMBERED_WORD = 64 << 20, 256
+#: Words above this are cut where no piece spans, and parts above the second number are searched by themselves.
+LONG, ALONE = 64, 256
+#: Places of a long word that are matched at once.
+PLACES = 1 << 18
 #: Bytes of text that are encoded at once.
 CHUNK = 1 << 22
 
@@ -64,6 +72,7 @@ class Pieces:
         merges = all(float(s).is_integer() for _, s in plain)
         for rank, (i, score) in enumerate(ranked):
             self.scores[i] = -math.log(rank + 1) - whole if merges else score
+        self.scores = np.round(self.scores * 65536) / 65536
         self.unknown = float(self.scores[np.isfinite(self.scores)].min()) - 10
         self.base, self.check, self.value = double_array({self.bytes[i]: i for i, _ in plain})
         self.longest = max(map(len, self.bytes))
@@ -121,6 +130,89 @@ def _char_sizes(text: np.ndarray) -> np.ndarray:
 
 def viterbi(pieces: Pieces, words: list[bytes]) -> list[np.ndarray]:
     """The ids of the best path of each word; of equal paths, the one whose last pieces are longest."""
+    parts: dict[bytes, int] = {}
+    made: list[list[int]] = []
+    alone: dict[int, np.ndarray] = {}
+    for w in words:
+        if len(w) <= LONG:
+            made.append([parts.setdefault(w, len(parts))])
+            continue
+        text = np.frombuffer(w, np.uint8)
+        start, size, ids = matches(pieces, text)
+        cuts = _cuts(start, size, len(w))
+        numbers = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            part = w[a:b]
+            if part not in parts:
+                parts[part] = len(parts)
+                if b - a > ALONE:
+                    lo, hi = np.searchsorted(start, [a, b])
+                    alone[parts[part]] = _search(pieces, text[a:b], start[lo:hi] - a, size[lo:hi], ids[lo:hi])
+            numbers.append(parts[part])
+        made.append(numbers)
+    texts = list(parts)
+    paths = _together(pieces, [b"" if i in alone else t for i, t in enumerate(texts)])
+    for i, ids in alone.items():
+        paths[i] = ids
+    return [paths[n[0]] if len(n) == 1 else np.concatenate([paths[i] for i in n]) for n in made]
+
+
+def matches(p: Pieces, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, size, id) of every piece in a text, by start and size; -1 for a character that is no piece by itself."""
+    found = []
+    char = np.minimum(_char_sizes(text), len(text) - np.arange(len(text)))
+    for a in range(0, len(text), PLACES):
+        at = np.arange(a, min(a + PLACES, len(text)))
+        state, lone = np.zeros(len(at), np.int64), np.ones(len(at), bool)
+        for d in range(1, p.longest + 1):
+            go = at + d <= len(text)
+            at, state = at[go], state[go]
+            to = p.base[state] + text[at + d - 1]
+            go = p.check[to] == state
+            at, state = at[go], to[go]
+            if not len(at):
+                break
+            ends = p.value[state] >= 0
+            s = at[ends]
+            lone[s[char[s] == d] - a] = False
+            found.append((s, np.full(len(s), d), p.value[state[ends]]))
+        s = np.flatnonzero(lone) + a
+        found.append((s, char[s], np.full(len(s), -1)))
+    start, size, ids = (np.concatenate([f[k] for f in found]) for k in range(3))
+    by = np.lexsort((size, start))
+    return start[by], size[by], ids[by]
+
+
+def _cuts(start: np.ndarray, size: np.ndarray, n: int) -> list[int]:
+    """Where no match spans, both ends included."""
+    change = np.zeros(n + 2, np.int64)
+    np.add.at(change, start + 1, 1)
+    np.add.at(change, start + size, -1)
+    free = np.flatnonzero(np.cumsum(change)[1:n] == 0) + 1
+    return [0, *free.tolist(), n]
+
+
+def _search(p: Pieces, text: np.ndarray, start: np.ndarray, size: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The best path over the matches of one text."""
+    n = len(text)
+    score = np.where(ids < 0, p.unknown, p.scores[ids]).tolist()
+    best, back = [-math.inf] * (n + 1), [-1] * (n + 1)
+    best[0] = 0.0
+    for k, (s, d) in enumerate(zip(start.tolist(), size.tolist(), strict=True)):
+        value = best[s] + score[k]
+        if value > best[s + d]:
+            best[s + d], back[s + d] = value, k
+    out, at = [], n
+    while at:
+        k = back[at]
+        a = int(start[k])
+        out.append([int(ids[k])] if ids[k] >= 0 else p.byte_ids[text[a:at]].tolist())
+        at = a
+    return np.array([i for x in reversed(out) for i in x], np.int32)
+
+
+def _together(pieces: Pieces, words: list[bytes]) -> list[np.ndarray]:
+    """The best paths of short words, those of similar length together."""
     out: list[np.ndarray] = [np.array([], np.int32)] * len(words)
     by = sorted(range(len(words)), key=lambda i: len(words[i]))
     a = 0
@@ -203,29 +295,38 @@ class Encoder:
     def clear(self) -> None:
         self.number: dict[bytes, int] = {}
         self.flat, self.first, self.size = np.array([], np.int32), np.array([], np.int64), np.array([], np.int64)
+        self.held = 0
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text, with one space put before it."""
         split = [_WORDS.findall(b" " + t) for t in texts]
-        if len(self.number) > REMEMBERED:
+        if self.held > REMEMBERED:
             self.clear()
         new = [w for w in dict.fromkeys(w for s in split for w in s) if w not in self.number]
+        new.sort(key=lambda w: len(w) > REMEMBERED_WORD)  # long words, which hardly come again, last
+        stay = sum(len(w) <= REMEMBERED_WORD for w in new)
+        known, keep = len(self.number), len(self.flat)
+        flat, first, size = self.flat, self.first, self.size
         if new:
-            known = len(self.number)
             self.number.update((w, known + i) for i, w in enumerate(new))
             paths = viterbi(self.pieces, new)
-            size = np.array([len(x) for x in paths], np.int64)
-            self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])
-            self.size = np.concatenate([self.size, size])
-            self.flat = np.concatenate([self.flat, *paths])
+            sizes = np.array([len(x) for x in paths], np.int64)
+            first = np.concatenate([first, keep + np.cumsum(sizes) - sizes])
+            size = np.concatenate([size, sizes])
+            flat = np.concatenate([flat, *paths])
+            keep += int(sizes[:stay].sum())
         out = []
-        number = self.number.__getitem__
+        get = self.number.__getitem__
         for s in split:
-            w = np.fromiter(map(number, s), np.int64, len(s))
-            size = self.size[w]
-            total = np.cumsum(size)
-            at = np.repeat(self.first[w] - total + size, size) + np.arange(total[-1])
-            out.append(self.flat[at])
+            w = np.fromiter(map(get, s), np.int64, len(s))
+            n = size[w]
+            total = np.cumsum(n)
+            at = np.repeat(first[w] - total + n, n) + np.arange(total[-1])
+            out.append(flat[at])
+        for w in new[stay:]:
+            del self.number[w]
+        self.flat, self.first, self.size = flat[:keep], first[: known + stay], size[: known + stay]
+        self.held += sum(map(len, new[:stay])) + 100 * stay
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:
