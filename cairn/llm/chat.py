@@ -1,10 +1,10 @@
 """Chat formatting by schema fingerprints: hashed field paths select a declarative mapping to canonical turns.
 
 A layout is a set of nested field paths (``messages[].role``).  The fingerprint of
-a table or of a JSON value is the hash of its sorted paths; ``MAPPINGS`` holds, per
-fingerprint, SQL expressions that build the turns.  Turns are then written in one
-template, whose control strings are escaped inside texts so that parsing gives
-every turn back.
+a table or of a JSON value is the hash of its sorted paths, fields that no mapping
+knows left out; ``BY_FINGERPRINT`` holds, per fingerprint, the mapping whose SQL
+builds the turns.  Turns are then written in one template, whose control strings are
+escaped inside texts so that parsing gives every turn back.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` per turn.  In a text ``<``, any
 backslashes and ``|`` get one backslash more, so no ``<|`` of a text survives;
@@ -14,7 +14,9 @@ reading takes it away again.  In a role, backslash and line feed are escaped too
 from __future__ import annotations
 
 import hashlib
+import re
 from dataclasses import dataclass
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -38,16 +40,26 @@ def fingerprint(paths: list[str]) -> str:
 
 @dataclass(frozen=True)
 class Mapping:
-    """A layout: its paths, the type to read its JSON with, and the SQL that builds its turns."""
+    """A layout: its paths, the type to read its JSON with, and the SQL that builds its turns.
+
+    Values may lack the ``optional`` paths.  A layout ``by_row`` has one row per turn;
+    its SQL is an aggregate over the rows of a conversation.
+    """
 
     name: str
     paths: tuple[str, ...]
     json_type: str
     turns: str
+    optional: tuple[str, ...] = ()
+    by_row: bool = False
 
     @property
-    def fingerprint(self) -> str:
-        return fingerprint(list(self.paths))
+    def fingerprints(self) -> list[str]:
+        """Those of the paths with and without optional ones, and of arrays without elements."""
+        found = [[p for p in self.paths if p not in gone] for n in range(len(self.optional) + 1) for gone in combinations(self.optional, n)]
+        if all("[]" in p for p in self.paths):
+            found.append(sorted({p[: p.index("[]") + 2] for p in self.paths}))
+        return [fingerprint(paths) for paths in found]
 
 
 def _turn(role: str, text: str) -> str:
@@ -65,8 +77,8 @@ def _each(array: str, role: str, text: str) -> str:
 _SPEAKER = "CASE m.`from` WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE coalesce(m.`from`, '') END"
 
 MAPPINGS = (
-    Mapping("messages", ("messages[].role", "messages[].content"), "struct<messages:array<struct<role:string,content:string>>>", _each("messages", "coalesce(m.role, '')", "m.content")),
-    Mapping("conversations", ("conversations[].from", "conversations[].value"), "struct<conversations:array<struct<`from`:string,value:string>>>", _each("conversations", _SPEAKER, "m.value")),
+    Mapping("messages", ("messages[].role", "messages[].content"), "struct<messages:array<struct<role:string,content:string>>>", _each("messages", "coalesce(m.role, '')", "m.content"), ("messages[].content",)),
+    Mapping("conversations", ("conversations[].from", "conversations[].value"), "struct<conversations:array<struct<`from`:string,value:string>>>", _each("conversations", _SPEAKER, "m.value"), ("conversations[].value",)),
     Mapping("prompt", ("prompt", "completion"), "struct<prompt:string,completion:string>", _pair("prompt", "completion")),
     Mapping("prompt_response", ("prompt", "response"), "struct<prompt:string,response:string>", _pair("prompt", "response")),
     Mapping("question", ("question", "answer"), "struct<question:string,answer:string>", _pair("question", "answer")),
@@ -83,60 +95,81 @@ MAPPINGS = (
         "struct<system:string,prompt:string,response:string>",
         f"concat(array({_turn(chr(39) + 'system' + chr(39), 'system')}), {_pair('prompt', 'response')})",
     ),
+    Mapping(
+        "rows",
+        ("turn", "role", "text"),
+        "struct<turn:bigint,role:string,text:string>",
+        "transform(sort_array(collect_list(struct(turn, coalesce(role, '') AS role, coalesce(text, '') AS text))), m -> named_struct('role', m.role, 'text', m.text))",
+        by_row=True,
+    ),
 )
-ROWS = Mapping("rows", ("conv_id", "turn", "role", "text"), "struct<conv_id:bigint,turn:bigint,role:string,text:string>", "")
-BY_FINGERPRINT = {m.fingerprint: m for m in MAPPINGS}
+BY_FINGERPRINT = {print_: m for m in MAPPINGS for print_ in m.fingerprints}
+#: All paths that some mapping knows; a field below one of them counts too, as it changes what the path means.
+KNOWN = tuple(sorted({p for m in MAPPINGS for p in m.paths} | {"messages[]", "conversations[]"}))
+
+
+def known_paths(paths: list[str]) -> list[str]:
+    """The paths that mappings know, and those below them."""
+    return sorted({p for p in paths if p in KNOWN or any(p.startswith((f"{k}.", f"{k}[")) for k in KNOWN if not k.endswith("[]"))})
 
 
 def canonical_turns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """(conv_id, turns, layout) of a table with a known layout besides its id column.
+    """(conv_id, turns, layout) of a table, by the mapping that its fingerprint selects.
 
-    A table of one row per turn (conv_id, turn, role, text) is put together by id,
-    in the order of turn, role and text; a null role or text is empty.  Other layouts
-    have one row per conversation.  An unknown layout raises ValueError.
+    Of a layout of one row per turn (turn, role, text), rows are put together by id in
+    the order of turn, role and text, repeated rows each counting; null ids are one
+    conversation.  Other layouts have one row per conversation.  A null role, text or
+    array is empty; columns beside those of a layout are left out; an empty table
+    gives no row.  An unknown layout raises ValueError.
     """
-    paths = paths_of(df.schema)
-    if set(ROWS.paths) <= set(paths):
-        paths = list(ROWS.paths)  # columns beside those of the layout are left out
-    if fingerprint(paths) == ROWS.fingerprint:
-        row = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-        grouped = df.groupBy(F.col("conv_id")).agg(F.sort_array(F.collect_list(row)).alias("r"))
-        return grouped.select("conv_id", F.expr("transform(r, x -> named_struct('role', x.role, 'text', x.text))").alias("turns"), F.lit(ROWS.name).alias("layout"))
-    own = [p for p in paths if p.split(".")[0].split("[")[0] != id_col]
+    own = known_paths([p for p in paths_of(df.schema) if p.split(".")[0].split("[")[0] != id_col])
     mapping = BY_FINGERPRINT.get(fingerprint(own))
     if mapping is None:
-        raise ValueError(f"no mapping for the fields {sorted(own)}")
-    return df.select(F.col(id_col).alias("conv_id"), F.coalesce(F.expr(mapping.turns), F.expr("array()")).cast(TURNS).alias("turns"), F.lit(mapping.name).alias("layout"))
+        raise ValueError(f"no mapping for the fields {own}")
+    turns = F.coalesce(F.expr(mapping.turns), F.expr("array()")).cast(TURNS).alias("turns")
+    out = df.groupBy(F.col(id_col).alias("conv_id")).agg(turns) if mapping.by_row else df.select(F.col(id_col).alias("conv_id"), turns)
+    return out.withColumn("layout", F.lit(mapping.name))
 
 
-def json_fingerprint(value: Column) -> Column:
-    """The fingerprint of each JSON object by its own fields, whatever the types of its leaves."""
+def json_paths(value: Column) -> Column:
+    """The leaf paths of each JSON value, read off the text of its type: one fold over names, brackets and leaves."""
     kind = F.schema_of_variant(F.try_parse_json(value))
-    for m in (r"STRING|BIGINT|DOUBLE|BOOLEAN|VOID|DECIMAL\(\d+,\d+\)|DATE|TIMESTAMP(_NTZ)?|BINARY|FLOAT",):
-        kind = F.regexp_replace(kind, rf": ({m})\b\)?", ": _")
-    return F.sha2(kind, 256)
+    tokens = F.regexp_extract_all(kind, F.lit(r"(OBJECT<>|OBJECT<|ARRAY<|>|[^<>:, ]+: |[A-Z_]+(?:\([0-9, ]*\))?)"), F.lit(1))
+    text, none = F.lit(""), F.array().cast("array<string>")
+    top = lambda s: F.coalesce(F.try_element_at(s["base"], F.lit(-1)), text)
 
+    def step(s: Column, t: Column) -> Column:
+        name = F.substring(t, F.lit(1), F.length(t) - 2)
+        named = F.when(top(s) == "", name).otherwise(F.concat(top(s), F.lit("."), name))
+        at = F.when(t.endswith(": "), named).when(t == "ARRAY<", F.concat(s["at"], F.lit("[]"))).otherwise(s["at"])
+        base = F.when(t == "OBJECT<", F.concat(s["base"], F.array(s["at"]))).when(t == "ARRAY<", F.concat(s["base"], F.array(top(s)))).when(t == ">", F.slice(s["base"], F.lit(1), F.greatest(F.size(s["base"]) - 1, F.lit(0)))).otherwise(s["base"])
+        leaf = ~(t.endswith(": ") | t.isin("OBJECT<", "ARRAY<", ">"))
+        return F.struct(base.alias("base"), at.alias("at"), F.when(leaf, F.concat(s["out"], F.array(s["at"]))).otherwise(s["out"]).alias("out"))
 
-def _json_shape(mapping: Mapping) -> str:
-    """The shape text of a mapping's own layout, as json_fingerprint sees it."""
-    def shape(kind: T.DataType) -> str:
-        if isinstance(kind, T.StructType):
-            return "OBJECT<" + ", ".join(f"{f.name}: {shape(f.dataType)}" for f in sorted(kind.fields, key=lambda f: f.name)) + ">"
-        return f"ARRAY<{shape(kind.elementType)}>" if isinstance(kind, T.ArrayType) else "_"
+    return F.aggregate(tokens, F.struct(none.alias("base"), text.alias("at"), none.alias("out")), step)["out"]
 
-    return shape(T._parse_datatype_string(mapping.json_type))
+
+def json_fingerprint(value: Column) -> Column:
+    """The fingerprint of each JSON object by its own known fields, whatever the types of its leaves."""
+    plain = [k for k in KNOWN if not k.endswith("[]")]
+    known = F.filter(json_paths(value), lambda p: p.isin(*KNOWN) | F.exists(F.array(*[F.lit(k) for k in plain]), lambda k: p.startswith(F.concat(k, F.lit("."))) | p.startswith(F.concat(k, F.lit("[")))))
+    return F.sha2(F.array_join(F.array_sort(F.array_distinct(known)), "\n"), 256)
 
 
 def canonical_turns_from_json(df: DataFrame, json_col: str, id_col: str = "conv_id") -> DataFrame:
     """(conv_id, turns, layout) of JSON objects of mixed layouts, each mapped by its own fingerprint.
 
-    Rows of an unknown layout, null and broken JSON come back with null turns and layout.
+    Fields that no mapping knows change nothing, an empty array gives no turns, an
+    absent content is empty.  Rows of an unknown layout, a null in place of an array,
+    null and broken JSON come back with null turns and layout.
     """
     rows = df.select(F.col(id_col).alias("conv_id"), F.col(json_col).alias("_json"), json_fingerprint(F.col(json_col)).alias("_print"))
     turns, layout = F.lit(None).cast(TURNS), F.lit(None).cast("string")
     parsed = rows
     for m in MAPPINGS:
-        mine = F.col("_print") == hashlib.sha256(_json_shape(m).encode()).hexdigest()
+        if m.by_row:
+            continue
+        mine = F.col("_print").isin(*m.fingerprints)
         name = f"_{m.name}"
         parsed = parsed.withColumn(name, F.when(mine, F.from_json("_json", T._parse_datatype_string(m.json_type))))
         fields = T._parse_datatype_string(m.json_type).fieldNames()
@@ -147,8 +180,6 @@ def canonical_turns_from_json(df: DataFrame, json_col: str, id_col: str = "conv_
 
 def _of_struct(sql: str, fields: list[str]) -> str:
     """A mapping's SQL with its top fields taken from the struct ``s``."""
-    import re
-
     out = sql
     for f in fields:
         out = re.sub(rf"(?<![\w.'`]){f}(?![\w'`(])", f"s.{f}", out)
