@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from cairn.functions.text import stripped_ends
+
 
 def _date(y: Column, m: Column, d: Column) -> Column:
     """ISO date of three number texts, null if there is no such day."""
@@ -17,7 +19,7 @@ def _found(text: Column, pattern: str) -> Column:
 
 def parse_date(text: Column) -> Column:
     """YYYY-MM-DD of a text that begins with Y-M-D, Y年M月D or Y/M/D."""
-    t = F.trim(text)
+    t = stripped_ends(text)
     return F.coalesce(*[_found(t, rf"^(\d{{4}}){a}(\d{{1,2}}){b}(\d{{1,2}})") for a, b in (("-", "-"), ("年", "月"), ("/", "/"))])
 
 
@@ -48,7 +50,7 @@ def page_date(html: Column, url: Column) -> Column:
 
 def iso_from_rfc822(text: Column, as_of: Column) -> Column:
     """UTC time of an RFC 2822 date; a missing or broken one is ``as_of``."""
-    plain = F.regexp_replace(F.trim(text), r"^[A-Za-z]{3},\s*", "")
+    plain = F.regexp_replace(stripped_ends(text), r"^[A-Za-z]{3},\s*", "")
     zoned = F.try_to_timestamp(F.regexp_replace(plain, r"(?:GMT|UTC|Z)$", "+0000"), F.lit("d MMM yyyy HH:mm:ss Z"))
     return F.date_format(F.coalesce(zoned, F.try_to_timestamp(plain, F.lit("d MMM yyyy HH:mm:ss")), as_of), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
@@ -69,5 +71,19 @@ def day_key(published: Column) -> Column:
     return F.substring(published, 1, 10)
 
 
+def shanghai_day(seconds: Column) -> Column:
+    """The day in Shanghai, which keeps UTC+8, of a time in seconds as text or number; null for what is none."""
+    n = F.regexp_extract(seconds.cast("string"), r"^\s*(\d{1,11})\s*$", 1).try_cast("long")
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor((n + 8 * 3600) / 86400).cast("int")).cast("string")
+
+
+def feed_day(published: Column) -> Column:
+    """The day of an RFC 2822 date: as it stands for GMT, that in Shanghai for a numeric zone, null otherwise."""
+    plain = F.regexp_replace(stripped_ends(F.coalesce(published, F.lit(""))), r"^[A-Za-z]{3},\s*", "")
+    gmt = F.try_to_timestamp(plain, F.lit("dd MMM yyyy HH:mm:ss 'GMT'"))
+    zoned = F.try_to_timestamp(plain, F.lit("dd MMM yyyy HH:mm:ss Z"))
+    return F.coalesce(F.date_format(gmt, "yyyy-MM-dd"), shanghai_day(F.unix_timestamp(zoned)))
+
+
 def issue_number(as_of: Column) -> Column:
     return F.datediff(as_of, F.lit("2024-05-15").cast("date"))

@@ -19,10 +19,34 @@ def quoted(words: list[str]) -> str:
 
 
 def unescape(text: Column) -> Column:
-    """Common character references decoded; ``unescape_all`` knows every one."""
+    """Common character references and all numeric ones decoded; ``unescape_all`` knows every name.
+
+    Numbers are decoded in one pass over the pieces between them, and only where the
+    text has any, so what they spell is not read again.
+    """
+    pieces = F.split(text, "&#")
+    first, rest = F.element_at(pieces, 1), F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
+
+    def decoded(p: Column) -> Column:
+        hexed, plain = F.regexp_extract(p, r"^[xX]([0-9a-fA-F]{1,6});?", 1), F.regexp_extract(p, r"^([0-9]{1,7});?", 1)
+        n = F.when(hexed != "", F.conv(hexed, 16, 10).cast("int")).when(plain != "", plain.cast("int"))
+        known = n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF) & ~n.between(0x80, 0x9F)
+        wide = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        tail = F.regexp_replace(p, r"^(?:[xX][0-9a-fA-F]{1,6}|[0-9]{1,7});?", "")
+        return F.when(known, F.concat(_stand_in(wide), tail)).otherwise(F.concat(F.lit("&#"), p))
+
+    text = F.when(text.contains("&#"), F.concat(first, F.array_join(F.transform(rest, decoded), ""))).otherwise(text)
     for name, value in _NAMED.items():
         text = F.replace(text, F.lit(name), F.lit(value))
-    return F.replace(text, F.lit("&amp;"), F.lit("&"))
+    return F.replace(F.replace(text, F.lit("&amp;"), F.lit("&")), F.lit(_HELD), F.lit("&"))
+
+
+#: Stands for an ampersand that a number spells until the names are decoded.
+_HELD = "\ue000\ue001\ue000"
+
+
+def _stand_in(c: Column) -> Column:
+    return F.when(c == "&", F.lit(_HELD)).otherwise(c)
 
 
 @F.pandas_udf(T.StringType())
@@ -37,6 +61,11 @@ def escape(text: Column, apostrophe: str = "&#x27;") -> Column:
     return text
 
 
+def stripped_ends(text: Column) -> Column:
+    """Without the white space, as Unicode has it, at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def one_space(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, SPACE, " "), "^ | $", "")
 
@@ -62,7 +91,7 @@ def host(url: Column) -> Column:
 
 def safe_url(url: Column) -> Column:
     """The trimmed address if it is http or https, else the empty text."""
-    u = F.trim(F.coalesce(url, F.lit("")))
+    u = stripped_ends(F.coalesce(url, F.lit("")))
     return F.when(u.rlike("^(?i)https?://"), u).otherwise("")
 
 
@@ -118,7 +147,7 @@ def plain_title(title: Column) -> Column:
 
 def tags(text: Column) -> Column:
     """A comma list as an array of trimmed items."""
-    return F.filter(F.transform(F.split(text, ","), lambda t: F.trim(t)), lambda t: t != "")
+    return F.filter(F.transform(F.split(text, ","), stripped_ends), lambda t: t != "")
 
 
 def unwrap_jsonp(text: Column) -> Column:

@@ -83,7 +83,9 @@ SEARCH_NOISE = [
     "官网", "官方网站", "计算器", "一站尽览", r"第\d+页", "网上投保", "网上买保险", "保险商城", "投保入口", "产品介绍_保险产品知识", "险种_网上", "保险产品介绍", "保险产品知识", "理赔流程-", "理赔服务$", "保险网$", "保险频道", "招聘猎头",
     "保险险种_", "保险产品知识_", "保险问答", "需要多久", "保险知识_", "爆款产品", "产品名称:", "_汽车之家", "保险测评.*期", "保险专题报告.*腾讯",
 ]
-SEARCH_CHANNELS = ["baidu", "google", "360", "sogou", "wechat"]
+SEARCH_CHANNELS = ["baidu", "google", "360", "sogou", "bing"]
+LOW_QUALITY_ACCOUNTS = ["社区", "随笔", "日常", "生活", "风的", "晓", "日记", "博客", "个人", "小镇", "村庄", "街道", "便民", "信息港", "同城", "人社", "政务", "管委会", "办事处"]
+BROADCAST_KEYWORDS = ["保险", "金融监管", "银保监", "偿付能力", "农险", "养老金"]
 LAYER_TYPES = {"reinsurance": "国际再保险", "consulting": "全球咨询", "domestic": "国内研究", "regulator": "监管机构"}
 LAYER_LABELS = {"reinsurance": "国际再保险巨头", "consulting": "全球咨询机构", "domestic": "国内研究机构"}
 SOURCE_TYPE_LABELS = {
@@ -98,10 +100,6 @@ DOMAIN_PREFIXES = ["www", "news", "finance", "m", "wap", "insurance", "b", "sogo
 LAYER_ORDER = ["reinsurance", "consulting", "domestic"]
 NOTABLE_TYPES = ["监管机构", "监管", "协会", "研究机构", "咨询"]
 NOTABLE_NAMES = ["总局", "协会", "研究院", "再保险", "学会", "银保监"]
-CATEGORY_VALUES = {
-    "regulation": "对行业合规经营与业务边界具有指引意义", "product": "反映保险产品在保障责任与形态上的创新方向", "claims": "关乎理赔体验与保险欺诈治理的实务进展",
-    "research": "提供数据与方法论，可作为研判行业走势的参考", "industry": "反映保险市场格局与经营环境的最新变化",
-}
 # End of the fixed values.
 
 #: For text in English, French, German or Spanish without a lexicon of its own: frequent short words.

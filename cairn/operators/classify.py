@@ -87,15 +87,25 @@ def label_of(key: Column, labels: dict[str, str], default: Column | None = None)
     return F.coalesce(found, default if default is not None else key)
 
 
+def layer_of(layer: Column, types: dict[str, str] = L.LAYER_TYPES, default: str = "consulting") -> Column:
+    """A known layer as it is, any other as the default."""
+    return F.when(layer.isin(*types), layer).otherwise(F.lit(default))
+
+
+def layer_type(layer: Column, types: dict[str, str] = L.LAYER_TYPES) -> Column:
+    """The source type of a layer."""
+    return label_of(layer_of(layer, types), types)
+
+
 def rank_bucket(score: Column) -> Column:
     return F.when(score >= 90, "high").when(score >= 80, "medium").otherwise("low")
 
 
-def reason(title: Column, summary: Column, source: Column, kind: Column, category: Column, score: Column, themes: list[tuple[list[str], str, list[str]]], hints: dict[str, tuple[str, str]], category_names: dict[str, str], theme_openers: list[str], category_openers: list[str], tails: list[str], values=L.CATEGORY_VALUES) -> Column:
+def reason(title: Column, summary: Column, source: Column, kind: Column, category: Column, score: Column, themes: list[tuple[list[str], str, list[str]]], hints: dict[str, tuple[str, str]], category_names: dict[str, str], theme_openers: list[str], category_openers: list[str], tails: list[str], values: dict[str, str]) -> Column:
     """A sentence on why a row is worth reading: theme, else source, else category; the wording follows the title's checksum.
 
     ``themes`` are (keywords, label, clauses) in order of precedence; openers have the
-    places {label}, {ccat} and {clause}.
+    places {label}, {ccat} and {clause}; ``values`` has a clause per category.
     """
     text = searchable(title, summary)
     label, clause = F.lit(None).cast("string"), F.lit(None).cast("string")

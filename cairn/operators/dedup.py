@@ -62,37 +62,79 @@ def similar_pairs(rows: DataFrame, key: str, seq: str, kind: str, threshold: flo
     return both.where(F.col("similarity") > threshold if strict else F.col("similarity") >= threshold)
 
 
-def first_independent(nodes: DataFrame, pairs: DataFrame, scratch: Scratch | None = None, rounds: int = 200) -> DataFrame:
+def first_independent(nodes: DataFrame, pairs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(i) of the rows that a pass in order keeps, of ``nodes`` (i) and ``pairs`` (i before j).
 
     Rows without a pair are kept at once; each round decides every row whose earlier
-    neighbours are decided.  States are written once a round.
+    neighbours are decided, and at least the first of those that are open, so it
+    ends for chains of any length.  States are written once a round.
     """
     scratch = scratch or Scratch(nodes.sparkSession, "greedy")
     pairs = scratch.save(pairs.select("i", "j").distinct(), "pairs")
     state = scratch.save(pairs.select("j").distinct().select(F.col("j").alias("i"), F.lit(None).cast("boolean").alias("kept")), "state-0")
     heads = pairs.select("i").distinct().join(state, "i", "left_anti").select("i", F.lit(True).alias("kept"))
     state = scratch.save(state.union(heads), "state-1")
-    for k in range(2, rounds):
-        if state.where("kept IS NULL").isEmpty():
-            break
+    k = 1
+    while not state.where("kept IS NULL").isEmpty():
+        k += 1
         before = pairs.join(state, "i").groupBy("j").agg(F.coalesce(F.max("kept"), F.lit(False)).alias("beside"), F.count_if(F.col("kept").isNull()).alias("open"))
         decided = state.join(before.withColumnRenamed("j", "i"), "i", "left")
         value = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("beside"), False).when(F.col("open") == 0, True)
         state = scratch.save(decided.select("i", value.alias("kept")), f"state-{k}")
         scratch.release()
-    else:
-        raise RuntimeError(f"undecided rows after {rounds} rounds")
     return nodes.join(state.where("NOT kept").select("i"), "i", "left_anti")
 
 
-def greedy(items: DataFrame, text_col: str, seq: str, kind: str = "edit", threshold: float = 0.82, strict: bool = False, existing: DataFrame | None = None, gate: Column | None = None) -> DataFrame:
+def first_of_keys_and_titles(items: DataFrame, seq: str, key: str, text_col: str, kind: str = "edit", threshold: float = 0.82) -> DataFrame:
+    """``items`` without those that have the key of an earlier kept row, or a title like one's.
+
+    A key or a title counts as seen only when its row is kept, so equal ones cannot
+    stand for one another.  Rows are never paired within a key or a title: each round
+    takes the least kept and the least open row of every key and of every title, which
+    combine before the shuffle, and a title's from the titles near it.  A null key or
+    title is like no other.
+    """
+    scratch = Scratch(items.sparkSession, "keyed")
+    low = F.lower(F.col(text_col)) if kind == "edit" else F.col(text_col)
+    rows = scratch.save(items.select(F.col(seq).cast("long").alias("i"), F.col(key).alias("u"), F.nullif(low, F.lit("")).alias("t")), "rows")
+    titles = scratch.save(rows.where("t IS NOT NULL").groupBy("t").agg(F.min("i").alias("i")), "titles")
+    near = similar_pairs(titles, "t", "i", kind, threshold).select("i", "j")
+    near = near.union(near.select("j", "i")).union(titles.select("i", F.col("i").alias("j")))
+    near = near.join(titles, "i").select("t", "j").join(titles.select(F.col("i").alias("j"), F.col("t").alias("other")), "j").select("t", "other")
+    near = scratch.save(near, "near")
+    state = rows.withColumn("kept", F.lit(None).cast("boolean"))
+    k = 0
+    while True:
+        least = lambda c: [F.min(F.when(F.col("kept"), F.col("i"))).alias(f"{c}_kept"), F.min(F.when(F.col("kept").isNull(), F.col("i"))).alias(f"{c}_open")]
+        by_title = state.where("t IS NOT NULL").groupBy(F.col("t").alias("other")).agg(*least("t"))
+        by_title = near.join(by_title, "other").groupBy("t").agg(F.min("t_kept").alias("t_kept"), F.min("t_open").alias("t_open"))
+        by_key = state.where("u IS NOT NULL").groupBy("u").agg(*least("u"))
+        seen = state.join(by_title, "t", "left").join(by_key, "u", "left")
+        before = lambda what: F.least(F.col(f"t_{what}"), F.col(f"u_{what}")) < F.col("i")
+        value = F.when(F.col("kept").isNotNull(), F.col("kept")).when(before("kept"), False).when(F.coalesce(before("open"), F.lit(False)), None).otherwise(True)
+        state = scratch.save(seen.select("i", "u", "t", value.alias("kept")), f"state-{k}")
+        scratch.release()
+        if state.where("kept IS NULL").isEmpty():
+            break
+        k += 1
+    return items.join(state.where("kept").select(F.col("i").alias(seq)), seq, "left_semi").select(*items.columns)
+
+
+def greedy(items: DataFrame, text_col: str, seq: str, kind: str = "edit", threshold: float = 0.82, strict: bool = False, existing: DataFrame | None = None, gate: Column | None = None, empty: str = "drop") -> DataFrame:
     """``items`` without those that resemble an earlier kept row or any text of ``existing``.
 
     ``existing`` has the column ``text_col``.  ``gate`` drops rows after the comparison
     with existing ones; a row that it drops stands in no other's way.  Empty and null
-    texts are dropped.
+    texts resemble no other: ``empty`` says whether they are dropped (``drop``), kept
+    (``keep``), or only the first is kept (``first``).
     """
+    if empty != "drop":
+        blank = items.where(F.coalesce(F.col(text_col), F.lit("")) == "")
+        if gate is not None:
+            blank = blank.where(gate)
+        if empty == "first":
+            blank = blank.orderBy(seq).limit(1)
+        return greedy(items, text_col, seq, kind, threshold, strict, existing, gate).unionByName(blank)
     spark = items.sparkSession
     scratch = Scratch(spark, "greedy")
     low = (lambda c: F.lower(c)) if kind == "edit" else (lambda c: c)

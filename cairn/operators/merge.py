@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cairn import lexicon as L
 from cairn.functions.text import safe_url
 from cairn.operators.classify import label_of
-from cairn.operators.dedup import first_of_each, greedy
+from cairn.operators.dedup import first_of_each, first_of_keys_and_titles, greedy, similar_pairs
+from cairn.scratch import Scratch
 
 
 def unseen(batch: DataFrame, existing: DataFrame, key: str, seq: str) -> DataFrame:
@@ -18,8 +19,26 @@ def unseen(batch: DataFrame, existing: DataFrame, key: str, seq: str) -> DataFra
 
 
 def merge_reports(batch: DataFrame, existing: DataFrame, seq: str = "seq", url: str = "url", title: str = "title", threshold: float = 0.82) -> DataFrame:
-    """New reports: address unseen, title like no other's; existing rows are never overwritten."""
-    return greedy(unseen(batch.where(F.coalesce(F.col(url), F.lit("")) != ""), existing, url, seq), title, seq, "edit", threshold, existing=existing.select(title))
+    """New reports: address unseen, title like no other's; existing rows are never overwritten.
+
+    Of the batch, an address is seen when a row with it is kept, so a later row of
+    the address stays where the first falls for its title.  Rows without an address
+    or a title are dropped; so are those whose address or title ``existing`` has.
+    """
+    rows = batch.where((F.coalesce(F.col(url), F.lit("")) != "") & (F.coalesce(F.col(title), F.lit("")) != ""))
+    rows = rows.join(existing.select(url).distinct(), url, "left_anti").select(*batch.columns)
+    texts = rows.groupBy(F.lower(title).alias("_t")).agg(F.min(seq).alias("_i"))
+    fresh = unlike(texts, existing, title, threshold)
+    rows = rows.join(fresh, F.lower(rows[title]) == fresh["_t"], "left_semi").select(*batch.columns)
+    return first_of_keys_and_titles(rows, seq, url, title, "edit", threshold)
+
+
+def unlike(texts: DataFrame, existing: DataFrame, title: str, threshold: float) -> DataFrame:
+    """Of distinct lower-case texts (_t, _i), those that no title of ``existing`` resembles."""
+    old = existing.select(F.lower(title).alias("_t")).where("_t IS NOT NULL AND _t != ''").distinct().withColumn("_i", -F.abs(F.xxhash64("_t")) - 1)
+    both = Scratch(texts.sparkSession, "unlike").save(texts.join(old, "_t", "left_anti").unionByName(old), "both")
+    taken = similar_pairs(both, "_t", "_i", "edit", threshold).where("i < 0 AND j >= 0").select(F.col("j").alias("_i"))
+    return both.where("_i >= 0").join(taken, "_i", "left_anti").select("_t")
 
 
 def protect_curated(reports: DataFrame) -> DataFrame:
@@ -31,41 +50,77 @@ def unique_items(items: DataFrame, seq: str = "seq", threshold: float = 0.5) ->
     """The archive pass after the noise filters: first of each address (of each title where there is none), then character Jaccard.
 
     A row that the title comparison drops still keeps its address from later rows.
+    Rows without a title resemble none; those without an address as well all stay.
     """
-    key = F.when(F.coalesce(F.col("url"), F.lit("")) != "", F.concat(F.lit("u"), F.col("url"))).otherwise(F.concat(F.lit("t"), F.coalesce(F.col("title"), F.lit(""))))
-    first = first_of_each(items.withColumn("_key", key), ["_key"], [seq]).drop("_key")
-    return greedy(first, "title", seq, "jaccard", threshold, strict=True)
+    url, title = F.nullif(F.col("url"), F.lit("")), F.nullif(F.col("title"), F.lit(""))
+    keyed = items.withColumn("_key", F.coalesce(F.concat(F.lit("u"), url), F.concat(F.lit("t"), title)))
+    first = first_of_each(keyed.where("_key IS NOT NULL"), ["_key"], [seq]).unionByName(keyed.where("_key IS NULL")).drop("_key")
+    return greedy(first, "title", seq, "jaccard", threshold, strict=True, empty="keep")
 
 
 def retain(today: DataFrame, old: DataFrame, as_of: Column, days: int = 3) -> DataFrame:
     """Today's rows and those old ones, not seen today, that are verified and recent or unverified with a date.
 
-    Old research that is no report becomes ``industry``; the first of equal addresses stays.
+    Old research that is no report becomes ``industry``, the type of an old source is
+    named as today's are; the first of equal addresses stays.
     """
     day = F.substring(F.coalesce("published_at", F.lit("")), 1, 10)
     verified = F.coalesce(F.col("date_verified"), F.lit(False))
     kept = old.where((F.coalesce("source_url", F.lit("")) != "") & ((verified & (day >= F.date_sub(as_of, days).cast("string"))) | (~verified & (day != ""))))
     demoted = F.when((F.col("category") == "research") & ~F.coalesce(F.col("is_research_report"), F.lit(False)), "industry").otherwise(F.col("category"))
-    kept = first_of_each(kept.withColumn("category", demoted), ["source_url"], ["seq"])
+    kept = kept.withColumn("category", demoted)
+    if "source_type" in old.columns:
+        kept = kept.withColumn("source_type", label_of(F.col("source_type"), L.SOURCE_TYPE_LABELS, F.coalesce("source_type", F.lit("财经媒体"))))
+    kept = first_of_each(kept, ["source_url"], ["seq"])
     return today.unionByName(kept.join(today.select("source_url").distinct(), "source_url", "left_anti").select(*today.columns))
 
 
-def inject_registry(items: DataFrame, reports: DataFrame, topics: dict[str, str] = L.TOPIC_LABELS, seq: str = "seq") -> DataFrame:
-    """Curated reports as rows of the category research, for addresses that are not there yet; a missing address is ``#``."""
+def inject_registry(items: DataFrame, reports: DataFrame, topics: dict[str, str] = L.TOPIC_LABELS, seq: str = "seq", reason: str = "权威研究报告：{institution}，{layer}") -> DataFrame:
+    """Curated reports as rows of the category research, for addresses that are not there yet; a missing address is ``#``.
+
+    ``reason`` is the sentence on them, with the places {institution} and {layer}.
+    """
+    why = F.replace(F.replace(F.lit(reason), F.lit("{institution}"), F.coalesce("institution_cn", F.lit(""))), F.lit("{layer}"), label_of(F.col("layer"), L.LAYER_LABELS, F.lit("行业")))
     url = F.when(safe_url(F.col("url")) != "", safe_url(F.col("url"))).otherwise("#")
     facts = F.array_join(F.slice(F.coalesce("key_data", F.array().cast("array<string>")), 1, 3), "；")
     summary = F.concat_ws(" ", F.nullif("key_insight", F.lit("")), F.when(facts != "", F.concat(F.lit("关键数据："), facts)))
     rows = reports.select(
         seq, "title", F.substring(summary, 1, 300).alias("summary"), F.coalesce("institution_cn", "institution").alias("source_name"), label_of(F.col("layer"), L.LAYER_LABELS, F.lit("研究机构")).alias("source_type"), url.alias("source_url"),
-        F.lit(95).alias("ai_score"), label_of(F.col("topic"), topics, F.lit("")).alias("tags"), F.lit("research").alias("category"), F.col("publish_date").alias("published_at"), F.lit(True).alias("date_verified"), F.col("topic").alias("research_topic"), F.lit(True).alias("is_research_report"),
+        F.lit(95).alias("ai_score"), label_of(F.col("topic"), topics, F.lit("")).alias("tags"), F.lit("research").alias("category"), F.col("publish_date").alias("published_at"), F.lit(True).alias("date_verified"), F.col("topic").alias("research_topic"), F.lit(True).alias("is_research_report"), why.alias("reason"),
     )
     return items.unionByName(unseen(rows, items, "source_url", seq), allowMissingColumns=True)
 
 
-def sync_sources(known: DataFrame, items: DataFrame, score: int = 80, seq: str = "seq") -> DataFrame:
-    """Known sources and the new ones of ``items``, each with the type it first came with."""
-    new = items.where(F.coalesce("source_name", F.lit("")) != "").groupBy(F.col("source_name").alias("name")).agg(F.min_by("source_type", seq).alias("type"))
-    return known.unionByName(new.join(known.select("name"), "name", "left_anti").select("name", "type", F.lit(score).alias("score")), allowMissingColumns=True)
+def sync_sources(known: DataFrame, items: DataFrame, as_of: Column, score: int = 80, seq: str = "seq", freq: str = "不定期", status: str = "active", kind: str = "媒体") -> DataFrame:
+    """Known sources and the new ones of ``items``, each with the type it first came with, its frequency, day and state."""
+    new = items.where(F.coalesce("source_name", F.lit("")) != "").groupBy(F.col("source_name").alias("name")).agg(F.min_by(F.coalesce("source_type", F.lit(kind)), seq).alias("type"))
+    new = new.join(known.select("name"), "name", "left_anti").select("name", "type", F.lit(score).alias("score"), F.lit(freq).alias("update_freq"), as_of.cast("date").cast("string").alias("last_update"), F.lit(status).alias("status"))
+    return known.unionByName(new, allowMissingColumns=True)
+
+
+def fetch_health(attempts: DataFrame, rows: DataFrame) -> DataFrame:
+    """(name, count, ok) of every source that was tried: how many rows it gave, and whether it gave any without an error.
+
+    ``attempts`` has name and error (null: none); ``rows`` has source_name.  Rows of a
+    source that failed do not count, and no source stands in another's way.
+    """
+    got = rows.groupBy(F.col("source_name").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    tried = attempts.groupBy("name").agg(F.bool_or(F.col("error").isNotNull()).alias("failed"))
+    count = F.when(F.col("failed"), 0).otherwise(F.coalesce("n", F.lit(0))).cast("long")
+    return tried.join(got, "name", "left").select("name", count.alias("count"), (count > 0).alias("ok"))
+
+
+def of_sound_sources(rows: DataFrame, attempts: DataFrame) -> DataFrame:
+    """``rows`` without those of sources whose fetching failed."""
+    failed = attempts.where("error IS NOT NULL").select(F.col("name").alias("source_name")).distinct()
+    return rows.join(failed, "source_name", "left_anti").select(*rows.columns)
+
+
+def with_user_state(items: DataFrame, state: DataFrame, key: str = "id", flags: tuple[str, ...] = ("is_read", "is_favourite")) -> DataFrame:
+    """``items`` with a user's flags, false where there are none; of several rows of a key any true one counts."""
+    own = state.groupBy(key).agg(*[F.bool_or(F.coalesce(F.col(f), F.lit(False))).alias(f) for f in flags])
+    joined = items.join(own, key, "left")
+    return joined.withColumns({f: F.coalesce(F.col(f), F.lit(False)) for f in flags})
 
 
 def merge_health(existing: DataFrame, fetched: DataFrame, counts: DataFrame, strict: bool = False) -> DataFrame:

@@ -56,6 +56,14 @@ def is_search_noise(title: Column, patterns: list[str] = L.SEARCH_NOISE) -> Colu
     return F.coalesce(title, F.lit("")).rlike("|".join(patterns))
 
 
+def is_search_hit(url: Column, title: Column, keyword: Column, own: str = "so.com", own_articles: str = "360kuai.com", subject: str = "保险") -> Column:
+    """An article of the search engine's own, or a long title of another host that has the subject or the keyword.
+
+    The second half holds together: an own article needs no title.
+    """
+    return url.contains(own_articles) | (~url.contains(own) & (F.length(title) > 8) & (title.contains(subject) | F.contains(title, keyword)))
+
+
 def is_report(source: Column, title: Column, content: Column, institutions: dict[str, list[str]] = L.INSTITUTIONS) -> Column:
     return has_any(searchable(source, title, content), _low([w for words in institutions.values() for w in words]))
 
@@ -87,6 +95,12 @@ def or_fallback(items: DataFrame, fallback: DataFrame) -> DataFrame:
     return items.unionByName(fallback.join(F.broadcast(items.limit(1).select(F.lit(True).alias("_any"))), how="left_anti"))
 
 
+def by_id(items: DataFrame, key, id_col: str = "id", seq: str = "seq") -> DataFrame:
+    """The first row with an id, or none."""
+    found = items.where(F.col(id_col) == F.lit(key))
+    return (found.orderBy(seq) if seq in items.columns else found).limit(1)
+
+
 def search(items: DataFrame, keyword: str = "", category: str = "all", columns: tuple[str, ...] = ("title", "summary", "tags", "source_name")) -> DataFrame:
     """Rows of a category whose columns, any of them, hold the keyword in any case."""
     out = items if category == "all" else items.where(F.col("category") == category)

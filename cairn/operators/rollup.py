@@ -91,10 +91,18 @@ def first_sources(items: DataFrame, authorities: list[str] = L.AUTHORITY_MEDIA,
     return first.orderBy("seq").limit(n).select("name", "type", F.when(F.col("name").isin(authorities), 85).otherwise(75).alias("score"))
 
 
-def verification(items: DataFrame) -> DataFrame:
-    """How many items there are, with a verified date and without."""
+def verification(items: DataFrame, reasons: dict[str, Column] | None = None) -> DataFrame:
+    """How many items there are, with a verified date and without, and how many each rule of ``reasons`` drops.
+
+    Rules apply in their order: an item counts for the first that holds.
+    """
     ok = F.coalesce(F.col("date_verified"), F.lit(False))
-    return items.agg(F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("verified"), F.count_if(~ok).alias("unverified"))
+    dropped, before = [], F.lit(False)
+    for name, rule in (reasons or {}).items():
+        holds = F.coalesce(rule, F.lit(False))
+        dropped.append(F.count_if(holds & ~before).alias(name))
+        before = before | holds
+    return items.agg(F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("verified"), F.count_if(~ok).alias("unverified"), *dropped)
 
 
 def reader_stats(items: DataFrame, least: float = 60, categories: int = 5) -> DataFrame:

@@ -7,13 +7,19 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cairn.scratch import Scratch
 
 
-def numbered(rows: DataFrame, order: list[Column], name: str = "id", parts: int = 64) -> DataFrame:
+#: Rows of a range that is sorted in one task.
+RANGE_ROWS = 1 << 20
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str = "id", parts: int | None = None) -> DataFrame:
     """Dense numbers from 1 in an order, without bringing the rows into one task.
 
-    Rows are dealt to ranges of the order; the ranges' sizes, one row each, give
-    each range its first number.  The dealt rows are written, as ranges come from a
-    sample and must not be drawn twice.
+    Rows are dealt to ranges of the order, as many as ``RANGE_ROWS`` ask for; the
+    ranges' sizes, one row each, give each range its first number.  The dealt rows are
+    written, as ranges come from a sample and must not be drawn twice.
     """
+    if parts is None:
+        parts = max(1, -(-rows.count() // RANGE_ROWS))
     ranged = rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()).sortWithinPartitions(*order)
     within = Scratch(rows.sparkSession, "numbered").save(ranged.withColumn("_n", F.monotonically_increasing_id() % F.lit(1 << 33)), "ranged")
     sizes = within.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))

@@ -54,11 +54,22 @@ def archive_output(scored: DataFrame, old: DataFrame, reports: DataFrame, as_of:
     return select.numbered(capped, [F.col("section"), F.col("seq")]).drop("section")
 
 
-def serve(news: DataFrame, reports: DataFrame, keyword: str = "", category: str = "all", number: int = 1) -> dict[str, DataFrame]:
-    """What a reader sees: hot topics, featured items, a page of all, reports by topic; near-equal titles once."""
+def distinct_titles(news: DataFrame, seq: str) -> DataFrame:
+    """``news`` without titles like an earlier one's, letters apart from case, space, punctuation and digits compared.
+
+    Of titles of which nothing is left for comparing, the first stays.
+    """
     from cairn.functions.text import plain_title
 
-    shown = dedup.greedy(news.withColumn("_plain", plain_title(F.col("title"))), "_plain", "id", "edit", 0.7, strict=True).drop("_plain")
+    return dedup.greedy(news.withColumn("_plain", plain_title(F.col("title"))), "_plain", seq, "edit", 0.7, strict=True, empty="first").drop("_plain")
+
+
+def serve(news: DataFrame, reports: DataFrame, keyword: str = "", category: str = "all", number: int = 1, seq: str | None = None) -> dict[str, DataFrame]:
+    """What a reader sees: hot topics, featured items, a page of all, reports by topic; near-equal titles once.
+
+    ``seq`` is the rows' place in the collection, without it the column seq, else id.
+    """
+    shown = distinct_titles(news, seq or ("seq" if "seq" in news.columns else "id"))
     shown = shown.withColumn("ts", F.try_to_timestamp("published_at"))
     found = P.search(shown, keyword, category)
     return {

@@ -69,6 +69,66 @@ def daily_markdown(items: DataFrame, date: str, labels: dict[str, str], highligh
     return grouped.select("category", F.concat(F.lit(f"## {date} "), name, F.lit("\n\n"), F.col("lines"), F.lit("\n")).alias("markdown"))
 
 
+def daily_document(items: DataFrame, date: str, labels: dict[str, str], curated: float = 6.0, highlight: float = 7.0, order: str = "seq", name: str = "Daily") -> DataFrame:
+    """(place, line) of a day's Markdown: head, highlights, then the curated items of each category in the order of the first.
+
+    Only a day's curated items are in it; lines are rows, so a long day is no one text.
+    """
+    total = items.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("ai_score") >= curated).alias("curated"), F.count_if(F.col("ai_score") >= highlight).alias("highlights"))
+    label = F.coalesce(F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])[F.col("category")], F.col("category"))
+    chosen = items.where(F.col("ai_score") >= curated)
+    score = F.format_string("%.1f", F.col("ai_score").cast("double"))
+    heading = F.concat(F.lit("### ["), F.col("title"), F.lit("]("), F.col("url"), F.lit(")"))
+    place = lambda part, at, line: F.struct(F.lit(part).alias("part"), at.cast("long").alias("at"), F.lit(line).alias("line"))
+    zero = F.lit(0)
+    head = total.select(place(0, zero, 0).alias("place"), F.concat(F.lit(f"---\nlayout: daily\ntitle: \"{name} - {date}\"\ndate: {date}\n---\n# {name}\n\n**{date}** · "), F.col("curated").cast("string"), F.lit(" / "), F.col("total").cast("string"), F.lit("\n")).alias("line"))
+    head = head.unionAll(total.select(place(1, zero, 0), F.concat(F.lit("## ⭐ ("), F.col("highlights").cast("string"), F.lit(")\n"))))
+    top = chosen.where(F.col("ai_score") >= highlight).select(
+        place(2, F.col(order), 0), F.concat(heading, F.lit("\n**"), score, F.lit("** | "), F.col("source_name"), F.lit(" | "), label, F.lit("\n\n"), F.substring("content", 1, 200), F.lit("\n\n> "), F.coalesce("ai_reason", F.lit("")), F.lit("\n\n---\n"))
+    )
+    first = chosen.groupBy("category").agg(F.min(order).alias("_first"))
+    titles = first.select(F.struct(F.lit(3).alias("part"), F.col("_first").cast("long").alias("at"), F.lit(-1).cast("int").alias("line")), F.concat(F.lit("## "), label, F.lit("\n")))
+    rows = chosen.join(first, chosen["category"].eqNullSafe(first["category"])).drop(first["category"])
+    lines = rows.select(
+        F.struct(F.lit(3).alias("part"), F.col("_first").cast("long").alias("at"), F.col(order).cast("int").alias("line")), F.concat(heading, F.lit("\n**"), score, F.lit("** | "), F.col("source_name"), F.lit(" | "), F.coalesce("published_at", F.lit("")), F.lit("\n\n"), F.substring("content", 1, 150), F.lit("\n\n---\n"))
+    )
+    return head.unionAll(top).unionAll(titles).unionAll(lines).select("place", "line")
+
+
+def json_document(sections: dict[str, tuple[DataFrame, str]], scalars: dict[str, str]) -> DataFrame:
+    """(place, line) of one JSON document: texts, then each section's rows as an array in the order of a column.
+
+    Every row is a line of its own, so the document is written and read without
+    being one value; ``write_lines`` keeps their order over its files.
+    """
+    spark = next(iter(sections.values()))[0].sparkSession
+    text = F.struct(*[F.struct(F.lit(v).alias("v"))["v"].alias(k) for k, v in scalars.items()])
+    opening = spark.range(1).select(F.lit(0).alias("part"), F.lit(-1).cast("long").alias("at"), F.regexp_replace(F.to_json(text), r"\}$", "").alias("line"))
+    out = opening
+    for k, (name, (rows, order)) in enumerate(sections.items(), 1):
+        lead = "," if scalars or k > 1 else ""
+        out = out.unionAll(spark.range(1).select(F.lit(k), F.lit(-1).cast("long"), F.lit(f'{lead}"{name}":[')))
+        first = rows.agg(F.min(order).alias("_first"))
+        comma = F.when(F.col(order) > F.col("_first"), ",").otherwise("")
+        value = F.to_json(F.struct(*[c for c in rows.columns if c != order]), {"ignoreNullFields": "false"})
+        out = out.unionAll(rows.join(F.broadcast(first)).select(F.lit(k), F.col(order).cast("long"), F.concat(comma, value)))
+        out = out.unionAll(spark.range(1).select(F.lit(k), F.lit((1 << 63) - 1), F.lit("]")))
+    out = out.unionAll(spark.range(1).select(F.lit(len(sections) + 1), F.lit(0).cast("long"), F.lit("}")))
+    return out.select(F.struct("part", "at").alias("place"), "line")
+
+
+def xml_document(rows: DataFrame, order: str, head: str, end: str) -> DataFrame:
+    """(place, line) of one XML document: the head, each row's ``xml`` in the order of a column, the end."""
+    spark = rows.sparkSession
+    edge = lambda part, text: spark.range(1).select(F.struct(F.lit(part).alias("part"), F.lit(0).cast("long").alias("at")).alias("place"), F.lit(text).alias("line"))
+    return edge(0, head).unionAll(rows.select(F.struct(F.lit(1).alias("part"), F.col(order).cast("long").alias("at")), "xml")).unionAll(edge(2, end))
+
+
+def write_lines(rows: DataFrame, path: str, parts: int = 1) -> None:
+    """Lines into text files whose names' order is that of ``place``: put behind one another they are the document."""
+    rows.repartitionByRange(parts, "place").sortWithinPartitions("place").select("line").write.mode("overwrite").text(path)
+
+
 def write_json(items: DataFrame, path: str) -> None:
     """The rows as JSON lines, in as many files as there are partitions."""
     items.write.mode("overwrite").option("ignoreNullFields", "false").json(path)

@@ -185,7 +185,8 @@ def relative_url(spark, d):
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k, event_type FROM events")
 def json_props(spark, d):
-    return _t(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), "event_type")
+    wrapped = X.unwrap_jsonp(F.concat(F.lit("jQuery1_2("), F.col("props"), F.lit(")")))
+    return _t(spark, d, "events").select("event_id", F.get_json_object(wrapped, "$.k").alias("k"), "event_type")
 
 
 _DAYS = ["2026-07-02", "2026-7-2", "2026/7/2", "2024年3月2日", "2026-02-30", "2026-13-45", "", "not a date", "3小时前", "25小时前", "3天前", "昨天", "前天", "今日", "发布于 2026-07-02 15:30", "3月15日", "13月45日"]
@@ -341,22 +342,24 @@ def retention_merge(spark, d):
     return out.select("seq", F.col("source_url").alias("url"))
 
 
-@query("""WITH e AS (SELECT s_suppkey AS name, CAST(s_suppkey * 10 AS BIGINT) AS ec, s_acctbal > 0 AS eo FROM supplier WHERE s_suppkey % 2 = 0), f AS (SELECT s_suppkey AS name, 5::BIGINT AS fc, s_suppkey % 3 = 0 AS fo FROM supplier WHERE s_suppkey % 5 = 0),
-  c AS (SELECT l_suppkey AS name, count(*) AS cc FROM lineitem WHERE l_suppkey % 7 > 0 GROUP BY 1)
+@query("""WITH s AS (SELECT *, s_suppkey + CASE WHEN s_nationkey < 3 THEN 1000000 ELSE 0 END AS name FROM supplier), e AS (SELECT name, CAST(s_suppkey * 10 AS BIGINT) AS ec, s_acctbal > 0 AS eo FROM s WHERE s_acctbal < 4000), f AS (SELECT name, 5::BIGINT AS fc, s_acctbal > 0 AS fo FROM s WHERE s_nationkey < 12),
+  c AS (SELECT l_suppkey AS name, count(*) AS cc FROM lineitem GROUP BY 1)
   SELECT name, CASE WHEN fo IS NOT NULL THEN coalesce(cc, fc) WHEN eo IS NOT NULL THEN ec ELSE cc END AS count, coalesce(fo, eo, true) AS ok FROM e FULL JOIN f USING (name) FULL JOIN c USING (name)""")
 def source_health_merge(spark, d):
-    s, li = _t(spark, d, "supplier"), _t(spark, d, "lineitem")
-    e = s.where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("name"), (F.col("s_suppkey") * 10).alias("count"), (F.col("s_acctbal") > 0).alias("ok"))
-    f = s.where("s_suppkey % 5 = 0").select(F.col("s_suppkey").alias("name"), F.lit(5).cast("long").alias("count"), (F.col("s_suppkey") % 3 == 0).alias("ok"))
-    return merge.merge_health(e, f, rollup.counts(li.where("l_suppkey % 7 > 0").select(F.col("l_suppkey").alias("name")), "name"))
+    li = _t(spark, d, "lineitem")
+    # suppliers of some nations stand for sources of which nothing is stored
+    s = _t(spark, d, "supplier").withColumn("name", F.col("s_suppkey") + F.when(F.col("s_nationkey") < 3, 1000000).otherwise(0))
+    e = s.where("s_acctbal < 4000").select("name", (F.col("s_suppkey") * 10).alias("count"), (F.col("s_acctbal") > 0).alias("ok"))
+    f = s.where("s_nationkey < 12").select("name", F.lit(5).cast("long").alias("count"), (F.col("s_acctbal") > 0).alias("ok"))
+    return merge.merge_health(e, f, rollup.counts(li.select(F.col("l_suppkey").alias("name")), "name"))
 
 
-@query("SELECT n_name AS name, 'known' AS type, 80 AS score FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT n.n_name, arg_min(c_mktsegment, c_custkey), 80 FROM customer c JOIN nation n ON c_nationkey = n_nationkey WHERE n_nationkey % 2 = 1 GROUP BY 1")
+@query("SELECT n_name AS name, 'known' AS type, 80 AS score, NULL AS update_freq, NULL AS last_update, NULL AS status FROM nation WHERE n_regionkey < 2 UNION ALL SELECT n.n_name, arg_min(c_mktsegment, c_custkey), 80, '不定期', '2024-01-31', 'active' FROM customer c JOIN nation n ON c_nationkey = n_nationkey WHERE n_regionkey >= 2 GROUP BY 1")
 def source_sync(spark, d):
     n, c = _t(spark, d, "nation"), _t(spark, d, "customer")
-    known = n.where("n_nationkey % 2 = 0").select(F.col("n_name").alias("name"), F.lit("known").alias("type"), F.lit(80).alias("score"))
+    known = n.where("n_regionkey < 2").select(F.col("n_name").alias("name"), F.lit("known").alias("type"), F.lit(80).alias("score"))
     items = c.join(n, c.c_nationkey == n.n_nationkey).select(F.col("n_name").alias("source_name"), F.col("c_mktsegment").alias("source_type"), F.col("c_custkey").alias("seq"))
-    return merge.sync_sources(known, items)
+    return merge.sync_sources(known, items, F.lit("2024-01-31"))
 
 
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders), n AS (SELECT count(*) AS n FROM r WHERE rn <= 3),
@@ -407,8 +410,8 @@ def rank_bucket(spark, d):
 
 @query(f"WITH {NEWS} SELECT id, coalesce(quality = 1, false) AS is_read, coalesce(toxic = 1, false) AS is_favourite, CASE source_type WHEN 'en' THEN 'English' WHEN 'de' THEN 'Deutsch' ELSE source_type END AS label FROM news LEFT JOIN labels ON id = doc_id")
 def state_and_labels(spark, d):
-    rows = news(spark, d).join(_t(spark, d, "labels"), F.col("id") == F.col("doc_id"), "left")
-    return rows.select("id", F.coalesce(F.col("quality") == 1, F.lit(False)).alias("is_read"), F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("is_favourite"), C.label_of(F.col("source_type"), {"en": "English", "de": "Deutsch"}).alias("label"))
+    state = _t(spark, d, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("is_read"), (F.col("toxic") == 1).alias("is_favourite"))
+    return merge.with_user_state(news(spark, d), state).select("id", "is_read", "is_favourite", C.label_of(F.col("source_type"), {"en": "English", "de": "Deutsch"}).alias("label"))
 
 
 _ESC = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
@@ -465,9 +468,11 @@ def search_response(spark, d):
     return readers.search_response(_t(spark, d, "events").select("event_id", body.alias("body")), least=1).select("event_id", F.lit("jQuery").alias("cb"), "title")
 
 
-@query("SELECT l_returnflag AS category, l_linestatus AS source, count(*) AS n, CAST(round(avg(l_quantity), 4) AS DOUBLE) AS avg_quantity FROM lineitem GROUP BY 1, 2")
+@query("SELECT strftime(l_shipdate, '%Y-%m-%d') AS day, l_returnflag AS category, count(*) AS n, count(*) FILTER (l_linestatus = 'F') AS curated, count(*) FILTER (l_quantity >= 40) AS highlights, CAST(sum(l_quantity) AS DOUBLE) AS score_sum FROM lineitem GROUP BY 1, 2")
 def rollup_at_scale(spark, d):
-    return _t(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("category"), F.col("l_linestatus").alias("source")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("l_quantity"), 4).alias("avg_quantity"))
+    rows = _t(spark, d, "lineitem").select(F.date_format("l_shipdate", "yyyy-MM-dd").alias("published_at"), F.col("l_returnflag").alias("category"), F.col("l_quantity").alias("ai_score"), (F.col("l_linestatus") == "F").alias("c"))
+    out = rollup.by_day(rows, curated=F.col("c"), highlight=40)
+    return out.select("day", "category", "n", "curated", "highlights", F.col("score_sum").cast("double").alias("score_sum"))
 
 
 @query("SELECT p_partkey, CASE p_brand WHEN 'Brand#11' THEN 5 WHEN 'Brand#22' THEN 6 ELSE 3 END AS page_size FROM part")
@@ -503,37 +508,39 @@ def reader_stats(spark, d):
     return rollup.reader_stats(news(spark, d), 75)
 
 
-_REASON = "CASE WHEN contains(lower(title || ' ' || summary), 'that') THEN list_extract(['A: ', 'B: '], CAST(n % 2 AS INT) + 1) || list_extract(['one', 'two', 'three'], CAST(n % 3 AS INT) + 1) ELSE 'C ' || CASE category WHEN 'claims' THEN 'K' ELSE '行业动态' END || ' v' END || CASE WHEN ai_score >= 92 THEN '!' ELSE '' END"
+_REASON = "CASE WHEN contains(lower(title || ' ' || summary), 'that') THEN list_extract(['A: ', 'B: '], CAST(n % 2 AS INT) + 1) || list_extract(['one', 'two', 'three'], CAST(n % 3 AS INT) + 1) ELSE 'C ' || CASE category WHEN 'claims' THEN 'K' ELSE '行业动态' END || CASE category WHEN 'claims' THEN ' w' ELSE ' v' END END || CASE WHEN ai_score >= 92 THEN '!' ELSE '' END"
 
 
 @query(f"WITH {CLASSED}, s AS (SELECT *, coalesce(list_sum(list_transform(string_split(title, ''), lambda c: unicode(c))), 0) AS n FROM classed) SELECT id, {_REASON} AS reason FROM s")
 def reasons(spark, d):
-    said = C.reason(F.col("title"), F.col("summary"), F.col("source_name"), F.lit(""), F.col("category"), F.col("ai_score"), [(["that"], "x", ["one", "two", "three"])], {}, {"claims": "K"}, ["A: {clause}", "B: {clause}"], ["C {ccat} {clause}"], ["!"])
-    return classed(spark, d).select("id", _plain_values(said).alias("reason"))
+    said = C.reason(F.col("title"), F.col("summary"), F.col("source_name"), F.lit(""), F.col("category"), F.col("ai_score"), [(["that"], "x", ["one", "two", "three"])], {}, {"claims": "K"}, ["A: {clause}", "B: {clause}"], ["C {ccat} {clause}"], ["!"], {"industry": "v", "claims": "w"})
+    return classed(spark, d).select("id", said.alias("reason"))
 
 
-def _plain_values(c):
-    for v in L.CATEGORY_VALUES.values():
-        c = F.replace(c, F.lit(v), F.lit("v"))
-    return c
-
-
-@query(f"WITH {CLASSED} SELECT id FROM classed WHERE category = 'claims' OR category = 'product' ORDER BY CASE category WHEN 'product' THEN 1 ELSE 2 END, seq LIMIT 50")
+@query(f"WITH {CLASSED} SELECT id, row_number() OVER (ORDER BY CASE category WHEN 'product' THEN 1 ELSE 2 END, seq) AS place FROM classed WHERE category = 'claims' OR category = 'product'")
 def reports_by_layer(spark, d):
-    rows = classed(spark, d).where("category IN ('claims', 'product')").withColumn("layer", F.col("category")).withColumn("topic", F.lit("t"))
-    return select.reports_by_layer(rows, "t", ("product", "claims")).limit(50).select("id")
+    """The reports of one topic, which is that of two layers here, with their places."""
+    rows = classed(spark, d).withColumn("layer", F.col("category")).withColumn("topic", F.when(F.col("category").isin("claims", "product"), "t").otherwise("u"))
+    return select.reports_by_layer(rows, "t", ("product", "claims"), name="place").select("id", "place")
 
 
 @query(f"WITH {CLASSED} SELECT id, row_number() OVER (ORDER BY CASE category WHEN 'product' THEN 1 WHEN 'claims' THEN 2 ELSE 3 END, seq) AS place FROM classed")
 def reports_by_layer_whole(spark, d):
-    """All reports of all layers with their places; ``reports_by_layer`` shows the first 50 of two layers."""
+    """All reports of all layers with their places; ``reports_by_layer`` shows those of one topic."""
     rows = classed(spark, d).select("id", "seq", F.col("category").alias("layer"), F.lit("t").alias("topic"))
     return select.reports_by_layer(rows, "t", ("product", "claims"), name="place").select("id", "place")
 
 
+def _all() -> None:
+    """Let the other modules register theirs."""
+    from cairn import queries_flows, queries_rules  # noqa: F401
+
+
 def queries() -> dict:
+    _all()
     return dict(Q)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(SQL)

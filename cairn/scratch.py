@@ -13,9 +13,15 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where none is set, as in tests, a temporary one for the application."""
+    """The folder in ``spark.checkpoint.dir``.
+
+    Where none is set, a local session, as in tests, gets a temporary one; on a
+    cluster that raises, as executors could not read what others wrote.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="cairn-")
         _own[spark.sparkContext.applicationId] = folder
     return folder.rstrip("/")

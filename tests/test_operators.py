@@ -111,9 +111,9 @@ def test_checksum(spark):
 
 def test_reason(spark):
     themes = [(["solvency"], "S", ["c1", "c2"]), (["ai"], "A", ["c3"])]
-    said = C.reason(F.col("v"), F.lit(""), F.lit("某协会"), F.lit(""), F.lit("claims"), F.lit(93), themes, {}, {"claims": "K"}, ["{label}: {clause}"], ["[{ccat}] {clause}"], ["!"])
+    said = C.reason(F.col("v"), F.lit(""), F.lit("某协会"), F.lit(""), F.lit("claims"), F.lit(93), themes, {}, {"claims": "K"}, ["{label}: {clause}"], ["[{ccat}] {clause}"], ["!"], {"industry": "v", "claims": "w"})
     assert of(spark, lambda c: said, "AI b") == ["据某协会披露，A: c3!"]
-    assert of(spark, lambda c: said, "zz")[0].startswith("据某协会披露，[K] ")
+    assert of(spark, lambda c: said, "zz")[0].startswith("据某协会披露，[K] w")
 
 
 def greedy(titles, ratio):
@@ -157,6 +157,43 @@ def test_greedy_is_no_component(spark):
     assert sorted(r["i"] for r in dedup.first_independent(nodes, pairs).collect()) == [1, 3, 4]
 
 
+def test_greedy_of_long_chains(spark):
+    nodes = spark.range(12).withColumnRenamed("id", "i")
+    pairs = spark.range(11).selectExpr("id AS i", "id + 1 AS j")
+    assert sorted(r["i"] for r in dedup.first_independent(nodes, pairs).collect()) == list(range(0, 12, 2))
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_merge_reports(spark, seed):
+    """Against the pass that counts an address as seen only when its row is kept."""
+    r = random.Random(seed)
+    names = ["".join(r.choices("abcdef ", k=14)).strip() + "x" for _ in range(12)]
+    rows = []
+    for i in range(70):
+        t = list(r.choice(names))
+        if r.random() < 0.5:
+            t[r.randrange(len(t))] = r.choice("xyz")
+        rows.append((i, f"u{r.randint(0, 25)}" if r.random() < 0.95 else "", "".join(t) if r.random() < 0.95 else ""))
+    old = [("u3", "zzzz"), ("v", names[0])]
+    urls, titles, kept = {u for u, _ in old}, [t for _, t in old], []
+    for i, u, t in rows:
+        if u and t and u not in urls and not any(1 - lev(t.lower(), x.lower()) / max(len(t), len(x)) >= 0.82 for x in titles):
+            kept.append(i)
+            urls.add(u)
+            titles.append(t)
+    batch = spark.createDataFrame(rows, "seq long, url string, title string")
+    assert sorted(x["seq"] for x in merge.merge_reports(batch, spark.createDataFrame(old, "url string, title string")).collect()) == kept
+    assert merge.merge_reports(batch.where("false"), batch).count() == 0
+
+
+def test_rows_without_titles(spark):
+    rows = [(0, "", ""), (1, None, None), (2, "u", ""), (3, "u", "title one"), (4, "", "title one"), (5, "v", "title one!"), (6, "w", None), (7, "", "title one")]
+    items = spark.createDataFrame(rows, "seq long, url string, title string")
+    assert sorted(r["seq"] for r in merge.unique_items(items).collect()) == [0, 1, 2, 4, 6]
+    shown = spark.createDataFrame([(0, "2026"), (1, "!!"), (2, "A b"), (3, "a-B 7")], "seq long, title string")
+    assert sorted(r["seq"] for r in pipelines.distinct_titles(shown, "seq").collect()) == [0, 2]
+
+
 def test_greedy_gate_and_existing(spark):
     rows = spark.createDataFrame([(0, "insurance market report one"), (1, "weather forecast for today"), (2, "insurance market report two")], "seq long, title string")
     old = spark.createDataFrame([("insurance market report twO",)], "title string")
@@ -249,6 +286,13 @@ def test_registry(spark, tmp_path):
     assert sorted((r["source_url"], r["summary"]) for r in out.where("category = 'research'").collect()) == [("#", ""), ("https://x", "k 关键数据：a；b；c")]
 
 
+def test_health_of_fetches(spark):
+    attempts = spark.createDataFrame([("a", None), ("b", "x"), ("c", None)], "name string, error string")
+    rows = spark.createDataFrame([("a",), ("a",), ("b",), ("z",)], "source_name string")
+    assert {r["name"]: (r["count"], r["ok"]) for r in merge.fetch_health(attempts, rows).collect()} == {"a": (2, True), "b": (0, False), "c": (0, False)}
+    assert sorted(r["source_name"] for r in merge.of_sound_sources(rows, attempts).collect()) == ["a", "a", "z"]
+
+
 def test_drain(spark):
     rows = spark.createDataFrame([("a", None), ("b", 1)], "url string, authority int")
     assert [r["url"] for r in merge.drain(rows, rows.where("url = 'a'")).collect()] == ["b"]
@@ -280,7 +324,7 @@ def test_daily(spark):
     batch = spark.createDataFrame([(i, t, "", "S", "媒体", f"http://x/{i}", f"2026-07-0{i % 3 + 1}", 80, True) for i, t in enumerate(["Reinsurance treaty renewals slow", "Reinsurance treaty renewal slows", "Parking policy", "个人养老金制度扩围"])], "seq long, title string, summary string, source_name string, source_type string, source_url string, published_at string, authority int, gated boolean")
     old = spark.createDataFrame([(100, "Old item of insurance", "s", "S", "u", "2026-06-01", 70)], "seq long, title string, summary string, source_name string, source_url string, published_at string, ai_score int")
     out = pipelines.daily(batch, old)
-    assert sorted((r["id"], r["seq"]) for r in out["news"].collect()) == [(1, 0), (2, 3), (3, 100)] or sorted(r["seq"] for r in out["news"].collect()) == [0, 3, 100]
+    assert sorted(r["seq"] for r in out["news"].collect()) == [0, 3, 100] and sorted(r["id"] for r in out["news"].collect()) == [1, 2, 3]
     assert out["days"].agg(F.sum("total")).first()[0] == 3
 
 
@@ -325,6 +369,12 @@ def test_shared_folder(spark, monkeypatch):
 
     class Unset:
         conf = type("C", (), {"get": staticmethod(lambda *_: None)})
-        sparkContext = type("S", (), {"applicationId": "none"})
+        sparkContext = type("S", (), {"applicationId": "none", "master": "local[2]"})
 
     assert scratch.shared_folder(Unset) == scratch.shared_folder(Unset)
+
+    class Cluster(Unset):
+        sparkContext = type("S", (), {"applicationId": "none", "master": "spark://host:7077"})
+
+    with pytest.raises(ValueError):
+        scratch.shared_folder(Cluster)
