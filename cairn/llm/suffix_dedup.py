@@ -9,8 +9,11 @@ ranks of a difference-cover sample, computed beforehand by prefix doubling.
 Neighbours in suffix order that share ``width`` bytes form a group, and every
 member from a document with a larger id than the group's least is a repeat.
 
-Memory is bounded by the segments of one task; disk by the blocks of buckets that
-are built one after the other.
+Equal segments are put together by their hash before that, and compared byte by byte
+before any of them counts as a repeat, so they go only where the suffix order would
+send them.  Of the segments of one task, ``PART`` bytes are in work at a time, whole
+buckets of them; a bucket above that is worked on in parts of its windows.  Disk is
+bounded by the blocks of buckets that are built one after the other.
 """
 
 from __future__ import annotations
@@ -30,6 +33,10 @@ GRAM = 16
 CHUNK = 1 << 17
 #: A least hash with this share of all runs is hot: its windows are dealt by the whole of them.
 HOT_SHARE = 1e-4
+#: Of so many tasks on, least hashes are counted on every SAMPLED-th document, and the MOST_HOT most frequent of those that fill a quarter of a task are hot.
+MANY_TASKS, SAMPLED, MOST_HOT = 512, 512, 1 << 20
+#: Bytes of segments that a task works on at a time.
+PART = 4 << 20
 #: Suffixes that are sorted at once.
 SUFFIXES = 1 << 20
 PERIOD, COVER = 3, (0, 1)
@@ -240,7 +247,7 @@ def _collapsed(buf, start, size, m, doc, tag, place):
     if not len(several):
         return rows, np.zeros(len(rows), bool), pa.nulls(len(rows), pa.binary())
     bytes_, offsets = _gather(buf, start[several], size[several])
-    h = segment_hashes(bytes_, offsets[:-1], offsets[1:])
+    h = _told_apart(m[several], segment_hashes(bytes_, offsets[:-1], offsets[1:]), bytes_, offsets)
     m, d, t, at = m[several], doc[several], tag[several], place[several]
     known = ~_of_least(m, h, d)
     by = np.lexsort((at, t, d, h, m))
@@ -257,9 +264,10 @@ def _collapsed(buf, start, size, m, doc, tag, place):
 
 def _places(start: np.ndarray, more: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All places of each row's segment: (row, place)."""
-    more = more.combine_chunks() if isinstance(more, pa.ChunkedArray) else more
-    more = more.chunk(0) if isinstance(more, pa.ChunkedArray) else more
-    rest, offs = _flat(pa.chunked_array([more.fill_null(b"")]))
+    parts = more.chunks if isinstance(more, pa.ChunkedArray) else [more]
+    flat = [_flat(c.fill_null(b"")) for c in parts]
+    rest = np.concatenate([f[0] for f in flat]) if flat else np.zeros(0, np.uint8)
+    offs = np.concatenate([[0], *[np.diff(f[1]) for f in flat]]).cumsum()
     n = np.diff(offs) // 4
     return np.concatenate([np.arange(len(start)), np.repeat(np.arange(len(start)), n)]), np.concatenate([start, np.frombuffer(rest.tobytes(), np.int32)])
 
@@ -316,6 +324,30 @@ def hot_grams(rows: DataFrame, width: int, gram: int, share: float = HOT_SHARE)
     return np.sort(np.array([r["m"] for r in hot], np.int64).view(np.uint64))
 
 
+def hot_of_sample(rows: DataFrame, width: int, gram: int, tasks: int, blocks: int, sampled: int = SAMPLED, most: int = MOST_HOT) -> np.ndarray:
+    """The least hashes whose runs fill a quarter of a task or more, by a sample of documents; ``most`` of them at most.
+
+    They only deal rows out more evenly; the result does not depend on them.
+    """
+    sample = rows.where(F.pmod(F.xxhash64("doc", "tag"), F.lit(sampled)) == 0)
+    found = sample.mapInArrow(_all_grams(width, gram), "m long, n long").groupBy("m").agg(F.sum("n").alias("n"))
+    total = found.agg(F.sum("n")).first()[0] or 0
+    hot = found.where(F.col("n") >= max(8, total / (4 * tasks * blocks))).orderBy(F.desc("n"), "m").limit(most).select("m").toArrow()
+    return np.sort(hot["m"].to_numpy().view(np.uint64))
+
+
+def _all_grams(width: int, gram: int):
+    """Texts to the least hashes of their runs and how many runs have them."""
+    def run(batches):
+        for batch in batches:
+            for _, offs, buf, _ in _pieces(batch.column(2), width):
+                if len(buf) >= width:
+                    m, n = np.unique(_runs(buf, offs, width, gram, None)[2], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(n.astype(np.int64))], names=["m", "n"])
+
+    return run
+
+
 def cover_ranks(text: np.ndarray, key: np.ndarray, n: int, depth: int) -> np.ndarray:
     """Ranks of the cover sample's suffixes by their first ``depth`` bytes or more, by prefix doubling."""
     at = np.arange(n)
@@ -424,17 +456,12 @@ def find_repeats(width: int, gram: int):
     wholly, and one of them stands for the group.  What is left goes to the suffix
     order if its bucket still has two documents.
     """
-    def run(batches):
-        t = pa.Table.from_batches(list(batches), schema=SEGMENTS).combine_chunks()
-        rows = _several(t["m"].to_numpy(), t["doc"].to_numpy())
-        if not len(rows):
-            return
-        t = t.take(pa.array(rows))
-        data, offs = _flat(t["seg"])
-        m, doc, tag, start = (t[c].to_numpy() for c in ("m", "doc", "tag", "start"))
+    def work(m, doc, tag, start, data, offs, more):
+        """The spans of some whole buckets."""
         h = segment_hashes(data, offs[:-1], offs[1:])
+        h = _told_apart(m, h, data, offs)
         whole = ~_of_least(m, h, doc)
-        row, place = _places(start, t["more"])
+        row, place = _places(start, more)
         gone = whole[row]
         yield _span_batch(doc[row[gone]], tag[row[gone]], place[gone], place[gone] + np.diff(offs)[row[gone]])
         rest = np.flatnonzero(~whole)
@@ -443,22 +470,102 @@ def find_repeats(width: int, gram: int):
             return
         data, offs = _gather(data, offs[rest], np.diff(offs)[rest])
         doc, tag = doc[rest], tag[rest]
-        hit = repeats_in_bucket(doc, data, offs, width)
-        a, b = _spans(hit)
-        own = np.searchsorted(offs, a, "right") - 1
+        own, a, b = _found(doc, data, offs, width)
         # a span of a segment is one at each of its places
-        row, place = _places(start[rest], t["more"].take(pa.array(rest)))
+        row, place = _places(start[rest], more.take(pa.array(rest)))
         by = np.argsort(row, kind="stable")
         n = np.bincount(row, minlength=len(rest))
         first = np.cumsum(n) - n
         k = n[own]
         span = np.repeat(np.arange(len(own)), k)
-        at = place[by][np.repeat(first[own] - np.cumsum(k) + k, k) + np.arange(k.sum())] - offs[own][span]
+        at = place[by][np.repeat(first[own] - np.cumsum(k) + k, k) + np.arange(k.sum())]
         yield _span_batch(doc[own][span], tag[own][span], a[span] + at, b[span] - 1 + width + at)
 
+    def run(batches):
+        batches = list(batches)
+        if not batches:
+            return
+        m, doc, tag, start = (np.concatenate([b.column(i).to_numpy() for b in batches]) for i in range(4))
+        flat = [_flat(b.column(4)) for b in batches]
+        more = pa.chunked_array([b.column(6) for b in batches], pa.binary())
+        batches.clear()
+        data = np.concatenate([f[0] for f in flat])
+        size = np.concatenate([np.diff(f[1]) for f in flat])
+        del flat
+        begin = np.cumsum(size) - size
+        rows = _several(m, doc)
+        rows = rows[np.argsort(m[rows], kind="stable")]
+        if not len(rows):
+            return
+        fresh = np.flatnonzero(np.concatenate([[True], m[rows[1:]] != m[rows[:-1]]]))
+        held = np.add.reduceat(size[rows], fresh)
+        ends = np.append(fresh[1:], len(rows))
+        a = 0
+        while a < len(fresh):
+            b, total = a, 0
+            while b < len(fresh) and (b == a or total + held[b] <= PART):
+                total += held[b]
+                b += 1
+            part = rows[fresh[a] : ends[b - 1]]
+            bytes_, offs = _gather(data, begin[part], size[part])
+            yield from work(m[part], doc[part], tag[part], start[part], bytes_, offs, more.take(pa.array(part)))
+            a = b
+
     return run
 
 
+def _told_apart(m: np.ndarray, h: np.ndarray, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """The hashes of segments, those that agree for different bytes made distinct: nothing is equal by its hash alone."""
+    size = np.diff(offs)
+    by = np.lexsort((size, h, m))
+    a, b = by[:-1], by[1:]
+    pair = np.flatnonzero((m[a] == m[b]) & (h[a] == h[b]))
+    if not len(pair):
+        return h
+    a, b = a[pair], b[pair]
+    bad = size[a] != size[b]
+    same = np.flatnonzero(~bad)
+    for k in range(0, len(same), 1 << 15):
+        part = same[k : k + (1 << 15)]
+        x, ends = _gather(data, offs[a[part]], size[a[part]])
+        y, _ = _gather(data, offs[b[part]], size[b[part]])
+        bad[part] |= np.add.reduceat((x != y).astype(np.int64), ends[:-1]) > 0
+    if bad.any():
+        h = h.copy()
+        clash = np.isin(h, h[b[bad]])
+        h[clash] = np.arange(int(clash.sum())).astype(np.uint64)  # these go to the suffix order one by one
+    return h
+
+
+def _found(doc: np.ndarray, data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, first window, window after the last) of the runs of windows that repeat a smaller document.
+
+    Above PART bytes the windows are dealt by a hash of all of them, and each share is
+    put in suffix order by itself, as equal windows are in one share.
+    """
+    windows = np.diff(offs) - width + 1
+    if len(data) <= 2 * PART:
+        hit = repeats_in_bucket(doc, data, offs, width)
+    else:
+        hit = np.zeros(len(data) + 1, bool)
+        shares = -(-int(windows.sum()) * width // PART)
+        for share in range(shares):
+            starts, owner = [], []
+            for a in range(0, len(offs) - 1, 1 << 12):
+                first, n = offs[a : a + (1 << 12)][: len(windows[a : a + (1 << 12)])], windows[a : a + (1 << 12)]
+                w = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                mine = segment_hashes(data[first[0] : offs[min(a + (1 << 12), len(offs) - 1)]], w - first[0], w - first[0] + width) * _MIX % np.uint64(shares) == share
+                starts.append(w[mine])
+                owner.append(np.repeat(np.arange(a, a + len(n)), n)[mine])
+            starts, owner = np.concatenate(starts), np.concatenate(owner)
+            if len(starts):
+                bytes_, ends = _gather(data, starts, np.full(len(starts), width))
+                hit[starts[repeats_in_bucket(doc[owner], bytes_, ends, width)[ends[:-1]]]] = True
+    a, b = _spans(hit)
+    own = np.searchsorted(offs, a, "right") - 1
+    return own, a - offs[own], b - offs[own]
+
+
 def _several(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Rows whose key occurs with two documents or more."""
     if not len(key):
@@ -470,10 +577,10 @@ def _several(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return np.sort(by[np.repeat(shared, np.diff(np.append(first, len(k))))])
 
 
-def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a binary column and their offsets."""
-    seg = column.combine_chunks()
-    seg = seg.chunk(0) if isinstance(seg, pa.ChunkedArray) else seg
+def _flat(seg: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary array and their offsets."""
+    if not len(seg):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     offs = np.frombuffer(seg.buffers()[1], np.int32)[seg.offset : seg.offset + len(seg) + 1].astype(np.int64)
     return np.frombuffer(seg.buffers()[2] or b"", np.uint8)[offs[0] : offs[-1]], offs - offs[0]
 
@@ -498,7 +605,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = keyed(docs, id_col, text_col)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * 6 // (blocks * task_bytes)))
-    hot = spark.sparkContext.broadcast(hot_grams(rows, width, gram))
+    hot = spark.sparkContext.broadcast(hot_grams(rows, width, gram) if tasks < MANY_TASKS else hot_of_sample(rows, width, gram, tasks, blocks))
     for block in range(blocks):
         segments = rows.mapInArrow(cut_segments(block, blocks, width, gram, hot), SEGMENTS_DDL)
         spans = segments.repartition(tasks, "m").mapInArrow(_either(width, gram), SPANS_DDL)
