@@ -10,6 +10,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -122,6 +123,43 @@ def test_suffix_dedup_with_a_common_passage(spark):
     assert got == brute_repeats(rows)
 
 
+def test_suffix_dedup_in_parts(odd, spark, monkeypatch):
+    """Small parts, buckets above them, and hashes that all agree change nothing."""
+    r = random.Random(10)
+    line = "".join(r.choices("abcdefg ", k=400))
+    docs = [(i, (line[: r.randint(60, 400)] + "".join(r.choices("ab", k=r.randint(0, 80)))).encode()) for i in range(60)]
+    doc = np.array([i for i, _ in docs])
+    data = np.frombuffer(b"".join(b for _, b in docs), np.uint8)
+    offs = np.cumsum([0, *[len(b) for _, b in docs]])
+    want = [x.tolist() for x in suffix_dedup._found(doc, data, offs, 50)]
+    monkeypatch.setattr(suffix_dedup, "PART", 700)
+    assert [x.tolist() for x in suffix_dedup._found(doc, data, offs, 50)] == want and len(want[0])
+
+    def batch():
+        n = len(docs)
+        return suffix_dedup._segment_batch(np.full(n, 5, np.uint64), doc, np.zeros(n), np.zeros(n), data, offs, np.zeros(n), pa.nulls(n, pa.binary()))
+
+    def covered(batches):
+        out = set()
+        for b in batches:
+            for x in b.to_pylist():
+                out |= {(x["doc"], k) for k in range(x["start"], x["end"])}
+        return out
+
+    spans = covered(suffix_dedup.find_repeats(50, 16)(iter([batch()])))
+    monkeypatch.setattr(suffix_dedup, "segment_hashes", lambda buf, start, end: np.asarray(end - start).astype(np.uint64) * np.uint64(0))
+    assert covered(suffix_dedup.find_repeats(50, 16)(iter([batch()]))) == spans
+    for i, _, removed, _, _ in brute_repeats([(i, b.decode()) for i, b in docs]):
+        assert sum(1 for x, _ in spans if x == i) == removed
+
+
+def test_hot_hashes_of_a_sample(spark):
+    line = "one very common line that nearly every document has, and more than once at times"
+    docs = spark.createDataFrame([(i, line + str(i) * 40) for i in range(300)], "doc_id long, text string")
+    rows = suffix_dedup.keyed(docs, "doc_id", "text")
+    assert len(suffix_dedup.hot_of_sample(rows, 50, 16, 100, 4, sampled=2)) > 0 and len(suffix_dedup.hot_of_sample(rows, 50, 16, 100, 4, sampled=2, most=1)) == 1
+
+
 def test_suffix_groups_are_exact():
     r = np.random.default_rng(1)
     text = np.concatenate([np.tile(r.integers(97, 99, 300), 9), np.full(500, 97), np.tile([97, 98], 200), r.integers(97, 101, 500)]).astype(np.uint8)
