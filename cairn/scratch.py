@@ -28,11 +28,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Parquet tables of one job below the shared folder."""
+    """Parquet tables of one job below the shared folder; the file system deletes them when the application ends."""
 
     def __init__(self, spark: SparkSession, job: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/cairn/{job}-{uuid.uuid4().hex}"
+        self.marked = False
 
     def save(self, df: DataFrame, name: str, mode: str = "errorifexists") -> DataFrame:
         """Write ``df`` once and read it back, so later steps never recompute it."""
@@ -41,6 +42,9 @@ class Scratch:
 
     def append(self, df: DataFrame, name: str, mode: str = "append") -> None:
         df.write.mode(mode).option("compression", "zstd").parquet(f"{self.root}/{name}")
+        if not self.marked:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+            self.marked = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
 
     def load(self, name: str, schema=None) -> DataFrame:
         reader = self.spark.read
