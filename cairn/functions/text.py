@@ -19,6 +19,13 @@ def quoted(words: list[str]) -> str:
 
 
 def unescape(text: Column) -> Column:
+    """Common character references decoded; ``unescape_numbers`` knows all numbers too, ``unescape_all`` every one."""
+    for name, value in _NAMED.items():
+        text = F.replace(text, F.lit(name), F.lit(value))
+    return F.replace(text, F.lit("&amp;"), F.lit("&"))
+
+
+def unescape_numbers(text: Column) -> Column:
     """Common character references and all numeric ones decoded; ``unescape_all`` knows every name.
 
     Numbers are decoded in one pass over the pieces between them, and only where the
@@ -36,9 +43,7 @@ def unescape(text: Column) -> Column:
         return F.when(known, F.concat(_stand_in(wide), tail)).otherwise(F.concat(F.lit("&#"), p))
 
     text = F.when(text.contains("&#"), F.concat(first, F.array_join(F.transform(rest, decoded), ""))).otherwise(text)
-    for name, value in _NAMED.items():
-        text = F.replace(text, F.lit(name), F.lit(value))
-    return F.replace(F.replace(text, F.lit("&amp;"), F.lit("&")), F.lit(_HELD), F.lit("&"))
+    return F.replace(unescape(text), F.lit(_HELD), F.lit("&"))
 
 
 #: Stands for an ampersand that a number spells until the names are decoded.

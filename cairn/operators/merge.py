@@ -55,6 +55,7 @@ def unique_items(items: DataFrame, seq: str = "seq", threshold: float = 0.5) ->
     url, title = F.nullif(F.col("url"), F.lit("")), F.nullif(F.col("title"), F.lit(""))
     keyed = items.withColumn("_key", F.coalesce(F.concat(F.lit("u"), url), F.concat(F.lit("t"), title)))
     first = first_of_each(keyed.where("_key IS NOT NULL"), ["_key"], [seq]).unionByName(keyed.where("_key IS NULL")).drop("_key")
+    first = Scratch(items.sparkSession, "unique").save(first, "first")  # read several times from here on
     return greedy(first, "title", seq, "jaccard", threshold, strict=True, empty="keep")
 
 

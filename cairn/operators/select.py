@@ -18,10 +18,12 @@ def numbered(rows: DataFrame, order: list[Column], name: str = "id", parts: int
     ranges' sizes, one row each, give each range its first number.  The dealt rows are
     written, as ranges come from a sample and must not be drawn twice.
     """
+    scratch = Scratch(rows.sparkSession, "numbered")
+    rows = scratch.save(rows, "rows")  # counted, drawn from and dealt, but computed once
     if parts is None:
         parts = max(1, -(-rows.count() // RANGE_ROWS))
     ranged = rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()).sortWithinPartitions(*order)
-    within = Scratch(rows.sparkSession, "numbered").save(ranged.withColumn("_n", F.monotonically_increasing_id() % F.lit(1 << 33)), "ranged")
+    within = scratch.save(ranged.withColumn("_n", F.monotonically_increasing_id() % F.lit(1 << 33)), "ranged")
     sizes = within.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     first = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_first"))
     return within.join(F.broadcast(first), "_part").withColumn(name, F.col("_first") + F.col("_n") + 1).drop("_part", "_n", "_first")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cairn import lexicon as L
 from cairn.functions.text import clean_references_first
 from cairn.operators import classify as C, dedup, merge, predicates as P, rollup, select
+from cairn.scratch import Scratch
 
 
 def daily(batch: DataFrame, existing: DataFrame, terms=L.STRONG_TERMS, topics=L.TOPICS_DAILY, cascade=L.CATEGORY_CASCADE, boosts=L.SCORE_BOOSTS, threshold: float = 0.82) -> dict[str, DataFrame]:
@@ -32,7 +33,7 @@ def daily(batch: DataFrame, existing: DataFrame, terms=L.STRONG_TERMS, topics=L.
 def archive(items: DataFrame, as_of: Column) -> DataFrame:
     """Raw items through noise filters, deduplication, freshness, classes, scores and the bonus of weak classes."""
     kept = items.where(~P.is_stock_noise(F.col("title")) & ~P.is_blocked(F.col("url"), F.col("source_name")) & ~(F.col("source_type").isin(L.SEARCH_CHANNELS) & P.is_search_noise(F.col("title"))))
-    kept = P.fresh(merge.unique_items(kept), as_of)
+    kept = Scratch(items.sparkSession, "archive").save(P.fresh(merge.unique_items(kept), as_of), "fresh")
     kept = kept.withColumns({"title": clean_references_first(F.col("title")), "content": clean_references_first(F.col("content"))})
     title, content = F.col("title"), F.col("content")
     kept = kept.withColumns({"category": C.category_by_hits(title, content, F.col("category_hint")), "research_topic": C.most_hits(title, content, L.TOPICS_ARCHIVE, ""), "is_research_report": P.is_report(F.col("source_name"), title, content)})

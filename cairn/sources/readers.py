@@ -14,14 +14,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from cairn import schemas
 from cairn.functions.dates import date_in_text, feed_day, shanghai_day
-from cairn.functions.text import absolute_url, clean_markup_first, host, stripped_ends, unescape, unwrap_jsonp
+from cairn.functions.text import absolute_url, clean_markup_first, host, stripped_ends, unescape_numbers, unwrap_jsonp
 from cairn.operators.merge import zipped
 from cairn.operators.classify import layer_of, layer_type, most_hits
 from cairn.operators.predicates import has_any, is_report_title, is_search_hit, relevant
 
 
 def _text(c: Column) -> Column:
-    return F.coalesce(unescape(stripped_ends(c)), F.lit(""))
+    return F.coalesce(unescape_numbers(stripped_ends(c)), F.lit(""))
 
 
 def rss_items(spark: SparkSession, path: str) -> DataFrame:
@@ -132,7 +132,7 @@ def association_links(pages: DataFrame, page_key: str, root: str, as_of: Column
 
 def page_summary(html: Column, title: Column, least: int = 10, size: int = 220) -> Column:
     """A page's description if it is long enough, else the title."""
-    said = stripped_ends(unescape(F.regexp_extract(html, r"""(?i)<meta[^>]+name=["']description["'][^>]+content=["']([^"']+)["']""", 1)))
+    said = stripped_ends(unescape_numbers(F.regexp_extract(html, r"""(?i)<meta[^>]+name=["']description["'][^>]+content=["']([^"']+)["']""", 1)))
     return F.when(F.length(said) >= least, F.substring(said, 1, size)).otherwise(title)
 
 
