@@ -44,7 +44,9 @@ def archive(items: DataFrame, as_of: Column) -> DataFrame:
 
 def archive_output(scored: DataFrame, old: DataFrame, reports: DataFrame, as_of: Column) -> DataFrame:
     """A balanced choice of the scored items, merged with what is retained and with the report register, capped and numbered."""
-    chosen = select.quota(scored, "source_type", "ai_score", "seq")
+    scratch = Scratch(scored.sparkSession, "output")
+    scored = scratch.save(scored, "scored")  # the choice reads it several times
+    chosen = scratch.save(select.quota(scored, "source_type", "ai_score", "seq"), "chosen")
     today = chosen.select(
         "seq", "title", F.substring("content", 1, 300).alias("summary"), "source_name", C.label_of(F.col("source_type"), L.SOURCE_TYPE_LABELS, F.lit("财经媒体")).alias("source_type"), F.col("url").alias("source_url"), F.round(F.col("ai_score") * 10).cast("int").alias("ai_score"),
         F.array_join("ai_tags", ",").alias("tags"), "category", "published_at", "date_verified", "research_topic", "is_research_report",
