@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cairn.functions.text import character_jaccard, characters, edit_ratio
+from cairn.functions.text import characters
 from cairn.scratch import Scratch
 
 
@@ -24,41 +24,80 @@ def first_of_each(items: DataFrame, by: list[str], order: list[str]) -> DataFram
     return first.select(*by, *[F.col(f"_first.{c}").alias(c) for c in (*order, *rest)]).select(*items.columns)
 
 
-def _grams(text: Column, q: int) -> Column:
-    padded = F.when(F.length(text) < q, F.array(text)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (q - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(q))))
-    return F.array_distinct(padded)
+def _loss(threshold: float) -> float:
+    """Edits that a pair within the threshold may have, per character of its shorter text."""
+    if not 0.5 < threshold <= 1:
+        raise ValueError("edit ratios are searched above 0.5 only: below, texts need not share anything")
+    return (1 - threshold) / threshold
+
+
+def _width(n: Column, loss: float) -> Column:
+    """The widest grams, of 3 characters at most, of which a text of this length keeps some whatever its edits."""
+    widths = F.lit(1)
+    for q in (2, 3):
+        if q * loss < 1:
+            widths = F.when(n > (q - 1) / (1 - q * loss), q).otherwise(widths)
+    return widths
+
+
+def _grams(q: int) -> Column:
+    """Hashes of the distinct strings of ``q`` characters, from the array ``c`` of characters."""
+    starts = F.slice(F.sequence(F.lit(1), F.size("c")), F.lit(1), F.greatest(F.size("c") - (q - 1), F.lit(0)))
+    return F.array_distinct(F.transform(starts, lambda s: F.xxhash64(F.lit(q), *[F.element_at("c", s + d) for d in range(q)])))
+
+
+def _gram_sets(base: DataFrame, threshold: float) -> DataFrame:
+    """(i, n, m, q, gram, size): the grams of each text by which pairs meet, ``size`` of the rarest of width ``q`` suffice.
+
+    A pair is looked for by the width that suits its shorter text, so a text has the
+    grams of each width that a partner of its length down to the shortest may need.
+    """
+    loss = _loss(threshold)
+    least, most = _width(F.ceil(F.col("n") * threshold - 1e-9), loss), _width(F.col("n"), loss)
+    sets = []
+    for q in (1, 2, 3):
+        sets.append(F.struct(F.lit(q).alias("q"), F.when((least <= q) & (most >= q), _grams(q)).alias("g")))
+    # k edits spoil at most q * k grams: a pair within the threshold shares one of the q * k + 1 rarest
+    size = F.col("q") * F.floor(F.col("n") * loss + 1e-9) + 1
+    return base.withColumn("c", F.filter(F.split("k", ""), lambda c: c != "")).select("i", "n", F.lit(0).alias("m"), F.inline(F.array(*sets))).select("i", "n", "m", "q", F.explode("g").alias("gram"), size.alias("size"))
+
+
+def _character_sets(base: DataFrame, threshold: float) -> DataFrame:
+    m = F.size("c")
+    return base.withColumn("c", characters(F.col("k"))).select("i", "n", m.alias("m"), F.lit(1).alias("q"), F.explode("c").alias("gram"), (m - F.ceil(m * threshold - 1e-9) + 1).alias("size"))
 
 
 def similar_pairs(rows: DataFrame, key: str, seq: str, kind: str, threshold: float, strict: bool = False) -> DataFrame:
     """(i, j, similarity) with i before j for all pairs of texts within the threshold.
 
-    ``kind`` is ``edit`` (1 - edits / longer length, in lower case) or ``jaccard``
-    (sets of characters).  Texts must be distinct in ``key``; ``strict`` leaves out
-    similarities equal to the threshold.
+    ``kind`` is ``edit`` (1 - edits / longer length, in lower case, threshold above 0.5)
+    or ``jaccard`` (sets of characters).  Texts must be distinct in ``key``; ``strict``
+    leaves out similarities equal to the threshold.  Candidates are dealt evenly before
+    they are compared, and the count of edits ends where the threshold is out of reach.
     """
+    spark = rows.sparkSession
     text = F.lower(F.col(key)) if kind == "edit" else F.col(key)
-    base = rows.select(F.col(seq).alias("i"), F.col(key).alias("t"), text.alias("k"), F.length(text).alias("n"))
-    q = 2 if kind == "edit" else 1
-    base = base.where("n > 0").withColumn("g", _grams(F.col("k"), q) if kind == "edit" else characters(F.col("k")))
-    grams = base.select("i", F.explode("g").alias("gram"))
-    rare = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    ordered = grams.join(rare, "gram").groupBy("i").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("o"))
-    if kind == "edit":
-        # k edits spoil at most q * k grams: a pair within the threshold shares one of the q * k + 1 rarest
-        edits = F.floor(F.col("n") * ((1 - threshold) / threshold if threshold > 0.5 else 1) + 1e-9)
-        size = edits * q + 1
-    else:
-        size = F.size("o") - F.ceil(F.size("o") * threshold - 1e-9) + 1
-    prefix = base.join(ordered, "i").withColumn("p", F.slice("o", F.lit(1), F.greatest(F.least(size, F.size("o")), F.lit(1)).cast("int")))
-    probe = prefix.select("i", "n", F.size("g").alias("m"), F.explode("p.gram").alias("gram"))
+    base = rows.select(F.col(seq).alias("i"), text.alias("k"), F.length(text).alias("n")).where("n > 0")
+    sets = _gram_sets(base, threshold) if kind == "edit" else _character_sets(base, threshold)
+    rare = sets.groupBy("q", "gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # a gram of one text alone meets nothing, but counts among the rarest: it only shortens the rest
+    alone = sets.join(rare, ["q", "gram"], "left").groupBy("i", "n", "m", "q", "size").agg(F.array_sort(F.collect_list(F.when(F.col("df") > 1, F.struct("df", "gram")))).alias("o"), F.count_if(F.col("df").isNull()).alias("single"))
+    taken = F.slice("o", F.lit(1), F.greatest(F.least(F.col("size") - F.col("single"), F.size("o")), F.lit(0)).cast("int"))
+    probe = alone.select("i", "n", "m", "q", F.explode(F.transform(taken, lambda x: x["gram"])).alias("gram"))
     a, b = probe.alias("a"), probe.alias("b")
     span = (F.col("a.n"), F.col("b.n")) if kind == "edit" else (F.col("a.m"), F.col("b.m"))
     near = F.least(*span) >= F.greatest(*span) * threshold - 1e-9
-    pairs = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.i") < F.col("b.i")) & near).select(F.col("a.i").alias("i"), F.col("b.i").alias("j")).distinct()
-    texts = base.select("i", "t")
-    both = pairs.join(texts.withColumnRenamed("t", "x"), "i").join(texts.select(F.col("i").alias("j"), F.col("t").alias("y")), "j")
-    measure = edit_ratio(F.col("x"), F.col("y")) if kind == "edit" else character_jaccard(F.col("x"), F.col("y"))
-    both = both.select("i", "j", measure.alias("similarity"))
+    pairs = a.join(b, (F.col("a.q") == F.col("b.q")) & (F.col("a.gram") == F.col("b.gram")) & (F.col("a.i") < F.col("b.i")) & near).select(F.col("a.i").alias("i"), F.col("b.i").alias("j")).distinct()
+    texts = base.select("i", F.col("k").alias("x") if kind == "edit" else characters(F.col("k")).alias("x"))
+    both = pairs.join(texts, "i").join(texts.select(F.col("i").alias("j"), F.col("x").alias("y")), "j")
+    both = both.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "i", "j")
+    if kind == "edit":
+        longer = F.greatest(F.length("x"), F.length("y"))
+        edits = F.call_function("levenshtein", "x", "y", F.floor(longer * (1 - threshold) + 1e-9).cast("int"))
+        both = both.select("i", "j", edits.alias("edits"), longer.alias("longer")).where("edits >= 0").select("i", "j", (1 - F.col("edits") / F.col("longer")).alias("similarity"))
+    else:
+        common = F.size(F.array_intersect("x", "y"))
+        both = both.select("i", "j", common.alias("common"), (F.size("x") + F.size("y")).alias("all")).select("i", "j", (F.col("common") / (F.col("all") - F.col("common"))).alias("similarity"))
     return both.where(F.col("similarity") > threshold if strict else F.col("similarity") >= threshold)
 
 

@@ -151,6 +151,33 @@ def test_greedy(spark, seed):
     assert sorted(r["seq"] for r in dedup.greedy(rows, "title", "seq", "jaccard", 0.5, strict=True).collect()) == greedy(titles, jac)
 
 
+@pytest.mark.parametrize("threshold,kind", [(0.82, "edit"), (0.7, "edit"), (0.55, "edit"), (0.9, "jaccard")])
+def test_similar_pairs(spark, threshold, kind):
+    """Against all pairs, with lengths at which the width of the grams changes."""
+    r = random.Random(7)
+    texts = set()
+    for _ in range(25):
+        base = r.choices("abcdé日", k=r.choice([1, 2, 3, 4, 5, 6, 7, 8, 12, 30]))
+        for _ in range(5):
+            t = list(base)
+            for _ in range(r.randint(0, 1 + len(t) // 4)):
+                at = r.randrange(len(t))
+                t[at : at + r.randint(0, 1)] = r.choices("abcdé日", k=r.randint(0, 1)) if len(t) > 1 else ["a"]
+            texts.add("".join(t))
+    texts = sorted(texts - {""}, key=lambda t: r.random())
+    ratio = (lambda a, b: 1 - lev(a, b) / max(len(a), len(b))) if kind == "edit" else (lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)))
+    want = {(i, j): ratio(a, b) for j, b in enumerate(texts) for i, a in enumerate(texts[:j]) if ratio(a, b) >= threshold}
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    got = {(p["i"], p["j"]): p["similarity"] for p in dedup.similar_pairs(rows, "t", "i", kind, threshold).collect()}
+    assert len(want) > 5 and got == pytest.approx(want)
+    assert dedup.similar_pairs(rows.where("false"), "t", "i", kind, threshold).isEmpty()
+
+
+def test_edit_threshold(spark):
+    with pytest.raises(ValueError):
+        dedup.similar_pairs(spark.createDataFrame([(0, "a")], "i long, t string"), "t", "i", "edit", 0.5)
+
+
 def test_greedy_is_no_component(spark):
     nodes = spark.createDataFrame([(1,), (2,), (3,), (4,)], "i long")
     pairs = spark.createDataFrame([(1, 2), (2, 3)], "i long, j long")
