@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cairn.llm import chat, decontamination, html_text, pieces, quality_knn, quality_rules, sharding, simhash, suffix_dedup, toxicity
+from cairn.llm import chat, decontamination, fill_in_middle, html_text, merkle, pieces, quality_knn, quality_rules, sharding, simhash, substring_dedup, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,24 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle.transform(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    changed = {"text": F.when(tampered, merkle.lower_ascii(F.col("text"))).otherwise(F.col("text"))}
+    out = merkle.manifest(_table(spark, sf_dir, "documents"), changed=changed)
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def queries() -> dict:
     return {
         "op1_minimax_sharding": op1_minimax_sharding,
@@ -68,6 +86,9 @@ def queries() -> dict:
         "op8_html_extraction": op8_html_extraction,
         "op9_decontamination": op9_decontamination,
         "op10_simhash_dedup": op10_simhash_dedup,
+        "op11_substring_dedup": op11_substring_dedup,
+        "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
@@ -146,9 +167,79 @@ FROM d LEFT JOIN n USING (r) LEFT JOIN items USING (r)
 """
 
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), x AS (
+  SELECT r, doc_id, p, array_to_string(w[p:p + 19], ' ') AS win FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 18)) AS p FROM d)
+), f AS (
+  SELECT win, min({'i': doc_id, 'p': p}) AS f FROM x GROUP BY win
+), gone AS (
+  SELECT r, list(DISTINCT q) AS q FROM (SELECT r, unnest(range(p, p + 20)) AS q FROM x JOIN f USING (win) WHERE {'i': doc_id, 'p': p} > f) GROUP BY r
+), k AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(len(q), 0) AS n_removed, CASE WHEN q IS NULL THEN w ELSE list_filter(w, lambda v, i: NOT list_contains(q, i)) END AS kept FROM d LEFT JOIN gone USING (r)
+)
+SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+"""
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents
+), h AS (
+  SELECT *, len(w) AS n, ('0x' || s[1:8])::BIGINT AS h1, ('0x' || s[9:16])::BIGINT AS h2, ('0x' || s[17:24])::BIGINT AS h3, ('0x' || s[25:32])::BIGINT AS h4 FROM d
+), c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h
+), p AS (
+  SELECT doc_id, n, form, t, array_to_string(w[1:a], '') AS pre, array_to_string(w[a + 1:b], '') AS mid, array_to_string(w[b + 1:], '') AS suf FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form != 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form != 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+#: CRC32 of a decimal id, bit by bit, in its reflected form.
+_CRC = (
+    "xor(4294967295, list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: unicode(c)::BIGINT), "
+    "lambda c, b: list_reduce(range(8), lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END), xor(c, b)), 4294967295::BIGINT))"
+)
+
+
+def op13_sql(levels: int = 8) -> str:
+    """The tree level by level, for groups of fanout ** levels rows at most."""
+    field = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    row = lambda text: f"sha256({' || '.join([*[field(c) for c in merkle.FIELDS[:-1]], field(text)])})"
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    steps = [f"""WITH g AS (SELECT doc_id, coalesce(lang, '') AS lang, lang IS NOT NULL AS named, {row('text')} AS leaf, {row(low)} AS low, {_CRC} AS crc FROM documents),
+n0 AS (SELECT named, lang, row_number() OVER (PARTITION BY named, lang ORDER BY doc_id, leaf) - 1 AS k, leaf AS node FROM g),
+a0 AS (SELECT named, lang, row_number() OVER (PARTITION BY named, lang ORDER BY doc_id, leaf) - 1 AS r, doc_id, leaf, CASE WHEN crc % 3 = 0 THEN low ELSE leaf END AS fold, '' AS proof FROM g)"""]
+
+    def climb(rows: str, nodes: str, level: int) -> str:
+        i = f"{rows}{level}"
+        up = f"{nodes}{level + 1}"
+        return f"""{nodes}s{level} AS (SELECT named, lang, k // 8 AS k, count(*) OVER (PARTITION BY named, lang) AS many, k % 8 AS place, node FROM {nodes}{level}),
+{up} AS (SELECT named, lang, k, CASE WHEN max(many) > 1 THEN sha256(string_agg(node, '' ORDER BY place)) ELSE min(node) END AS node FROM {nodes}s{level} GROUP BY named, lang, k),
+{nodes}l{level} AS (SELECT named, lang, k, max(many) AS many, list(node ORDER BY place) AS ns FROM {nodes}s{level} GROUP BY named, lang, k),
+{rows}{level + 1} AS (SELECT {i}.* REPLACE (r // 8 AS r, CASE WHEN many > 1 THEN sha256(array_to_string(ns[:r % 8], '') || fold || array_to_string(ns[r % 8 + 2:], '')) ELSE fold END AS fold,
+  CASE WHEN many > 1 THEN proof || array_to_string(ns[:r % 8], '') || array_to_string(ns[r % 8 + 2:], '') ELSE proof END AS proof)
+  FROM {i} JOIN {nodes}l{level} l ON {i}.named = l.named AND {i}.lang = l.lang AND {i}.r // 8 = l.k)"""
+
+    steps += [climb("a", "n", level) for level in range(levels)]
+    steps.append(f"""m0 AS (SELECT true AS named, '' AS lang, row_number() OVER (ORDER BY named, encode(lang)) - 1 AS k, node, named AS gn, lang AS gl FROM n{levels}),
+b0 AS (SELECT true AS named, '' AS lang, m0.k AS r, doc_id, leaf, fold, proof, m0.node AS subroot FROM a{levels} a JOIN m0 ON m0.gn = a.named AND m0.gl = a.lang)""")
+    steps += [climb("b", "m", level) for level in range(3)]
+    return ",\n".join(steps) + """
+SELECT doc_id, leaf, subroot, m.node AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = m.node AS verified FROM b3, (SELECT min(node) AS node FROM m3) m"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_quality_rules": op5_sql(),
         "op6_chat_formatting": OP6_SQL,
         "op9_decontamination": OP9_SQL,
+        "op11_substring_dedup": OP11_SQL,
+        "op12_fill_in_middle": OP12_SQL,
+        "op13_merkle_manifest": op13_sql(),
     }
