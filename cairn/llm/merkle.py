@@ -29,7 +29,7 @@ FANOUT = 8
 #: Digits of a rank inside one block: a block has FANOUT ** BLOCK_DIGITS members at most.
 BLOCK_DIGITS = 3
 #: Bits of an id's lowest digit and of the others; rows of one lowest prefix have as many different ids at most as the lowest digit has values.
-LOWEST_BITS, DIGIT_BITS = 12, 13
+LOWEST_BITS, DIGIT_BITS = 8, 14
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 

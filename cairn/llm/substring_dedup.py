@@ -265,20 +265,20 @@ def _candidates(known, window: int, gram: int):
     return run
 
 
-def _cut(known, others: int, window: int, gram: int):
+def _cut(known, others: int, at: int, window: int, gram: int):
     """The texts without the repeated windows: all that are estimated to repeat, but those that came first."""
     names = ["_n_words", "_n_removed", "_spans", "_kept_text"]
     spans = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
     def run(batches):
         found = known.value
-        for batch, texts in _chunks(batches, others):
+        for batch, texts in _chunks(batches, at):
             w = Words(texts, window, gram)
             s = w.window[found.repeated(w.anchor)]
             tags, doc = (w.keys(s)[:, 0] ^ (w.places(s) << 40)) if len(s) else s, w.doc[s]
             goes = np.ones(len(s), bool)
             cut = np.searchsorted(doc, np.arange(len(texts) + 1))
-            for k, stay in enumerate(batch.column(others + 1)):
+            for k, stay in enumerate(batch.column(batch.num_columns - 1)):
                 if stay.is_valid and cut[k] < cut[k + 1]:
                     goes[cut[k] : cut[k + 1]] = ~np.isin(tags[cut[k] : cut[k + 1]], stay.values.to_numpy(zero_copy_only=False))
             depth = np.bincount(s[goes], minlength=len(w.end) + 1) - np.bincount(s[goes] + window, minlength=len(w.end) + 1)
@@ -312,17 +312,31 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     columns pass through; one with the name of a new one is replaced.  ``most_cells``
     bounds the broadcast and changes no result.
     """
-    scratch = Scratch(docs.sparkSession, "windows")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST))).alias("doc"), F.col(text_col).alias("text"))
-    known = docs.sparkSession.sparkContext.broadcast(sketch(rows.select("text"), window, gram, most_cells))
-    places = rows.mapInArrow(_candidates(known, window, gram), "k1 long, k2 long, doc long, start int")
-    first = places.groupBy("k1", "k2").agg(F.min(F.struct("doc", "start")).alias("f"))
-    tag = F.col("k1").bitwiseXOR(F.shiftleft(F.col("f.start").cast("long"), 40))  # names a window and its place, whatever rows share the id
-    stay = scratch.save(first.groupBy(F.col("f.doc").alias("_doc")).agg(F.collect_list(tag).alias("_stay")), "stay")
-    scratch.release()
+    spark = docs.sparkSession
+    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST)))
+    rows = docs.select(doc.alias("doc"), F.col(text_col).alias("text"))
+    known = spark.sparkContext.broadcast(sketch(rows.select("text"), window, gram, most_cells))
+    stay = _first_places(rows, known, window, gram)
     new = "_n_words long, _n_removed long, _spans array<struct<first:int,last:int>>, _kept_text string"
     fields = T._parse_datatype_string(new).fields
     keep = [c for c in docs.columns if c not in {f.name[1:] for f in fields}]
-    joined = docs.withColumns({"_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST))), "_raw": F.col(text_col)}).join(stay, "_doc", "left").select(*keep, "_raw", "_stay")
-    out = joined.mapInArrow(_cut(known, len(keep), window, gram), T.StructType([*joined.select(*keep).schema.fields, *fields]))
+    # a text travels once, unless its column is replaced
+    own = text_col if text_col in keep else "_raw"
+    joined = docs.withColumns({"_doc": doc, **({} if own == text_col else {own: F.col(text_col)})}).join(stay, "_doc", "left")
+    joined = joined.select(*keep, *[own] * (own not in keep), "_stay")
+    at = joined.columns.index(own)
+    out = joined.mapInArrow(_cut(known, len(keep), at, window, gram), T.StructType([*joined.select(*keep).schema.fields, *fields]))
     return out.select(*keep, *[F.col(f.name).alias(f.name[1:]) for f in fields])
+
+
+def _first_places(rows: DataFrame, known, window: int, gram: int) -> DataFrame:
+    """(_doc, _stay): of each document the windows that are estimated to repeat and are the first of their words, each named by its words and its place."""
+    scratch = Scratch(rows.sparkSession, "windows")
+    scratch.release()
+    places = rows.mapInArrow(_candidates(known, window, gram), "k1 long, k2 long, doc long, start int")
+    first = places.groupBy("k1", "k2").agg(F.min(F.struct("doc", "start")).alias("f"))
+    tag = F.col("k1").bitwiseXOR(F.shiftleft(F.col("f.start").cast("long"), 40))  # tells windows apart whatever rows share the id
+    stay = scratch.save(first.groupBy(F.col("f.doc").alias("_doc")).agg(F.collect_list(tag).alias("_stay")), "stay")
+    del places, first
+    scratch.release()
+    return stay
