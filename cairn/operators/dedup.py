@@ -11,6 +11,8 @@ with a kept earlier neighbour is dropped.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cairn.functions.text import characters
@@ -64,43 +66,170 @@ def _gram_sets(base: DataFrame, threshold: float) -> DataFrame:
 
 def _character_sets(base: DataFrame, threshold: float) -> DataFrame:
     m = F.size("c")
-    return base.withColumn("c", characters(F.col("k"))).select("i", "n", m.alias("m"), F.lit(1).alias("q"), F.explode("c").alias("gram"), (m - F.ceil(m * threshold - 1e-9) + 1).alias("size"))
+    return base.withColumn("c", characters(F.col("k"))).select("i", "n", m.alias("m"), F.lit(1).alias("q"), F.explode(F.transform("c", lambda c: F.xxhash64(c))).alias("gram"), (m - F.ceil(m * threshold - 1e-9) + 1).alias("size"))
 
 
-def similar_pairs(rows: DataFrame, key: str, seq: str, kind: str, threshold: float, strict: bool = False) -> DataFrame:
-    """(i, j, similarity) with i before j for all pairs of texts within the threshold.
+def _text_of(kind: str, text: Column) -> Column:
+    """What is compared: lower case for edits, the text itself for characters."""
+    return F.lower(text) if kind == "edit" else text
 
-    ``kind`` is ``edit`` (1 - edits / longer length, in lower case, threshold above 0.5)
-    or ``jaccard`` (sets of characters).  Texts must be distinct in ``key``; ``strict``
-    leaves out similarities equal to the threshold.  Candidates are dealt evenly before
-    they are compared, and the count of edits ends where the threshold is out of reach.
+
+def _sets(base: DataFrame, kind: str, threshold: float) -> DataFrame:
+    return _gram_sets(base, threshold) if kind == "edit" else _character_sets(base, threshold)
+
+
+def _probes(sets: DataFrame, rare: DataFrame, frequent: Column) -> DataFrame:
+    """(i, n, m, q, gram): of each set the first ``size`` grams in one order of all grams: by ``df``, those that ``rare`` lacks first.
+
+    ``frequent`` tells of a joined row whether its gram can meet another text; those
+    that cannot count among the first, and only shorten the rest.
     """
-    spark = rows.sparkSession
-    text = F.lower(F.col(key)) if kind == "edit" else F.col(key)
-    base = rows.select(F.col(seq).alias("i"), text.alias("k"), F.length(text).alias("n")).where("n > 0")
-    sets = _gram_sets(base, threshold) if kind == "edit" else _character_sets(base, threshold)
-    rare = sets.groupBy("q", "gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    # a gram of one text alone meets nothing, but counts among the rarest: it only shortens the rest
-    alone = sets.join(rare, ["q", "gram"], "left").groupBy("i", "n", "m", "q", "size").agg(F.array_sort(F.collect_list(F.when(F.col("df") > 1, F.struct("df", "gram")))).alias("o"), F.count_if(F.col("df").isNull()).alias("single"))
+    joined = sets.join(rare, ["q", "gram"], "left").groupBy("i", "n", "m", "q", "size").agg(F.array_sort(F.collect_list(F.when(frequent, F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")))).alias("o"), F.count_if(~frequent).alias("single"))
     taken = F.slice("o", F.lit(1), F.greatest(F.least(F.col("size") - F.col("single"), F.size("o")), F.lit(0)).cast("int"))
-    probe = alone.select("i", "n", "m", "q", F.explode(F.transform(taken, lambda x: x["gram"])).alias("gram"))
-    a, b = probe.alias("a"), probe.alias("b")
-    span = (F.col("a.n"), F.col("b.n")) if kind == "edit" else (F.col("a.m"), F.col("b.m"))
-    near = F.least(*span) >= F.greatest(*span) * threshold - 1e-9
-    pairs = a.join(b, (F.col("a.q") == F.col("b.q")) & (F.col("a.gram") == F.col("b.gram")) & (F.col("a.i") < F.col("b.i")) & near).select(F.col("a.i").alias("i"), F.col("b.i").alias("j")).distinct()
-    texts = base.select("i", F.col("k").alias("x") if kind == "edit" else characters(F.col("k")).alias("x"))
-    both = pairs.join(texts, "i").join(texts.select(F.col("i").alias("j"), F.col("x").alias("y")), "j")
+    return joined.select("i", "n", "m", "q", F.explode(F.transform(taken, lambda x: x["gram"])).alias("gram"))
+
+
+def _in_reach(a: Column, b: Column, threshold: float) -> Column:
+    """Whether two lengths (of texts or sets) are near enough for the threshold."""
+    return F.least(a, b) >= F.greatest(a, b) * threshold - 1e-9
+
+
+def _band(length: Column, threshold: float) -> Column:
+    """A band of lengths: two in reach of one another are in the same or in neighbouring bands."""
+    return length.cast("long") if threshold >= 1 else F.floor(F.log(length) / (-math.log(threshold) * 1.000001 + 1e-9))
+
+
+def _meeting(mine: DataFrame, theirs: DataFrame, length: str, threshold: float, also: Column | None = None) -> DataFrame:
+    """The joined rows ``a`` of ``mine`` and ``b`` of ``theirs`` that share a gram and are in reach.
+
+    A gram that many texts have is no single key: it meets in bands of like lengths.
+    """
+    around = F.explode(F.sequence(F.col("_b") - 1, F.col("_b") + 1))
+    a = mine.withColumn("_b", _band(F.col(length), threshold)).withColumn("band", around).drop("_b").alias("a")
+    b = theirs.withColumn("band", _band(F.col(length), threshold)).alias("b")
+    same = (F.col("a.q") == F.col("b.q")) & (F.col("a.gram") == F.col("b.gram")) & (F.col("a.band") == F.col("b.band"))
+    same = same & _in_reach(F.col(f"a.{length}"), F.col(f"b.{length}"), threshold)
+    return a.join(b, same if also is None else same & also)
+
+
+def _compared(both: DataFrame, kind: str, threshold: float, strict: bool) -> DataFrame:
+    """(i, j, similarity) of candidates (i, j, x, y) within the threshold, dealt evenly before they are compared."""
+    spark = both.sparkSession
     both = both.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "i", "j")
     if kind == "edit":
         longer = F.greatest(F.length("x"), F.length("y"))
         edits = F.call_function("levenshtein", "x", "y", F.floor(longer * (1 - threshold) + 1e-9).cast("int"))
         both = both.select("i", "j", edits.alias("edits"), longer.alias("longer")).where("edits >= 0").select("i", "j", (1 - F.col("edits") / F.col("longer")).alias("similarity"))
     else:
+        both = both.withColumns({"x": characters(F.col("x")), "y": characters(F.col("y"))})
         common = F.size(F.array_intersect("x", "y"))
         both = both.select("i", "j", common.alias("common"), (F.size("x") + F.size("y")).alias("all")).select("i", "j", (F.col("common") / (F.col("all") - F.col("common"))).alias("similarity"))
     return both.where(F.col("similarity") > threshold if strict else F.col("similarity") >= threshold)
 
 
+def similar_pairs(rows: DataFrame, key: str, seq: str, kind: str, threshold: float, strict: bool = False) -> DataFrame:
+    """(i, j, similarity) with i before j for all pairs of texts within the threshold.
+
+    ``kind`` is ``edit`` (1 - edits / longer length, in lower case, threshold above 0.5)
+    or ``jaccard`` (sets of characters).  Texts must be distinct in ``key``; ``strict``
+    leaves out similarities equal to the threshold.  Candidates are dealt evenly before
+    they are compared, and the count of edits ends where the threshold is out of reach.
+    """
+    text = _text_of(kind, F.col(key))
+    base = rows.select(F.col(seq).alias("i"), text.alias("k"), F.length(text).alias("n")).where("n > 0")
+    sets = _sets(base, kind, threshold)
+    # a gram of one text alone meets nothing, but counts among the rarest
+    rare = sets.groupBy("q", "gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    probe = _probes(sets, rare, F.col("df").isNotNull())
+    pairs = _meeting(probe, probe, "n" if kind == "edit" else "m", threshold, F.col("a.i") < F.col("b.i")).select(F.col("a.i").alias("i"), F.col("b.i").alias("j")).distinct()
+    texts = base.select("i", F.col("k").alias("x"))
+    both = pairs.join(texts, "i").join(texts.select(F.col("i").alias("j"), F.col("x").alias("y")), "j")
+    return _compared(both, kind, threshold, strict)
+
+
+class GramIndex:
+    """Texts that are there already, stored so that a batch finds those it resembles without comparing them among themselves.
+
+    Below ``path`` are three tables: ``order``, the number of texts that had each gram
+    when the index was made, which is kept as it was; ``texts``, the distinct texts with
+    ids of their own; and ``grams``, the grams by which each of them is found, the
+    rarest in that order.  Grams that are new since then count as rarest of all, on
+    both sides, so every pair within the threshold still shares a gram.  What is added
+    goes to folders of the addition's number, which an addition that is made again
+    replaces: a restart neither loses nor doubles texts.
+    """
+
+    def __init__(self, spark, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        about = spark.read.parquet(f"{self.path}/about").first()
+        self.kind, self.threshold = about["kind"], about["threshold"]
+
+    @classmethod
+    def create(cls, texts: DataFrame, text_col: str, path: str, kind: str = "edit", threshold: float = 0.82, number: int = 0) -> GramIndex:
+        """A new index of the texts, which also fix the order of grams; an index that is there is replaced."""
+        spark = texts.sparkSession
+        if kind == "edit":
+            _loss(threshold)
+        spark.createDataFrame([(kind, float(threshold))], "kind string, threshold double").coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
+        distinct = texts.select(_text_of(kind, F.col(text_col)).alias("t")).where("t IS NOT NULL AND t != ''").distinct()
+        distinct.write.mode("overwrite").parquet(f"{path}/first")
+        base = spark.read.parquet(f"{path}/first").select(F.lit(0).alias("i"), F.col("t").alias("k"), F.length("t").alias("n"))
+        _sets(base, kind, threshold).groupBy("q", "gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1").write.mode("overwrite").parquet(f"{path}/order")
+        for table, schema in cls._SCHEMA.items():
+            spark.createDataFrame([], f"{schema}, part long").write.partitionBy("part").mode("overwrite").parquet(f"{path}/{table}")
+        index = cls(spark, path)
+        index._put(spark.read.parquet(f"{path}/first"), number)
+        return index
+
+    @classmethod
+    def of(cls, texts: DataFrame, text_col: str, kind: str, threshold: float) -> GramIndex:
+        """An index for one use, below the shared folder."""
+        return cls.create(texts, text_col, f"{Scratch(texts.sparkSession, 'index').kept()}/index", kind, threshold)
+
+    #: Of the tables, besides the addition's number as ``part``.
+    _SCHEMA = {"texts": "id long, t string", "grams": "q int, gram long, id long, n int, m int"}
+
+    def _read(self, table: str, below: int | None) -> DataFrame:
+        rows = self.spark.read.schema(f"{self._SCHEMA[table]}, part long").parquet(f"{self.path}/{table}")
+        return rows if below is None else rows.where(F.col("part") < below)
+
+    def texts(self, below: int | None = None) -> DataFrame:
+        """(id, t, part) of the texts, of those in additions before ``below``."""
+        return self._read("texts", below)
+
+    def _prefix(self, base: DataFrame) -> DataFrame:
+        order = self.spark.read.schema("q int, gram long, df long").parquet(f"{self.path}/order")
+        return _probes(_sets(base, self.kind, self.threshold), order, F.lit(True))
+
+    def _put(self, distinct: DataFrame, number: int) -> None:
+        # ids are of an addition, and fixed once they are written
+        distinct.select(F.monotonically_increasing_id().alias("id"), "t").write.mode("overwrite").parquet(f"{self.path}/texts/part={number}")
+        base = self.texts().where(F.col("part") == number).select(F.col("id").alias("i"), F.col("t").alias("k"), F.length("t").alias("n"))
+        self._prefix(base).select("q", "gram", F.col("i").alias("id"), "n", "m").write.mode("overwrite").parquet(f"{self.path}/grams/part={number}")
+
+    def add(self, texts: DataFrame, text_col: str, number: int) -> None:
+        """Add the texts as addition ``number`` (from 1), in place of what that addition had."""
+        mine = texts.select(_text_of(self.kind, F.col(text_col)).alias("t")).where("t IS NOT NULL AND t != ''").distinct()
+        self._put(mine.join(self.texts(number).select("t"), "t", "left_anti"), number)
+
+    def matches(self, rows: DataFrame, key: str, seq: str, threshold: float, strict: bool = False, below: int | None = None) -> DataFrame:
+        """(i, j, similarity): every row and stored text (part, id) within the threshold; ``below`` leaves out additions from that number on.
+
+        The rows' grams meet the stored ones, and only the texts of candidates are
+        compared; a row whose text is stored itself has the similarity 1, one without
+        a text has none.  Where the rows are few, Spark sends them to the stored
+        grams, which then need no shuffle.  ``threshold`` is the index's or a higher one.
+        """
+        if threshold < self.threshold:
+            raise ValueError(f"the index is made for thresholds from {self.threshold} on")
+        text = _text_of(self.kind, F.col(key))
+        base = rows.select(F.col(seq).alias("i"), text.alias("k"), F.length(text).alias("n")).where("n > 0")
+        base = Scratch(self.spark, "matches").save(base, "rows")
+        pairs = _meeting(self._prefix(base), self._read("grams", below), "n" if self.kind == "edit" else "m", self.threshold).select("a.i", "b.part", "b.id").distinct()
+        both = pairs.join(self.texts(below), ["part", "id"]).join(base.select("i", F.col("k").alias("x")), "i")
+        return _compared(both.select("i", F.struct("part", "id").alias("j"), "x", F.col("t").alias("y")), self.kind, threshold, strict)
+
+
 def first_independent(nodes: DataFrame, pairs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(i) of the rows that a pass in order keeps, of ``nodes`` (i) and ``pairs`` (i before j).
 
@@ -159,10 +288,13 @@ def first_of_keys_and_titles(items: DataFrame, seq: str, key: str, text_col: str
     return items.join(state.where("kept").select(F.col("i").alias(seq)), seq, "left_semi").select(*items.columns)
 
 
-def greedy(items: DataFrame, text_col: str, seq: str, kind: str = "edit", threshold: float = 0.82, strict: bool = False, existing: DataFrame | None = None, gate: Column | None = None, empty: str = "drop") -> DataFrame:
+def greedy(items: DataFrame, text_col: str, seq: str, kind: str = "edit", threshold: float = 0.82, strict: bool = False, existing: DataFrame | GramIndex | None = None, gate: Column | None = None, empty: str = "drop", below: int | None = None) -> DataFrame:
     """``items`` without those that resemble an earlier kept row or any text of ``existing``.
 
-    ``existing`` has the column ``text_col``.  ``gate`` drops rows after the comparison
+    ``existing`` has the column ``text_col``, or is a stored index of such texts; texts
+    of it are never compared with one another, and ``below`` leaves out its additions
+    from that number on.  ``seq`` orders the rows, any integer
+    is one, and no two rows share it.  ``gate`` drops rows after the comparison
     with existing ones; a row that it drops stands in no other's way.  Empty and null
     texts resemble no other: ``empty`` says whether they are dropped (``drop``), kept
     (``keep``), or only the first is kept (``first``).
@@ -173,7 +305,7 @@ def greedy(items: DataFrame, text_col: str, seq: str, kind: str = "edit", thresh
             blank = blank.where(gate)
         if empty == "first":
             blank = blank.orderBy(seq).limit(1)
-        return greedy(items, text_col, seq, kind, threshold, strict, existing, gate).unionByName(blank)
+        return greedy(items, text_col, seq, kind, threshold, strict, existing, gate, below=below).unionByName(blank)
     spark = items.sparkSession
     scratch = Scratch(spark, "greedy")
     low = (lambda c: F.lower(c)) if kind == "edit" else (lambda c: c)
@@ -184,13 +316,10 @@ def greedy(items: DataFrame, text_col: str, seq: str, kind: str = "edit", thresh
     heads = rows.groupBy(low(F.col(text_col)).alias("t")).agg(F.min(seq).alias("i"))
     heads = scratch.save(heads, "heads")
     if existing is not None:
-        old = existing.select(low(F.col(text_col)).alias("t")).where("t IS NOT NULL AND t != ''").distinct().withColumn("i", -F.abs(F.xxhash64("t")) - 1)
-        both = scratch.save(heads.join(old, "t", "left_anti").unionByName(old.select("t", "i")), "both")
-        pairs = scratch.save(similar_pairs(both, "t", "i", kind, threshold, strict), "all-pairs")
-        taken = pairs.where("i < 0 AND j >= 0").select(F.col("j").alias("i")).distinct()
-        heads = scratch.save(both.where("i >= 0").join(taken, "i", "left_anti"), "left")
-        pairs = pairs.where("i >= 0").join(heads.select("i"), "i", "left_semi").join(heads.select(F.col("i").alias("j")), "j", "left_semi")
-    else:
-        pairs = similar_pairs(heads, "t", "i", kind, threshold, strict)
+        index = existing if isinstance(existing, GramIndex) else GramIndex.of(existing, text_col, kind, threshold)
+        if index.kind != kind:
+            raise ValueError(f"the index is of kind {index.kind}")
+        heads = scratch.save(heads.join(index.matches(heads, "t", "i", threshold, strict, below).select("i").distinct(), "i", "left_anti"), "left")
+    pairs = similar_pairs(heads, "t", "i", kind, threshold, strict)
     kept = first_independent(heads.select("i"), pairs, scratch)
     return items.join(kept.withColumnRenamed("i", seq), seq, "left_semi").select(*items.columns)

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cairn import lexicon as L
 from cairn.functions.text import safe_url
 from cairn.operators.classify import label_of
-from cairn.operators.dedup import first_of_each, first_of_keys_and_titles, greedy, similar_pairs
+from cairn.operators.dedup import GramIndex, first_of_each, first_of_keys_and_titles, greedy
 from cairn.scratch import Scratch
 
 
@@ -27,18 +27,22 @@ def merge_reports(batch: DataFrame, existing: DataFrame, seq: str = "seq", url:
     """
     rows = batch.where((F.coalesce(F.col(url), F.lit("")) != "") & (F.coalesce(F.col(title), F.lit("")) != ""))
     rows = rows.join(existing.select(url).distinct(), url, "left_anti").select(*batch.columns)
-    texts = rows.groupBy(F.lower(title).alias("_t")).agg(F.min(seq).alias("_i"))
-    fresh = unlike(texts, existing, title, threshold)
-    rows = rows.join(fresh, F.lower(rows[title]) == fresh["_t"], "left_semi").select(*batch.columns)
+    rows = unlike(rows, existing, title, threshold)
     return first_of_keys_and_titles(rows, seq, url, title, "edit", threshold)
 
 
-def unlike(texts: DataFrame, existing: DataFrame, title: str, threshold: float) -> DataFrame:
-    """Of distinct lower-case texts (_t, _i), those that no title of ``existing`` resembles."""
-    old = existing.select(F.lower(title).alias("_t")).where("_t IS NOT NULL AND _t != ''").distinct().withColumn("_i", -F.abs(F.xxhash64("_t")) - 1)
-    both = Scratch(texts.sparkSession, "unlike").save(texts.join(old, "_t", "left_anti").unionByName(old), "both")
-    taken = similar_pairs(both, "_t", "_i", "edit", threshold).where("i < 0 AND j >= 0").select(F.col("j").alias("_i"))
-    return both.where("_i >= 0").join(taken, "_i", "left_anti").select("_t")
+def unlike(texts: DataFrame, existing: DataFrame | GramIndex, title: str, threshold: float, strict: bool = False) -> DataFrame:
+    """``texts`` without the rows whose ``title`` resembles one of ``existing``, an index or rows with that column.
+
+    Rows without a title resemble none.  Each different title is compared once; those
+    of ``existing`` are never compared with one another.
+    """
+    index = existing if isinstance(existing, GramIndex) else GramIndex.of(existing, title, "edit", threshold)
+    low = F.lower(F.col(title))
+    heads = texts.where(low != "").select(low.alias("_t")).distinct().withColumn("_i", F.monotonically_increasing_id())
+    heads = Scratch(texts.sparkSession, "unlike").save(heads, "heads")
+    found = index.matches(heads, "_t", "_i", threshold, strict).select(F.col("i").alias("_i")).distinct()
+    return texts.join(heads.join(found, "_i", "left_semi").select("_t"), low == F.col("_t"), "left_anti").select(*texts.columns)
 
 
 def protect_curated(reports: DataFrame) -> DataFrame:

@@ -42,6 +42,14 @@ class Scratch:
 
     def append(self, df: DataFrame, name: str, mode: str = "append") -> None:
         df.write.mode(mode).option("compression", "zstd").parquet(f"{self.root}/{name}")
+        self._mark()
+
+    def kept(self) -> str:
+        """The folder of this job, for what writes its own tables; it goes like theirs."""
+        self._mark()
+        return self.root
+
+    def _mark(self) -> None:
         if not self.marked:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
             self.marked = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
