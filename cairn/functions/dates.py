@@ -36,8 +36,16 @@ def date_in_text(text: Column, as_of: Column) -> Column:
     )
 
 
-_META = [rf"""(?i)<meta[^>]+{k}=["']{v}["'][^>]+content=["']([^"']+)["']""" for k, v in (("property", "article:published_time"), ("name", "publishdate"), ("name", "publication_date"), ("name", "weibo:article:create_at"))]
-_PAGE_DATES = [*_META, r'(?i)"datePublished"[:\s]*"([^"]+)"', r"""(?i)<time[^>]+datetime=["']([^"']+)["']"""]
+# Where a page states its date, in the order in which they count.
+_PAGE_DATES = [
+    r"""(?i)<meta[^>]+property=["']article:published_time["'][^>]+content=["']([^"']+)["']""",
+    r"""(?i)<meta[^>]+name=["']publishdate["'][^>]+content=["']([^"']+)["']""",
+    r"""(?i)<meta[^>]+name=["']publication_date["'][^>]+content=["']([^"']+)["']""",
+    r"""(?i)<meta[^>]+name=["']weibo:article:create_at["'][^>]+content=["']([^"']+)["']""",
+    r'(?i)"datePublished"[:\s]*"([^"]+)"',
+    r"""(?i)<time[^>]+datetime=["']([^"']+)["']""",
+]
+# End of the fixed values.
 
 
 def page_date(html: Column, url: Column) -> Column:
@@ -59,11 +67,21 @@ def rfc822(ts: Column) -> Column:
     return F.coalesce(F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss 'GMT'"), F.lit(""))
 
 
+def format_date(ts: Column, as_of: Column) -> Column:
+    """今天 for a time of today, else month/day with 日 behind, without leading zeros."""
+    return F.when(F.to_date(ts) == F.to_date(as_of), "今天").otherwise(F.concat(F.month(ts).cast("string"), F.lit("/"), F.dayofmonth(ts).cast("string"), F.lit("日")))
+
+
+def format_time(ts: Column) -> Column:
+    """Hour and minute of the 24-hour clock, two digits each."""
+    return F.date_format(ts, "HH:mm")
+
+
 def relative_time(ts: Column, as_of: Column) -> Column:
-    """刚刚, minutes, hours or days ago; month/day from a week on."""
+    """刚刚, minutes, hours or days ago; the date's label from a week on.  What lies ahead is 刚刚."""
     s = F.unix_timestamp(as_of) - F.unix_timestamp(ts)
     n = lambda k: F.floor(s / k).cast("string")
-    return F.when(s < 60, "刚刚").when(s < 3600, F.concat(n(60), F.lit("分钟前"))).when(s < 86400, F.concat(n(3600), F.lit("小时前"))).when(s < 7 * 86400, F.concat(n(86400), F.lit("天前"))).otherwise(F.concat_ws("/", F.month(ts), F.dayofmonth(ts)))
+    return F.when(s < 60, "刚刚").when(s < 3600, F.concat(n(60), F.lit("分钟前"))).when(s < 86400, F.concat(n(3600), F.lit("小时前"))).when(s < 7 * 86400, F.concat(n(86400), F.lit("天前"))).otherwise(format_date(ts, as_of))
 
 
 def day_key(published: Column) -> Column:

@@ -135,5 +135,14 @@ def rows() -> list[tuple]:
 
 
 def table(spark: SparkSession) -> DataFrame:
-    """profile, rule_set, label, ord, keyword, match_mode, weight."""
-    return spark.createDataFrame(rows(), "profile string, rule_set string, label string, ord int, keyword string, match_mode string, weight int")
+    """profile, rule_set, label, ord, keyword, match_mode, weight, place (the row's number)."""
+    return spark.createDataFrame([(*r, k) for k, r in enumerate(rows())], "profile string, rule_set string, label string, ord int, keyword string, match_mode string, weight int, place int")
+
+
+def sample_table(spark: SparkSession) -> DataFrame:
+    """The samples above as a lexicon table of the profile ``sample``."""
+    out = [("gate", "relevant", k, w, "substring", None) for k, w in enumerate(SAMPLE_TERMS)]
+    out += [("topic", label, k, w, "substring", None) for label, words in SAMPLE_TOPICS.items() for k, w in enumerate(words)]
+    out += [("category", label, k, w, "word" if w in WHOLE_WORDS else "substring", None) for label, words in SAMPLE_CASCADE for k, w in enumerate(words)]
+    out += [("boost", f"+{weight}", k, w, "substring", weight) for words, weight in SAMPLE_BOOSTS for k, w in enumerate(words)]
+    return spark.createDataFrame([("sample", *r, k) for k, r in enumerate(out)], "profile string, rule_set string, label string, ord int, keyword string, match_mode string, weight int, place int")

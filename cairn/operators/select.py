@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cairn.functions.dates import format_date
 from cairn.scratch import Scratch
 
 
@@ -91,6 +92,19 @@ def grouped(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:
     return rows.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(order, value))).alias("_l")).select(by, F.transform("_l", lambda x: x[value]).alias("items"))
 
 
+def by_date_label(rows: DataFrame, ts: str, as_of: Column, order: list[Column]) -> DataFrame:
+    """``rows`` with label (the day's, as a reader sees it), group (the label's place by its first row) and place (in the whole order).
+
+    Rows of one label stand together where the first of them stands, so those of the
+    same day of another year join its group.
+    """
+    placed = numbered(rows.withColumn("label", format_date(F.col(ts), as_of)), order, "_at")
+    first = placed.groupBy("label").agg(F.min("_at").alias("_lead"))  # as many rows as a year has days
+    first = first.withColumn("group", F.row_number().over(Window.orderBy("_lead")))
+    placed = placed.join(F.broadcast(first), placed["label"].eqNullSafe(first["label"])).drop(first["label"])
+    return numbered(placed, [F.col("group"), F.col("_at")], "place").drop("_at", "_lead")
+
+
 def reports_by_layer(reports: DataFrame, topic: str = "all", layers: tuple[str, ...] = ("reinsurance", "consulting", "domestic"), seq: str = "seq", name: str | None = None) -> DataFrame:
     """Reports of a topic, layers in their order, others last; with ``name``, a column of their numbers in it."""
     place = F.array_position(F.array(*[F.lit(x) for x in layers]), F.coalesce("layer", F.lit("")))

@@ -62,8 +62,12 @@ stated("references_decoded", X.unescape_numbers, [
 ])
 stated("stripped_text", X.stripped, [("<p> a&amp;b </p>", "a&b"), ("x" * 400, "x" * 300), ("a<b>c", "a c"), ("", "")])
 stated("relative_time", lambda t: dates.relative_time(t.cast("timestamp"), F.lit("2026-07-10 12:00:00").cast("timestamp")), [
-    ("2026-07-10 11:59:30", "刚刚"), ("2026-07-10 11:58:00", "2分钟前"), ("2026-07-10 09:00:00", "3小时前"), ("2026-07-08 11:00:00", "2天前"), ("2026-07-03 13:00:00", "6天前"), ("2026-07-03 12:00:00", "7/3"), ("2025-12-31 00:00:00", "12/31"),
+    ("2026-07-10 11:59:30", "刚刚"), ("2026-07-10 11:58:00", "2分钟前"), ("2026-07-10 09:00:00", "3小时前"), ("2026-07-08 11:00:00", "2天前"), ("2026-07-03 13:00:00", "6天前"), ("2026-07-03 12:00:00", "7/3日"), ("2025-12-31 00:00:00", "12/31日"), ("2026-07-11 00:00:00", "刚刚"), ("2026-07-10 11:01:00", "59分钟前"), ("2026-07-09 12:00:00", "1天前"),
 ])
+stated("date_label", lambda t: dates.format_date(t.cast("timestamp"), F.lit("2026-07-10 12:00:00").cast("timestamp")), [
+    ("2026-07-10 00:00:00", "今天"), ("2026-07-10 23:59:59", "今天"), ("2026-07-09 23:59:59", "7/9日"), ("2025-07-10 12:00:00", "7/10日"), ("2026-12-01 00:00:00", "12/1日"), (None, None),
+])
+stated("clock_label", lambda t: dates.format_time(t.cast("timestamp")), [("2026-07-10 09:05:59", "09:05"), ("2026-07-10 00:00:00", "00:00"), ("2026-07-10 23:59:00", "23:59"), (None, None)])
 stated("tag_list", lambda t: F.array_join(X.tags(t), "|"), [("a, b ,c", "a|b|c"), (" a ", "a"), ("", ""), (",,", ""), ("保险,　理赔\t", "保险|理赔"), (None, None)])
 stated("issue_number", lambda t: dates.issue_number(t.cast("date")), [("2024-05-15", 0), ("2024-05-16", 1), ("2026-07-10", 786), ("2024-05-01", -14)])
 stated("shanghai_day", dates.shanghai_day, [("0", "1970-01-01"), ("1751385600", "2025-07-02"), ("1751385599", "2025-07-01"), ("x", None), ("", None), (None, None), ("1751414400", "2025-07-02")])
