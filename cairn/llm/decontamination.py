@@ -148,7 +148,7 @@ def _raw(column: pa.Array) -> list[bytes]:
     return [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in column]
 
 
-def _scanner(parts: Parts, others: int):
+def _scanner(parts: Parts, others: int, places: bool):
     def run(batches):
         for group in parts.chunks(batches, others):
             texts = [t for batch in group for t in _raw(batch.column(others))]
@@ -157,7 +157,7 @@ def _scanner(parts: Parts, others: int):
                 rows = [[], [], [], []]
                 for _ in range(batch.num_rows):
                     raw, (n, runs, held) = next(found)
-                    for column, value in zip(rows, (n, sum(b - a + 1 for a, b in runs), sorted(map(str, held)), _places(raw, runs)), strict=True):
+                    for column, value in zip(rows, (n, sum(b - a + 1 for a, b in runs), sorted(map(str, held)), _places(raw, runs) if places else None), strict=True):
                         column.append(value)
                 kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), _PLACES)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:others], *[pa.array(r, k) for r, k in zip(rows, kinds, strict=True)]], names=[*batch.schema.names[:others], "n_words", "n_hit", "items", "spans"])
@@ -199,18 +199,19 @@ def benchmark_parts(benchmark: DataFrame, item_col: str = "item_id", text_col: s
     return Parts(broadcasts, name.hexdigest(), window)
 
 
-def scan_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, limit: int = PATTERN_BYTES) -> DataFrame:
+def scan_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, limit: int = PATTERN_BYTES, places: bool = True) -> DataFrame:
     """One row per input row: doc_id, n_words, n_hit, items (as strings, sorted), spans (character offsets in the text).
 
     A window is ``window`` consecutive words of an item, or all words of a shorter
     one; a document word inside any occurrence of a window is hit, and a span is a
     run of hit words.  Null texts have no words; items without words have no window;
     repeated items count once.  Repeated rows each come back with the same values.
-    ``limit`` bounds memory and changes no result.
+    ``limit`` bounds memory and changes no result.  Without ``places`` no spans are
+    looked for, and theirs are null.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_scanner(benchmark_parts(benchmark, item_col, item_text_col, window, limit), 1), f"doc_id {kind}, {SCAN_DDL}")
+    return rows.mapInArrow(_scanner(benchmark_parts(benchmark, item_col, item_text_col, window, limit), 1, places), f"doc_id {kind}, {SCAN_DDL}")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, limit: int = PATTERN_BYTES) -> DataFrame:

@@ -418,15 +418,20 @@ def main_text(page: str | None) -> str:
     return "\n\n".join(blocks(article(parse(page)))) if page else ""
 
 
-def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """``pages`` with text and n_chars (code points); a null page has the empty text, repeated rows each come back."""
-    keep = [c for c in pages.columns if c not in ("text", "n_chars")]
-    at = keep.index(html_col)
+def extract(pages: DataFrame, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
+    """``pages`` (or their columns ``keep``) with text and n_chars (code points).
+
+    A null page has the empty text, repeated rows each come back.  Elements nested
+    deeper than ``DEPTH`` count as parts of the one at that depth, as in browsers,
+    which have such a bound too: their texts stay, their tags divide it no further.
+    """
+    keep = [c for c in (keep or pages.columns) if c not in ("text", "n_chars")]
+    out = pages.select(*keep, *[html_col] * (html_col not in keep))
+    at, n = out.columns.index(html_col), len(keep)
 
     def run(batches):
         for batch in batches:
             texts = [main_text(x.as_py()) for x in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(texts, pa.string())], names=[*batch.schema.names[:n], "text"])
 
-    out = pages.select(*keep)
-    return out.mapInArrow(run, T.StructType([*out.schema.fields, T.StructField("text", T.StringType())])).withColumn("n_chars", F.length("text").cast("long"))
+    return out.mapInArrow(run, T.StructType([*out.schema.fields[:n], T.StructField("text", T.StringType())])).withColumn("n_chars", F.length("text").cast("long"))

@@ -80,6 +80,15 @@ def features(texts: list[bytes]) -> np.ndarray:
     return np.stack([terms(t) for t in texts]) if texts else np.zeros((0, PAIRS + FORMS), np.float32)
 
 
+def nearest(near: np.ndarray, k: int) -> np.ndarray:
+    """The places of the ``k`` greatest of each row, of equals the first ones."""
+    at = np.argpartition(-near, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(near, at, axis=1).min(axis=1, keepdims=True)
+    for row in np.flatnonzero((near >= least).sum(axis=1) > k):
+        at[row] = np.argsort(-near[row], kind="stable")[:k]
+    return at
+
+
 class Model:
     """The latent space and the labelled vectors in it."""
 
@@ -114,7 +123,7 @@ class Model:
             v = self._units(self._weighted(features(texts[a : a + BLOCK])))
             near = v @ self.vectors.T
             k = min(NEIGHBOURS, near.shape[1])
-            at = np.argpartition(-near, k - 1, axis=1)[:, :k]
+            at = nearest(near, k)
             w = np.maximum(np.take_along_axis(near, at, axis=1), 1e-6) ** SHARPNESS
             out[a : a + BLOCK] = ((w * self.labels[at]).sum(axis=1) + 1e-9 * self.rate) / (w.sum(axis=1) + 1e-9)
         return np.clip(out, 0, 1)
@@ -127,7 +136,8 @@ def learn(train: DataFrame) -> Model:
             x = features([t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(0)])
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column(1)], names=["x", "label"])
 
-    rows = train.mapInArrow(count, "x binary, label int").toArrow()
+    # in the order of what is counted, so that equal neighbours vote alike whatever order the rows came in
+    rows = train.mapInArrow(count, "x binary, label int").toArrow().sort_by([("x", "ascending"), ("label", "ascending")])
     x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(-1, PAIRS + FORMS)
     return Model(x, rows["label"].to_numpy())
 
@@ -137,7 +147,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
     ``labels`` has the ids as doc_id.  Null and empty texts are scored as empty ones;
     without labelled rows every text gets one half.  Repeated rows each come back
-    with equal scores; of neighbours equally near, those first in the sample vote; a
+    with equal scores; of neighbours equally near, those first in the order of what is counted of them vote; a
     null id is never held out.
     """
     model = docs.sparkSession.sparkContext.broadcast(learn(labelled(docs, labels, "quality", sample, id_col, text_col)))

@@ -42,11 +42,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+    return html_text.extract(_table(spark, sf_dir, "pages"), keep=["page_id", "url"])
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = decontamination.scan_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    hits = decontamination.scan_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), places=False)
     return hits.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
     )

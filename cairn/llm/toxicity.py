@@ -1,16 +1,19 @@
 """Toxicity by Levenshtein automata over a lexicon trie, with scores by context.
 
 The lexicon is learned from labelled documents: words, and stems with open ends,
-that occur almost only in toxic ones.  A text's distinct words run through one
-deterministic automaton, which is the union of the Levenshtein automata of all terms
-intersected with their trie, built state by state as words need it; so misspelled
-terms are found too, any letter changed, left out or put in, the first included.
-How many edits a term bears follows from its length (``Term.edits``); only terms that
-tell by themselves bear any, as fitted weights of the others' misspellings are 0.  A
-word near a term that clean training texts use is an ordinary word, no misspelling.
-How much a match of each kind tells is learned from the labelled documents.  A match
-between quotation marks or beside a word of reporting counts less than a plain one;
-matches near one another or aimed at a person count more.
+that occur almost only in toxic ones.  The Levenshtein automata of all terms,
+intersected with their trie, are one machine whose states are sets of trie nodes with
+the edits spent on the way to each.  A group of texts gives its distinct words in
+order, so each of their prefixes takes one step of the machine whatever number of
+words has it, and no more states are held than a word has letters.  Misspelled terms
+are found so, any letter changed, left out or put in, the first included: every term
+of three letters or more bears an edit, longer ones two (``Term.edits``).  A word near
+a term that clean training texts use is an ordinary word, no misspelling.
+
+How much a match of each kind tells is learned from the labelled documents, apart for
+misspellings of words that tell by themselves and for all others.  A match between
+paired quotation marks, or beside a word of reporting in its sentence, counts less
+than a plain one; matches near one another or aimed at a person count more.
 """
 
 from __future__ import annotations
@@ -36,16 +39,19 @@ SPAN = 6
 #: A term at or above this share tells by itself; a text with one other match may be clean.
 STRONG = 0.97
 QUOTE_FACTOR = 0.5
-FEATURES = ("strong", "soft", "soft_share", "misspelled", "aimed", "clustered")
+FEATURES = ("strong", "soft", "soft_share", "misspelled", "loose", "aimed", "clustered")
 #: What the weights of FEATURES are believed to be before any row is seen, and how firmly.
-BELIEF = (5.0, 1.5, 10.0, 3.5, 0.5, 0.5)
-#: States of the automaton that a task keeps.
-STATES = 1 << 16
+BELIEF = (5.0, 1.5, 10.0, 3.5, 0.0, 0.5, 0.5)
 FIRMNESS = 2.0
+#: Words whose matches a task remembers, and texts whose words it looks up together.
+REMEMBERED, TEXTS = 1 << 19, 256
 THRESHOLD = 0.5
 
 _WORD = re.compile(r"[^\W_]+(?:['’*@$!-]?[^\W_]+)*")
-_QUOTES = "\"“”«»„‟‹›"
+_MARK = re.compile("[\"“”«»„‟‹›\n]")
+#: Marks that close what another one opens; straight ones, and those that either side may stand on, close their own kind.
+_CLOSING = {'"': '"', "“": "”", "„": "“”", "‟": "”", "«": "»", "»": "«", "‹": "›", "›": "‹", "”": "”"}
+_SENTENCE = re.compile(r"[.!?…\n]")
 REPORTING = frozenset("said says say wrote writes called calls quoted quote quotes word words term terms dit disait mot sagte sagt wort dijo dice palabra".split())
 PERSON = frozenset("you your you're ur du dich dein sie ihr tu te toi vous votre usted tú eres they he she".split())
 
@@ -58,13 +64,13 @@ class Term:
 
     @property
     def edits(self) -> int:
-        """Words: one from four letters on, two from nine; stems, whose ends are open: one from six; a term that does not tell by itself: none."""
+        """One from three letters on (stems, whose ends are open: from four), two from nine; shorter ones none, as every word of their length is near."""
         n = len(self.text)
-        return 0 if self.weight < STRONG else int(n >= 6) if self.stem else (n >= 4) + (n >= 9)
+        return (n >= 3 + self.stem) + (n >= 9)
 
 
 class Automaton:
-    """Words to (term, edits) of their best match; states are built when a word needs them."""
+    """Words to (edits, term) of their best match, a word's prefixes shared with the words beside it."""
 
     def __init__(self, terms: list[Term]):
         self.terms = terms
@@ -83,68 +89,90 @@ class Automaton:
                 node = self.children[node][c]
             self.allowed[node] = max(self.allowed[node], term.edits)
             self.ends[node].append(number)
-        self.letters = {c for x in self.children for c in x}
-        self.clear()
-
-    def clear(self) -> None:
-        """Forget the states built so far."""
-        self.states: dict[frozenset, int] = {}
-        self.members: list[frozenset] = []
-        self.moves: list[dict[str, int]] = []
-        self.found: list[tuple[list[tuple[int, int]], list[tuple[int, int]]]] = []
-        self.dead = self._state({})
-        self.start = self._state({0: 0})
-
-    def _state(self, nodes: dict[int, int]) -> int:
-        """The state of trie nodes with the fewest edits to each, closed over letters that a word leaves out."""
+        self.start = self._closed({0: 0})
+
+    def _closed(self, nodes: dict[int, int]) -> dict[int, int]:
+        """Trie nodes with the fewest edits to each, with those that are reached by letters a word leaves out."""
         queue = list(nodes)
         while queue:
             n = queue.pop()
-            for child in self.children[n].values():
-                e = nodes[n] + 1
-                if e <= self.allowed[child] and e < nodes.get(child, 9):
-                    nodes[child] = e
-                    queue.append(child)
-        key = frozenset(nodes.items())
-        if key not in self.states:
-            self.states[key] = len(self.members)
-            self.members.append(key)
-            self.moves.append({})
-            whole = [(e, t) for n, e in key for t in self.ends[n] if e <= self.terms[t].edits]
-            self.found.append((sorted(whole), sorted(x for x in whole if self.terms[x[1]].stem)))
-        return self.states[key]
-
-    def _move(self, state: int, c: str) -> int:
+            e = nodes[n] + 1
+            if e <= self.allowed[n]:
+                for child in self.children[n].values():
+                    if e <= self.allowed[child] and e < nodes.get(child, 9):
+                        nodes[child] = e
+                        queue.append(child)
+        return nodes
+
+    def _step(self, state: dict[int, int], c: str) -> dict[int, int]:
         nodes: dict[int, int] = {}
-
-        def put(n: int, e: int) -> None:
-            if e <= self.allowed[n] and e < nodes.get(n, 9):
-                nodes[n] = e
-
-        for n, e in self.members[state]:
-            put(n, e + 1)
-            for letter, child in self.children[n].items():
-                put(child, e + (letter != c))
-        return self._state(nodes)
+        allowed, children = self.allowed, self.children
+        for n, e in state.items():
+            own = children[n]
+            if c in own and e < nodes.get(own[c], 9):
+                nodes[own[c]] = e
+            if e < allowed[n]:
+                e += 1
+                if e < nodes.get(n, 9):
+                    nodes[n] = e
+                for child in own.values():
+                    if e <= allowed[child] and e < nodes.get(child, 9):
+                        nodes[child] = e
+        return self._closed(nodes)
+
+    def _best(self, state: dict[int, int], stems: bool) -> tuple[int, int] | None:
+        """The best term that ends in a state: any, or only stems."""
+        found = [(e, t) for n, e in state.items() for t in self.ends[n] if e <= self.terms[t].edits and (not stems or self.terms[t].stem)]
+        return min(found, default=None)
+
+    def match_all(self, words) -> dict[str, tuple[int, int] | None]:
+        """(edits, term) of the best match of each word: a whole term, or a stem that it begins with.
+
+        Words are taken in order, and the states of the prefix that one shares with the
+        next are kept for it.
+        """
+        out: dict[str, tuple[int, int] | None] = {}
+        states = [(self.start, None)]  # of each prefix its state and the best stem so far
+        last = ""
+        for word in sorted(words):
+            k = 0
+            for a, b in zip(last, word):
+                if a != b:
+                    break
+                k += 1
+            k = min(k, len(states) - 1)
+            del states[k + 1 :]
+            while k < len(word) and states[k][0]:
+                state = self._step(states[k][0], word[k])
+                here, stem = self._best(state, True), states[k][1]
+                states.append((state, min((x for x in (here, stem) if x is not None), default=None)))
+                k += 1
+            state, stem = states[k]
+            whole = self._best(state, False) if k == len(word) else None
+            out[word] = min((x for x in (whole, stem) if x is not None), default=None)
+            last = word
+        return out
 
     def match(self, word: str) -> tuple[int, int] | None:
-        """(edits, term) of the best match of a word: a whole term, or a stem that it begins with."""
-        if len(self.members) > STATES:
-            self.clear()
-        state, best = self.start, None
-        for i, c in enumerate(word):
-            c = c if c in self.letters else "\0"
-            moves = self.moves[state]
-            if c not in moves:
-                moves[c] = self._move(state, c)
-            state = moves[c]
-            if state == self.dead:
-                return best
-            whole, stems = self.found[state]
-            here = whole if i == len(word) - 1 else stems
-            if here and (best is None or here[0] < best):
-                best = here[0]
-        return best
+        return self.match_all([word])[word]
+
+
+def quoted_parts(text: str) -> list[tuple[int, int]]:
+    """(start, end) between the quotation marks that belong together, in order; a mark without its partner in the line encloses nothing."""
+    out, opened = [], []
+    for m in _MARK.finditer(text):
+        c = m.group()
+        if c == "\n":
+            opened.clear()
+            continue
+        for k in range(len(opened) - 1, -1, -1):
+            if c in _CLOSING[opened[k][0]]:
+                out.append((opened[k][1], m.start()))
+                del opened[k:]
+                break
+        else:
+            opened.append((c, m.end()))
+    return sorted(out)
 
 
 class Scorer:
@@ -156,43 +184,41 @@ class Scorer:
         self.ordinary = dict.fromkeys(ordinary)
         self.known: dict[str, tuple[int, int] | None] = dict(self.ordinary)
 
-    def matches(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(start, end, edits, term) of every match, in order."""
-        if len(self.known) > len(self.ordinary) + (1 << 19):
+    def look_up(self, texts: list[str]) -> None:
+        """Match the words of some texts that are not known yet."""
+        if len(self.known) > len(self.ordinary) + REMEMBERED:
             self.known = dict(self.ordinary)
-        out = []
+        words = {w for t in texts for w in set(map(str.lower, _WORD.findall(t)))} - self.known.keys()
+        self.known.update(self.machine.match_all(words))
+
+    def matches(self, text: str) -> list[tuple[int, int, int, int]]:
+        """(start, end, edits, term) of every match, in order; ``look_up`` has seen the text."""
         known = self.known
-        for m in _WORD.finditer(text):
-            w = m.group().lower()
-            if w in known:
-                found = known[w]
-            else:
-                found = self.machine.match(w)
-                if len(w) <= WORD_MOST:
-                    known[w] = found
-            if found is not None:
-                out.append((m.start(), m.end(), *found))
-        return out
+        return [(m.start(), m.end(), *found) for m in _WORD.finditer(text) if (found := known[m.group().lower()]) is not None]
 
-    def context(self, text: str, start: int, end: int) -> tuple[bool, bool]:
-        """Whether a match is quoted, and whether it is aimed at a person, by the words beside it."""
+    def context(self, text: str, start: int, end: int, quoted: list[tuple[int, int]]) -> tuple[bool, bool]:
+        """Whether a match is quoted (in paired marks, or beside a word of reporting in its sentence), and whether it is aimed at a person."""
         before, after = text[max(0, start - 12 * SPAN) : start], text[end : end + 12 * SPAN]
-        left, right = [w.lower() for w in _WORD.findall(before)[-3:]], [w.lower() for w in _WORD.findall(after)[:3]]
-        line, rest = before.rpartition("\n")[2], after.partition("\n")[0]
-        marked = any(q in line for q in _QUOTES) and any(q in rest for q in _QUOTES)
-        return marked or bool(REPORTING & {*left, *right[:2]}), bool(PERSON & {*left, *right})
+        left, right = _words_of(before)[-3:], _words_of(after)[:3]
+        inside = any(a <= start and end <= b for a, b in quoted)
+        own_left, own_right = _words_of(_SENTENCE.split(before)[-1])[-3:], _words_of(_SENTENCE.split(after)[0])[:2]
+        return inside or bool(REPORTING & {*own_left, *own_right}), bool(PERSON & {*left, *right})
 
     def features(self, text: str) -> tuple[list[float], int, int, int]:
         """(FEATURES, exact matches, misspelled matches, quoted matches)."""
-        strong = soft = wrong = aimed_n = near = 0.0
+        strong = soft = wrong = loose = aimed_n = near = 0.0
         exact, quoted_n, last = 0, 0, None
         found = self.matches(text)
-        for start, end, edits, term in found:
-            quoted, aimed = self.context(text, start, end)
+        marks = quoted_parts(text) if found else []
+        for start, end, edits, t in found:
+            quoted, aimed = self.context(text, start, end, marks)
             share = QUOTE_FACTOR if quoted else 1.0
-            weight = self.machine.terms[term].weight
-            if edits:
+            term = self.machine.terms[t]
+            weight = term.weight
+            if edits and weight >= STRONG and not (term.stem and len(term.text) < 6):
                 wrong += share * weight
+            elif edits:
+                loose += share * weight
             elif weight >= STRONG:
                 strong += share
             else:
@@ -204,15 +230,32 @@ class Scorer:
             last = end
         share = soft * 100 / max(20, len(text) / 6)
         log = math.log1p
-        return [log(strong), log(soft), log(share), log(wrong), log(aimed_n), log(near)], exact, len(found) - exact, quoted_n
+        return [log(strong), log(soft), log(share), log(wrong), log(loose), log(aimed_n), log(near)], exact, len(found) - exact, quoted_n
+
+    def each(self, texts: list[str | None], what):
+        """``what`` of every text, the words of some texts looked up together."""
+        for a in range(0, len(texts), TEXTS):
+            part = [t or "" for t in texts[a : a + TEXTS]]
+            self.look_up(part)
+            yield from map(what, part)
+
+    def scores(self, texts: list[str | None]) -> list[tuple[float, int, int, int]]:
+        """(score, exact matches, misspelled matches, quoted matches) of each text."""
+        return list(self.each(texts, self._score))
 
     def score(self, text: str | None) -> tuple[float, int, int, int]:
-        """(score, exact matches, misspelled matches, quoted matches)."""
-        x, *counts = self.features(text or "")
+        return self.scores([text])[0]
+
+    def _score(self, text: str) -> tuple[float, int, int, int]:
+        x, *counts = self.features(text)
         z = sum(a * b for a, b in zip([*x, 1.0], self.weights, strict=True))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), *counts
 
 
+def _words_of(text: str) -> list[str]:
+    return [w.lower() for w in _WORD.findall(text)]
+
+
 def fit(x: np.ndarray, y: np.ndarray) -> list[float]:
     """Logistic weights, drawn to BELIEF where the rows say little."""
     x = np.hstack([x, np.ones((len(x), 1))])
@@ -281,7 +324,9 @@ def learn(train: DataFrame) -> tuple[list[Term], list[float], frozenset[str]]:
     def near(batches):
         machine = Automaton(known.value)
         for batch in batches:
-            yield batch.filter(pa.array([(machine.match(w.as_py()) or (0,))[0] > 0 for w in batch.column(0)], pa.bool_()))
+            words = batch.column(0).to_pylist()
+            found = machine.match_all(words)
+            yield batch.filter(pa.array([(found[w] or (0,))[0] > 0 for w in words], pa.bool_()))
 
     used = counts.where((F.col("n") - F.col("t") >= ORDINARY) & (F.col("t") < PRECISION * F.col("n"))).select("w")
     ordinary = frozenset(r["w"] for r in used.mapInArrow(near, "w string").collect())
@@ -291,7 +336,8 @@ def learn(train: DataFrame) -> tuple[list[Term], list[float], frozenset[str]]:
     def look(batches):
         scorer = Scorer(*probe.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([scorer.features(x.as_py() or "")[0] for x in batch.column(0)], pa.list_(pa.float64()))], names=["label", "x"])
+            x = scorer.each(batch.column(0).to_pylist(), lambda t: scorer.features(t)[0])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], names=["label", "x"])
 
     seen = train.mapInArrow(look, "label int, x array<double>").collect()
     train.unpersist()
@@ -313,7 +359,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     def run(batches):
         scorer = Scorer(*model.value)
         for batch in batches:
-            got = [scorer.score(x.as_py()) for x in batch.column(2)]
+            got = scorer.scores(batch.column(2).to_pylist())
             columns = [pa.array([g[0] for g in got], pa.float64()), pa.array([int(g[0] >= THRESHOLD) for g in got], pa.int32()), *[pa.array([g[k] for g in got], pa.int64()) for k in (1, 2, 3)]]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "held_out", "score", "predicted", "n_exact", "n_misspelled", "n_quoted"])
 

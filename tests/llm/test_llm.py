@@ -441,9 +441,43 @@ def test_quality_votes_of_nearest():
         assert abs(model.score([t])[0] - sum(a * y for a, (_, y) in zip(w, near, strict=True)) / sum(w)) < 1e-3
 
 
+def test_equal_neighbours():
+    """Of equally near ones the first vote, whichever side of the cut they are on."""
+    r = np.random.default_rng(2)
+    near = r.integers(0, 4, (50, 30)).astype(np.float32)
+    got = quality_knn.nearest(near, 7)
+    assert [sorted(x) for x in got.tolist()] == [sorted(np.lexsort((np.arange(30), -row))[:7].tolist()) for row in near]
+
+
+def test_components_of_chains_and_stars(spark):
+    from cairn.llm.components import connected, settled
+    from cairn.llm.scratch import Scratch
+
+    r = random.Random(4)
+    chain = list(range(300))
+    r.shuffle(chain)
+    links = [(a, b) for a, b in zip(chain, chain[1:])] + [(1000, k) for k in range(1001, 1200)] + [(2000 + k, 2000 + k // 2) for k in range(1, 200)] + [(5, 5)]
+    frame = spark.createDataFrame(links, "u long, v long")
+    labels = {x["node"]: x["label"] for x in connected(frame, Scratch(spark, "t")).collect()}
+    assert labels == {**{k: 0 for k in range(300)}, **{k: 1000 for k in range(1000, 1200)}, **{k: 2000 for k in range(2000, 2200)}}
+    assert not settled(frame) and connected(frame.where("false"), Scratch(spark, "t")).count() == 0
+
+
+def test_html_without_article(spark):
+    """The densest element where no tag names it, columns on demand, and elements nested beyond the bound."""
+    body = "".join(f"<p>{'Long sentence of prose number %d goes on and on without any link. ' % k * 3}</p>" for k in range(4))
+    page = f"<html><body><div class='top'><a href='/a'>one</a> <a href='/b'>two</a></div><div id='x'>{body}</div><div><ul><li><a href='/c'>more</a></li></ul></div></body></html>"
+    want = "\n\n".join(("Long sentence of prose number %d goes on and on without any link. " % k * 3).strip() for k in range(4))
+    deep = "<div>" * 400 + "<p>inner text of a deep page</p>" + "</div>" * 400
+    rows = spark.createDataFrame([(1, "u", page, 5), (2, "v", None, 6), (3, "w", deep, 7)], "page_id long, url string, html string, n_chars int")
+    got = {r["page_id"]: r for r in html_text.extract(rows, keep=["page_id", "url"]).collect()}
+    assert got[1]["text"] == want and got[2]["text"] == "" and got[3]["text"] == "inner text of a deep page"
+    assert set(got[1].asDict()) == {"page_id", "url", "text", "n_chars"} and html_text.extract(rows).columns == ["page_id", "url", "html", "text", "n_chars"]
+
+
 def test_levenshtein_automaton():
     terms = [toxicity.Term("moron", False, 1.0), toxicity.Term("worthless", False, 1.0), toxicity.Term("scum", False, 1.0), toxicity.Term("lowe", True, 1.0), toxicity.Term("blither", True, 1.0), toxicity.Term("weak", False, 0.8), toxicity.Term("ass", False, 1.0)]
-    assert [t.edits for t in terms] == [1, 2, 1, 0, 1, 0, 0]
+    assert [t.edits for t in terms] == [1, 2, 1, 1, 1, 1, 1]
     machine = toxicity.Automaton(terms)
     r = random.Random(3)
 
@@ -460,16 +494,27 @@ def test_levenshtein_automaton():
 
     for w in ("noron", "oron", "m0ron", "xmoron", "blitherings", "vlithering", "xblithering", "5cum"):
         assert machine.match(w) and machine.match(w)[0] == 1 or w == "blitherings" and machine.match(w)[0] == 0, w
+    some = []
     for k in range(3000):
-        if k == 1500:
-            machine.clear()
         w = list(r.choice(terms).text)
         for _ in range(r.randint(0, 3)):
             k = r.randrange(len(w)) if w else 0
             w[k : k + r.randint(0, 1)] = r.choice(["", r.choice("abmorwx0"), "ss"])
         w = "".join(w)
-        want = [(nearest(w, t), i) for i, t in enumerate(terms) if w and nearest(w, t) <= t.edits]
-        assert machine.match(w) == min(want, default=None), w
+        some.append((w, min(((nearest(w, t), i) for i, t in enumerate(terms) if w and nearest(w, t) <= t.edits), default=None)))
+    assert all(machine.match(w) == want for w, want in some[:500])
+    assert machine.match_all({w for w, _ in some}) == dict(some)
+    assert toxicity.Automaton([]).match("word") is None and {t.edits for t in (toxicity.Term("ab", False, 1.0), toxicity.Term("abc", True, 1.0))} == {0}
+
+
+def test_misspelled_terms_of_any_weight():
+    """Short terms, open stems and terms that do not tell by themselves bear edits too, in features of their own."""
+    terms = [toxicity.Term("fag", False, 1.0), toxicity.Term("worthless", False, 0.95), toxicity.Term("moron", False, 1.0), toxicity.Term("blit", True, 1.0)]
+    scorer = toxicity.Scorer(terms, [*toxicity.BELIEF, -4.0])
+    at = {name: k for k, name in enumerate(toxicity.FEATURES)}
+    for text, kind in (("a fa9 here", "misspelled"), ("so worthles", "loose"), ("so vorthles", "loose"), ("a mor0n", "misspelled"), ("blxtering", "loose"), ("worthless", "soft"), ("a moron", "strong")):
+        x = list(scorer.each([text], lambda t: scorer.features(t)[0]))[0]
+        assert [k for k in ("strong", "soft", "misspelled", "loose") if x[at[k]] > 0] == [kind], text
 
 
 def test_quotation_counts_less():
@@ -478,6 +523,15 @@ def test_quotation_counts_less():
     assert none < quoted < plain and none < wrong
 
 
+@pytest.mark.parametrize("text, quoted", [
+    ("said nothing. moron!", False), ('the "best" people think you are a moron and that is "fine"', False), ('she said moron twice', True), ('he wrote: "you moron!"', True), ("« quel moron »", True), ("»moron«", True), ("„moron“ hier", True),
+    ('an "open mark and a moron', False), ('a "first\nmoron" line', False), ("“nested ‹moron› here”", True), ('"a" moron "b"', False), ("moron", False), ("he said.\nmoron", False), ("moron, he said", True),
+])
+def test_quotation_is_of_paired_marks_and_sentences(text, quoted):
+    scorer = toxicity.Scorer([toxicity.Term("moron", False, 1.0)], [*toxicity.BELIEF, -4.0])
+    assert scorer.score(text)[1:] == (1, 0, int(quoted))
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var x="</p>";</script></head><body><header class="site-header"><h1>Site</h1></header><nav><a href="/a">a</a></nav>
 <div class="ad">Buy now</div><main><article><header><h1>Head &amp; line</h1></header><p>One<br>two <b>three</b><p>Four&nbsp;&#x35;<ul><li>x<li>y</ul><aside>side</aside></article>
 <section class="comments"><p>reader says</p></section></main><form><p>mail</p></form><footer>&copy; f</footer></body></html>"""
