@@ -533,7 +533,7 @@ def reports_by_layer_whole(spark, d):
 
 def _all() -> None:
     """Let the other modules register theirs."""
-    from cairn import queries_flows, queries_rules, queries_state  # noqa: F401
+    from cairn import queries_flows, queries_rules, queries_runs, queries_state  # noqa: F401
 
 
 def queries() -> dict:
