@@ -365,7 +365,10 @@ def test_archive(spark):
     old = spark.createDataFrame([(900, "o", "s", "S", "t", "http://old", 70, "", "research", "2026-07-01", True, "", False), (901, "p", "s", "S", "t", "http://older", 70, "", "claims", "2026-01-01", True, "", False)], "seq long, title string, summary string, source_name string, source_type string, source_url string, ai_score int, tags string, category string, published_at string, date_verified boolean, research_topic string, is_research_report boolean")
     reports = spark.createDataFrame([(5000, "R", "i", "国", "domestic", "ai_intelligent", ["a"], "k", "https://r", "2025")], "seq long, title string, institution string, institution_cn string, layer string, topic string, key_data array<string>, key_insight string, url string, publish_date string")
     out = pipelines.archive_output(scored, old, reports, day).orderBy("id").collect()
-    assert [(r["id"], r["source_url"], r["category"]) for r in out] == [(1, "http://u/0", "regulation"), (2, "http://u/4", "industry"), (3, "http://old", "industry"), (4, "https://r", "research")]
+    # today's items stand by score, as the day's choice is sorted before it is stored
+    by_score = [(r["url"], r["category"]) for r in sorted(scored.collect(), key=lambda r: (-r["ai_score"], r["seq"]))]
+    assert sorted(by_score) == [("http://u/0", "regulation"), ("http://u/4", "industry")]
+    assert [(r["id"], r["source_url"], r["category"]) for r in out] == [(1, *by_score[0]), (2, *by_score[1]), (3, "http://old", "industry"), (4, "https://r", "research")]
 
 
 def test_lexicon(spark):
