@@ -48,20 +48,26 @@ def _grams(q: int) -> Column:
     return F.array_distinct(F.transform(starts, lambda s: F.xxhash64(F.lit(q), *[F.element_at("c", s + d) for d in range(q)])))
 
 
-def _gram_sets(base: DataFrame, threshold: float) -> DataFrame:
-    """(i, n, m, q, gram, size): the grams of each text by which pairs meet, ``size`` of the rarest of width ``q`` suffice.
+def gram_arrays(threshold: float) -> Column:
+    """(q, g) for each width: the distinct grams of the text by which it may meet another, null for widths that none needs; reads ``c``, its characters, and ``n``, their number.
 
     A pair is looked for by the width that suits its shorter text, so a text has the
     grams of each width that a partner of its length down to the shortest may need.
     """
     loss = _loss(threshold)
     least, most = _width(F.ceil(F.col("n") * threshold - 1e-9), loss), _width(F.col("n"), loss)
-    sets = []
-    for q in (1, 2, 3):
-        sets.append(F.struct(F.lit(q).alias("q"), F.when((least <= q) & (most >= q), _grams(q)).alias("g")))
-    # k edits spoil at most q * k grams: a pair within the threshold shares one of the q * k + 1 rarest
-    size = F.col("q") * F.floor(F.col("n") * loss + 1e-9) + 1
-    return base.withColumn("c", F.filter(F.split("k", ""), lambda c: c != "")).select("i", "n", F.lit(0).alias("m"), F.inline(F.array(*sets))).select("i", "n", "m", "q", F.explode("g").alias("gram"), size.alias("size"))
+    return F.array(*[F.struct(F.lit(q).alias("q"), F.when((least <= q) & (most >= q), _grams(q)).alias("g")) for q in (1, 2, 3)])
+
+
+def enough(q: Column, n: Column, threshold: float) -> Column:
+    """How many grams of width ``q``, the first in any one order, meet every partner: k edits spoil at most q * k."""
+    return q * F.floor(n * _loss(threshold) + 1e-9) + 1
+
+
+def _gram_sets(base: DataFrame, threshold: float) -> DataFrame:
+    """(i, n, m, q, gram, size): the grams of each text by which pairs meet, ``size`` of the rarest of width ``q`` suffice."""
+    rows = base.withColumn("c", F.filter(F.split("k", ""), lambda c: c != "")).select("i", "n", F.lit(0).alias("m"), F.inline(gram_arrays(threshold)))
+    return rows.select("i", "n", "m", "q", F.explode("g").alias("gram"), enough(F.col("q"), F.col("n"), threshold).alias("size"))
 
 
 def _character_sets(base: DataFrame, threshold: float) -> DataFrame:
