@@ -2,62 +2,70 @@
 
 from __future__ import annotations
 
-import html
+import functools
+import html.entities
+import json
 import re
 
-import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 #: White space as Unicode has it, the ideographic space included.
 SPACE = r"(?U)\s+"
-_NAMED = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#x27;": "'", "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&hellip;": "…", "&mdash;": "—", "&ndash;": "–", "&ldquo;": "“", "&rdquo;": "”"}
-
-
 def quoted(words: list[str]) -> str:
     """A pattern that finds any of the words."""
     return "|".join(re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", w) for w in words)
 
 
-def unescape(text: Column) -> Column:
-    """Common character references decoded; ``unescape_numbers`` knows all numbers too, ``unescape_all`` every one."""
-    for name, value in _NAMED.items():
-        text = F.replace(text, F.lit(name), F.lit(value))
-    return F.replace(text, F.lit("&amp;"), F.lit("&"))
+@functools.lru_cache(maxsize=1)
+def _names() -> str:
+    """The names of HTML 5's character references as JSON, by their first letter: a map of 52 maps, some forty names each."""
+    by: dict[str, dict[str, str]] = {}
+    for name, value in html.entities.html5.items():
+        by.setdefault(name[0], {})[name] = value
+    return json.dumps(by)
 
 
-def unescape_numbers(text: Column) -> Column:
-    """Common character references and all numeric ones decoded; ``unescape_all`` knows every name.
+def _value(name: Column) -> Column:
+    """What a name stands for, with or without its semicolon as the table has it; null for what is none."""
+    table = F.from_json(F.lit(_names()), T.MapType(T.StringType(), T.MapType(T.StringType(), T.StringType())))
+    return F.try_element_at(F.try_element_at(table, F.substring(name, 1, 1)), name)
 
-    Numbers are decoded in one pass over the pieces between them, and only where the
-    text has any, so what they spell is not read again.
-    """
-    pieces = F.split(text, "&#")
-    first, rest = F.element_at(pieces, 1), F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
 
-    def decoded(p: Column) -> Column:
-        hexed, plain = F.regexp_extract(p, r"^[xX]([0-9a-fA-F]{1,6});?", 1), F.regexp_extract(p, r"^([0-9]{1,7});?", 1)
-        n = F.when(hexed != "", F.conv(hexed, 16, 10).cast("int")).when(plain != "", plain.cast("int"))
-        known = n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF) & ~n.between(0x80, 0x9F)
-        wide = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
-        tail = F.regexp_replace(p, r"^(?:[xX][0-9a-fA-F]{1,6}|[0-9]{1,7});?", "")
-        return F.when(known, F.concat(_stand_in(wide), tail)).otherwise(F.concat(F.lit("&#"), p))
+#: Names that stand for a character without a semicolon too have so many letters at most.
+_SHORT = max(len(n) for n in html.entities.html5 if not n.endswith(";"))
+#: Numbers from 128 to 159, which stand for what an old Windows code page has there.
+_WINDOWS = {n: bytes([n]).decode("cp1252") for n in range(128, 160) if n not in (129, 141, 143, 144, 157)}
 
-    text = F.when(text.contains("&#"), F.concat(first, F.array_join(F.transform(rest, decoded), ""))).otherwise(text)
-    return F.replace(unescape(text), F.lit(_HELD), F.lit("&"))
 
+def _number(ref: Column) -> Column:
+    """What ``#`` and a number stand for: nothing for what is no character, a replacement character for what no text may hold."""
+    digits = F.regexp_extract(ref, r"^#[xX]?0*([0-9a-fA-F]*);?$", 1)
+    is_hex = ref.rlike("^#[xX]")
+    long_ = F.length(digits) > 7
+    n = F.when(digits == "", F.lit(0)).when(long_, 0x110000).otherwise(F.when(is_hex, F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).cast("int"))
+    wide = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    windows = F.element_at(F.create_map(*[F.lit(x) for kv in _WINDOWS.items() for x in kv]), n)
+    bad = ((n >= 1) & (n <= 8)) | (n == 11) | ((n >= 14) & (n <= 31)) | ((n >= 127) & (n <= 159)) | ((n >= 0xFDD0) & (n <= 0xFDEF)) | (n % 65536 >= 65534)
+    return F.when((n == 0) | (n > 0x10FFFF) | ((n >= 0xD800) & (n <= 0xDFFF)), "\ufffd").when(windows.isNotNull(), windows).when(n == 13, "\r").when(bad & ~n.isin(129, 141, 143, 144, 157), "").otherwise(wide)
 
-#: Stands for an ampersand that a number spells until the names are decoded.
-_HELD = "\ue000\ue001\ue000"
 
+def unescape(text: Column) -> Column:
+    """All character references of HTML 5 decoded: every name, the longest that fits where no semicolon ends it, and every number.
 
-def _stand_in(c: Column) -> Column:
-    return F.when(c == "&", F.lit(_HELD)).otherwise(c)
+    One pass over the pieces between ampersands, so what a reference spells is not
+    read again; texts without any are left alone.
+    """
+    pieces = F.split(text, "&")
+    first, rest = F.element_at(pieces, 1), F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
 
+    def decoded(p: Column) -> Column:
+        ref = F.regexp_extract(p, r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)", 1)
+        after = F.substr(p, F.length(ref) + 1)
+        part = [F.when(F.length(ref) > k, F.when(_value(F.substring(ref, 1, k)).isNotNull(), F.concat(_value(F.substring(ref, 1, k)), F.substr(ref, F.lit(k + 1))))) for k in range(_SHORT, 1, -1)]
+        named = F.coalesce(_value(ref), *part, F.concat(F.lit("&"), ref))
+        return F.concat(F.when(ref == "", "&").when(ref.startswith("#"), _number(ref)).otherwise(named), after)
 
-@F.pandas_udf(T.StringType())
-def unescape_all(text: pd.Series) -> pd.Series:
-    """All character references of HTML 5 decoded."""
-    return text.map(html.unescape, na_action="ignore")
+    return F.when(text.contains("&"), F.concat(first, F.array_join(F.transform(rest, decoded), ""))).otherwise(text)
 
 
 def escape(text: Column, apostrophe: str = "&#x27;") -> Column:

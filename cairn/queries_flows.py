@@ -234,7 +234,7 @@ def source_candidates(spark, d):
     k = F.col("page_id") % 3
     items = "".join(f"<item><title>{t}</title><link>{u}</link></item>" for t, u in ((" Insurance outlook &amp; trends ", "https://a.example/x"), ("short", "https://b.example/p/q"), ("Reinsurance report 2026", "https://b.example/p/r")))
     page = "<a href='https://b.example/p/'>To this page</a><a href=\"q\">short</a> <a href='/p/r'>Reinsurance report 2026</a><a href='x'>abc</a>"
-    body = F.when(k == 0, F.lit(items)).when(k == 1, F.lit("<?xml?><rss>" + items + "</rss>")).otherwise(F.lit(page))
+    body = F.when(k == 0, F.lit("<rdf>" + items + "</rdf>")).when(k == 1, F.lit("<?xml?><rss>" + items + "</rss>")).otherwise(F.lit(page))
     raw = _t(spark, d, "pages").select("page_id", F.lit("https://b.example/p").alias("url"), body.alias("body"), F.when(k == 0, "rss").otherwise("html").alias("kind"))
     return readers.source_candidates(raw).select("page_id", F.col("pos").cast("long").alias("pos"), "title", "link")
 

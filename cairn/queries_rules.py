@@ -57,8 +57,8 @@ stated("short_reason", lambda t, c: C.short_reason(t, c, _SHORT), [("保险", "c
 stated("layer_default", C.layer_of, [("reinsurance", "reinsurance"), ("domestic", "domestic"), ("other", "consulting"), ("", "consulting"), (None, "consulting"), ("regulator", "regulator")])
 stated("layer_type", C.layer_type, [("reinsurance", "国际再保险"), ("domestic", "国内研究"), ("other", "全球咨询"), (None, "全球咨询"), ("regulator", "监管机构"), ("consulting", "全球咨询")])
 stated("rescaled_score", lambda s: F.round(s.cast("decimal(4,1)") * 10).cast("int"), [("7.2", 72), ("10.0", 100), ("0.0", 0), ("6.9", 69), (None, None)])
-stated("references_decoded", X.unescape_numbers, [
-    ("a&#20013;b", "a中b"), ("&#x4E2D;&#x6587;", "中文"), ("&lt;x&gt; &amp;lt;", "<x> &lt;"), ("&#38;lt;", "&lt;"), ("&amp;#39;", "&#39;"), ("&#39;&#x27;", "''"), ("&#;", "&#;"), ("&#128512;", "😀"), ("plain", "plain"), (None, None), ("&nbsp;|&hellip;", "\xa0|…"), ("&#0;", "&#0;"),
+stated("references_decoded", X.unescape, [
+    ("a&#20013;b", "a中b"), ("&#x4E2D;&#x6587;", "中文"), ("&lt;x&gt; &amp;lt;", "<x> &lt;"), ("&#38;lt;", "&lt;"), ("&amp;#39;", "&#39;"), ("&#39;&#x27;", "''"), ("&#;", "&#;"), ("&#128512;", "😀"), ("plain", "plain"), (None, None), ("&nbsp;|&hellip;", "\xa0|…"), ("&#0;", "\ufffd"), ("&eacute;&notit;&amp&ampamp;", "é¬it;&&amp;"), ("&NotEqualTilde;|&nosuch;|&#128;|&#xD800;", "≂̸|&nosuch;|€|\ufffd"), ("a & b &", "a & b &"),
 ])
 stated("stripped_text", X.stripped, [("<p> a&amp;b </p>", "a&b"), ("x" * 400, "x" * 300), ("a<b>c", "a c"), ("", "")])
 stated("relative_time", lambda t: dates.relative_time(t.cast("timestamp"), F.lit("2026-07-10 12:00:00").cast("timestamp")), [

@@ -12,3 +12,6 @@ RSS = "title string, link string, description string, summary string, pubDate st
 ATOM = "title string, link array<struct<_href:string>>, summary string, updated string"
 SEARCH = "result struct<cmsArticleWebOld:array<struct<title:string,content:string,date:string,url:string,mediaName:string>>>"
 QUALITY = "date string, total_items long, category_diversity long, source_diversity long, max_single_source_pct double, avg_score double, distinct_channels long, new_channel_items long, stock_noise_count long, source_distribution map<string,long>, category_distribution map<string,long>, pass boolean"
+_ITEM = f"array<struct<{RSS.replace(' ', ':').replace(',:', ',')}>>"
+#: A whole feed, of whichever kind.
+FEED = f"channel struct<item:{_ITEM}>, item {_ITEM}, entry array<struct<{ATOM.replace(' ', ':').replace(',:', ',')}>>, _broken string"

@@ -14,14 +14,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from cairn import schemas
 from cairn.functions.dates import date_in_text, feed_day, shanghai_day
-from cairn.functions.text import absolute_url, clean_markup_first, host, stripped_ends, unescape_numbers, unwrap_jsonp
+from cairn.functions.text import absolute_url, clean_markup_first, host, stripped_ends, unescape, unwrap_jsonp
 from cairn.operators.merge import zipped
 from cairn.operators.classify import layer_of, layer_type, most_hits
 from cairn.operators.predicates import has_any, is_report_title, is_search_hit, relevant
 
 
 def _text(c: Column) -> Column:
-    return F.coalesce(unescape_numbers(stripped_ends(c)), F.lit(""))
+    return F.coalesce(unescape(stripped_ends(c)), F.lit(""))
 
 
 def rss_items(spark: SparkSession, path: str) -> DataFrame:
@@ -132,7 +132,7 @@ def association_links(pages: DataFrame, page_key: str, root: str, as_of: Column
 
 def page_summary(html: Column, title: Column, least: int = 10, size: int = 220) -> Column:
     """A page's description if it is long enough, else the title."""
-    said = stripped_ends(unescape_numbers(F.regexp_extract(html, r"""(?i)<meta[^>]+name=["']description["'][^>]+content=["']([^"']+)["']""", 1)))
+    said = stripped_ends(unescape(F.regexp_extract(html, r"""(?i)<meta[^>]+name=["']description["'][^>]+content=["']([^"']+)["']""", 1)))
     return F.when(F.length(said) >= least, F.substring(said, 1, size)).otherwise(title)
 
 
@@ -221,6 +221,29 @@ def store(spark: SparkSession, path: str) -> DataFrame:
     return spark.range(1).select(F.from_json(F.lit('{"news": [], "sources": [], "days": {}, "source_health": {}}'), T._parse_datatype_string(schemas.STORE)).alias("d")).select("d.*")
 
 
+def feed_entries(raw: DataFrame, body: str = "body") -> DataFrame:
+    """(…, pos, title, link, summary, published) of feeds held in a column: RSS items, or Atom entries where a feed has none.
+
+    Parsed as XML, so CDATA, references and prefixes are the parser's; elements of other
+    namespaces are no titles.  A feed that is no well-formed XML has no entries.
+    """
+    keep = [c for c in raw.columns if c != body]
+    plain = F.regexp_replace(stripped_ends(body), r"^<\?xml[^>]*\?>", "")  # a column has no encoding of its own
+    doc = raw.select(*keep, F.from_xml(plain, schemas.FEED, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken", "attributePrefix": "_", "ignoreSurroundingSpaces": "true"}).alias("_d")).where("_d._broken IS NULL")
+    strip = lambda c: F.substring(clean_markup_first(F.coalesce(c, F.lit(""))), 1, 300)
+    item = lambda x: F.struct(_text(x["title"]).alias("title"), _text(x["link"]).alias("link"), strip(_text(F.coalesce(F.nullif(x["description"], F.lit("")), x["summary"]))).alias("summary"), _text(x["pubDate"]).alias("published"))
+    href = lambda x: F.try_element_at(F.filter(F.transform(x["link"], lambda h: h["_href"]), lambda h: F.coalesce(h, F.lit("")) != ""), F.lit(1))
+    entry = lambda x: F.struct(_text(x["title"]).alias("title"), F.coalesce(href(x), F.lit("")).alias("link"), strip(_text(x["summary"])).alias("summary"), _text(x["updated"]).alias("published"))
+    items = F.coalesce("_d.channel.item", "_d.item")
+    listed = F.when(F.size(F.coalesce(items, F.array().cast(items_type()))) > 0, F.transform(items, item)).otherwise(F.transform("_d.entry", entry))
+    return doc.select(*keep, F.posexplode(listed).alias("pos", "_e")).select(*keep, "pos", "_e.*")
+
+
+def items_type() -> str:
+    """The type of a feed's items."""
+    return schemas._ITEM
+
+
 def source_candidates(raw: DataFrame, url: str = "url", body: str = "body", kind: str = "kind") -> DataFrame:
     """(…, pos, title, link): entries of feeds, told by kind or by the head of the text, else the page's links.
 
@@ -229,11 +252,8 @@ def source_candidates(raw: DataFrame, url: str = "url", body: str = "body", kind
     head = F.substring(body, 1, 2000)
     feeds = (F.col(kind) == "rss") | head.contains("<rss") | head.contains("<feed")
     keep = [c for c in raw.columns if c not in (body, kind)]
-    entry = F.regexp_extract_all(body, F.lit(r"(?s)<(?:item|entry)\b[^>]*>(.*?)</(?:item|entry)>"), F.lit(1))
-    parts = raw.where(F.coalesce(feeds, F.lit(False))).select(*keep, F.posexplode(entry).alias("pos", "_e"))
-    first = lambda *patterns: F.coalesce(*[F.nullif(F.regexp_extract("_e", p, 1), F.lit("")) for p in patterns], F.lit(""))
-    cdata = lambda c: F.regexp_replace(c, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")
-    of_feeds = parts.select(*keep, "pos", clean_markup_first(cdata(first(r"(?s)<title[^>]*>(.*?)</title>"))).alias("title"), _text(cdata(first(r"(?s)<link>(.*?)</link>", r"""<link[^>]+href=["']([^"']+)["']"""))).alias("link"))
+    entries = feed_entries(raw.where(F.coalesce(feeds, F.lit(False))).select(*keep, body), body)
+    of_feeds = entries.select(*keep, "pos", clean_markup_first(F.col("title")).alias("title"), "link")
     pages = links(raw.where(~F.coalesce(feeds, F.lit(False))), body)
     target = absolute_url(F.col(url), F.col("href"))
     of_pages = pages.select(*keep, "pos", clean_markup_first(F.col("label")).alias("title"), target.alias("link"))

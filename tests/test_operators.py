@@ -65,7 +65,7 @@ def test_weak_classes(spark):
 def test_clean(spark):
     assert of(spark, X.clean_markup_first, "<em>保险</em> 新闻", "保险   新闻\n\t测试", "a<b>c", "&lt;x&gt;") == ["保险 新闻", "保险 新闻 测试", "a c", "<x>"]
     assert of(spark, X.clean_references_first, "a<b>c", "&lt;x&gt;y") == ["ac", "y"]
-    assert of(spark, X.unescape_all, "&eacute;&#x4e2d;&amp;") == ["é中&"]
+    assert of(spark, X.unescape, "&eacute;&#x4e2d;&amp;") == ["é中&"]
 
 
 def test_dates(spark):
