@@ -39,10 +39,13 @@ _WINDOWS = {n: bytes([n]).decode("cp1252") for n in range(128, 160) if n not in
 
 def _number(ref: Column) -> Column:
     """What ``#`` and a number stand for: nothing for what is no character, a replacement character for what no text may hold."""
-    digits = F.regexp_extract(ref, r"^#[xX]?0*([0-9a-fA-F]*);?$", 1)
-    is_hex = ref.rlike("^#[xX]")
-    long_ = F.length(digits) > 7
-    n = F.when(digits == "", F.lit(0)).when(long_, 0x110000).otherwise(F.when(is_hex, F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).cast("int"))
+    def number(digits: Column) -> Column:
+        return F.when(digits == "", F.lit(0)).when(F.length(digits) > 7, 0x110000).otherwise(F.when(ref.rlike("^#[xX]"), F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).cast("int"))
+
+    return _with(_with(F.regexp_extract(ref, r"^#[xX]?0*([0-9a-fA-F]*);?$", 1), number), _character)
+
+
+def _character(n: Column) -> Column:
     wide = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
     windows = F.element_at(F.create_map(*[F.lit(x) for kv in _WINDOWS.items() for x in kv]), n)
     bad = ((n >= 1) & (n <= 8)) | (n == 11) | ((n >= 14) & (n <= 31)) | ((n >= 127) & (n <= 159)) | ((n >= 0xFDD0) & (n <= 0xFDEF)) | (n % 65536 >= 65534)
@@ -55,17 +58,24 @@ def unescape(text: Column) -> Column:
     One pass over the pieces between ampersands, so what a reference spells is not
     read again; texts without any are left alone.
     """
-    pieces = F.split(text, "&")
-    first, rest = F.element_at(pieces, 1), F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
-
     def decoded(p: Column) -> Column:
-        ref = F.regexp_extract(p, r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)", 1)
-        after = F.substr(p, F.length(ref) + 1)
-        part = [F.when(F.length(ref) > k, F.when(_value(F.substring(ref, 1, k)).isNotNull(), F.concat(_value(F.substring(ref, 1, k)), F.substr(ref, F.lit(k + 1))))) for k in range(_SHORT, 1, -1)]
-        named = F.coalesce(_value(ref), *part, F.concat(F.lit("&"), ref))
-        return F.concat(F.when(ref == "", "&").when(ref.startswith("#"), _number(ref)).otherwise(named), after)
+        return _with(F.regexp_extract(p, r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)", 1), lambda ref: F.concat(spelled(ref), F.substr(p, F.length(ref) + 1)))
+
+    def spelled(ref: Column) -> Column:
+        part = [F.when(F.length(ref) > k, F.concat(_value(F.substring(ref, 1, k)), F.substr(ref, F.lit(k + 1)))) for k in range(_SHORT, 1, -1)]
+        return F.when(ref == "", "&").when(ref.startswith("#"), _number(ref)).otherwise(F.coalesce(_value(ref), *part, F.concat(F.lit("&"), ref)))
+
+    def whole(t: Column) -> Column:
+        pieces = F.split(t, "&")
+        rest = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
+        return F.when(t.contains("&"), F.concat(F.element_at(pieces, 1), F.array_join(F.transform(rest, decoded), ""))).otherwise(t)
+
+    return _with(text, whole)
+
 
-    return F.when(text.contains("&"), F.concat(first, F.array_join(F.transform(rest, decoded), ""))).otherwise(text)
+def _with(value: Column, rule) -> Column:
+    """``rule`` of a value that it names several times, computed once."""
+    return F.transform(F.array(value), rule)[0]
 
 
 def escape(text: Column, apostrophe: str = "&#x27;") -> Column:
