@@ -62,7 +62,9 @@ class Scratch:
         """Let Spark's cleaner delete the shuffle files of what this job no longer refers to.
 
         A job of several written steps would otherwise hold the shuffles of all of
-        them until the driver happens to collect its garbage.
+        them until the driver happens to collect its garbage.  What a plan that ran
+        adaptively refers to is only let go by a second collection.
         """
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        for _ in range(2):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
