@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import functools
 import html.entities
+import ipaddress
 import json
 import re
 
 from pyspark.sql import Column, functions as F, types as T
 
+from cairn import lexicon as L
+
 #: White space as Unicode has it, the ideographic space included.
 SPACE = r"(?U)\s+"
+
+
 def quoted(words: list[str]) -> str:
     """A pattern that finds any of the words."""
     return "|".join(re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", w) for w in words)
@@ -125,9 +130,19 @@ def absolute_url(base: Column, href: Column) -> Column:
 
 
 def literal_host_is_public(url: Column) -> Column:
-    """For addresses whose host is a number: whether it is outside private, loopback and reserved ranges; null for names."""
+    """For addresses whose host is a dotted number: whether it is outside the closed ranges; null for names.
+
+    ``operators.addresses`` judges names by what they resolve to, and colon addresses.
+    """
     h = F.regexp_extract(url, r"^https?://(?:[^@/]*@)?(\d+\.\d+\.\d+\.\d+)(?::\d+)?(?:/|$)", 1)
-    return F.when(h == "", F.lit(None)).otherwise(~h.rlike(r"^(0|10|127|22[4-9]|23\d|24\d|25[0-5])\.|^169\.254\.|^192\.168\.|^172\.(1[6-9]|2\d|3[01])\.|^100\.(6[4-9]|[7-9]\d|1[01]\d|12[0-7])\."))
+    part = F.split(h, r"\.")
+    number = ((part[0].try_cast("long") * 256 + part[1].try_cast("long")) * 256 + part[2].try_cast("long")) * 256 + part[3].try_cast("long")
+
+    def public(n: Column) -> Column:
+        within = lambda ranges: functools.reduce(lambda a, b: a | b, [n.between(int(r[0]), int(r[-1])) for r in map(ipaddress.ip_network, ranges) if r.version == 4])
+        return within(L.OPEN_RANGES) | ~within(L.CLOSED_RANGES)
+
+    return F.when(h == "", F.lit(None)).otherwise(_with(number, public))
 
 
 def bump_version(version: Column) -> Column:

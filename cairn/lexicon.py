@@ -100,6 +100,12 @@ DOMAIN_PREFIXES = ["www", "news", "finance", "m", "wap", "insurance", "b", "sogo
 LAYER_ORDER = ["reinsurance", "consulting", "domestic"]
 NOTABLE_TYPES = ["监管机构", "监管", "协会", "研究机构", "咨询"]
 NOTABLE_NAMES = ["总局", "协会", "研究院", "再保险", "学会", "银保监"]
+#: Addresses that are private, loopback, link-local, reserved or for many receivers, and the public ones inside them.
+CLOSED_RANGES = [
+    "0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.0.170/31", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4", "255.255.255.255/32",
+    "::/8", "64:ff9b:1::/48", "100::/8", "200::/7", "400::/6", "800::/5", "1000::/4", "2001::/23", "2001:db8::/32", "2002::/16", "4000::/3", "6000::/3", "8000::/3", "a000::/3", "c000::/3", "e000::/4", "f000::/5", "f800::/6", "fc00::/7", "fe00::/9", "fe80::/10", "ff00::/8",
+]
+OPEN_RANGES = ["192.0.0.9/32", "192.0.0.10/32", "2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28"]
 # End of the fixed values.
 
 #: For text in English, French, German or Spanish without a lexicon of its own: frequent short words.

@@ -8,17 +8,10 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from cairn import lexicon as L
 from cairn.functions.text import safe_url
 from cairn.scratch import Scratch
 
-# The ranges that are private, loopback, link-local, reserved or for many receivers, and the public ones inside them.
-CLOSED_RANGES = [
-    "0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.0.170/31", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4", "255.255.255.255/32",
-    "::/8", "64:ff9b:1::/48", "100::/8", "200::/7", "400::/6", "800::/5", "1000::/4", "2001::/23", "2001:db8::/32", "2002::/16", "4000::/3", "6000::/3", "8000::/3", "a000::/3", "c000::/3", "e000::/4", "f000::/5", "f800::/6", "fc00::/7", "fe00::/9", "fe80::/10", "ff00::/8",
-]
-OPEN_RANGES = ["192.0.0.9/32", "192.0.0.10/32", "2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28"]
-# End of the fixed values.
-
 #: Requests that one address may take, redirects included, and what is read of a response.
 MOST_REQUESTS, MOST_BYTES, MOST_CHARS = 5, 65536, 50000
 REDIRECTS = (301, 302, 303, 307, 308)
@@ -59,7 +52,7 @@ def with_bits(rows: DataFrame, address: str) -> DataFrame:
     return step.withColumns({"family": family, "bits": bits}).drop("_text", "_n", "_halves", "_left", "_right", "_whole", "_six")
 
 
-def ranges(spark: SparkSession, closed: list[str] = CLOSED_RANGES, opened: list[str] = OPEN_RANGES) -> DataFrame:
+def ranges(spark: SparkSession, closed: list[str] = L.CLOSED_RANGES, opened: list[str] = L.OPEN_RANGES) -> DataFrame:
     """(family, size, prefix, closed) of ranges in CIDR notation; a host bit behind the prefix does not count."""
     nets = [(ipaddress.ip_network(r, strict=False), which) for rows, which in ((closed, True), (opened, False)) for r in rows]
     rows = [(n.version, n.prefixlen, f"{int(n.network_address):0{n.max_prefixlen}b}"[: n.prefixlen], which) for n, which in nets]

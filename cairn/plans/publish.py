@@ -142,3 +142,11 @@ def write_by_date(rows: DataFrame, path: str, date: str = "date") -> None:
 def copy_table(spark, source: str, target: str) -> None:
     """A snapshot of a Parquet table, or its restoration the other way round."""
     spark.read.parquet(source).write.mode("overwrite").parquet(target)
+
+
+def injected(page: Column, start: str, end: str, content: Column) -> Column:
+    """A page's text with what stands between the first pair of markers replaced, the content taken literally; null without the markers."""
+    head = F.substring_index(page, start, 1)
+    behind = F.substr(page, F.length(head) + len(start) + 1)
+    tail = F.substr(behind, F.length(F.substring_index(behind, end, 1)) + 1)
+    return F.when(page.contains(start) & behind.contains(end), F.concat(head, F.lit(start), content, tail))

@@ -1,6 +1,6 @@
 """The registered queries of the curation operators, each with its SQL.
 
-Items stand on ``documents``: the title is the first line's 80 characters, the
+Items stand on ``documents``: the title is the first line, the
 summary the text, the day follows from the id; pages, events and the star schema
 stand for feeds, dated rows, sources and health.
 """
@@ -28,13 +28,13 @@ def news(spark: SparkSession, d: str) -> DataFrame:
     """seq, id, title, summary, source_name, source_type, source_url, published_at, ai_score of documents."""
     docs = _t(spark, d, "documents")
     return docs.select(
-        F.col("doc_id").alias("seq"), F.col("doc_id").alias("id"), F.substring(F.split("text", "\n")[0], 1, 80).alias("title"), F.col("text").alias("summary"), F.col("source").alias("source_name"), F.col("lang").alias("source_type"),
+        F.col("doc_id").alias("seq"), F.col("doc_id").alias("id"), F.split("text", "\n")[0].alias("title"), F.col("text").alias("summary"), F.col("source").alias("source_name"), F.col("lang").alias("source_type"),
         F.concat(F.lit("https://"), F.col("source"), F.lit(".example/"), F.col("doc_id").cast("string")).alias("source_url"),
         F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")).cast("string").alias("published_at"), (F.col("n_chars") % 41 + 60).cast("int").alias("ai_score"),
     )
 
 
-NEWS = """news AS (SELECT doc_id AS seq, doc_id AS id, substr(split_part(text, chr(10), 1), 1, 80) AS title, text AS summary, source AS source_name, lang AS source_type,
+NEWS = """news AS (SELECT doc_id AS seq, doc_id AS id, split_part(text, chr(10), 1) AS title, text AS summary, source AS source_name, lang AS source_type,
   'https://' || source || '.example/' || doc_id AS source_url, CAST(DATE '2024-01-01' + CAST(doc_id % 30 AS INT) AS VARCHAR)[1:10] AS published_at, CAST(n_chars % 41 + 60 AS INT) AS ai_score FROM documents)"""
 
 
@@ -265,11 +265,17 @@ def exact_dedup_first_wins(spark, d):
     return dedup.first_of_each(_t(spark, d, "documents").select("doc_id", "text"), ["text"], ["doc_id"]).select("doc_id")
 
 
-_ASCII = f"{NEWS}, a AS (SELECT lower(title) AS t, min(id) AS i FROM news WHERE length(title) = strlen(title) AND title != '' GROUP BY 1)"
+_SHORT = f"{NEWS}, short AS (SELECT id, substr(title, 1, 80) AS title FROM news)"
+_ASCII = f"{_SHORT}, a AS (SELECT lower(title) AS t, min(id) AS i FROM short WHERE length(title) = strlen(title) AND title != '' GROUP BY 1)"
+
+
+def _short(spark, d):
+    """Titles as far as SQL can compare them in time: 80 ASCII characters; the ``_whole`` queries compare all of them."""
+    return news(spark, d).select("id", F.substring("title", 1, 80).alias("title")).where("length(title) = octet_length(title) AND title != ''")
 
 
 def _ascii_titles(spark, d):
-    rows = news(spark, d).where("length(title) = octet_length(title) AND title != ''")
+    rows = _short(spark, d)
     return rows.groupBy(F.lower("title").alias("t")).agg(F.min("id").alias("i"))
 
 
@@ -281,11 +287,11 @@ def edit_pairs(spark, d):
     return dedup.similar_pairs(_ascii_titles(spark, d), "t", "i", "edit", 0.82).select("i", "j", F.round("similarity", 6).alias("similarity"))
 
 
-@query(f"""WITH {NEWS}, a AS (SELECT title AS t, list_distinct(string_split(title, '')) AS g, min(id) AS i FROM news WHERE length(title) = strlen(title) AND title != '' GROUP BY 1),
+@query(f"""WITH {_SHORT}, a AS (SELECT title AS t, list_distinct(string_split(title, '')) AS g, min(id) AS i FROM short WHERE length(title) = strlen(title) AND title != '' GROUP BY 1),
   b AS (SELECT x.i AS i, y.i AS j, len(list_intersect(x.g, y.g)) AS n, len(x.g) + len(y.g) AS m FROM a x JOIN a y ON x.i < y.i)
   SELECT i, j, round(n / (m - n)::DOUBLE, 6) AS similarity FROM b WHERE n / (m - n)::DOUBLE >= 0.9""")
 def jaccard_pairs(spark, d):
-    rows = news(spark, d).where("length(title) = octet_length(title) AND title != ''").groupBy(F.col("title").alias("t")).agg(F.min("id").alias("i"))
+    rows = _short(spark, d).groupBy(F.col("title").alias("t")).agg(F.min("id").alias("i"))
     return dedup.similar_pairs(rows, "t", "i", "jaccard", 0.9).select("i", "j", F.round("similarity", 6).alias("similarity"))
 
 
@@ -294,10 +300,6 @@ def _lines(spark, d, name: str = "documents"):
     return _t(spark, d, name).withColumn("title", F.split("text", "\n")[0])
 
 
-def _whole_news(spark, d):
-    return news(spark, d).withColumn("title", F.split("summary", "\n")[0])
-
-
 @query()
 def edit_pairs_whole(spark, d):
     """The pairs of all first lines, none cut and none left out; DuckDB's distance counts bytes, so no SQL has them."""
@@ -314,13 +316,13 @@ def jaccard_pairs_whole(spark, d):
 
 @query()
 def greedy_edit_dedup(spark, d):
-    return dedup.greedy(_whole_news(spark, d), "title", "seq", "edit", 0.82).select("seq")
+    return dedup.greedy(news(spark, d), "title", "seq", "edit", 0.82).select("seq")
 
 
 @query()
 def greedy_against_existing(spark, d):
     old = _lines(spark, d, "benchmark").select("title")
-    return dedup.greedy(_whole_news(spark, d), "title", "seq", "edit", 0.7, strict=True, existing=old, gate=P.relevant(F.col("title"), F.col("summary"), L.SAMPLE_TERMS)).select("seq")
+    return dedup.greedy(news(spark, d), "title", "seq", "edit", 0.7, strict=True, existing=old, gate=P.relevant(F.col("title"), F.col("summary"), L.SAMPLE_TERMS)).select("seq")
 
 
 @query("SELECT min(p.page_id) AS page_id FROM pages p WHERE regexp_extract(url, '^https?://([^/]+)', 1) NOT IN (SELECT 'www.' || s_name FROM supplier) GROUP BY " + _HOST)
@@ -533,7 +535,7 @@ def reports_by_layer_whole(spark, d):
 
 def _all() -> None:
     """Let the other modules register theirs."""
-    from cairn import queries_flows, queries_rules, queries_runs, queries_state  # noqa: F401
+    from cairn import queries_flows, queries_rules, queries_runs, queries_state, queries_streams  # noqa: F401
 
 
 def queries() -> dict:

@@ -43,7 +43,7 @@ stated("search_hit_precedence", lambda u, t: P.is_search_hit(u, t, F.lit("理赔
     ("https://www.360kuai.com/a", "短", True), ("https://news.so.com/a", "保险业务一二三四五六七", False), ("https://a.cn/x", "保险业务一二三四五六七", True), ("https://a.cn/x", "保险业务", False), ("https://a.cn/x", "车险理赔一二三四五六七", True), ("https://a.cn/x", "别的什么一二三四五六七", False),
 ])
 stated("public_literal_host", X.literal_host_is_public, [
-    ("http://127.0.0.1/", False), ("http://10.1.1.1", False), ("http://169.254.1.1/x", False), ("http://0.0.0.0", False), ("http://8.8.8.8/", True), ("http://a.b", None), ("http://172.16.0.1/", False), ("http://172.32.0.1:80/", True), ("http://192.168.1.1", False), ("http://100.64.0.1", False), ("http://224.0.0.1", False),
+    ("http://127.0.0.1/", False), ("http://10.1.1.1", False), ("http://169.254.1.1/x", False), ("http://0.0.0.0", False), ("http://8.8.8.8/", True), ("http://a.b", None), ("http://172.16.0.1/", False), ("http://172.32.0.1:80/", True), ("http://192.168.1.1", False), ("http://100.64.0.1", True), ("http://192.0.2.1", False), ("http://192.0.0.9/", True), ("http://192.0.0.8/", False), ("http://198.19.255.255", False), ("http://198.20.0.0", True), ("http://255.255.255.255/", False), ("http://224.0.0.1", False),
 ])
 stated("safe_address", X.safe_url, [(" https://a.b ", "https://a.b"), ("\nhttps://a.b/c\t", "https://a.b/c"), ("HTTP://x", "HTTP://x"), ("ftp://a", ""), ("javascript:x", ""), ("", ""), (None, ""), ("　http://x　", "http://x")])
 stated("authoritative_report", lambda s, t: P.is_report(s, t, F.lit("")), [("瑞士再保险", "报告", True), ("麦肯锡", "x", True), ("SWISS RE Institute", "x", True), ("某博客", "报告", False), ("某博客", "引用德勤数据", True), (None, "aon 展望", True), (None, None, False)])

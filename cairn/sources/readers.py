@@ -20,6 +20,17 @@ from cairn.operators.classify import layer_of, layer_type, most_hits
 from cairn.operators.predicates import has_any, is_report_title, is_search_hit, relevant
 
 
+# What the pages that are read look like.
+_RESULT_LINK = r"""(?s)<a[^>]*href="(https?://[^"]*)"[^>]*>(.*?)</a>"""
+_TITLED_LINK = r"""(?s)<a[^>]*href="(https?://[^"]+)"[^>]*target="_blank"[^>]*title="([^"]+)\""""
+_RESULT_TIME = r"""(?s)<span[^>]*class="[^"]*time[^"]*"[^>]*>(.*?)</span>"""
+_RESULT_SPAN = r"""(?s)<span class="{kind}"[^>]*>(.*?)</span>"""
+_ARTICLE = r"""(?s)<a[^>]+href="(?:https?://{own})?(/art/[^"]+\.html)"[^>]*>(.*?)</a>"""
+_ARTICLE_DAY = r"/art/(\d{4})/(\d{1,2})/(\d{1,2})/"
+_DESCRIPTION = r"""(?i)<meta[^>]+name=["']description["'][^>]+content=["']([^"']+)["']"""
+# End of the fixed values.
+
+
 def _text(c: Column) -> Column:
     return F.coalesce(unescape(stripped_ends(c)), F.lit(""))
 
@@ -115,15 +126,14 @@ def association_links(pages: DataFrame, page_key: str, root: str, as_of: Column
     from cairn.operators.select import first_per_group
 
     own = re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", root.split("://")[1])
-    pattern = rf"""(?s)<a[^>]+href="(?:https?://{own})?(/art/[^"]+\.html)"[^>]*>(.*?)</a>"""
+    pattern = _ARTICLE.replace("{own}", own)
     both = pages.select(page_key, F.regexp_extract_all(html, F.lit(pattern), F.lit(1)).alias("_p"), F.regexp_extract_all(html, F.lit(pattern), F.lit(2)).alias("_t"))
     found = first_of_each(zipped(both, {"_p": "path", "_t": "raw"}).drop("_p", "_t"), [page_key, "path"], ["pos"])
     title = clean_markup_first(F.col("raw"))
     found = found.withColumn("title", title).where(F.length("title") >= least)
     if gate is not None:
         found = found.where(gate(F.col("title")))
-    date = r"/art/(\d{4})/(\d{1,2})/(\d{1,2})/"
-    parts = [F.regexp_extract("path", date, k) for k in (1, 2, 3)]
+    parts = [F.regexp_extract("path", _ARTICLE_DAY, k) for k in (1, 2, 3)]
     day = F.when(parts[0] != "", F.concat_ws("-", parts[0], F.lpad(parts[1], 2, "0"), F.lpad(parts[2], 2, "0")))
     found = found.withColumn("published_at", F.coalesce(day, as_of.cast("date").cast("string")) if as_of is not None else day).where("published_at IS NOT NULL")
     found = first_per_group(found, [page_key], [F.col("pos")], n).drop("_rn")
@@ -132,7 +142,7 @@ def association_links(pages: DataFrame, page_key: str, root: str, as_of: Column
 
 def page_summary(html: Column, title: Column, least: int = 10, size: int = 220) -> Column:
     """A page's description if it is long enough, else the title."""
-    said = stripped_ends(unescape(F.regexp_extract(html, r"""(?i)<meta[^>]+name=["']description["'][^>]+content=["']([^"']+)["']""", 1)))
+    said = stripped_ends(unescape(F.regexp_extract(html, _DESCRIPTION, 1)))
     return F.when(F.length(said) >= least, F.substring(said, 1, size)).otherwise(title)
 
 
@@ -160,8 +170,8 @@ def search_page(pages: DataFrame, page_key: str, as_of: Column, html: str = "htm
     Of the links to other hosts with a title of more than 5 characters the first
     ``n`` count, whose places in that list are those of snippets and infos.
     """
-    link = r"""(?s)<a[^>]*href="(https?://[^"]*)"[^>]*>(.*?)</a>"""
-    span = lambda kind: F.transform(F.regexp_extract_all(html, F.lit(rf"""(?s)<span class="{kind}"[^>]*>(.*?)</span>"""), F.lit(1)), _plain)
+    link = _RESULT_LINK
+    span = lambda kind: F.transform(F.regexp_extract_all(html, F.lit(_RESULT_SPAN.replace("{kind}", kind)), F.lit(1)), _plain)
     hits = F.arrays_zip(F.regexp_extract_all(html, F.lit(link), F.lit(1)).alias("url"), F.transform(F.regexp_extract_all(html, F.lit(link), F.lit(2)), _plain).alias("title"))
     hits = F.slice(F.filter(hits, lambda x: ~x["url"].contains(own) & (F.length(x["title"]) > 5)), 1, n)
     rows = pages.select(page_key, hits.alias("_h"), span("c-color-text").alias("_s"), span("c-color-gray").alias("_i"))
@@ -177,9 +187,9 @@ def search_page(pages: DataFrame, page_key: str, as_of: Column, html: str = "htm
 
 def titled_links(pages: DataFrame, page_key: str, keyword: Column, as_of: Column, html: str = "html", n: int = 8) -> DataFrame:
     """Results of a search page whose links carry their titles: those that ``is_search_hit`` lets through, with the times by place."""
-    link = r"""(?s)<a[^>]*href="(https?://[^"]+)"[^>]*target="_blank"[^>]*title="([^"]+)\""""
+    link = _TITLED_LINK
     hits = F.arrays_zip(F.regexp_extract_all(html, F.lit(link), F.lit(1)).alias("url"), F.regexp_extract_all(html, F.lit(link), F.lit(2)).alias("title"))
-    times = F.transform(F.regexp_extract_all(html, F.lit(r"""(?s)<span[^>]*class="[^"]*time[^"]*"[^>]*>(.*?)</span>"""), F.lit(1)), _plain)
+    times = F.transform(F.regexp_extract_all(html, F.lit(_RESULT_TIME), F.lit(1)), _plain)
     rows = pages.withColumns({"_h": hits, "_t": times, "_k": keyword})
     rows = rows.withColumn("_h", F.slice(F.filter("_h", lambda x: is_search_hit(x["url"], x["title"], F.col("_k"))), 1, n))
     rows = rows.select(page_key, F.posexplode("_h").alias("pos", "h"), "_t")

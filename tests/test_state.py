@@ -105,7 +105,7 @@ def test_addresses(spark):
     """Against the standard library, at both ends of every range and beside them."""
     r = random.Random(6)
     texts = ["", "x", "1.2.3", "1.2.3.4.5", "01.2.3.4", "256.1.1.1", "::", "::1", ":::", "1::2::3", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7:8:9", "12345::", "g::", "::ffff:10.0.0.1", "::FFFF:8.8.8.8", "::ffff:0808:0808", "64:ff9b::1.2.3.4", "2001:db8::1.2.3.4", "fe80::1%eth0", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "8.8.8.8 ", "100.64.0.1"]
-    for net in map(ipaddress.ip_network, A.CLOSED_RANGES + A.OPEN_RANGES):
+    for net in map(ipaddress.ip_network, L.CLOSED_RANGES + L.OPEN_RANGES):
         for n in (int(net[0]), int(net[-1]), int(net[0]) - 1, int(net[-1]) + 1):
             if 0 <= n < 2**net.max_prefixlen:
                 texts.append(str(ipaddress.ip_address(n) if net.version == 4 and n < 2**32 else ipaddress.IPv6Address(n)))
