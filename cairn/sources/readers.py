@@ -18,6 +18,7 @@ from cairn.functions.text import absolute_url, clean_markup_first, host, strippe
 from cairn.operators.merge import zipped
 from cairn.operators.classify import layer_of, layer_type, most_hits
 from cairn.operators.predicates import has_any, is_report_title, is_search_hit, relevant
+from cairn.scratch import Scratch
 
 
 # What the pages that are read look like.
@@ -52,7 +53,8 @@ def feed(spark: SparkSession, path: str) -> DataFrame:
     """RSS items, or Atom entries where there are none."""
     from cairn.operators.predicates import or_fallback
 
-    return or_fallback(rss_items(spark, path), atom_entries(spark, path))
+    items = Scratch(spark, "feed").save(rss_items(spark, path), "items")  # asked twice, parsed once
+    return or_fallback(items, atom_entries(spark, path))
 
 
 def page_head(pages: DataFrame, html: str = "html") -> DataFrame:

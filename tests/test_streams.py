@@ -62,3 +62,28 @@ def test_injected(spark):
     got = [r[0] for r in rows.select(publish.injected(F.col("t"), "<s>", "<e>", F.lit(r"\1$2"))).collect()]
     assert got == [r"a<s>\1$2<e>b<s>y<e>", None, None, r"<s>\1$2<e>", None]
     assert publish.inject("a<s>x<e>b<s>y<e>", "<s>", "<e>", r"\1$2") == got[0]
+
+
+def test_first_rows_of_each_key(spark, tmp_path):
+    """Rows of a key within the watermark's delay count once, over several micro-batches."""
+    import datetime as dt
+
+    from cairn.streaming import incremental
+
+    at = lambda day, hour=0: dt.datetime(2026, 7, day, hour)
+    for rows in ([("a", at(1)), ("b", at(1)), ("a", at(1, 5))], [("a", at(2)), ("c", at(2))], [("b", at(3)), ("d", at(20))]):
+        spark.createDataFrame(rows, "k string, ts timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = incremental.distinct_within(stream, ["k"])
+    out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r["k"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c", "d"]
+
+
+def test_markdown_and_json(spark, tmp_path):
+    rows = spark.createDataFrame([(2, "b", "claims", "S", 6.5), (1, "a", "claims", "T", 7.5), (3, "c", "other", None, 9.0)], "seq int, title string, category string, source_name string, ai_score double")
+    got = {r["category"]: r["markdown"] for r in publish.daily_markdown(rows, "2026-07-01", {"claims": "K"}).collect()}
+    assert got["claims"] == "## 2026-07-01 K\n\n- **a** (T)\n- b (S)\n" and got["other"].startswith("## 2026-07-01 other\n\n")
+    publish.write_json(rows, str(tmp_path / "json"))
+    back = spark.read.schema(rows.schema).json(str(tmp_path / "json"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
+    assert '"source_name":null' in "".join(r[0] for r in spark.read.text(str(tmp_path / "json")).collect())
