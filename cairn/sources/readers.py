@@ -57,13 +57,13 @@ def feed(spark: SparkSession, path: str) -> DataFrame:
     return or_fallback(items, atom_entries(spark, path))
 
 
-def page_head(pages: DataFrame, html: str = "html") -> DataFrame:
+def page_head(pages: DataFrame, html: str = "html", decode=unescape) -> DataFrame:
     """``pages`` with title and description; the description falls back on the title's first 120 characters."""
     h = F.col(html)
     get = lambda p: F.nullif(F.regexp_extract(h, p, 1), F.lit(""))
     meta = lambda k, v: get(rf"""(?is)<meta[^>]+{k}=["']{v}["'][^>]+content=["']([^"']+)["']""")
-    title = clean_markup_first(F.coalesce(meta("property", "og:title"), get(r"(?is)<title[^>]*>(.*?)</title>"), F.lit("")))
-    said = clean_markup_first(F.coalesce(meta("property", "og:description"), meta("name", "description"), F.lit("")))
+    title = clean_markup_first(F.coalesce(meta("property", "og:title"), get(r"(?is)<title[^>]*>(.*?)</title>"), F.lit("")), decode)
+    said = clean_markup_first(F.coalesce(meta("property", "og:description"), meta("name", "description"), F.lit("")), decode)
     return pages.withColumn("title", title).withColumn("description", F.when(said != "", said).otherwise(F.substring("title", 1, 120)))
 
 
