@@ -1,9 +1,14 @@
 """Queries against their SQL on small tables with what the given ones lack."""
 
+import random
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from cairn import queries as curation
+from cairn.functions import text as X
+from cairn.operators import dedup
 
 
 def agree(spark, folder, name, **tables):
@@ -33,3 +38,24 @@ def test_closed_addresses_of_six_groups(spark, tmp_path, name):
     # 2001:20:: and 2001:3::, which later registers opened within 2001::/23
     found = agree(spark, tmp_path, name, customer=("c_custkey long", [(k,) for k in (402418, 448786, 495154, 541522, 4, 7)]))
     assert (402418 if name == "public_addresses" else 40241, False) in found
+
+
+@pytest.mark.parametrize("kind, threshold", [("edit", 0.82), ("edit", 0.7), ("jaccard", 0.9)])
+def test_blocks_hand_on_few_pairs_and_lose_none(spark, monkeypatch, kind, threshold):
+    """Texts of few words, which nearly all share grams and characters, in blocks of a few rows."""
+    from cairn.operators import blocks
+
+    monkeypatch.setattr(blocks, "FEW_ROWS", 40)
+    monkeypatch.setattr(blocks, "ROWS", 40)
+    rng = random.Random(4)
+    words = ["the", "ther", "an", "tion", "ing", "ñ", "保险", "𝒳y"]
+    texts = sorted({" ".join(rng.choice(words) for _ in range(rng.randint(1, 30))) for _ in range(260)})
+    texts = sorted({*texts, *[t[: len(t) // 2] + "x" + t[len(t) // 2 :] for t in texts[::4]], *[t[1:] for t in texts[::5]]} - {""})
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    measure = X.edit_ratio if kind == "edit" else X.character_jaccard
+    pairs = rows.alias("a").crossJoin(rows.alias("b")).where("a.i < b.i").select("a.i", F.col("b.i").alias("j"), measure(F.col("a.t"), F.col("b.t")).alias("s")).where(F.col("s") >= threshold)
+    want = {(r["i"], r["j"]) for r in pairs.collect()}
+    assert {(r["i"], r["j"]) for r in dedup.similar_pairs(rows, "t", "i", kind, threshold).collect()} == want and want
+    if (kind, threshold) == ("edit", 0.82):
+        base = dedup._for_blocks(rows.select("i", F.col("t").alias("k"), F.length("t").alias("n")), kind)
+        assert blocks.candidates(base, kind, threshold).count() < len(texts) ** 2 / 20  # of half the square
