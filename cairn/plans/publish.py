@@ -76,7 +76,8 @@ def daily_document(items: DataFrame, date: str, labels: dict[str, str], curated:
     """
     total = items.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("ai_score") >= curated).alias("curated"), F.count_if(F.col("ai_score") >= highlight).alias("highlights"))
     label = F.coalesce(F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])[F.col("category")], F.col("category"))
-    chosen = items.where(F.col("ai_score") >= curated)
+    # what a line shows of a text is cut out before rows move; the categories, one row each, go to the rows
+    chosen = items.where(F.col("ai_score") >= curated).withColumn("content", F.substring("content", 1, 200))
     score = F.format_string("%.1f", F.col("ai_score").cast("double"))
     heading = F.concat(F.lit("### ["), F.col("title"), F.lit("]("), F.col("url"), F.lit(")"))
     place = lambda part, at, line: F.struct(F.lit(part).alias("part"), at.cast("long").alias("at"), F.lit(line).alias("line"))
@@ -88,7 +89,7 @@ def daily_document(items: DataFrame, date: str, labels: dict[str, str], curated:
     )
     first = chosen.groupBy("category").agg(F.min(order).alias("_first"))
     titles = first.select(F.struct(F.lit(3).alias("part"), F.col("_first").cast("long").alias("at"), F.lit(-1).cast("int").alias("line")), F.concat(F.lit("## "), label, F.lit("\n")))
-    rows = chosen.join(first, chosen["category"].eqNullSafe(first["category"])).drop(first["category"])
+    rows = chosen.join(F.broadcast(first), chosen["category"].eqNullSafe(first["category"])).drop(first["category"])
     lines = rows.select(
         F.struct(F.lit(3).alias("part"), F.col("_first").cast("long").alias("at"), F.col(order).cast("int").alias("line")), F.concat(heading, F.lit("\n**"), score, F.lit("** | "), F.col("source_name"), F.lit(" | "), F.coalesce("published_at", F.lit("")), F.lit("\n\n"), F.substring("content", 1, 150), F.lit("\n\n---\n"))
     )
