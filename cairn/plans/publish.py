@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cairn.functions.dates import rfc822
@@ -125,9 +127,39 @@ def xml_document(rows: DataFrame, order: str, head: str, end: str) -> DataFrame:
     return edge(0, head).unionAll(rows.select(F.struct(F.lit(1).alias("part"), F.col(order).cast("long").alias("at")), "xml")).unionAll(edge(2, end))
 
 
+#: Bytes of lines that one file of a document has, about.
+FILE_BYTES = 64 << 20
+
+
+def _in_ranges(rows: DataFrame, parts: int) -> DataFrame:
+    """The lines in the order of ``place``, in ``parts`` ranges at least and as many as ``FILE_BYTES`` asks for."""
+    parts = max(parts, -(-(rows.agg(F.sum((F.octet_length("line") + 1).cast("long"))).first()[0] or 0) // FILE_BYTES))
+    return rows.repartitionByRange(parts, "place").sortWithinPartitions("place").select("line")
+
+
 def write_lines(rows: DataFrame, path: str, parts: int = 1) -> None:
-    """Lines into text files whose names' order is that of ``place``: put behind one another they are the document."""
-    rows.repartitionByRange(parts, "place").sortWithinPartitions("place").select("line").write.mode("overwrite").text(path)
+    """Lines into text files whose names' order is that of ``place``: put behind one another they are the document.
+
+    There are ``parts`` files, or more of a longer document, so that no task has more of it.
+    """
+    _in_ranges(rows, parts).write.mode("overwrite").text(path)
+
+
+def write_feeds(rows: DataFrame, order: str, path: str, head: str, end: str, parts: int = 1) -> None:
+    """Each row's ``xml`` in the order of a column, into files that each are a whole feed by themselves, head and end included.
+
+    A long feed is as many files as its bytes ask for, in the order of their names.
+    """
+
+    def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("line", pa.string())])
+        yield pa.RecordBatch.from_pylist([{"line": head}], schema)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string())], schema=schema)
+        yield pa.RecordBatch.from_pylist([{"line": end}], schema)
+
+    lines = _in_ranges(rows.select(F.col(order).alias("place"), F.col("xml").alias("line")), parts)
+    lines.mapInArrow(framed, "line string").write.mode("overwrite").text(path)
 
 
 def write_json(items: DataFrame, path: str) -> None:

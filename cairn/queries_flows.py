@@ -213,7 +213,7 @@ def feed_files(spark, d):
     """Documents written as feed items and read back."""
     rows = publish.rss_rows(news(spark, d).withColumn("ts", F.col("published_at").cast("timestamp")), SITE)
     path = f"{Scratch(spark, 'feed').root}/rss"
-    publish.write_lines(publish.xml_document(rows.withColumn("xml", F.regexp_replace("xml", "\n", "&#10;")), "id", '<rss version="2.0"><channel>', "</channel></rss>"), path)
+    publish.write_feeds(rows.withColumn("xml", F.regexp_replace("xml", "\n", "&#10;")), "id", path, '<rss version="2.0"><channel>', "</channel></rss>")
     return readers.rss_items(spark, path).select("title", "link", "summary")
 
 
