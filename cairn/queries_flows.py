@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from cairn import schemas
 from cairn.operators import dedup, merge, predicates as P, rollup, select
 from cairn.plans import pipelines, publish
 from cairn.queries import CLASSED, NEWS, SITE, _ESC, _t, classed, news, query
@@ -326,11 +327,7 @@ def store_files(spark, d):
     rows = news(spark, d).select("seq", "id", "title", "source_url", "ai_score", "published_at")
     sources = _t(spark, d, "nation").select(F.col("n_nationkey").alias("seq"), F.col("n_name").alias("name"), F.lit(80).alias("score"))
     publish.write_lines(publish.json_document({"news": (rows, "seq"), "sources": (sources, "seq")}, {"version": "2.2.14"}), f"{scratch.root}/lines", 3)
-    files = spark.read.text(f"{scratch.root}/lines", wholetext=True).select("value", F.input_file_name().alias("f"))
-    whole = files.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("f", "value"))), lambda x: x["value"]), "").alias("value"))
-    whole.write.text(f"{scratch.root}/document")
-    document = readers.store(spark, f"{scratch.root}/document")
-    return readers.store_news(document).select("seq", "id", "title", "source_url", "ai_score")
+    return readers.section(readers.document_lines(spark, f"{scratch.root}/lines"), "news", schemas.NEWS).select("seq", "id", "title", "source_url", "ai_score")
 
 
 @query(f"WITH {NEWS} SELECT id, 0::BIGINT AS stored, true AS known FROM news")

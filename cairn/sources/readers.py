@@ -17,6 +17,7 @@ from cairn.functions.dates import date_in_text, feed_day, shanghai_day
 from cairn.functions.text import absolute_url, clean_markup_first, host, stripped_ends, unescape, unwrap_jsonp
 from cairn.operators.merge import zipped
 from cairn.operators.classify import layer_of, layer_type, most_hits
+from cairn.operators.select import numbered
 from cairn.operators.predicates import has_any, is_report_title, is_search_hit, relevant
 from cairn.scratch import Scratch
 
@@ -295,6 +296,33 @@ def store_news(document: DataFrame) -> DataFrame:
     return document.select(F.posexplode("news")).select(F.col("pos").cast("long").alias("seq"), "col.*")
 
 
+def document_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(place, value) of a document that ``publish.write_lines`` wrote as JSON: its lines, whose places order them over all files.
+
+    The lines are kept, as a place counts within the task that reads its part of a file.
+    """
+    m = F.col("_metadata")
+    place = F.struct(m["file_name"].alias("file"), m["file_block_start"].alias("start"), F.monotonically_increasing_id().alias("at"))
+    lines = spark.read.text(path).select(place.alias("place"), "value")
+    return Scratch(spark, "lines").save(lines, "lines")
+
+
+def section(lines: DataFrame, name: str, schema: str) -> DataFrame:
+    """The rows of one array of such a document, with their place in it as seq; the document is never one value."""
+    edge = lines.where(~F.col("value").rlike(r"^,?\{.*\}$"))  # two of each section, and the head and end of the document
+    first = edge.where(F.col("value").isin(f'"{name}":[', f',"{name}":[')).agg(F.min("place").alias("_from"))
+    last = edge.where("value = ']'").join(F.broadcast(first)).where("place > _from").agg(F.min("place").alias("_to"))
+    own = lines.join(F.broadcast(first)).join(F.broadcast(last)).where("place > _from AND place < _to").select("place", "value")
+    own = numbered(own, [F.col("place")], "_seq")
+    return own.select((F.col("_seq") - 1).alias("seq"), F.from_json(F.regexp_replace("value", "^,", ""), schema).alias("r")).select("seq", "r.*")
+
+
+def head(lines: DataFrame, schema: str) -> DataFrame:
+    """What stands before the arrays of such a document, as one row."""
+    first = lines.agg(F.min_by("value", "place").alias("value"))
+    return first.select(F.from_json(F.concat("value", F.lit("}")), schema).alias("r")).select("r.*")
+
+
 def registry_reports(spark: SparkSession, path: str) -> DataFrame:
     """Reports of a registry, or of a bare array of them; key_data that is a text becomes null."""
     raw = spark.read.schema(schemas.REGISTRY).option("multiLine", True).json(path)
