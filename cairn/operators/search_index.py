@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from collections.abc import Iterator
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from cairn.operators.predicates import search
 
@@ -16,12 +21,29 @@ def _bucket(gram: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(gram), F.lit(buckets)).cast("int")
 
 
+def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, keys) of each batch of (key, texts): a list of the batch's rows for every string of three letters in them."""
+    for batch in batches:
+        rows: dict[str, list[int]] = {}
+        for i, texts in enumerate(zip(*batch.columns[1:], strict=True)):
+            grams: set[str] = set()
+            for text in texts:
+                t = text.as_py() or ""
+                grams.update([t[k : k + GRAM] for k in range(len(t) - GRAM + 1)])
+            for gram in grams:
+                rows.setdefault(gram, []).append(i)
+        offsets = np.cumsum([0, *map(len, rows.values())], dtype=np.int32)
+        numbers = np.fromiter(chain.from_iterable(rows.values()), np.int64, int(offsets[-1]))
+        keys = pa.ListArray.from_arrays(pa.array(offsets), batch.column(0).take(pa.array(numbers)))
+        yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.string()), keys], ["gram", "keys"])
+
+
 class SearchIndex:
     """Posting lists of the lower-case texts of some columns, below ``path``.
 
     A text that holds a keyword holds each of its grams, so the items that are in all
-    of their lists are the only candidates, and a look at their texts decides.  Lists
-    are dealt by gram to folders and sorted in their files, so a search reads a few
+    of their lists are the only candidates, and a look at their texts decides.  A list
+    is made for each batch of rows before anything is shuffled.  Lists are dealt by gram to folders and sorted in their files, so a search reads a few
     row groups, whatever the size of the collection.
     """
 
@@ -36,11 +58,9 @@ class SearchIndex:
         spark = items.sparkSession
         own = [c for c in columns if c in items.columns]
         spark.createDataFrame([(key, own, buckets)], "key string, columns array<string>, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
-        texts = items.select(key, F.explode(F.array(*[F.lower(F.col(c).cast("string")) for c in own])).alias("t")).where(F.length("t") >= GRAM)
-        letters = texts.select(key, F.filter(F.split("t", ""), lambda c: c != "").alias("c"))  # a letter of an array is found at once
-        starts = F.sequence(F.lit(0), F.size("c") - GRAM)
-        grams = letters.select(key, F.explode(F.array_distinct(F.transform(starts, lambda k: F.concat(*[F.get("c", k + i) for i in range(GRAM)])))).alias("gram")).distinct()
-        dealt = grams.withColumn("bucket", _bucket(F.col("gram"), buckets)).repartition("bucket", "gram").sortWithinPartitions("bucket", "gram")
+        texts = items.select(F.col(key).alias("key"), *[F.lower(F.col(c).cast("string")).alias(f"t{k}") for k, c in enumerate(own)])
+        lists = texts.mapInArrow(_posted, T.StructType([T.StructField("gram", T.StringType()), T.StructField("keys", T.ArrayType(texts.schema["key"].dataType))]))
+        dealt = lists.withColumn("bucket", _bucket(F.col("gram"), buckets)).repartition("bucket", "gram").sortWithinPartitions("bucket", "gram")
         dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/lists")
         return cls(spark, path)
 
@@ -56,7 +76,8 @@ class SearchIndex:
         asked = self.spark.createDataFrame([(g,) for g in grams], "gram string").select("gram", _bucket(F.col("gram"), self.buckets).alias("bucket"))
         buckets = sorted({r["bucket"] for r in asked.collect()})  # of one keyword's grams
         lists = self._lists().where(F.col("bucket").isin(buckets) & F.col("gram").isin(grams))
-        return lists.groupBy(self.key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(grams)).select(self.key)
+        listed = lists.select("gram", F.explode("keys").alias(self.key))
+        return listed.groupBy(self.key).agg(F.size(F.collect_set("gram")).alias("n")).where(F.col("n") == len(grams)).select(self.key)
 
     def search(self, items: DataFrame, keyword: str = "", category: str = "all") -> DataFrame:
         """What ``predicates.search`` finds in the indexed columns of ``items``; keywords of fewer than three letters scan them."""

@@ -57,3 +57,12 @@ def test_a_day_of_few_categories(spark, rows):
         assert out.where("place.part = 3").count() == 301
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_lists_of_the_index_are_made_before_the_shuffle(spark, tmp_path, rows):
+    from cairn.operators.search_index import SearchIndex
+
+    index = SearchIndex.create(rows.coalesce(1), str(tmp_path / "index"))
+    lists = index._lists()
+    assert lists.where("gram = 'new'").count() == 1 and lists.where("gram = 'new'").selectExpr("size(keys)").first()[0] == 300
+    assert index.candidates("T 12 ,").count() == 1 and index.candidates('"news":[').count() == 300
