@@ -10,7 +10,7 @@ topics, the cascade and the boosts are built-in expressions over that array.
 from __future__ import annotations
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cairn import lexicon as L
@@ -45,10 +45,11 @@ class Keywords:
         """The numbers of the rules whose keyword is in a lower-case text, ascending; a null text has those of the empty keyword."""
         known = self.spark.sparkContext.broadcast([(r["keyword"].lower(), r["match_mode"] == "word") for r in self.rules])
 
-        @F.pandas_udf("array<int>")
-        def scan(texts: pd.Series) -> pd.Series:
+        @F.arrow_udf("array<int>")
+        def scan(texts: pa.Array) -> pa.Array:
             find = _automaton(known.value)
-            return texts.map(lambda t: find(t or ""))
+            # one text at a time becomes Python's own, so a batch is held once
+            return pa.array((find(t.as_py() or "") for t in texts), pa.list_(pa.int32()), size=len(texts))
 
         return scan(text)
 
