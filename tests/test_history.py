@@ -104,6 +104,19 @@ def test_stored_texts_do_not_meet(spark):
     assert plan.count("/grams") <= 1 and got.count() == 0
 
 
+@pytest.mark.parametrize("kind", ["edit", "jaccard"])
+def test_copies_are_looked_for_once(spark, monkeypatch, kind):
+    """Equal texts of the rows have one set of grams and one comparison, and every row its matches."""
+    met, compared = [], dedup._compared
+    monkeypatch.setattr(dedup, "_compared", lambda both, *how: met.append(both.count()) or compared(both, *how))
+    index = GramIndex.of(spark.createDataFrame([("the same title again",), ("quo vadis",)], "t string"), "t", kind, 0.82)
+    texts = ["the same title again", "the same title agaim", None, "", "zzz"]
+    rows = spark.createDataFrame([(i, texts[i % 5]) for i in range(200)], "i long, t string")
+    got = sorted((r["i"], round(r["similarity"], 6)) for r in index.matches(rows, "t", "i", 0.82).collect())
+    measure = ratio if kind == "edit" else jaccard
+    assert got == [(i, round(measure(texts[0], texts[i % 5]), 6)) for i in range(200) if i % 5 < 2] and met[0] <= 6  # 3 different texts, 2 stored
+
+
 def test_ingest_keeps_the_index(spark, tmp_path):
     batches = [titles(20 + k, 25) for k in range(3)]
     source = tmp_path / "in"
