@@ -15,6 +15,8 @@ from cairn.scratch import Scratch
 #: Requests that one address may take, redirects included, and what is read of a response.
 MOST_REQUESTS, MOST_BYTES, MOST_CHARS = 5, 65536, 50000
 REDIRECTS = (301, 302, 303, 307, 308)
+#: Up to so many ranges are sent to all addresses.
+FEW_RANGES = 100000
 
 
 def _bits(number: Column, base: int, size: int) -> Column:
@@ -63,19 +65,26 @@ def with_public(addresses: DataFrame, known: DataFrame, address: str = "address"
     """``addresses`` with ``public``: whether the longest range around each is no closed one; false for what is no address.
 
     An address meets the ranges by its prefixes of the sizes that ranges have, so any
-    number of ranges is one join by key and none is compared with all addresses.
+    number of ranges is one join by key and none is compared with all addresses.  Up to
+    ``FEW_RANGES`` go to the addresses, which then stay where they are: many addresses
+    share the prefix of a wide range, and would meet in one task.
     """
+    spark = addresses.sparkSession
+    known = Scratch(spark, "addresses").save(known.select("family", "size", "prefix", F.coalesce("closed", F.lit(False)).alias("closed")).distinct(), "ranges")
     sizes: dict[int, list[int]] = {4: [], 6: []}
     for r in known.select("family", "size").distinct().collect():  # 162 at most
         sizes[r["family"]].append(r["size"])
+    if known.count() <= FEW_RANGES:
+        known = F.broadcast(known)
     distinct = with_bits(addresses.select(F.col(address).alias("_address")).distinct(), "_address")
-    distinct = Scratch(addresses.sparkSession, "addresses").save(distinct, "distinct")
     own = F.when(F.col("family") == 4, F.array(*map(F.lit, sizes[4])).cast("array<int>")).when(F.col("family") == 6, F.array(*map(F.lit, sizes[6])).cast("array<int>"))
-    tried = distinct.select("_address", "family", "bits", F.explode(own).alias("size")).select("_address", "family", "size", F.expr("substring(bits, 1, size)").alias("prefix"))
-    hit = tried.join(known.distinct(), ["family", "size", "prefix"]).groupBy("_address").agg(F.max_by("closed", F.struct("size", "closed")).alias("_closed"))
-    judged = distinct.join(hit, "_address", "left").select("_address", (F.col("family").isNotNull() & ~F.coalesce("_closed", F.lit(False))).alias("public"))
-    joined = addresses.join(judged, addresses[address].eqNullSafe(judged["_address"]), "left")
-    return joined.select(*addresses.columns, F.coalesce("public", F.lit(False)).alias("public"))
+    tried = distinct.select("_address", "family", "bits", F.explode_outer(own).alias("size")).select("_address", "family", "size", F.expr("substring(bits, 1, size)").alias("prefix"))
+    # the longest range wins, of equal ones a closed one: one number, whose greatest needs no sort
+    hit = tried.join(known, ["family", "size", "prefix"], "left").select("_address", "family", (F.col("size") * 2 + F.col("closed").cast("int")).alias("_hit"))
+    judged = hit.groupBy("_address").agg((F.max("family").isNotNull() & (F.coalesce(F.max("_hit"), F.lit(0)) % 2 == 0)).alias("_public"))
+    judged = Scratch(spark, "addresses").save(judged.where("_address IS NOT NULL"), "judged")
+    joined = addresses.join(judged, addresses[address] == judged["_address"], "left")
+    return joined.select(*addresses.columns, F.coalesce("_public", F.lit(False)).alias("public"))
 
 
 def public_hosts(addresses: DataFrame, known: DataFrame, host: str = "host", address: str = "address") -> DataFrame:

@@ -66,3 +66,21 @@ def test_lists_of_the_index_are_made_before_the_shuffle(spark, tmp_path, rows):
     lists = index._lists()
     assert lists.where("gram = 'new'").count() == 1 and lists.where("gram = 'new'").selectExpr("size(keys)").first()[0] == 300
     assert index.candidates("T 12 ,").count() == 1 and index.candidates('"news":[').count() == 300
+
+
+@pytest.mark.parametrize("few", [0, 100])
+def test_addresses_stay_where_they_are(spark, monkeypatch, few):
+    """Addresses within one wide range do not meet in a task, and what they hit is counted without a sort."""
+    from cairn.operators import addresses as A
+
+    plans, save = [], A.Scratch.save
+    plan = lambda d: plans.append(d._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(A, "FEW_RANGES", few, raising=False)
+    monkeypatch.setattr(A.Scratch, "save", lambda self, df, *how: plan(df) or save(self, df, *how))
+    known = spark.createDataFrame([(4, 8, "00001010", True), (4, 16, "0000101000000001", False), (4, 16, "0000101000000010", False), (4, 16, "0000101000000010", True), (4, 24, "000010100000000100000001", None)], "family int, size int, prefix string, closed boolean")
+    given = ["10.0.0.1", "10.1.0.1", "10.1.1.1", "10.2.0.1", "11.0.0.1", "::1", "x", "", None, "10.0.0.1"]
+    rows = spark.createDataFrame(list(enumerate(given)), "i long, address string")
+    out = A.with_public(rows, known)
+    plan(out)
+    assert [r["public"] for r in out.orderBy("i").collect()] == [False, True, True, False, True, True, False, False, False, False]
+    assert not any("SortAggregate" in p for p in plans) and (few == 0 or not any("[family" in line for p in plans for line in p.splitlines() if "SortMergeJoin" in line))
