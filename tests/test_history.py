@@ -117,6 +117,17 @@ def test_copies_are_looked_for_once(spark, monkeypatch, kind):
     assert got == [(i, round(measure(texts[0], texts[i % 5]), 6)) for i in range(200) if i % 5 < 2] and met[0] <= 6  # 3 different texts, 2 stored
 
 
+@pytest.mark.parametrize("few", [0, 10])
+def test_stored_grams_are_no_table_of_each_task(spark, monkeypatch, few):
+    """Files of grams are small, what a task would keep of them is not: only a batch of few texts is sent to all tasks."""
+    monkeypatch.setattr(dedup, "FEW_TEXTS", few, raising=False)
+    index = GramIndex.of(spark.createDataFrame([(t,) for t in titles(7, 60)], "t string"), "t", "edit", 0.82)
+    got = index.matches(spark.createDataFrame(list(enumerate(titles(7, 5))), "i long, t string"), "t", "i", 0.82)
+    plan = got._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert {"Broadcast" in p for p in plan if "Join [q#" in p and "band#" in p} == {few > 0}
+    assert {r["i"] for r in got.where("similarity = 1").collect()} == set(range(5))
+
+
 def test_ingest_keeps_the_index(spark, tmp_path):
     batches = [titles(20 + k, 25) for k in range(3)]
     source = tmp_path / "in"
