@@ -106,15 +106,17 @@ def json_document(sections: dict[str, tuple[DataFrame, str]], scalars: dict[str,
     """
     spark = next(iter(sections.values()))[0].sparkSession
     text = F.struct(*[F.struct(F.lit(v).alias("v"))["v"].alias(k) for k, v in scalars.items()])
-    opening = spark.range(1).select(F.lit(0).alias("part"), F.lit(-1).cast("long").alias("at"), F.regexp_replace(F.to_json(text), r"\}$", "").alias("line"))
+    least = -(1 << 63)  # below any order, of which null counts as the next
+    opening = spark.range(1).select(F.lit(0).alias("part"), F.lit(least).cast("long").alias("at"), F.regexp_replace(F.to_json(text), r"\}$", "").alias("line"))
     out = opening
     for k, (name, (rows, order)) in enumerate(sections.items(), 1):
         lead = "," if scalars or k > 1 else ""
-        out = out.unionAll(spark.range(1).select(F.lit(k), F.lit(-1).cast("long"), F.lit(f'{lead}"{name}":[')))
-        first = rows.agg(F.min(order).alias("_first"))
-        comma = F.when(F.col(order) > F.col("_first"), ",").otherwise("")
+        out = out.unionAll(spark.range(1).select(F.lit(k), F.lit(least).cast("long"), F.lit(f'{lead}"{name}":[')))
+        at = F.coalesce(F.col(order).cast("long"), F.lit(least + 1).cast("long"))
+        first = rows.agg(F.min(at).alias("_first"))
+        comma = F.when(at > F.col("_first"), ",").otherwise("")
         value = F.to_json(F.struct(*[c for c in rows.columns if c != order]), {"ignoreNullFields": "false"})
-        out = out.unionAll(rows.join(F.broadcast(first)).select(F.lit(k), F.col(order).cast("long"), F.concat(comma, value)))
+        out = out.unionAll(rows.join(F.broadcast(first)).select(F.lit(k), at, F.concat(comma, value)))
         out = out.unionAll(spark.range(1).select(F.lit(k), F.lit((1 << 63) - 1), F.lit("]")))
     out = out.unionAll(spark.range(1).select(F.lit(len(sections) + 1), F.lit(0).cast("long"), F.lit("}")))
     return out.select(F.struct("part", "at").alias("place"), "line")

@@ -40,6 +40,14 @@ def test_closed_addresses_of_six_groups(spark, tmp_path, name):
     assert (402418 if name == "public_addresses" else 40241, False) in found
 
 
+@pytest.mark.parametrize("ids", [range(5), [3, -7, 1000000, -2, 0, -1]])
+def test_a_written_document_keeps_its_rows_and_columns(spark, tmp_path, ids):
+    schema = "item_id long, text string"
+    rows = [(k, t) for k, t in zip(ids, ['a "b"\nc', "]", None, "", '"reports":[', "\u2028x\ty\rz"])]
+    assert len(agree(spark, tmp_path, "research_document", benchmark=(schema, rows))) == len(rows)
+    assert sorted(curation.queries()["research_document"](spark, str(tmp_path)).columns) == ["description", "id", "seq", "title", "topic"]
+
+
 @pytest.mark.parametrize("kind, threshold", [("edit", 0.82), ("edit", 0.7), ("jaccard", 0.9)])
 def test_blocks_hand_on_few_pairs_and_lose_none(spark, monkeypatch, kind, threshold):
     """Texts of few words, which nearly all share grams and characters, in blocks of a few rows."""

@@ -9,6 +9,7 @@ from cairn import schemas
 from cairn.operators.predicates import search
 from cairn.operators.search_index import SearchIndex
 from cairn.plans import publish
+from cairn.sources import readers
 from cairn.streaming import inbox
 
 
@@ -87,3 +88,10 @@ def test_markdown_and_json(spark, tmp_path):
     back = spark.read.schema(rows.schema).json(str(tmp_path / "json"))
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
     assert '"source_name":null' in "".join(r[0] for r in spark.read.text(str(tmp_path / "json")).collect())
+
+
+def test_a_written_document_keeps_rows_without_an_order(spark, tmp_path):
+    rows = spark.createDataFrame([(None, "a"), (-3, "b"), (2, "c")], "n long, id string")
+    publish.write_lines(publish.json_document({"reports": (rows, "n")}, {"description": "d"}), str(tmp_path / "lines"), 2)
+    lines = readers.document_lines(spark, str(tmp_path / "lines"))
+    assert [(r["seq"], r["id"]) for r in readers.section(lines, "reports", "id string").orderBy("seq").collect()] == [(0, "a"), (1, "b"), (2, "c")]
