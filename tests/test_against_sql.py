@@ -67,3 +67,44 @@ def test_blocks_hand_on_few_pairs_and_lose_none(spark, monkeypatch, kind, thresh
     if (kind, threshold) == ("edit", 0.82):
         base = dedup._for_blocks(rows.select("i", F.col("t").alias("k"), F.length("t").alias("n")), kind)
         assert blocks.candidates(base, kind, threshold).count() < len(texts) ** 2 / 20  # of half the square
+
+
+@pytest.mark.parametrize("batch, alone", [(300, 0), (300, 1000)])
+def test_edits_lose_no_pair(monkeypatch, batch, alone):
+    """Pairs that go through their columns together and one by one, of like and unlike texts, with more letters than there are numbers."""
+    import numpy as np
+
+    from cairn.operators import blocks, edits
+
+    monkeypatch.setattr(edits, "BATCH", batch)
+    monkeypatch.setattr(edits, "ALONE", alone)
+    rng = random.Random(5)
+    for letters in ("abc", "".join(chr(0x4E00 + k) for k in range(300)) + "𝒳"):
+        first = ["".join(rng.choice(letters) for _ in range(rng.randint(50, 75))) for _ in range(12)]
+        near = ["".join(c if rng.random() > 0.15 else rng.choice(["", c + rng.choice(letters), rng.choice(letters)]) for c in rng.choice(first)) for _ in range(18)]
+        duck = duckdb.connect()
+        number = {c: chr(33 + k % 90) if len(letters) < 90 else None for k, c in enumerate(letters)}
+        u, v = np.divmod(np.arange(len(first) * len(near)), len(near))
+        both = edits.Edits(first, near)
+        apart = both.apart(u, v)
+        if letters == "abc":
+            plain = lambda t: "".join(number[c] for c in t)
+            assert apart.tolist() == [duck.execute("SELECT levenshtein(?, ?)", [plain(first[a]), plain(near[b])]).fetchone()[0] for a, b in zip(u, v, strict=True)]
+        for q in (2, 3, 4):
+            grams = blocks._Grams([blocks._codes(first, q), blocks._codes(near, q)], (len(first), len(near)), 256)
+            (a, _), (b, of_b) = grams.rows(0, 0, len(first)), grams.rows(1, 0, len(near))
+            most = np.floor(np.maximum(both.n[u], both.m[v]) * 0.2 + 1e-9).astype(int)
+            kept = both.within(u, v, most, (of_b[v] - (a @ b.T)[u, v]).astype(int), q)
+            assert kept[apart <= most].all() and kept.sum() < len(u) / 2
+
+
+def test_blocks_compare_texts_of_one_language_by_themselves(spark):
+    """Long texts that share most of their grams: none but near ones leaves its group, and a row goes to few groups."""
+    from cairn.operators import blocks
+
+    rng = random.Random(6)
+    words = [rng.choice("btdmn") + rng.choice("aeiou") for _ in range(12)]
+    texts = ["".join(rng.choice(words) for _ in range(rng.randint(200, 240))) for _ in range(120)]
+    texts += [t[:100] + "x" + t[101:] for t in texts[::10]]
+    rows = spark.createDataFrame([(k, t, len(t), 0) for k, t in enumerate(texts)], "i long, k string, length int, side int")
+    assert {(min(r["i"], r["j"]), max(r["i"], r["j"]), r["edits"]) for r in blocks.candidates(rows, "edit", 0.75).collect()} == {(10 * k, 120 + k, 1) for k in range(12)}
