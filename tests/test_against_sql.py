@@ -108,3 +108,13 @@ def test_blocks_compare_texts_of_one_language_by_themselves(spark):
     texts += [t[:100] + "x" + t[101:] for t in texts[::10]]
     rows = spark.createDataFrame([(k, t, len(t), 0) for k, t in enumerate(texts)], "i long, k string, length int, side int")
     assert {(min(r["i"], r["j"]), max(r["i"], r["j"]), r["edits"]) for r in blocks.candidates(rows, "edit", 0.75).collect()} == {(10 * k, 120 + k, 1) for k in range(12)}
+
+
+def test_blocks_of_characters_grow_with_their_bands(spark):
+    """Short sets are few bytes, so they stand in few blocks: a row goes to few groups, whatever their number."""
+    from cairn.operators import blocks
+
+    rows = spark.range(15000).select(F.col("id").alias("i"), F.format_string("%010d", "id").alias("k"), F.lit(10).alias("length"), F.lit(0).alias("side"))
+    bands = rows.withColumn("band", blocks.band(F.col("length"), 0.9))
+    tight = blocks._parts(bands.limit(10000), "jaccard", 0.9).first()["parts"], blocks._parts(bands, "jaccard", 0.9).first()["parts"]
+    assert tight == (1, 2)
